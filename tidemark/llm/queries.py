@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
+from .licenses import licenses_query, licenses_sql
 from .quality import quality_query
+from .secrets import secrets_query, secrets_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": lambda spark, sf_dir: quality_query(documents(spark, sf_dir)),
+    "op3_secret_scan": lambda spark, sf_dir: secrets_query(documents(spark, sf_dir)),
+    "op7_license_scan": lambda spark, sf_dir: licenses_query(documents(spark, sf_dir)),
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_secret_scan": secrets_sql(), "op7_license_scan": licenses_sql()}
