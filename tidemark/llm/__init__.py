@@ -1 +1,8 @@
 """Operators for preparing language-model training data. Nothing else in the library imports this package."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run inside tasks travel by value, so executors need not have this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
+from .fingerprints import fingerprint_query
 from .licenses import licenses_query, licenses_sql
+from .neardup import near_dedup_query
 from .quality import quality_query
 from .secrets import secrets_query, secrets_sql
 
@@ -15,6 +17,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": lambda spark, sf_dir: quality_query(documents(spark, sf_dir)),
     "op3_secret_scan": lambda spark, sf_dir: secrets_query(documents(spark, sf_dir)),
     "op7_license_scan": lambda spark, sf_dir: licenses_query(documents(spark, sf_dir)),
+    "op9_simhash_near_dedup": lambda spark, sf_dir: near_dedup_query(documents(spark, sf_dir)),
+    "op10_fingerprints": lambda spark, sf_dir: fingerprint_query(documents(spark, sf_dir)),
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_secret_scan": secrets_sql(), "op7_license_scan": licenses_sql()}
