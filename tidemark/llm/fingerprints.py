@@ -10,15 +10,17 @@ counts in the first.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_of, written
-from .simhash import fingerprinter, runs, shingle_hashes, signed, weighted, whole_groups, words_of
+from .simhash import runs, shingle_hashes, signed, weighted, whole_groups, words_of
 
 #: Documents of one window when each looks for its successor.
 NEIGHBOURS = 4096
@@ -100,44 +102,66 @@ def count_within(fingerprints: DataFrame, *, radius: int = 3) -> DataFrame:
 
 
 def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, fp) per row; null texts count as empty, fingerprint 0. Equal texts have equal fingerprints."""
+    """(id, fp, packed) per row, the text packed with zstd for the shuffle that follows; null texts count as empty,
+    fingerprint 0. Equal texts have equal fingerprints."""
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(f"`{text_col}`").alias("text"))
-    with_fp = fingerprinter(text_fingerprint, ["id", "text"], "text", "fp")
-    return rows.mapInPandas(with_fp, rows.withColumn("fp", F.lit(0).cast("long")).schema)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        packer = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            fps = signed([text_fingerprint(t) for t in batch["text"]])
+            yield pd.DataFrame({"id": batch["id"], "fp": fps, "packed": [packer.compress(t.encode("utf-8", "surrogatepass")) for t in batch["text"]]})
+
+    return rows.mapInPandas(run, rows.select("id", F.lit(0).cast("long").alias("fp"), F.lit(b"").alias("packed")).schema)
+
+
+def edit_documents(rows: DataFrame) -> DataFrame:
+    """From rows with their successors: id, n_chars, fp, next_fp, and the edited text's SHA-256 and fingerprint. In an
+    edited text, the last quarter of the code points (rounded down) gives way to as many first ones of the next text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unpacker = zstandard.ZstdDecompressor()
+        text = lambda blob: unpacker.decompress(blob).decode("utf-8", "surrogatepass")
+        for batch in batches:
+            n_chars, digests, fps = [], [], []
+            for own, following in zip(batch["packed"], batch["next_packed"], strict=True):
+                t = text(own)
+                part = len(t) // 4
+                edited = t[: len(t) - part] + text(following)[:part]
+                n_chars.append(len(t))
+                digests.append(sha256(edited.encode("utf-8", "surrogatepass")).hexdigest())
+                fps.append(text_fingerprint(edited))
+            yield batch[["id", "fp", "next_fp"]].assign(n_chars=n_chars, edited_sha256=digests, edited_fp=signed(fps))
+
+    kept = rows.select("id", "fp", "next_fp", F.lit(0).cast("long").alias("n_chars"), F.lit("").alias("edited_sha256"), F.lit(0).cast("long").alias("edited_fp"))
+    return rows.mapInPandas(run, kept.schema)
 
 
 def with_successor(rows: DataFrame) -> DataFrame:
-    """`rows` (id, text, fp) with next_text and next_fp of the following row by id; after the last, of the first.
+    """`rows` (id, fp, packed) with next_packed and next_fp of the following row by id; after the last, of the first.
 
-    Equal ids follow each other by text; null ids come last. Rows are dealt into windows of NEIGHBOURS consecutive
+    Equal ids follow each other by their packed texts; null ids come last. Rows are dealt into windows of NEIGHBOURS consecutive
     ids; the last row of a window takes the first of the next window that has any, found in the short table of windows.
     """
     rows = rows.withColumn("window", F.floor(F.col("id") / NEIGHBOURS))
-    order = Window.partitionBy("window").orderBy(F.asc("id"), F.asc("text"))
-    rows = rows.withColumn("next", F.lead(F.struct("text", "fp")).over(order))
+    order = Window.partitionBy("window").orderBy(F.asc("id"), F.asc("packed"))
+    rows = rows.withColumn("next", F.lead(F.struct("packed", "fp")).over(order))
     heads = rows.groupBy("window").agg(F.min("id").alias("id"))
     follow = Window.orderBy(F.asc_nulls_last("window"))  # one row per window of ids
     everything = follow.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     heads = heads.select("window", F.coalesce(F.lead("window").over(follow), F.first("window").over(everything)).alias("to"), F.lead(F.lit(1)).over(follow).alias("has"), F.max(F.when(F.col("window").isNull(), 1)).over(everything).alias("nulls"))
     # the last window with an id is followed by the rows without one, if any
     heads = heads.withColumn("to", F.when(F.col("window").isNotNull() & (F.col("has") == 1) & (F.lead("window").over(follow).isNull()), F.lit(None)).otherwise(F.col("to")))
-    firsts = rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(F.col("window").alias("to"), F.struct("text", "fp").alias("first"))
+    firsts = rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(F.col("window").alias("to"), F.struct("packed", "fp").alias("first"))
     heads = heads.join(firsts, heads["to"].eqNullSafe(firsts["to"])).select(F.col("window").alias("_window"), "first")
     joined = rows.join(heads, rows["window"].eqNullSafe(heads["_window"]), "left")
-    return joined.select("id", "text", "fp", F.coalesce("next", "first").alias("next")).select("id", "text", "fp", F.col("next.text").alias("next_text"), F.col("next.fp").alias("next_fp"))
+    return joined.select("id", "fp", "packed", F.coalesce("next", "first").alias("next")).select("id", "fp", "packed", F.col("next.packed").alias("next_packed"), F.col("next.fp").alias("next_fp"))
 
 
 def fingerprint_query(docs: DataFrame, *, radius: int = 3) -> DataFrame:
     """op10, with n_within: for ids divisible by 50, how many documents (itself included) lie within `radius` bits."""
-    rows = with_successor(fingerprint_documents(docs.select("doc_id", "text")))
-    n = F.char_length("text")
-    part = F.floor(n / 4).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), n - part), F.substring("next_text", F.lit(1), part))
-    rows = rows.select(F.col("id").alias("doc_id"), n.cast("long").alias("n_chars"), "fp", "next_fp", edited.alias("edited"))
-    rows = rows.withColumn("edited_sha256", F.sha2("edited", 256))
-    kept = ["doc_id", "n_chars", "fp", "next_fp", "edited_sha256"]
-    schema = rows.select(*kept, F.lit(0).cast("long").alias("edited_fp")).schema
-    rows = written(rows.mapInPandas(fingerprinter(text_fingerprint, kept, "edited", "edited_fp"), schema), "fingerprints")
+    rows = edit_documents(with_successor(fingerprint_documents(docs.select("doc_id", "text"))))
+    rows = written(rows.withColumnRenamed("id", "doc_id"), "fingerprints")
     different = rows.groupBy("fp").agg(F.count("*").alias("n"), F.max(F.coalesce(F.col("doc_id") % 50 == 0, F.lit(False))).alias("asked"))
     within = count_within(different, radius=radius).select(F.col("query").alias("fp"), F.col("n").alias("_within"))
     rows = rows.join(within, "fp", "left")
