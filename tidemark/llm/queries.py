@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import bpe_query
 from .common import documents
 from .fingerprints import fingerprint_query
 from .licenses import licenses_query, licenses_sql
@@ -15,6 +16,7 @@ from .secrets import secrets_query, secrets_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": lambda spark, sf_dir: quality_query(documents(spark, sf_dir)),
+    "op2_byte_bpe": lambda spark, sf_dir: bpe_query(documents(spark, sf_dir)),
     "op3_secret_scan": lambda spark, sf_dir: secrets_query(documents(spark, sf_dir)),
     "op7_license_scan": lambda spark, sf_dir: licenses_query(documents(spark, sf_dir)),
     "op9_simhash_near_dedup": lambda spark, sf_dir: near_dedup_query(documents(spark, sf_dir)),
