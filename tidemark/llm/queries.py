@@ -10,6 +10,7 @@ from .bpe import bpe_query
 from .common import documents
 from .fingerprints import fingerprint_query
 from .licenses import licenses_query, licenses_sql
+from .mixing import mixing_query
 from .neardup import near_dedup_query
 from .quality import quality_query
 from .secrets import secrets_query, secrets_sql
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": lambda spark, sf_dir: quality_query(documents(spark, sf_dir)),
     "op2_byte_bpe": lambda spark, sf_dir: bpe_query(documents(spark, sf_dir)),
     "op3_secret_scan": lambda spark, sf_dir: secrets_query(documents(spark, sf_dir)),
+    "op4_mixing": lambda spark, sf_dir: mixing_query(documents(spark, sf_dir)),
     "op5_token_counts": lambda spark, sf_dir: tokens_query(documents(spark, sf_dir)),
     "op7_license_scan": lambda spark, sf_dir: licenses_query(documents(spark, sf_dir)),
     "op9_simhash_near_dedup": lambda spark, sf_dir: near_dedup_query(documents(spark, sf_dir)),
