@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import bpe_query
 from .common import documents
 from .fingerprints import fingerprint_query
+from .html import html_query
 from .licenses import licenses_query, licenses_sql
 from .mixing import mixing_query
 from .neardup import near_dedup_query
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": lambda spark, sf_dir: mixing_query(documents(spark, sf_dir)),
     "op5_token_counts": lambda spark, sf_dir: tokens_query(documents(spark, sf_dir)),
     "op7_license_scan": lambda spark, sf_dir: licenses_query(documents(spark, sf_dir)),
+    "op8_html_extraction": lambda spark, sf_dir: html_query(spark.read.parquet(f"{sf_dir}/pages.parquet")),
     "op9_simhash_near_dedup": lambda spark, sf_dir: near_dedup_query(documents(spark, sf_dir)),
     "op10_fingerprints": lambda spark, sf_dir: fingerprint_query(documents(spark, sf_dir)),
 }
