@@ -15,6 +15,7 @@ from .mixing import mixing_query
 from .neardup import near_dedup_query
 from .quality import quality_query
 from .secrets import secrets_query, secrets_sql
+from .suffix import suffix_query
 from .tokens import tokens_query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": lambda spark, sf_dir: secrets_query(documents(spark, sf_dir)),
     "op4_mixing": lambda spark, sf_dir: mixing_query(documents(spark, sf_dir)),
     "op5_token_counts": lambda spark, sf_dir: tokens_query(documents(spark, sf_dir)),
+    "op6_suffix_dedup": lambda spark, sf_dir: suffix_query(documents(spark, sf_dir)),
     "op7_license_scan": lambda spark, sf_dir: licenses_query(documents(spark, sf_dir)),
     "op8_html_extraction": lambda spark, sf_dir: html_query(spark.read.parquet(f"{sf_dir}/pages.parquet")),
     "op9_simhash_near_dedup": lambda spark, sf_dir: near_dedup_query(documents(spark, sf_dir)),
