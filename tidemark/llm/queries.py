@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from .bpe import bpe_query
 from .common import documents
 from .fingerprints import fingerprint_query
@@ -29,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": lambda spark, sf_dir: html_query(spark.read.parquet(f"{sf_dir}/pages.parquet")),
     "op9_simhash_near_dedup": lambda spark, sf_dir: near_dedup_query(documents(spark, sf_dir)),
     "op10_fingerprints": lambda spark, sf_dir: fingerprint_query(documents(spark, sf_dir)),
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_secret_scan": secrets_sql(), "op7_license_scan": licenses_sql()}
