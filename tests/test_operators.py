@@ -1,0 +1,100 @@
+from __future__ import annotations
+
+import math
+from datetime import date
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.functions import scalars as fn
+from tidemark.operators import macro, panel, xsec
+from tidemark.operators.asof import asof_join, interval_join, keep_one
+
+
+def one(spark, value, kind="string"):
+    return spark.createDataFrame([(value,)], f"x {kind}")
+
+
+@pytest.mark.parametrize(
+    ("label", "area", "home"),
+    [("Rest of World", "GLOBAL", False), ("United States", "USA", True), ("China", "CHINA", False), ("Germany", "EUROPE", False), (None, "UNKNOWN", False), ("  ", "UNKNOWN", False),
+     ("AUSTRALIA", "USA", False), ("Latin American", "CANADA", False), ("UNKNOWN", "OTHER_FOREIGN", False), ("Non-US", "USA", True), ("US_OPS", "USA", False)],
+)
+def test_labels(spark, label, area, home):
+    row = one(spark, label).select(fn.macro_area(F.col("x")), fn.is_domestic(F.col("x"))).first()
+    assert (row[0], row[1]) == (area, home)
+
+
+@pytest.mark.parametrize(
+    ("period", "year", "end"),
+    [("M02", 2020, date(2020, 2, 29)), ("2020Q2", None, date(2020, 6, 30)), ("2020-q2", None, date(2020, 6, 30)), ("2020", None, date(2020, 12, 31)), ("M02", None, None), ("M13", 2020, None), ("nonsense", 2020, None), ("2020-05", None, date(2020, 5, 31)), ("2020-05-03", None, date(2020, 5, 3))],
+)
+def test_periods(spark, period, year, end):
+    df = spark.createDataFrame([(period, year)], "p string, y int")
+    assert df.select(fn.period_to_date(F.col("p"), F.col("y"))).first()[0] == end
+
+
+def test_calendar_slug_and_sector(spark):
+    days = spark.createDataFrame([(date(2020, 1, 31),), (date(2020, 2, 10),)], "d date")
+    assert [tuple(r) for r in days.select(fn.next_month_end(F.col("d")), fn.quarter_end(F.col("d"))).collect()] == [(date(2020, 2, 29), date(2020, 3, 31)), (date(2020, 2, 29), date(2020, 3, 31))]
+    texts = spark.createDataFrame([(" A--b C! ", "6021"), ("--", "1800"), ("x", None), ("é1", "2834.0")], "t string, s string")
+    assert [tuple(r) for r in texts.select(fn.slug(F.col("t")), fn.sic_sector(F.col("s"))).collect()] == [("a_b_c", "Finance"), ("unknown", "Unknown"), ("x", "Unknown"), ("é1", "Manufacturing")]
+
+
+def test_asof_is_exclusive_or_inclusive_and_moves_whole_rows(spark):
+    left = spark.createDataFrame([("a", 1, date(2020, 1, 1)), ("a", 2, date(2020, 1, 2)), ("a", 3, None), ("b", 4, date(2020, 1, 2))], "k string, id int, t date")
+    right = spark.createDataFrame([("a", date(2020, 1, 1), 1, 10), ("a", date(2020, 1, 1), 2, None), ("a", None, 9, 99)], "k string, u date, rank int, v int")
+    got = lambda exact: {r["id"]: (r["rank"], r["v"]) for r in asof_join(left, right, ["k"], "t", "u", allow_exact=exact, ties=["rank"]).collect()}
+    assert got(False) == {1: (None, None), 2: (2, None), 3: (None, None), 4: (None, None)}
+    assert got(True) == {1: (2, None), 2: (2, None), 3: (None, None), 4: (None, None)}
+
+
+def test_interval_join_has_closed_ends(spark):
+    left = spark.createDataFrame([(1, date(2020, 1, 1)), (1, date(2020, 2, 1)), (2, date(2030, 1, 1))], "k int, t date")
+    right = spark.createDataFrame([(1, date(2020, 1, 1), date(2020, 1, 1), "x"), (2, date(2020, 1, 1), None, "y")], "k int, a date, b date, v string")
+    assert sorted((r["k"], r["v"]) for r in interval_join(left, right, ["k"], "t", "a", "b").collect()) == [(1, "x"), (2, "y")]
+    assert keep_one(left, ["k"], [F.desc("t")]).count() == 2
+
+
+def test_snapshots_count_null_labels_as_foreign(spark):
+    rows = [("f", "1", date(2020, 3, 31), date(2020, 2, 29), "United States", None, 6.0, None, None), ("f", "2", date(2020, 3, 31), date(2020, 2, 29), "", None, None, 4.0, 1.0), ("f", "3", date(2020, 3, 31), None, "X", None, -1.0, 5.0, None)]
+    segments = spark.createDataFrame(rows, "gvkey string, sid string, srcdate date, datadate date, gareag string, gareat string, sales double, revts double, ias double")
+    row = panel.snapshots(segments).first()
+    assert (row["foreign_share"], row["domestic_share"], row["geo_count"], row["segment_rows"]) == (0.4, 0.6, 1, 2)
+    assert math.isclose(row["geo_hhi"], 0.52)
+    tokens = {r["geo_label"]: r["macro_area"] for r in panel.geo_tokens(segments).collect()}
+    assert tokens == {"United States": "USA", "UNKNOWN": "OTHER_FOREIGN"}
+
+
+def test_quintiles_need_enough_values(spark):
+    many = spark.createDataFrame([(date(2020, 1, 31), i, float(i)) for i in range(50)] + [(date(2020, 2, 29), i, float(i)) for i in range(24)], "date date, permno int, x double")
+    counts = {(r["date"].month, r["quintile"]): r["count"] for r in xsec.quintiles(many, "x").groupBy("date", "quintile").count().collect()}
+    assert counts == {(1, q): 10 for q in range(1, 6)} | {(2, None): 24}
+
+
+def test_factors_in_percent_are_scaled_as_a_whole(spark):
+    factors = spark.createDataFrame([(date(2020, 1, 31), 2.0, 0.5), (date(2020, 2, 29), 0.5, 0.5)], "dateff date, mktrf double, smb double")
+    rows = panel.scaled_factors(factors, ("mktrf", "smb")).orderBy("factor_date").collect()
+    assert [(r["mktrf"], r["smb"]) for r in rows] == [(0.02, 0.5), (0.005, 0.5)]
+
+
+def test_macro_uses_only_released_values_and_falls_back_by_area(spark):
+    states = macro.macro_states(spark.createDataFrame(
+        [("s", "United States", date(2020, 1, 1), date(2020, 2, 7), 2.0), ("s", "GLOBAL", date(2020, 1, 1), date(2020, 1, 20), 5.0), ("s", "United States", date(2020, 2, 1), date(2020, 9, 1), 99.0)],
+        "series_id string, macro_area string, date date, available_date date, value double",
+    ))
+    tokens = spark.createDataFrame([("f", date(2020, 1, 31), "USA", 0.6), ("f", date(2020, 1, 31), "EUROPE", 0.4), ("f", date(2020, 2, 29), "USA", 0.6), ("f", date(2020, 2, 29), "EUROPE", 0.4)], "gvkey string, date date, macro_area string, revenue_share double")
+    rows = macro.macro_interactions(macro.macro_on_tokens(tokens, states), ["gvkey", "date"]).orderBy("date").collect()
+    assert [round(r["segment_macro_value"], 9) for r in rows] == [2.0, 3.2]  # USA has states, none known in January: no fallback
+    assert [round(r["revenue_share_covered"], 9) for r in rows] == [0.4, 1.0]
+
+
+def test_t_stat_turnover_and_alpha(spark):
+    few = spark.createDataFrame([(1.0,), (2.0,)], "x double")
+    assert few.agg(xsec.t_stat("x")).first()[0] is None
+    names = [(date(2020, 1, 31), 1, 5), (date(2020, 1, 31), 2, 1), (date(2020, 2, 29), 1, 5), (date(2020, 2, 29), 3, 1)]
+    turned = xsec.turnover(spark.createDataFrame([("m", *r) for r in names], "variant string, date date, permno int, quintile int"), ["variant"]).orderBy("date").collect()
+    assert [r["long_short_turnover"] for r in turned] == [None, 0.5]
+    months = [("m", date(2020 + i // 12, i % 12 + 1, 1), 0.01 + 2.0 * f + 0.001 * (-1) ** i, f) for i in range(24) for f in [math.sin(i)]]
+    fit = xsec.factor_alphas(spark.createDataFrame(months, "variant string, date date, y double, f double"), ["variant"], "y", ["f"]).first()
+    assert abs(fit["alpha"] - 0.01) < 1e-3 and fit["alpha_t"] > 10 and fit["r2"] > 0.99 and fit["n_months"] == 24

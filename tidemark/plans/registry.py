@@ -1,15 +1,279 @@
-"""All queries over the star-schema tables, by name."""
+"""All queries over the star-schema tables, by name, and the same rows in DuckDB's SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from ..functions import scalars as fn
+from ..operators import features, macro, panel, xsec
+from ..operators.asof import keep_one
+from .fixtures import duckdb_views, view
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def q6(c: str | Column) -> Column:
+    return fn.stepped(F.col(c) if isinstance(c, str) else c)
+
+
+def _q(df: DataFrame, *doubles: str) -> DataFrame:
+    """The named columns on a grid of 1e-6, so both engines agree on the last digits."""
+    return df.withColumns({c: q6(c) for c in doubles})
+
+
+def _snaps(spark: SparkSession, d: str) -> DataFrame:
+    return panel.stepped_shares(panel.snapshots(view(spark, d, "fx_segments")))
+
+
+def _active(spark: SparkSession, d: str) -> DataFrame:
+    return panel.activation_dates(_snaps(spark, d), view(spark, d, "fx_filings"))
+
+
+def _panel(spark: SparkSession, d: str) -> DataFrame:
+    rows = panel.monthly_panel(view(spark, d, "fx_returns"), view(spark, d, "fx_links"), _active(spark, d), view(spark, d, "fx_funda"), view(spark, d, "fx_factors"))
+    return rows.withColumns({c: fn.stepped(F.col(c), 9) for c in ("excess_ret", "next_month_excess_ret")})
+
+
+def _usable(spark: SparkSession, d: str) -> DataFrame:
+    return _panel(spark, d).where("foreign_share IS NOT NULL AND next_month_excess_ret IS NOT NULL AND date <= date '2025-12-31'")
+
+
+def _sorted(spark: SparkSession, d: str) -> DataFrame:
+    return xsec.quintiles(_usable(spark, d), "foreign_share")
+
+
+def _spread(spark: SparkSession, d: str) -> DataFrame:
+    return xsec.spreads(xsec.quintile_returns(_sorted(spark, d), ["date"], "next_month_excess_ret", "foreign_share"), ["date"])
+
+
+def _tokens(spark: SparkSession, d: str) -> DataFrame:
+    return panel.geo_tokens(view(spark, d, "fx_segments"))
+
+
+def _states(spark: SparkSession, d: str) -> DataFrame:
+    return macro.macro_states(view(spark, d, "fx_macro"))
+
+
+def _on_tokens(spark: SparkSession, d: str) -> DataFrame:
+    months = _panel(spark, d).select("gvkey", "permno", "date", "segment_srcdate").distinct()
+    return macro.macro_on_tokens(months.join(_tokens(spark, d), ["gvkey", "segment_srcdate"]), _states(spark, d))
+
+
+def _stacked(df: DataFrame, metrics: dict[str, Column]) -> DataFrame:
+    one = df.agg(*(c.cast("double").alias(k) for k, c in metrics.items()))
+    return one.unpivot([], list(metrics), "metric", "value").withColumn("value", q6("value"))
+
+
+def _panel_profile(spark: SparkSession, d: str) -> DataFrame:
+    return _stacked(_panel(spark, d), {
+        "rows": F.count("*"), "permnos": F.count_distinct("permno"), "months": F.count_distinct("date"), "mean_foreign_share": F.avg("foreign_share"),
+        "with_fundamentals": F.count("at"), "with_next_return": F.count("next_month_ret"), "violations": F.sum(F.when(F.col("date") <= F.col("segment_activation_date"), 1).otherwise(0)),
+    })
+
+
+def _activation_gate(spark: SparkSession, d: str) -> DataFrame:
+    late = F.coalesce(F.sum(F.when(F.col("date") <= F.col("segment_activation_date"), 1)), F.lit(0))
+    return _panel(spark, d).agg(late.cast("long").alias("violations")).select(F.lit("activation_rule").alias("check"), "violations", F.when(F.col("violations") == 0, "ok").otherwise("needs_review").alias("status"))
+
+
+def _turnover(spark: SparkSession, d: str) -> DataFrame:
+    return xsec.turnover(_sorted(spark, d).withColumn("variant", F.lit("foreign_share")), ["variant"])
+
+
+def _net(spark: SparkSession, d: str) -> DataFrame:
+    rows = _spread(spark, d).join(_turnover(spark, d).select("date", "long_short_turnover"), "date", "left")
+    return rows.select("date", q6("q5_minus_q1").alias("gross"), q6(xsec.net_of_cost(F.col("q5_minus_q1"), F.col("long_short_turnover"), 10.0)).alias("net"))
+
+
+def _alpha(spark: SparkSession, d: str) -> DataFrame:
+    factors = panel.scaled_factors(view(spark, d, "fx_factors"))
+    rows = _spread(spark, d).withColumn("factor_date", fn.next_month_end(F.col("date"))).withColumn("variant", F.lit("foreign_share")).join(factors, "factor_date", "left")
+    return xsec.factor_alphas(rows, ["variant"], "q5_minus_q1", ["mktrf", "smb", "hml", "umd"])
+
+
+def _period(spark: SparkSession, d: str) -> DataFrame:
+    rows = view(spark, d, "orders").select(
+        "o_orderkey", F.year("o_orderdate").alias("y"),
+        F.expr("CASE o_orderkey % 6 WHEN 0 THEN 'M' || lpad(cast(month(o_orderdate) as string), 2, '0') WHEN 1 THEN 'Q' || cast(quarter(o_orderdate) as string) WHEN 2 THEN cast(year(o_orderdate) as string) || 'Q' || cast(quarter(o_orderdate) as string) WHEN 3 THEN cast(year(o_orderdate) as string) WHEN 4 THEN substr(cast(cast(o_orderdate as date) as string), 1, 10) ELSE 'x' END").alias("period"),
+    )
+    return rows.select("o_orderkey", "period", fn.period_to_date(F.col("period"), F.col("y")).alias("period_end"))
+
+
+def _labels(spark: SparkSession, d: str) -> DataFrame:
+    return view(spark, d, "fx_segments").select("gareag", "gareat").distinct().select("*", fn.geo_label(F.col("gareag"), F.col("gareat")).alias("label"))
+
+
+CHAIN = {
+    "clean": "select gvkey, sid, srcdate, datadate, coalesce(nullif(gareag, ''), gareat) as geo_label, coalesce(sales, revts, ias) as sales from fx_segments where coalesce(sales, revts, ias) > 0",
+    "geo": "select gvkey, srcdate, geo_label, sum(sales) as s, count(sid) as n, max(datadate) as datadate from clean group by all",
+    "share": r"select *, s / sum(s) over (partition by gvkey, srcdate) as share, coalesce(regexp_matches(lower(trim(geo_label)), '\bunited states\b|\bu\.s\.?\b|\busa\b|\bus\b'), false) as home from geo",
+    "snap": """select gvkey, srcdate as segment_srcdate, max(datadate) as segment_datadate, sum(s) as segment_sales_sum, count(distinct geo_label) as geo_count,
+  floor(coalesce(sum(share) filter (where not home), 0) * 1e9 + 0.50001) / 1e9 as foreign_share, floor(coalesce(sum(share) filter (where home), 0) * 1e9 + 0.50001) / 1e9 as domestic_share,
+  floor(sum(s * s) / (sum(s) * sum(s)) * 1e9 + 0.50001) / 1e9 as geo_hhi, floor(max(share) * 1e9 + 0.50001) / 1e9 as top_geo_share, cast(sum(n) as bigint) as segment_rows from share group by gvkey, srcdate""",
+    "act": "select snap.*, coalesce(filing_date, segment_srcdate) + 1 as segment_activation_date, case when filing_date is not null then 'filing_date' else 'srcdate_fallback' end as activation_source from snap left join fx_filings f on f.gvkey = snap.gvkey and f.datadate = segment_datadate",
+    "lnk": "select l.gvkey, r.*, l.linkprim, l.linktype, l.linkdt from fx_returns r join fx_links l on r.permno = l.permno and r.date >= linkdt and (linkenddt is null or r.date <= linkenddt)",
+    "best": "select * exclude (linkprim, linktype, linkdt) from lnk qualify row_number() over (partition by permno, date order by linkprim desc, linktype desc, linkdt desc, gvkey desc) = 1",
+    "act1": "select * from act qualify row_number() over (partition by gvkey, segment_activation_date order by segment_srcdate desc) = 1",
+    "p1": "select b.*, a.* exclude (gvkey) from best b asof join act1 a on b.gvkey = a.gvkey and b.date > a.segment_activation_date",
+    "fund": "select * exclude (pdate, fdate, datadate), datadate as funda_datadate, coalesce(pdate, fdate, cast(datadate + interval 6 month as date)) as funda_avail_date, case when pdate is not null then 'pdate' when fdate is not null then 'fdate' else 'datadate_plus_6m' end as funda_avail_source from fx_funda",
+    "fund1": "select * from fund qualify row_number() over (partition by gvkey, funda_avail_date order by funda_datadate desc) = 1",
+    "p2": "select p1.*, f.* exclude (gvkey) from p1 asof left join fund1 f on p1.gvkey = f.gvkey and p1.date > f.funda_avail_date",
+    "top": "select " + ", ".join(f"max(abs({c})) > 1 as x_{c}" for c in ("mktrf", "smb", "hml", "umd", "rf")) + " from fx_factors",
+    "fac": "select dateff as factor_date, " + ", ".join(f"case when x_{c} then {c} / 100 else {c} end as {c}" for c in ("mktrf", "smb", "hml", "umd", "rf")) + " from fx_factors, top",
+    "p3": "select p2.*, f.* exclude (factor_date), ret - f.rf as e from p2 left join fac f on p2.date = f.factor_date",
+    "pan": "select * exclude (e), floor(e * 1e9 + 0.50001) / 1e9 as excess_ret, lead(ret) over (partition by permno order by date) as next_month_ret, floor(lead(e) over (partition by permno order by date) * 1e9 + 0.50001) / 1e9 as next_month_excess_ret from p3",
+    "use_": "select * from pan where foreign_share is not null and next_month_excess_ret is not null and date <= date '2025-12-31'",
+    "rk": "select *, row_number() over (partition by date order by foreign_share, permno) as r from use_",
+    "sz": "select date, count(*) as n, count(distinct foreign_share) as dd from use_ group by date",
+    "srt": "select rk.*, case when n >= 25 and dd >= 5 then cast(greatest(1, floor((5 * (r - 1) + n - 2) / (n - 1))) as int) end as quintile from rk join sz using (date)",
+    "qr": "select date, quintile, avg(next_month_excess_ret) as mean_ret, count(distinct permno) as n, avg(foreign_share) as mean_score from srt where quintile is not null group by date, quintile",
+    "spr": "select date, max(mean_ret) filter (where quintile = 5) as q5_ret, max(mean_ret) filter (where quintile = 1) as q1_ret, max(n) filter (where quintile = 5) as q5_n, max(n) filter (where quintile = 1) as q1_n from qr group by date having q5_n is not null and q1_n is not null",
+    "legs": "select date, list(distinct permno) filter (where quintile = 5) as l, list(distinct permno) filter (where quintile = 1) as s from srt where quintile is not null group by date",
+    "legs2": "select *, lag(l) over (order by date) as pl, lag(s) over (order by date) as ps from legs",
+    "trn": "select date, case when pl is not null then 1 - len(list_intersect(l, pl)) / greatest(len(l), 1) end as lt, case when ps is not null then 1 - len(list_intersect(s, ps)) / greatest(len(s), 1) end as st, len(l) as ln, len(s) as sn from legs2",
+    "ric0": "select date, foreign_share as x, next_month_excess_ret as y, rank() over (partition by date order by foreign_share) + (count(*) over (partition by date, foreign_share) - 1) / 2 as rx, rank() over (partition by date order by next_month_excess_ret) + (count(*) over (partition by date, next_month_excess_ret) - 1) / 2 as ry from use_",
+    "ric": "select date, covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry)) as rank_ic, count(*) as n from ric0 group by date having count(*) >= 25 and count(distinct x) >= 3 and count(distinct y) >= 3",
+    "tok0": "select gvkey, srcdate as segment_srcdate, coalesce(geo_label, 'UNKNOWN') as geo_label, sum(sales) as segment_sales, count(sid) as segment_rows from clean group by all",
+    "tok": "select *, segment_sales / sum(segment_sales) over (partition by gvkey, segment_srcdate) as revenue_share, {area} as macro_area from tok0".format(
+        area="case " + " ".join("when " + " or ".join(f"contains(upper(trim(geo_label)), '{t}')" for t in terms) + f" then '{a}'" for a, terms in fn.AREA_TERMS.items()) + " else 'OTHER_FOREIGN' end"
+    ),
+    "st0": "select {area} as macro_area, regexp_replace(lower(series_id), '[^a-z0-9]+', '_', 'g') as series_name, last_day(date) as observation_date, available_date, value from fx_macro".format(
+        area="case " + " ".join("when " + " or ".join(f"contains(upper(trim(macro_area)), '{t}')" for t in terms) + f" then '{a}'" for a, terms in fn.AREA_TERMS.items()) + " else 'OTHER_FOREIGN' end"
+    ),
+    "st": "select *, value - lag(value, 1) over w as value_delta_1m, value - lag(value, 12) over w as value_delta_12m from st0 window w as (partition by macro_area, series_name order by available_date)",
+    "mt0": "select p.gvkey, p.permno, p.date, p.segment_srcdate, geo_label, macro_area, revenue_share from (select distinct gvkey, permno, date, segment_srcdate from pan) p join tok t on p.gvkey = t.gvkey and p.segment_srcdate = t.segment_srcdate",
+    "mt1": "select m.*, s.series_name, case when exists (select 1 from st x where x.series_name = s.series_name and x.macro_area = m.macro_area) then m.macro_area else 'GLOBAL' end as area from mt0 m, (select distinct series_name from st) s",
+    "mt2": "select m.*, s.value, s.value_delta_1m, s.value_delta_12m from mt1 m asof left join st s on m.series_name = s.series_name and m.area = s.macro_area and m.date >= s.available_date",
+}
+
+
+def _sql(final: str) -> str:
+    return "with " + duckdb_views() + ",\n" + ",\n".join(f"{k} as ({v})" for k, v in CHAIN.items()) + "\n" + final
+
+
+def _d6(c: str, name: str | None = None) -> str:
+    return f"floor(({c}) * 1e6 + 0.50001) / 1e6 as {name or c}"
+
+
+REGISTERED: dict[str, tuple[Query, str | None]] = {
+    "seg_coalesce_sales": (
+        lambda s, d: panel.clean_segments(view(s, d, "fx_segments")).groupBy("gvkey", "geo_label").agg(F.count("*").alias("n"), q6(F.sum("sales")).alias("sales")),
+        f"select gvkey, geo_label, count(*) as n, {_d6('sum(sales)', 'sales')} from clean group by gvkey, geo_label",
+    ),
+    "seg_snapshots": (
+        lambda s, d: _q(_snaps(s, d), "segment_sales_sum", "foreign_share", "domestic_share", "geo_hhi", "top_geo_share"),
+        "select * replace (" + ", ".join(_d6(c) for c in ("segment_sales_sum", "foreign_share", "domestic_share", "geo_hhi", "top_geo_share")) + ") from snap",
+    ),
+    "domestic_flag": (
+        lambda s, d: _labels(s, d).select("gareag", "gareat", fn.is_domestic(F.col("label")).alias("domestic")),
+        r"select distinct gareag, gareat, coalesce(regexp_matches(lower(trim(coalesce(nullif(gareag, ''), gareat))), '\bunited states\b|\bu\.s\.?\b|\busa\b|\bus\b'), false) as domestic from fx_segments",
+    ),
+    "macro_area_map": (lambda s, d: _tokens(s, d).select("geo_label", "macro_area").distinct(), "select distinct geo_label, macro_area from tok"),
+    "slug": (
+        lambda s, d: view(s, d, "part").select("p_partkey", fn.slug(F.col("p_name")).alias("slug")),
+        r"select p_partkey, coalesce(nullif(trim(regexp_replace(lower(trim(p_name)), '[^\p{L}\p{N}]+', '_', 'g'), '_'), ''), 'unknown') as slug from part",
+    ),
+    "sic_sector": (
+        lambda s, d: view(s, d, "fx_returns").select("permno", "siccd").distinct().select("permno", fn.sic_sector(F.col("siccd").cast("string")).alias("sector")),
+        "select distinct permno, case " + " ".join(f"when siccd between {a} and {b} then '{k}'" for k, (a, b) in fn.SECTORS.items()) + " else 'Unknown' end as sector from fx_returns",
+    ),
+    "period_parse": (
+        _period,
+        "with p as (select o_orderkey, year(o_orderdate) as y, case o_orderkey % 6 when 0 then 'M' || lpad(cast(month(o_orderdate) as string), 2, '0') when 1 then 'Q' || quarter(o_orderdate) when 2 then year(o_orderdate) || 'Q' || quarter(o_orderdate) when 3 then cast(year(o_orderdate) as string) when 4 then cast(cast(o_orderdate as date) as string) else 'x' end as period, cast(o_orderdate as date) as d from orders) "
+        "select o_orderkey, period, case o_orderkey % 6 when 0 then last_day(d) when 1 then last_day(make_date(y, quarter(d) * 3, 1)) when 2 then last_day(make_date(y, quarter(d) * 3, 1)) when 3 then make_date(y, 12, 31) when 4 then d end as period_end from p",
+    ),
+    "geo_tokens": (
+        lambda s, d: _q(_tokens(s, d), "revenue_share", "segment_sales").drop("snapshot_sales"),
+        f"select gvkey, segment_srcdate, geo_label, macro_area, {_d6('revenue_share')}, {_d6('segment_sales')}, segment_rows from tok",
+    ),
+    "activation_dates": (lambda s, d: _active(s, d).select("gvkey", "segment_srcdate", "segment_activation_date", "activation_source"), "select gvkey, segment_srcdate, segment_activation_date, activation_source from act"),
+    "activation_sources": (lambda s, d: _active(s, d).groupBy("activation_source").agg(F.count("*").alias("n")), "select activation_source, count(*) as n from act group by 1"),
+    "filing_dedupe": (
+        lambda s, d: keep_one(panel.available_fundamentals(view(s, d, "fx_funda")), ["gvkey"], [F.asc_nulls_last("funda_avail_date"), F.asc("datadate")]).select("gvkey", "datadate", "funda_avail_date", "funda_avail_source"),
+        "select gvkey, funda_datadate as datadate, funda_avail_date, funda_avail_source from fund qualify row_number() over (partition by gvkey order by funda_avail_date, funda_datadate) = 1",
+    ),
+    "link_interval_join": (lambda s, d: panel.linked_returns(view(s, d, "fx_returns"), view(s, d, "fx_links")).select("gvkey", "permno", "date", q6("ret").alias("ret")), f"select gvkey, permno, date, {_d6('ret')} from best"),
+    "factor_scale": (lambda s, d: _q(panel.scaled_factors(view(s, d, "fx_factors")), "mktrf", "smb", "hml", "umd", "rf"), "select factor_date, " + ", ".join(_d6(c) for c in ("mktrf", "smb", "hml", "umd", "rf")) + " from fac"),
+    "monthly_panel": (
+        lambda s, d: _panel(s, d).select("gvkey", "permno", "date", "segment_srcdate", "segment_activation_date", "funda_datadate", "funda_avail_source", *(q6(c).alias(c) for c in ("foreign_share", "geo_hhi", "at", "excess_ret", "next_month_excess_ret"))),
+        "select gvkey, permno, date, segment_srcdate, segment_activation_date, funda_datadate, funda_avail_source, " + ", ".join(_d6(c) for c in ("foreign_share", "geo_hhi", '"at"', "excess_ret", "next_month_excess_ret")) + " from pan",
+    ),
+    "next_month_ret": (lambda s, d: _panel(s, d).select("permno", "date", q6("next_month_ret").alias("next_month_ret")), f"select permno, date, {_d6('next_month_ret')} from pan"),
+    "panel_profile": (
+        _panel_profile,
+        "select metric, floor(value * 1e6 + 0.50001) / 1e6 as value from (select cast(count(*) as double) as rows, cast(count(distinct permno) as double) as permnos, cast(count(distinct date) as double) as months, avg(foreign_share) as mean_foreign_share, cast(count(\"at\") as double) as with_fundamentals, cast(count(next_month_ret) as double) as with_next_return, cast(sum(case when date <= segment_activation_date then 1 else 0 end) as double) as violations from pan) unpivot (value for metric in (rows, permnos, months, mean_foreign_share, with_fundamentals, with_next_return, violations))",
+    ),
+    "activation_gate": (_activation_gate, "select 'activation_rule' as check, cast(count(*) filter (where date <= segment_activation_date) as bigint) as violations, case when count(*) filter (where date <= segment_activation_date) = 0 then 'ok' else 'needs_review' end as status from pan"),
+    "quintile_assign": (lambda s, d: _sorted(s, d).select("permno", "date", "quintile"), "select permno, date, quintile from srt"),
+    "quintile_returns": (
+        lambda s, d: _q(xsec.quintile_returns(_sorted(s, d), ["date"], "next_month_excess_ret", "foreign_share"), "mean_ret", "mean_score"),
+        f"select date, quintile, {_d6('mean_ret')}, n, {_d6('mean_score')} from qr",
+    ),
+    "spread_cumprod": (
+        lambda s, d: _spread(s, d).select("date", q6("q5_minus_q1").alias("q5_minus_q1"), q6(xsec.cumulated(F.col("q5_minus_q1"), Window.orderBy("date"))).alias("cum_q5_minus_q1")),
+        f"select date, {_d6('q5_ret - q1_ret', 'q5_minus_q1')}, {_d6('product(1 + q5_ret - q1_ret) over (order by date) - 1', 'cum_q5_minus_q1')} from spr",
+    ),
+    "rank_ic": (lambda s, d: _q(xsec.rank_ic(_usable(s, d), "foreign_share", "next_month_excess_ret"), "rank_ic"), f"select date, {_d6('rank_ic')}, n from ric"),
+    "rolling_ic": (
+        lambda s, d: (lambda w, x: x.select("date", F.when(F.count("rank_ic").over(w) >= 3, q6(F.avg("rank_ic").over(w))).alias("rolling")))(Window.orderBy("date").rowsBetween(-11, 0), xsec.rank_ic(_usable(s, d), "foreign_share", "next_month_excess_ret")),
+        "select date, case when count(rank_ic) over w >= 3 then floor(avg(rank_ic) over w * 1e6 + 0.50001) / 1e6 end as rolling from ric window w as (order by date rows between 11 preceding and current row)",
+    ),
+    "fmb_slope": (
+        lambda s, d: _q(xsec.slopes(_usable(s, d), "foreign_share", "next_month_excess_ret"), "beta"),
+        f"select date, {_d6('regr_slope(next_month_excess_ret, foreign_share)', 'beta')}, count(*) as n from use_ group by date having count(*) >= 25 and count(distinct foreign_share) >= 3",
+    ),
+    "t_stat_summary": (
+        lambda s, d: _spread(s, d).agg(q6(F.avg("q5_minus_q1")).alias("mean"), q6(xsec.t_stat("q5_minus_q1")).alias("t"), F.count("q5_minus_q1").alias("n")),
+        "select floor(avg(x) * 1e6 + 0.50001) / 1e6 as mean, floor(avg(x) / (stddev_samp(x) / sqrt(count(x))) * 1e6 + 0.50001) / 1e6 as t, count(x) as n from (select q5_ret - q1_ret as x from spr)",
+    ),
+    "turnover": (
+        lambda s, d: _q(_turnover(s, d), "long_turnover", "short_turnover", "long_short_turnover").drop("variant").withColumns({c: F.col(c).cast("long") for c in ("long_n", "short_n")}),
+        f"select date, {_d6('lt', 'long_turnover')}, {_d6('st', 'short_turnover')}, {_d6('(lt + st) / 2', 'long_short_turnover')}, ln as long_n, sn as short_n from trn",
+    ),
+    "net_spread": (_net, f"select date, {_d6('q5_ret - q1_ret', 'gross')}, {_d6('q5_ret - q1_ret - 0.001::double * coalesce((lt + st) / 2, 0)', 'net')} from spr left join trn using (date)"),
+    "factor_alpha_nw": (_alpha, None),
+    "macro_states_delta": (lambda s, d: _q(_states(s, d), "value", "value_delta_1m", "value_delta_12m"), "select * replace (" + ", ".join(_d6(c) for c in ("value", "value_delta_1m", "value_delta_12m")) + ") from st"),
+    "macro_fallback": (
+        lambda s, d: _q(_on_tokens(s, d).groupBy("series_name", "macro_area").agg(F.count("*").alias("n"), F.count("value").alias("known"), F.max("available_date").alias("last")), ),
+        "select m.series_name, m.macro_area, count(*) as n, count(m.value) as known, max(s.available_date) as last from mt1 x join mt2 m on x.gvkey = m.gvkey and x.permno = m.permno and x.date = m.date and x.geo_label = m.geo_label and x.series_name = m.series_name asof left join st s on x.series_name = s.series_name and x.area = s.macro_area and x.date >= s.available_date group by 1, 2",
+    ),
+    "macro_tensor_agg": (
+        lambda s, d: _q(macro.macro_interactions(_on_tokens(s, d), ["gvkey", "permno", "date"]), "segment_macro_value", "segment_macro_value_delta_1m", "segment_macro_value_delta_12m", "revenue_share_covered"),
+        "select gvkey, permno, date, series_name, " + ", ".join(_d6(f"coalesce(sum(revenue_share * {c}), 0)", f"segment_macro_{c}") for c in ("value", "value_delta_1m", "value_delta_12m")) + f", count(*) as macro_token_rows, {_d6('coalesce(sum(revenue_share) filter (where value is not null), 0)', 'revenue_share_covered')} from mt2 group by 1, 2, 3, 4",
+    ),
+    "feature_frame": (
+        lambda s, d: _q(features.feature_frame(_panel(s, d), holdout="2001-01-01"), *features.DERIVED),
+        "select gvkey, permno, date, " + ", ".join(_d6(e, n) for n, e in features.DERIVED_SQL.items()) + " from pan where date < date '2001-01-01'",
+    ),
+    "yearly_folds": (
+        lambda s, d: xsec.yearly_folds(_panel(s, d), holdout="2001-01-01"),
+        "select * from (select fold_year, validation_start, validation_end, validation_months, min(validation_start) over w as train_start, max(validation_end) over w as train_end, cast(sum(validation_months) over w as bigint) as train_months from (select year(date) as fold_year, min(date) as validation_start, max(date) as validation_end, count(*) as validation_months from (select distinct date from pan where date < date '2001-01-01') group by 1) window w as (order by fold_year rows between unbounded preceding and 1 preceding)) where train_months >= 36",
+    ),
+    "geo_vocab": (
+        lambda s, d: features.geo_vocabulary(_tokens(s, d), 8).select("geo_label", "geo_id"),
+        "select geo_label, row_number() over (order by floor(sum(revenue_share) * 1e6 + 0.50001) / 1e6 desc, geo_label) + 1 as geo_id from tok group by geo_label qualify geo_id <= 7",
+    ),
+    "set_encoding": (
+        lambda s, d: features.encoded_sets(_tokens(s, d), features.geo_vocabulary(_tokens(s, d), 8), 3).select("gvkey", "segment_srcdate", F.array_join(F.transform("geo_ids", lambda x: x.cast("string")), ",").alias("ids"), q6(F.aggregate("shares", F.lit(0.0), lambda a, x: a + x)).alias("kept_share")),
+        "with_placeholder",
+    ),
+    "histogram": (
+        lambda s, d: features.histogram(_panel(s, d), "foreign_share", 0.0, 1.0, 40),
+        "select least(cast(floor(foreign_share * 40) as bigint) + 1, 40) as bin, count(*) as n from pan where foreign_share is not null group by 1",
+    ),
+}
+REGISTERED["set_encoding"] = (
+    REGISTERED["set_encoding"][0],
+    "select gvkey, segment_srcdate, array_to_string(list_resize(list(id order by q desc, geo_label)[1:3], 3, 0), ',') as ids, floor(list_sum(list(q order by q desc, geo_label)[1:3]) * 1e6 + 0.50001) / 1e6 as kept_share from (select t.*, floor(revenue_share * 1e9 + 0.50001) / 1e9 as q, coalesce(v.geo_id, 1) as id from tok t left join (select geo_label, row_number() over (order by floor(sum(revenue_share) * 1e6 + 0.50001) / 1e6 desc, geo_label) + 1 as geo_id from tok group by geo_label qualify geo_id <= 7) v using (geo_label)) group by gvkey, segment_srcdate",
+)
+
+
+def queries() -> dict[str, Query]:
+    return {k: q for k, (q, _) in REGISTERED.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: sql if k == "period_parse" else _sql(sql) for k, (_, sql) in REGISTERED.items() if sql}
