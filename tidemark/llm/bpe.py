@@ -19,6 +19,7 @@ import zlib
 from collections.abc import Iterator
 from functools import partial
 from hashlib import sha256
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -111,29 +112,26 @@ class Vocabulary:
             """Pieces between two characters that are no bytes, and the ranks of neighbouring ones, so every pair has two neighbours."""
             edge = F.array(F.lit(EDGE))
             ranks = F.zip_with(F.concat(edge, chars), F.concat(chars, edge), pair)
-            return F.struct(F.concat(edge, chars, edge).alias("p"), ranks.alias("r"), F.lit(0).alias("at"))
+            return F.struct(F.concat(edge, chars, edge).alias("p"), ranks.alias("r"))
 
-        def find(s: Column) -> Column:
-            """The place is the low part of the smallest of rank and place in one number; the leftmost wins among equals."""
-            placed = F.transform(s["r"], lambda x, i: x.cast("long") * (2 * FOLD_BYTES) + i)
-            at = (F.array_min(placed) % (2 * FOLD_BYTES)).cast("int") + 1
-            return F.struct(s["p"].alias("p"), s["r"].alias("r"), F.coalesce(at, F.lit(0)).alias("at"))
-
-        def merge(s: Column) -> Column:
+        def merge(s: Column, at: Column, token: Column) -> Column:
             """Pieces at and at + 1 (from 1) become one; the ranks beside it are looked up again."""
-            p, r, at = s["p"], s["r"], s["at"]
-            token = F.concat(F.get(p, at - 1), F.get(p, at))
+            p, r = s["p"], s["r"]
             beside = F.array(pair(F.get(p, at - 2), token), pair(token, F.get(p, at + 1)))
             return F.struct(
                 F.concat(F.slice(p, 1, at - 1), F.array(token), F.slice(p, at + 2, FOLD_BYTES)).alias("p"),
                 F.concat(F.slice(r, 1, at - 2), beside, F.slice(r, at + 2, FOLD_BYTES)).alias("r"),
-                F.lit(0).alias("at"),
             )
 
+        def step(s: Column) -> Column:
+            """The leftmost pair of lowest rank becomes one piece; without any, nothing changes any more."""
+            at = F.array_position(s["r"], F.array_min(s["r"])).cast("int")
+            joined = lambda at: F.concat(F.get(s["p"], at - 1), F.get(s["p"], at))
+            return let(at, lambda at: F.when(at.isNull(), s).otherwise(let(joined(at), lambda token: merge(s, at, token))))
+
         def fold(chars: Column) -> Column:
-            """Finding and merging take turns; once no neighbours make a token, nothing changes any more."""
-            turns = F.sequence(F.lit(2), 2 * F.size(chars))
-            done = F.aggregate(turns, begin(chars), lambda s, i: F.when(i % 2 == 0, find(s)).when(s["at"] > 0, merge(s)).otherwise(s))
+            """A word of n bytes has n - 1 merges at most."""
+            done = F.aggregate(F.sequence(F.lit(2), F.size(chars)), begin(chars), lambda s, _: step(s))
             return F.transform(F.filter(done["p"], lambda x: x != EDGE), self.rank)
 
         return F.when(word == "", F.array().cast("array<int>")).otherwise(let(self.rank(word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(fold(F.split(word, "")))))
@@ -155,7 +153,7 @@ def word_blocks(pattern: str, ranks, *, id_col: str, text_col: str):  # noqa: AN
 
         def block() -> pd.DataFrame:
             first = state["first"]
-            fresh = [w.encode("utf-8", "surrogatepass") for w in list(place)[first:]]
+            fresh = [w.encode("utf-8", "surrogatepass") for w in islice(place, first, None)]
             at = [i for i, w in enumerate(fresh) if len(w) > FOLD_BYTES]
             table = ranks.value if at else {}
             heaped = [[table[p] for p in merged_by_heap([fresh[i][k : k + 1] for k in range(len(fresh[i]))], lambda a, b: table.get(a + b))] for i in at]
