@@ -50,6 +50,15 @@ def _eights(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def _fixed(s: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the `length` bytes from each start."""
+    out = np.zeros(len(start), np.uint64)
+    for k in range(length):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + s[start + k] + np.uint64(1)
+        out ^= out >> np.uint64(29)
+    return _mix(out)
+
+
 class Rolling:
     """Hashes of any stretch of a byte array from prefix sums, modulo 2**64."""
 
@@ -110,24 +119,31 @@ def copies(s: np.ndarray, start: np.ndarray, length: np.ndarray, doc: np.ndarray
     return out
 
 
-def suffix_array(c: np.ndarray, depth: int) -> np.ndarray:
+def ordered_words(c: np.ndarray, depth: int) -> np.ndarray:
+    """The 8 values from each position as one number that sorts as they do; zeros follow the end."""
+    padded = np.r_[c, np.zeros(depth + 16, c.dtype)].astype(np.uint8)  # UTF-8 has no byte over 0xF4
+    out = np.zeros(len(padded) - 8, np.uint64)
+    for k in range(8):
+        out <<= np.uint64(8)
+        out |= padded[k : k + len(out)]
+    return out
+
+
+def suffix_array(c: np.ndarray, depth: int, words: np.ndarray | None = None) -> np.ndarray:
     """Positions of a sequence (bytes + 1; 0 ends each string) in the order of their suffixes, exact to `depth`.
 
     Suffixes smaller than their successor are sorted by their first `depth` bytes; every other suffix follows its
-    successor and is placed when that one is met in a scan over the buckets of first bytes.
+    successor and is placed when that one is met in a scan over the buckets of first bytes. words: ordered_words(c, depth).
     """
+    words = ordered_words(c, depth) if words is None else words
     n = len(c)
     after = np.r_[c[1:], 0]
     change = np.flatnonzero(np.r_[c[1:] != c[:-1], True])
-    run_end = change[np.searchsorted(change, np.arange(n))]  # equal neighbours share the type of the run's last
+    run_end = np.repeat(change, np.diff(np.r_[-1, change]))  # equal neighbours share the type of the run's last
     smaller = c[run_end] < after[run_end]
     smaller[c == 0] = False
     direct = np.flatnonzero(smaller)
-    padded = np.r_[c, np.zeros(depth + 8, c.dtype)].astype(np.uint8)  # UTF-8 has no byte over 0xF4
-    words = [np.zeros(len(direct), np.uint64) for _ in range(-(-depth // 8))]
-    for k in range(8 * len(words)):
-        words[k // 8] |= padded[direct + k].astype(np.uint64) << np.uint64(56 - 8 * (k % 8))
-    direct = direct[np.lexsort(words[::-1])]
+    direct = direct[np.lexsort([words[direct + k] for k in range(0, depth, 8)][::-1])]
     heads = np.searchsorted(c[direct], np.arange(258))
     held: list[list[np.ndarray]] = [[] for _ in range(257)]
     out: list[np.ndarray] = []
@@ -169,15 +185,16 @@ def repeated_starts(s: np.ndarray, start: np.ndarray, n: np.ndarray, doc: np.nda
     owner = np.full(total, -1)
     places = stretches(at, n)
     owner[places] = np.arange(len(places))
-    order = owner[suffix_array(c, WINDOW)]
+    words = ordered_words(c, WINDOW)
+    order = owner[suffix_array(c, WINDOW, words)]
     order = order[order >= 0]
     where = places[order]
     fresh = np.ones(len(where), bool)  # fewer than WINDOW bytes in common with the suffix before
     for a in range(1, len(where), 1 << 18):
         b = min(len(where), a + (1 << 18))
         same = np.ones(b - a, bool)
-        for k in range(WINDOW):
-            same &= c[where[a:b] + k] == c[where[a - 1 : b - 1] + k]
+        for k in (*range(0, WINDOW - 8, 8), WINDOW - 8):
+            same &= words[where[a:b] + k] == words[where[a - 1 : b - 1] + k]
         fresh[a:b] = ~same
     docs = np.repeat(doc, n)[order]
     heads = np.flatnonzero(fresh)
@@ -205,13 +222,12 @@ def bucket_cuts(entries: np.ndarray, s: np.ndarray) -> np.ndarray:
     start = np.cumsum(length) - length
     known = copies(s, start, length, doc)
     cuts = [_cut(doc[known], entries["pos"][known], entries["pos"][known] + length[known])]
-    roll = Rolling(s, 3)
     anchor = start + off
     chosen = np.zeros(len(doc), bool)
     right = np.flatnonzero(~known & (off + ANCHOR + SIDE <= length))
-    chosen[right] |= _several(roll.of(anchor[right], anchor[right] + ANCHOR + SIDE), doc[right])
+    chosen[right] |= _several(_fixed(s, anchor[right], ANCHOR + SIDE), doc[right])
     left = np.flatnonzero(~known & (off >= SIDE))
-    chosen[left] |= _several(roll.of(anchor[left] - SIDE, anchor[left] + ANCHOR), doc[left])
+    chosen[left] |= _several(_fixed(s, anchor[left] - SIDE, ANCHOR + SIDE), doc[left])
     chosen = np.flatnonzero(chosen)
     if len(chosen):
         hit = repeated_starts(s, start[chosen], n[chosen], doc[chosen])
@@ -261,7 +277,7 @@ def _deal(buckets: int, parts: int):  # noqa: ANN202
             cuts = _cut(doc[known], pos[known], pos[known] + length[known])
             d, doc, pos, first, n, off, length = (x[~known] for x in (d, doc, pos, first, n, off, length))
             rows = []
-            key = _mix(_eights(s)[first + off] + np.uint64(1)) if len(first) else np.zeros(0, np.uint64)
+            key = _fixed(s, first + off, ANCHOR)
             for bucket, at in _groups((key % np.uint64(buckets)).astype(np.int64)):
                 e = np.empty(len(at), ENTRY)
                 e["doc"], e["pos"], e["n"], e["off"] = doc[at], pos[at], n[at], off[at]
