@@ -30,7 +30,7 @@ SPAN = WINDOW - ANCHOR + 1
 #: One side of the anchor has this many bytes of any shared window.
 SIDE = (WINDOW - ANCHOR) // 2
 #: Bytes of input for one block, one bucket and one part of the results; they set the number of each.
-BLOCK_BYTES, BUCKET_BYTES, PART_BYTES = 1 << 21, 3 << 20, 12 << 20
+BLOCK_BYTES, BUCKET_BYTES, PART_BYTES = 1 << 21, 2 << 20, 12 << 20
 NO_ID = np.iinfo(np.int64).max
 ENTRY = np.dtype([("doc", "<i8"), ("pos", "<i4"), ("n", "u1"), ("off", "u1")])
 CUT = np.dtype([("doc", "<i8"), ("a", "<i4"), ("b", "<i4")])
