@@ -33,8 +33,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import text_of
 
 #: Characters of a block; a longer text is a block of its own.
-BLOCK_CHARS = 1 << 21
-WORDS_KEPT = 300_000
+BLOCK_CHARS = 1 << 20
+WORDS_KEPT = 200_000
 #: Bytes of a word up to which the fold is used; it copies the list of pieces at every merge, so longer words, which
 #: would take it quadratic time, are merged by a heap with the same ranks.
 FOLD_BYTES = 256
