@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents")
 
 VIEWS = {
     "fx_segments": """select lpad(cast(l_partkey as string), 6, '0') as gvkey, 'GEOSEG' as stype, cast(l_linenumber as string) as sid,

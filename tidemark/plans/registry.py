@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
-from ..operators import features, macro, panel, xsec
+from ..operators import exposure_panel, features, gates, macro, models, panel, xsec
 from ..operators.asof import keep_one
 from .fixtures import duckdb_views, view
 
@@ -158,6 +158,46 @@ def _d6(c: str, name: str | None = None) -> str:
     return f"floor(({c}) * 1e6 + 0.50001) / 1e6 as {name or c}"
 
 
+def _gates(spark: SparkSession, d: str) -> DataFrame:
+    rows, lines = _panel(spark, d), view(spark, d, "lineitem")
+    return gates.all_of(
+        gates.not_empty(rows, "panel_rows"), gates.unique_keys(rows, "panel_keys", ["permno", "date"]), gates.unique_keys(lines, "line_keys", ["l_orderkey", "l_linenumber"]),
+        gates.gate(rows, "filing_match", F.avg((F.col("activation_source") == "filing_date").cast("double")) >= 0.5, F.count(F.when(F.col("activation_source") == "filing_date", 1))),
+    )
+
+
+def _claims(spark: SparkSession, d: str) -> DataFrame:
+    parts = view(spark, d, "part").select("p_partkey", F.expr("p_name || CASE p_partkey % 3 WHEN 0 THEN ' Proves arbitrage' WHEN 1 THEN ' is measured' ELSE '' END").alias("claim"), F.expr("CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'blocked' END").alias("evidence"))
+    return gates.claim_status(parts).select("p_partkey", F.array_join("forbidden", ",").alias("forbidden"), "status")
+
+
+def _best(spark: SparkSession, d: str) -> DataFrame:
+    rows = xsec.quintile_returns(_sorted(spark, d), ["date"], "next_month_excess_ret", "foreign_share").select("quintile", "date", F.col("n").alias("score"))
+    return gates.best_row(rows, ["quintile"], "score")
+
+
+def _scaled(spark: SparkSession, d: str) -> DataFrame:
+    rows = _panel(spark, d).select("permno", "date", "xrd", "dlc")
+    out = models.standardised(rows.where("date < date '2000-01-01'"), rows.where("date >= date '2000-01-01'"), ["xrd", "dlc"])
+    return _q(out, "xrd", "dlc")
+
+
+def _boosted(spark: SparkSession, d: str) -> DataFrame:
+    rows = _panel(spark, d)
+    frame = features.feature_frame(rows, holdout="2001-01-01").join(rows.select("permno", "date", F.col("next_month_excess_ret").alias("target")), ["permno", "date"])
+    return models.boosted_folds(frame, [(2000, "2000-01-01", "2000-12-31")], list(features.DERIVED), "target", rounds=5)[0]
+
+
+LABELS = ("United States", "ASIA", "EUROPE", "AFRICA", "MIDDLE EAST")
+SECTOR_SQL = "case " + " ".join(f"when siccd between {a} and {b} then '{k}'" for k, (a, b) in fn.SECTORS.items()) + " else 'Unknown' end"
+FORBIDDEN_SQL = "array_to_string(list_filter([" + ", ".join(f"'{w}'" for w in gates.FORBIDDEN) + "], lambda w: contains(lower(claim), w)), ',')"
+
+
+def _standard_sql(c: str) -> str:
+    return _d6(f"(coalesce(r.{c}, {c}_m) - {c}_a) / coalesce(nullif({c}_s, 0), 1)", c)
+
+
+
 REGISTERED: dict[str, tuple[Query, str | None]] = {
     "seg_coalesce_sales": (
         lambda s, d: panel.clean_segments(view(s, d, "fx_segments")).groupBy("gvkey", "geo_label").agg(F.count("*").alias("n"), q6(F.sum("sales")).alias("sales")),
@@ -264,6 +304,41 @@ REGISTERED: dict[str, tuple[Query, str | None]] = {
         lambda s, d: features.histogram(_panel(s, d), "foreign_share", 0.0, 1.0, 40),
         "select least(cast(floor(foreign_share * 40) as bigint) + 1, 40) as bin, count(*) as n from pan where foreign_share is not null group by 1",
     ),
+    "exposure_months": (
+        lambda s, d: _q(exposure_panel.exposure_months(_snaps(s, d).select("gvkey", "segment_srcdate", "foreign_share"), view(s, d, "fx_links"), view(s, d, "fx_returns").select("permno", "date", "ret")), "foreign_share", "ret"),
+        f"select s.gvkey, l.permno, s.segment_srcdate, r.date, {_d6('foreign_share')}, {_d6('ret')} from snap s join fx_links l on s.gvkey = l.gvkey and s.segment_srcdate >= linkdt and (linkenddt is null or s.segment_srcdate <= linkenddt) join fx_returns r on r.permno = l.permno and r.date > s.segment_srcdate and r.date <= cast(s.segment_srcdate + interval 12 month as date)",
+    ),
+    "latest_report": (
+        lambda s, d: _q(exposure_panel.with_latest_report(view(s, d, "fx_links").select("gvkey", "permno"), view(s, d, "fx_funda").select("gvkey", "datadate", "ni")), "ni_funda"),
+        f"select l.gvkey, l.permno, f.datadate as datadate_funda, {_d6('f.ni', 'ni_funda')} from fx_links l left join (select * from fx_funda qualify row_number() over (partition by gvkey order by datadate desc) = 1) f on f.gvkey = l.gvkey",
+    ),
+    "largest_firms": (lambda s, d: _q(exposure_panel.largest(_snaps(s, d), "gvkey", "segment_sales_sum", 25), "total"), f"select gvkey, {_d6('sum(segment_sales_sum)', 'total')} from snap group by gvkey order by sum(segment_sales_sum) desc, gvkey limit 25"),
+    "sector_matrix": (
+        lambda s, d: _q(exposure_panel.sector_matrix(_panel(s, d), _tokens(s, d), list(LABELS)), *LABELS),
+        "select sector, " + ", ".join(_d6(f"coalesce(avg(revenue_share) filter (where geo_label = '{x}'), 0)", f'"{x}"') for x in LABELS) + f" from (select gvkey, segment_srcdate, {SECTOR_SQL} as sector from pan where year(date) = (select max(year(date)) from pan)) p join tok t using (gvkey, segment_srcdate) group by sector",
+    ),
+    "quality_gates": (
+        _gates,
+        "select 'panel_rows' as check, case when count(*) > 0 then 'ok' else 'fail' end as status, cast(count(*) as varchar) as detail from pan"
+        " union all select 'panel_keys', case when count(*) = count(distinct (permno, date)) then 'ok' else 'fail' end, cast(count(*) - count(distinct (permno, date)) as varchar) from pan"
+        " union all select 'line_keys', case when count(*) = count(distinct (l_orderkey, l_linenumber)) then 'ok' else 'fail' end, cast(count(*) - count(distinct (l_orderkey, l_linenumber)) as varchar) from lineitem"
+        " union all select 'filing_match', case when avg(case when activation_source = 'filing_date' then 1.0 else 0.0 end) >= 0.5 then 'ok' else 'needs_review' end, cast(count(*) filter (where activation_source = 'filing_date') as varchar) from pan",
+    ),
+    "claim_gate": (
+        _claims,
+        f"select p_partkey, {FORBIDDEN_SQL} as forbidden, case when {FORBIDDEN_SQL} <> '' then 'fail' when contains(evidence, 'blocked') then 'blocked' else 'pass' end as status from (select p_partkey, p_name || case p_partkey % 3 when 0 then ' Proves arbitrage' when 1 then ' is measured' else '' end as claim, case when p_partkey % 2 = 0 then p_brand else 'blocked' end as evidence from part)",
+    ),
+    "unsafe_texts": (
+        lambda s, d: gates.unsafe_texts(view(s, d, "documents").select("doc_id", "text")).select("doc_id", F.array_join("unsafe", ",").alias("unsafe")),
+        "select * from (select doc_id, concat_ws(',', " + ", ".join(f"case when regexp_matches(text, '{p}') then '{k}' end" for k, p in gates.UNSAFE.items()) + ") as unsafe from documents) where unsafe <> ''",
+    ),
+    "best_row": (_best, "select quintile, date, n as score from qr qualify row_number() over (partition by quintile order by n desc, date) = 1"),
+    "standardised": (
+        _scaled,
+        f"select r.permno, r.date, {_standard_sql('xrd')}, {_standard_sql('dlc')} from pan r, (select xrd_m, dlc_m, " + ", ".join(f"avg(coalesce({c}, {c}_m)) as {c}_a, stddev_pop(coalesce({c}, {c}_m)) as {c}_s" for c in ("xrd", "dlc")) + " from (select *, median(xrd) over () as xrd_m, median(dlc) over () as dlc_m from pan where date < date '2000-01-01') group by 1, 2) where r.date >= date '2000-01-01'",
+    ),
+    "train_sample": (lambda s, d: models.train_sample(_panel(s, d).select("permno", "date"), ["permno", "date"], 500), None),
+    "boosted_folds": (_boosted, None),
 }
 REGISTERED["set_encoding"] = (
     REGISTERED["set_encoding"][0],
