@@ -137,30 +137,37 @@ def edit_documents(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, kept.schema)
 
 
-def with_successor(rows: DataFrame) -> DataFrame:
+def with_successor(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """`rows` (id, fp, packed) with next_packed and next_fp of the following row by id; after the last, of the first.
+    ids: the same rows' id, at the source.
 
     Equal ids follow each other by their packed texts; null ids come last. Rows are dealt into windows of NEIGHBOURS consecutive
     ids; the last row of a window takes the first of the next window that has any, found in the short table of windows.
     """
-    rows = rows.withColumn("window", F.floor(F.col("id") / NEIGHBOURS))
+    window = F.floor(F.col("id") / NEIGHBOURS)
     order = Window.partitionBy("window").orderBy(F.asc("id"), F.asc("packed"))
-    rows = rows.withColumn("next", F.lead(F.struct("packed", "fp")).over(order))
-    heads = rows.groupBy("window").agg(F.min("id").alias("id"))
+    rows = rows.withColumn("window", window)
+    rows = rows.withColumn("next", F.lead(F.struct("packed", "fp")).over(order)).withColumn("_before", F.lag(F.lit(1)).over(order))
+    # the short table of windows comes from the ids alone, so no text is read for it
+    heads = ids.select(window.alias("window")).distinct()
     follow = Window.orderBy(F.asc_nulls_last("window"))  # one row per window of ids
     everything = follow.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heads = heads.select("window", F.coalesce(F.lead("window").over(follow), F.first("window").over(everything)).alias("to"), F.lead(F.lit(1)).over(follow).alias("has"), F.max(F.when(F.col("window").isNull(), 1)).over(everything).alias("nulls"))
-    # the last window with an id is followed by the rows without one, if any
-    heads = heads.withColumn("to", F.when(F.col("window").isNotNull() & (F.col("has") == 1) & (F.lead("window").over(follow).isNull()), F.lit(None)).otherwise(F.col("to")))
-    firsts = rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(F.col("window").alias("to"), F.struct("packed", "fp").alias("first"))
-    heads = heads.join(firsts, heads["to"].eqNullSafe(firsts["to"])).select(F.col("window").alias("_window"), "first")
-    joined = rows.join(heads, rows["window"].eqNullSafe(heads["_window"]), "left")
-    return joined.select("id", "fp", "packed", F.coalesce("next", "first").alias("next")).select("id", "fp", "packed", F.col("next.packed").alias("next_packed"), F.col("next.fp").alias("next_fp"))
+    # the last window with an id is followed by the rows without one, if any; after the last of all comes the first
+    heads = heads.select("window", F.when(F.lead(F.lit(1)).over(follow).isNull(), F.first("window").over(everything)).otherwise(F.lead("window").over(follow)).alias("to"))
+    heads = heads.withColumnRenamed("window", "_window")
+    # only the first and last rows of windows meet again, a last one under the window that follows its own
+    edges = rows.where("next IS NULL OR _before IS NULL")
+    edges = edges.join(heads, edges["window"].eqNullSafe(heads["_window"]), "left")
+    role = lambda when, key, n: F.when(when, F.array(F.struct(F.col(key).alias("key"), F.lit(n).alias("last"))))
+    met = edges.select("id", "fp", "packed", F.explode(F.flatten(F.array_compact(F.array(role(F.col("_before").isNull(), "window", 0), role(F.col("next").isNull(), "to", 1))))).alias("e"))
+    met = met.withColumn("next", F.lag(F.struct("packed", "fp")).over(Window.partitionBy("e.key").orderBy("e.last")))
+    joined = rows.where("next IS NOT NULL").select("id", "fp", "packed", "next").union(met.where("e.last = 1").select("id", "fp", "packed", "next"))
+    return joined.select("id", "fp", "packed", F.col("next.packed").alias("next_packed"), F.col("next.fp").alias("next_fp"))
 
 
 def fingerprint_query(docs: DataFrame, *, radius: int = 3) -> DataFrame:
     """op10, with n_within: for ids divisible by 50, how many documents (itself included) lie within `radius` bits."""
-    rows = edit_documents(with_successor(fingerprint_documents(docs.select("doc_id", "text"))))
+    rows = edit_documents(with_successor(fingerprint_documents(docs.select("doc_id", "text")), docs.select(F.col("doc_id").alias("id"))))
     rows = written(rows.withColumnRenamed("id", "doc_id"), "fingerprints")
     different = rows.groupBy("fp").agg(F.count("*").alias("n"), F.max(F.coalesce(F.col("doc_id") % 50 == 0, F.lit(False))).alias("asked"))
     within = count_within(different, radius=radius).select(F.col("query").alias("fp"), F.col("n").alias("_within"))
