@@ -206,6 +206,13 @@ def test_wrappers_drop_what_recurs_on_a_host(spark):
     assert not any("Same on all" in t or "Read more" in t for t in out) and all(t.count("\n") == 2 for t in out)
 
 
+def test_constant_lines_with_inline_markup_go(spark):
+    rng = random.Random(5)
+    rows = [(i, f"http://h.org/{i}", f"<body><div class='text'><p>{' '.join(str(rng.random()) for _ in range(20))}</p><p>Read <a href='/{i}'>more</a> <b>here</b></p></div></body>") for i in range(12)]
+    out = [r["text"] for r in html.html_query(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    assert not any("more" in t for t in out) and all("\n" not in t and t for t in out)
+
+
 def test_clashing_columns_and_empty_tables(spark, docs):
     odd = docs.withColumn("kept", F.lit(1)).withColumn("fp", F.lit(2)).withColumn("blob", F.lit(3)).withColumn("text2", F.lit("x"))
     assert quality.robust_outliers(odd).count() == secrets.redacted(odd).count() == len(corpus())
