@@ -213,6 +213,21 @@ def test_constant_lines_with_inline_markup_go(spark):
     assert not any("more" in t for t in out) and all("\n" not in t and t for t in out)
 
 
+def test_constant_lines_go_among_many_paragraphs(spark):
+    rng = random.Random(6)
+    body = lambda: "".join(f"<p>{' '.join(str(rng.random()) for _ in range(8))}</p>" for _ in range(20))
+    rows = [(i, f"http://h.org/{i}", f"<body><div class='text'>{body()}<p>Read more on our site</p></div></body>") for i in range(60)]
+    out = [r["text"] for r in html.html_query(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()]
+    assert not any("Read more" in t for t in out) and all(t.count("\n") == 19 for t in out)
+
+
+def test_wrapper_keeps_the_children_of_most_pages():
+    leaf = lambda label, n: {"l": label, "n": n, "m": 1, "t": {}, "c": []}
+    a = {"l": "#", "n": 9, "m": 0, "t": {}, "c": [leaf(f"div.a{k}", 1) for k in range(60)] + [leaf("div.text", 9)]}
+    w = html.combined(a, {"l": "#", "n": 1, "m": 0, "t": {}, "c": [leaf("div.text", 1)]})
+    assert len(w["c"]) == html.MOST_CHILDREN and w["c"][-1]["l"] == "div.text" and w["c"][-1]["n"] == 10
+
+
 def test_clashing_columns_and_empty_tables(spark, docs):
     odd = docs.withColumn("kept", F.lit(1)).withColumn("fp", F.lit(2)).withColumn("blob", F.lit(3)).withColumn("text2", F.lit("x"))
     assert quality.robust_outliers(odd).count() == secrets.redacted(odd).count() == len(corpus())
