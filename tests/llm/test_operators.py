@@ -221,6 +221,30 @@ def test_constant_lines_go_among_many_paragraphs(spark):
     assert not any("Read more" in t for t in out) and all(t.count("\n") == 19 for t in out)
 
 
+def test_wrapper_chooses_the_slot(spark):
+    rng = random.Random(8)
+    words = lambda n: " ".join(str(rng.random()) for _ in range(n))
+    side = "<div class='sidebar'><p>{}</p></div>"
+    layouts = {
+        "a": "<body><div class='layout has-sidebar'><article><h1>T</h1><p>{}</p></article>" + side + "</div></body>",
+        "b": "<body><nav>x {}</nav><div class='page no-banner'><div class='text'><p>{}</p></div></div></body>",
+        "c": "<body><form><div class='story'><p>{}</p></div></form><footer>x {}</footer></body>",
+        "d": "<body><article><p>{}</p></article><div id='comments'><p>{}</p></div></body>",
+        "e": "<body><div class='story'><p>{}</p></div><article class='teaser'><p>{}</p></article></body>",
+    }
+    rows, want = [], {}
+    for host, layout in layouts.items():
+        for i in range(8):
+            text = words(30)
+            other = words({"d": 60}.get(host, 3))
+            rows.append((len(rows), f"http://{host}.org/{i}", layout.format(*((other, text) if host == "b" else (text, other)))))
+            want[len(rows) - 1] = "T\n" + text if host == "a" else text
+    rows.append((len(rows), "http://e.org/other", f"<body><section class='x'><p>{(odd := words(30))}</p></section></body>"))
+    want[len(rows) - 1] = odd
+    out = {r["page_id"]: r["text"].removeprefix("T\n") for r in html.html_query(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {k: t.removeprefix("T\n") for k, t in want.items()}
+
+
 def test_wrapper_keeps_the_children_of_most_pages():
     leaf = lambda label, n: {"l": label, "n": n, "m": 1, "t": {}, "c": []}
     a = {"l": "#", "n": 9, "m": 0, "t": {}, "c": [leaf(f"div.a{k}", 1) for k in range(60)] + [leaf("div.text", 9)]}
