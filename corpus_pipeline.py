@@ -32,14 +32,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash class stays, the one with the smallest id. Rows without an id cannot be named by a
-    class and stay, once per text."""
+    """One document of each SimHash class stays, the one with the smallest id, null last, and of those the one with the
+    smallest key. Rows that share an id, or have none, are compared like all others."""
     del spark, sf_dir
-    named = docs.where("doc_id IS NOT NULL")
-    classes = simhash_classes(named)
-    winners = classes.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = named.join(winners, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"]))
+    keyed = docs.withColumn("_key", _key())
+    classes = simhash_classes(keyed, id_col="_key").select("_key", "component_id").distinct()
+    ids = keyed.select("_key", "doc_id").distinct()
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_key")
+    winners = classes.join(ids, "_key").groupBy("component_id").agg(F.min_by("_key", order).alias("_key")).select("_key")
+    return keyed.join(winners, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -252,6 +252,18 @@ def test_wrapper_keeps_the_children_of_most_pages():
     assert len(w["c"]) == html.MOST_CHILDREN and w["c"][-1]["l"] == "div.text" and w["c"][-1]["n"] == 10
 
 
+def test_near_duplicates_of_rows_that_share_or_lack_an_id(spark):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(400))
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(3, a, "en", "s", 1), (5, a, "en", "s", 1), (5, b, "en", "s", 1), (5, c, "en", "s", 1), (6, c, "en", "s", 1), (None, d, "en", "s", 1), (None, d.replace("\n", " ") + " ", "en", "s", 1), (None, b + "\n", "en", "s", 1), (5, b, "en", "s", 1)]
+    out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    got = sorted((r["doc_id"] or -1, r["text"].strip()) for r in out)
+    assert got == sorted([(3, a), (5, b), (5, c), (-1, d)])
+
+
 def test_clashing_columns_and_empty_tables(spark, docs):
     odd = docs.withColumn("kept", F.lit(1)).withColumn("fp", F.lit(2)).withColumn("blob", F.lit(3)).withColumn("text2", F.lit("x"))
     assert quality.robust_outliers(odd).count() == secrets.redacted(odd).count() == len(corpus())
