@@ -98,3 +98,25 @@ def test_t_stat_turnover_and_alpha(spark):
     months = [("m", date(2020 + i // 12, i % 12 + 1, 1), 0.01 + 2.0 * f + 0.001 * (-1) ** i, f) for i in range(24) for f in [math.sin(i)]]
     fit = xsec.factor_alphas(spark.createDataFrame(months, "variant string, date date, y double, f double"), ["variant"], "y", ["f"]).first()
     assert abs(fit["alpha"] - 0.01) < 1e-3 and fit["alpha_t"] > 10 and fit["r2"] > 0.99 and fit["n_months"] == 24
+
+
+def test_boosted_queries_take_all_yearly_folds_and_default_rounds(spark, monkeypatch):
+    from tidemark.operators import models
+    from tidemark.plans import registry
+
+    calls = []
+    monkeypatch.setattr(models, "boosted_folds", lambda frame, folds, *a, **k: calls.append((folds, k)) or (frame, [(1998, "x", 0.5)]))
+    registry.queries()["boosted_folds"](spark, "/root/testdata/sf0.001")
+    assert registry.queries()["boosted_importances"](spark, "/root/testdata/sf0.001").collect() == [(1998, "x", 0.5)]
+    want = sorted((r["fold_year"], str(r["validation_start"]), str(r["validation_end"])) for r in registry.queries()["yearly_folds"](spark, "/root/testdata/sf0.001").collect())
+    for folds, options in calls:
+        assert len(want) > 1 and folds == want and "rounds" not in options
+
+
+def test_full_set_encoding_keeps_every_share(spark):
+    from tidemark.plans import registry
+
+    rows = registry.queries()["set_encoding_full"](spark, "/root/testdata/sf0.001").collect()
+    most = max(sum(i != "0" for i in r["ids"].split(",")) for r in rows)
+    assert all(len(r["ids"].split(",")) == 12 and "1" not in r["ids"].split(",") for r in rows)
+    assert 3 < most < 12 and all(abs(r["kept_share"] - 1) < 1e-5 for r in rows if r["kept_share"])

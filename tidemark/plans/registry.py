@@ -182,10 +182,17 @@ def _scaled(spark: SparkSession, d: str) -> DataFrame:
     return _q(out, "xrd", "dlc")
 
 
-def _boosted(spark: SparkSession, d: str) -> DataFrame:
+def _boosted(spark: SparkSession, d: str) -> tuple[DataFrame, list[tuple[int, str, float]]]:
+    """All yearly folds, with the operator's own number of rounds."""
     rows = _panel(spark, d)
     frame = features.feature_frame(rows, holdout="2001-01-01").join(rows.select("permno", "date", F.col("next_month_excess_ret").alias("target")), ["permno", "date"])
-    return models.boosted_folds(frame, [(2000, "2000-01-01", "2000-12-31")], list(features.DERIVED), "target", rounds=5)[0]
+    folds = xsec.yearly_folds(rows, holdout="2001-01-01").orderBy("fold_year").collect()  # one row a year
+    return models.boosted_folds(frame, [(f["fold_year"], str(f["validation_start"]), str(f["validation_end"])) for f in folds], list(features.DERIVED), "target")
+
+
+def _set_encoding(spark: SparkSession, d: str, size: int, longest: int) -> DataFrame:
+    sets = features.encoded_sets(_tokens(spark, d), features.geo_vocabulary(_tokens(spark, d), size), longest)
+    return sets.select("gvkey", "segment_srcdate", F.array_join(F.transform("geo_ids", lambda x: x.cast("string")), ",").alias("ids"), q6(F.aggregate("shares", F.lit(0.0), lambda a, x: a + x)).alias("kept_share"))
 
 
 LABELS = ("United States", "ASIA", "EUROPE", "AFRICA", "MIDDLE EAST")
@@ -297,7 +304,7 @@ REGISTERED: dict[str, tuple[Query, str | None]] = {
         "select geo_label, row_number() over (order by floor(sum(revenue_share) * 1e6 + 0.50001) / 1e6 desc, geo_label) + 1 as geo_id from tok group by geo_label qualify geo_id <= 7",
     ),
     "set_encoding": (
-        lambda s, d: features.encoded_sets(_tokens(s, d), features.geo_vocabulary(_tokens(s, d), 8), 3).select("gvkey", "segment_srcdate", F.array_join(F.transform("geo_ids", lambda x: x.cast("string")), ",").alias("ids"), q6(F.aggregate("shares", F.lit(0.0), lambda a, x: a + x)).alias("kept_share")),
+        lambda s, d: _set_encoding(s, d, 8, 3),
         "with_placeholder",
     ),
     "histogram": (
@@ -338,7 +345,9 @@ REGISTERED: dict[str, tuple[Query, str | None]] = {
         f"select r.permno, r.date, {_standard_sql('xrd')}, {_standard_sql('dlc')} from pan r, (select xrd_m, dlc_m, " + ", ".join(f"avg(coalesce({c}, {c}_m)) as {c}_a, stddev_pop(coalesce({c}, {c}_m)) as {c}_s" for c in ("xrd", "dlc")) + " from (select *, median(xrd) over () as xrd_m, median(dlc) over () as dlc_m from pan where date < date '2000-01-01') group by 1, 2) where r.date >= date '2000-01-01'",
     ),
     "train_sample": (lambda s, d: models.train_sample(_panel(s, d).select("permno", "date"), ["permno", "date"], 500), None),
-    "boosted_folds": (_boosted, None),
+    "boosted_folds": (lambda s, d: _boosted(s, d)[0], None),
+    "boosted_importances": (lambda s, d: s.createDataFrame(_boosted(s, d)[1], "fold_year int, feature string, importance double"), None),
+    "set_encoding_full": (lambda s, d: _set_encoding(s, d, 512, 12), None),  # the reference's vocabulary and labels a set
 }
 REGISTERED["set_encoding"] = (
     REGISTERED["set_encoding"][0],
