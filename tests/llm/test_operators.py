@@ -51,6 +51,20 @@ def test_quality_statistics_and_verdicts(spark, docs):
     assert quality.quality_query(docs.limit(0)).count() == 0
 
 
+def test_each_feature_rejects_alone(spark):
+    rng = random.Random(10)
+    word = lambda n=5: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    few = [word() for _ in range(20)]
+    lines = lambda n: [" ".join(word() for _ in range(8)) for _ in range(n)]
+    rows = [(i, "\n".join((own := lines(20)) + own[:1] * (i % 10 == 0)), "en", "s", 1) for i in range(300)]
+    phrase = " ".join(f"{word()} same old words" for _ in range(1))
+    bad = ["\n".join(rng.choice(few) for _ in range(200)), " ".join([word() for _ in range(60)] + [phrase] * 11), " ".join(word() + "#" for _ in range(80)), " ".join(word(14) for _ in range(80))]
+    rows += [(1000 + k, t, "en", "s", 1) for k, t in enumerate(bad)]
+    out = {r["doc_id"]: r for r in quality.quality_query(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not any(out[1000 + k]["base_failed"] or out[1000 + k]["kept"] for k in range(4))
+    assert all(out[i]["kept"] for i in range(300))
+
+
 def test_mcd_resists_outliers(spark):
     rng = np.random.default_rng(0)
     x = np.r_[rng.multivariate_normal([0, 0], [[1, 0.8], [0.8, 1]], 900), rng.normal(20, 1, (100, 2))]
