@@ -45,7 +45,7 @@ def test_quality_statistics_and_verdicts(spark, docs):
     extra = [(900, "a b c\na b c\n \na b c\n#$ x", "en", "q", 1), (901, " ".join(f"w{i} ###" for i in range(60)), "en", "s0", 1)]
     rows = corpus() + extra
     out = quality.quality_query(spark.createDataFrame(rows, SCHEMA)).collect()
-    assert sorted((r["doc_id"] or -1, *r[1:6]) for r in out) == sorted((i if i is not None else -1, *brute_statistics(t or "")) for i, t, *_ in rows)
+    assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, *r[1:6]) for r in out) == sorted((i if i is not None else -1, *brute_statistics(t or "")) for i, t, *_ in rows)
     kept = {r["doc_id"]: r["kept"] for r in out}
     assert kept[1] and not kept[901] and not kept[900] and not kept[62]
     assert quality.quality_query(docs.limit(0)).count() == 0
@@ -173,7 +173,8 @@ def test_bpe_equals_the_library(spark):
     encoding = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
     rng = random.Random(1)
     texts = ["", "a" * 1000, "".join(rng.choice("abcdeé日本") for _ in range(1500)), " " * 300 + "x", "\x00\x01 ÿþ 𝔘 👩‍👩‍👧 don't we've\n\n\t x", *(t or "" for _, t, *_ in corpus()[:20])]
-    df = spark.createDataFrame([*enumerate(texts), (None, None)], "doc_id long, text string")
+    texts += ["a" * 100_000, "ab" * 5000, "=" * 3001, "".join(rng.choice("etaonish") for _ in range(1200)), "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20_000)), texts[5]]
+    df = spark.createDataFrame([*enumerate(texts), (None, None), (3, texts[3])], "doc_id long, text string")
     for r in bpe.bpe_query(df).collect():
         t = texts[r["doc_id"]] if r["doc_id"] is not None else ""
         ids = encoding.encode_ordinary(t)

@@ -1,45 +1,46 @@
 """Byte-level BPE encoding and decoding with Spark's higher-order functions.
 
-A block of documents is read into its distinct words and, per document, the words' places in that list. In Spark, a
-fold over each distinct word's bytes merges the neighbouring pieces of lowest rank until none is left, looking ranks
-up in a literal map; token ids are turned back into bytes by concatenating binary pieces from a literal array. The
-ids and bytes of a document are then put together from its words.
-
-Nothing is shuffled. The distinct words of a partition are folded once: each block carries only words that earlier
-blocks of its partition did not have, and both ends keep the same numbering. The words kept are bounded by
-WORDS_KEPT; beyond it the numbering starts anew.
+Documents are read in blocks, each with its own list of distinct words and, per document, the words' places in that
+list. The words of all blocks are shuffled so that each distinct word of the table meets itself, and a fold over its
+byte array merges the pieces of lowest rank, turn by turn, looking ranks up in a literal map. The ids go back to the
+blocks, where the ids of a document are put together from its words, and its bytes from the binary pieces of the ids.
+
+Only distinct words of blocks, packed, and the places are shuffled; a word has one row per block at most, so no key is
+hot. Blocks have a bounded number of characters and are written once, so a lost executor never renumbers them.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 import json
+import random
 import zlib
-from collections.abc import Iterator
-from functools import partial
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from hashlib import sha256
-from itertools import islice
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import text_of
+from .common import text_of, written
 
-#: Characters of a block; a longer text is a block of its own.
-BLOCK_CHARS = 1 << 20
-WORDS_KEPT = 200_000
-#: Bytes of a word up to which the fold is used; it copies the list of pieces at every merge, so longer words, which
-#: would take it quadratic time, are merged by a heap with the same ranks.
-FOLD_BYTES = 256
-BUCKETS = 1 << 14
-EDGE = "\u0100"
+#: Characters of a block and of one row of its documents; a longer text is a row of its own.
+BLOCK_CHARS, ROW_CHARS = 48 << 20, 1 << 20
+#: Longer words are cut where no token reaches across, and their folds merge all places of a rank in one turn.
+LONG = 64
+#: Bits of an id in the rank map.
+ID_BITS = 20
+#: Lists in the rank map, a prime.
+LISTS = 65521
+MANY = 1 << 30
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -48,198 +49,284 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-def merged_by_heap(parts: list, rank_of) -> list:  # noqa: ANN001
-    """`parts` after all merges, lowest rank first and leftmost among equals; rank_of gives a pair's rank or None."""
-    n = len(parts)
-    left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-    heap = [(r, i) for i in range(n - 1) if (r := rank_of(parts[i], parts[i + 1])) is not None]
-    heapq.heapify(heap)
-    alive = [True] * n
-    while heap:
-        r, i = heapq.heappop(heap)
-        j = right[i]
-        if not alive[i] or j >= n or rank_of(parts[i], parts[j]) != r:
-            continue
-        parts[i] = parts[i] + parts[j]
-        alive[j] = False
-        right[i] = right[j]
-        if right[i] < n:
-            left[right[i]] = i
-        for a in (left[i], i):
-            if a >= 0 and right[a] < n and (r := rank_of(parts[a], parts[right[a]])) is not None:
-                heapq.heappush(heap, (r, a))
-    return [p for p, live in zip(parts, alive, strict=True) if live]
-
-
-def byte_string(b: bytes) -> str:
-    """Bytes as characters of the same numbers."""
-    return b.decode("latin-1")
+def merges_of(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
+    """(left id, right id) -> id, the last merge of every token of two bytes and more.
 
+    In a trained vocabulary a token is made by merges of lower ranks and then its own, so whatever stands around its
+    bytes, no other two pieces ever make it. That is proven here, token by token; other vocabularies are refused.
+    """
+    pairs = {}
+    for token, rank in ranks.items():
+        parts = [token[i : i + 1] for i in range(len(token))]
+        while len(parts) > 2:
+            open_ = [(r, i) for i, (a, b) in enumerate(pairwise(parts)) if (r := ranks.get(a + b, rank)) < rank]
+            if not open_:
+                break
+            i = min(open_)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        if len(parts) > 2:
+            raise ValueError(f"token {rank} is not made by merges of lower ranks")
+        if len(parts) == 2:
+            pairs[ranks[parts[0]], ranks[parts[1]]] = rank
+    return pairs
 
-class Vocabulary:
-    """A rank table for Spark's functions. Tokens are strings whose characters are their bytes.
 
-    The table is a literal; as an expression may name it many times, each row of blocks gets it once, as columns.
-    """
+class Vocabulary:
+    """A rank table for Spark's functions: pieces are ids, a word is the array of the ids of its bytes."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
-        table: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-        for token, rank in ranks.items():
-            key = byte_string(token)
-            table[zlib.crc32(key.encode()) % BUCKETS][key] = rank
-        pieces = [""] * (max(ranks.values(), default=0) + 1)
+        if max(ranks.values()) >> ID_BITS or not all(bytes([b]) in ranks for b in range(256)):
+            raise ValueError(f"ids need {ID_BITS} bits at most, and every byte one of its own")
+        lists: list[list[int] | None] = [None] * LISTS
+        for (a, b), rank in merges_of(ranks).items():
+            key = a << ID_BITS | b
+            lists[key % LISTS] = [*(lists[key % LISTS] or []), key << ID_BITS | rank]
+        self.literal = json.dumps(lists)
+        self.byte_ids = [ranks[bytes([b])] for b in range(256)]
+        self.pieces = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
-            pieces[rank] = base64.b64encode(token).decode()
-        self.ranks = ranks
-        self.literals = json.dumps(table), json.dumps(pieces)
-
-    def beside(self, blocks: DataFrame, column: str) -> DataFrame:
-        """`blocks` with the columns _ranks and _pieces. `column` is an array; its nullness keeps the literals from being
-        folded into every place that names them."""
-        table, pieces = (F.concat(F.lit(x), F.when(F.col(column).isNull(), " ").otherwise("")) for x in self.literals)
-        return blocks.select("*", F.from_json(table, "array<map<string,int>>").alias("_ranks"), F.from_json(pieces, "array<binary>").alias("_pieces"))
-
-    def rank(self, token: Column) -> Column:
-        """Null for what is no token."""
-        return F.get("_ranks", (F.crc32(token) % BUCKETS).cast("int"))[token]
+            self.pieces[rank] = token
+        self.joined = np.zeros((256, 256), bool)  # bytes that stand side by side in some token
+        for token in ranks:
+            for a, b in pairwise(token):
+                self.joined[a, b] = True
+
+    def rank(self, a: Column, b: Column) -> Column:
+        """The id that two pieces make together, null if none. The map is a literal, lists of key and id as one number."""
+        key = F.shiftleft(a, ID_BITS).bitwiseOR(b)
+        found = F.filter(F.get(F.from_json(F.lit(self.literal), "array<array<bigint>>"), (key % LISTS).cast("int")), lambda x: F.shiftright(x, ID_BITS) == key)
+        return F.get(found, F.lit(0)).bitwiseAND(F.lit((1 << ID_BITS) - 1))
 
     def encode(self, word: Column) -> Column:
-        """Token ids of a word given as a byte string."""
+        """Token ids (array of bigint) of a binary word: a fold over its byte array."""
         let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))  # noqa: E731  evaluated once
-        pair = lambda a, b: self.rank(F.concat(a, b))
-
-        def begin(chars: Column) -> Column:
-            """Pieces between two characters that are no bytes, and the ranks of neighbouring ones, so every pair has two neighbours."""
-            edge = F.array(F.lit(EDGE))
-            ranks = F.zip_with(F.concat(edge, chars), F.concat(chars, edge), pair)
-            return F.struct(F.concat(edge, chars, edge).alias("p"), ranks.alias("r"))
-
-        def merge(s: Column, at: Column, token: Column) -> Column:
-            """Pieces at and at + 1 (from 1) become one; the ranks beside it are looked up again."""
-            p, r = s["p"], s["r"]
-            beside = F.array(pair(F.get(p, at - 2), token), pair(token, F.get(p, at + 1)))
-            return F.struct(
-                F.concat(F.slice(p, 1, at - 1), F.array(token), F.slice(p, at + 2, FOLD_BYTES)).alias("p"),
-                F.concat(F.slice(r, 1, at - 2), beside, F.slice(r, at + 2, FOLD_BYTES)).alias("r"),
-            )
-
-        def step(s: Column) -> Column:
-            """The leftmost pair of lowest rank becomes one piece; without any, nothing changes any more."""
-            at = F.array_position(s["r"], F.array_min(s["r"])).cast("int")
-            joined = lambda at: F.concat(F.get(s["p"], at - 1), F.get(s["p"], at))
-            return let(at, lambda at: F.when(at.isNull(), s).otherwise(let(joined(at), lambda token: merge(s, at, token))))
-
-        def fold(chars: Column) -> Column:
-            """A word of n bytes has n - 1 merges at most."""
-            done = F.aggregate(F.sequence(F.lit(2), F.size(chars)), begin(chars), lambda s, _: step(s))
-            return F.transform(F.filter(done["p"], lambda x: x != EDGE), self.rank)
-
-        return F.when(word == "", F.array().cast("array<int>")).otherwise(let(self.rank(word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(fold(F.split(word, "")))))
+        digits = lambda i: F.conv(F.hex(F.substring(word, i + 1, F.lit(1))), 16, 10).cast("int")
+        ids = F.array(*(F.lit(i).cast("bigint") for i in self.byte_ids))
+        start = F.transform(F.sequence(F.lit(0), F.octet_length(word) - 1), lambda i: F.get(ids, digits(i)))
+
+        def one_place(p: Column, r: Column, least: Column) -> Column:
+            """The leftmost pair of the least rank becomes one piece."""
+            at = F.array_position(r, least).cast("int")
+            return F.concat(F.slice(p, 1, at - 1), F.array(least), F.slice(p, at + 2, MANY))
+
+        def all_places(p: Column, r: Column, least: Column) -> Column:
+            """All pairs of the least rank, from the left; in a run of equal pieces every second pair is free."""
+            marks = F.array_join(F.transform(r, lambda x: F.when(x.eqNullSafe(least), "1").otherwise("0")), "")
+            marks = F.split(F.replace(marks, F.lit("11"), F.lit("10")), "")
+            merged = lambda marks: F.transform(p, lambda x, i: F.when(F.get(marks, i) == "1", least).when(F.get(marks, i - 1) == "1", -1).otherwise(x))
+            return F.filter(let(marks, merged), lambda x: x >= 0)
+
+        def fold(merge: Callable[[Column, Column, Column], Column]) -> Column:
+            """A word of n bytes has n - 1 merges at most; turns after the last one change nothing."""
+
+            def turn(s: Column) -> Column:
+                p = s["p"]
+                ranks = F.zip_with(p, F.slice(p, 2, MANY), self.rank)
+                after = lambda r: let(F.array_min(r), lambda least: F.struct(F.when(least.isNull(), p).otherwise(merge(p, r, least)).alias("p"), least.isNull().alias("done")))
+                return F.when(s["done"], s).otherwise(let(ranks, after))
+
+            begin = F.struct(start.alias("p"), F.lit(False).alias("done"))
+            return F.aggregate(F.sequence(F.lit(2), F.octet_length(word)), begin, lambda s, _: turn(s))["p"]
+
+        size = F.octet_length(word)
+        return F.when(size == 0, F.array().cast("array<bigint>")).when(size == 1, start).when(size <= LONG, fold(one_place)).otherwise(fold(all_places))
 
     def decode(self, ids: Column) -> Column:
-        """The bytes of token ids."""
-        return F.aggregate(ids, F.lit(b""), lambda a, i: F.concat(a, F.get("_pieces", i)))
+        """The bytes of token ids: their binary pieces, concatenated."""
+        pieces = F.from_json(F.lit(json.dumps([base64.b64encode(p).decode() for p in self.pieces])), "array<binary>")
+        return F.aggregate(ids, F.lit(b""), lambda a, i: F.concat(a, F.get(pieces, i.cast("int"))))
+
+    def cut(self, word: str) -> list[bytes]:
+        """A word in parts such that no token of the vocabulary reaches across their ends."""
+        raw = word.encode("utf-8", "surrogatepass")
+        b = np.frombuffer(raw, np.uint8)
+        ends = np.flatnonzero(~self.joined[b[:-1], b[1:]]) + 1
+        return [raw[i:j] for i, j in pairwise([0, *ends.tolist(), len(raw)])]
 
 
-def word_blocks(pattern: str, ranks, *, id_col: str, text_col: str):  # noqa: ANN001, ANN201
-    """For mapInPandas: blocks of documents as places in a list of distinct words. ranks: a broadcast of the rank table."""
+@lru_cache(4)
+def vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(read_ranks(path))
+
+
+def _packed_words(words: list[bytes], at: np.ndarray) -> bytes:
+    sizes = np.array([len(w) for w in words], np.int32)
+    return zstandard.compress(np.array([len(words)], np.int32).tobytes() + at.astype(np.int32).tobytes() + sizes.tobytes() + b"".join(words), 3)
+
+
+def word_blocks(pattern: str, shared, buckets: int):  # noqa: ANN001, ANN201
+    """For mapInPandas over (id, text): rows of documents (block, ids, ends, places) and of words (block, bucket, words).
+
+    shared: a broadcast of the vocabulary. places: of the documents' words in the block's list; ends: where a document's
+    places end. words: those of one bucket, packed with their places."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find = regex.compile(pattern).findall
-        place: dict[str, int] = {}
-        ids: list = []
-        index: list[list[int]] = []
-        state = {"chars": 0, "first": 0}
-
-        def block() -> pd.DataFrame:
-            first = state["first"]
-            fresh = [w.encode("utf-8", "surrogatepass") for w in islice(place, first, None)]
-            at = [i for i, w in enumerate(fresh) if len(w) > FOLD_BYTES]
-            table = ranks.value if at else {}
-            heaped = [[table[p] for p in merged_by_heap([fresh[i][k : k + 1] for k in range(len(fresh[i]))], lambda a, b: table.get(a + b))] for i in at]
-            row = {
-                "ids": ids[:], "ends": np.cumsum([len(x) for x in index], dtype=np.int64).tobytes(), "places": np.concatenate([np.array(x, np.int32) for x in index]).tobytes(),
-                "first": first, "words": ["" if len(w) > FOLD_BYTES else byte_string(w) for w in fresh], "heap_at": at, "heap_ids": heaped,
-            }
-            ids.clear()
-            index.clear()
-            state.update(chars=0, first=len(place))
-            if len(place) > WORDS_KEPT:
-                place.clear()
-                state["first"] = 0
-            return pd.DataFrame([row])
+        find, cut = regex.compile(pattern).findall, shared.value.cut
+        place: dict[str | bytes, int] = {}
+        held: dict[str, list] = {"ids": [], "index": []}
+        block = [random.SystemRandom().getrandbits(62)]
+        chars, total = 0, 0
+
+        def documents() -> Iterator[pd.DataFrame]:
+            if held["ids"]:
+                ends = np.cumsum([len(x) for x in held["index"]], dtype=np.int64)
+                places = np.fromiter((i for x in held["index"] for i in x), np.int32, int(ends[-1]))
+                planes = places.view(np.uint8).reshape(-1, 4).T  # the bytes of equal weight together pack better
+                yield pd.DataFrame([{"block": block[0], "bucket": None, "ids": held["ids"][:], "ends": ends.tobytes(), "places": zstandard.compress(planes.tobytes(), 3), "words": None}]).astype({"bucket": "Int32"})
+                held["ids"].clear()
+                held["index"].clear()
+
+        def words() -> Iterator[pd.DataFrame]:
+            listed = [w if isinstance(w, bytes) else w.encode("utf-8", "surrogatepass") for w in place]
+            of = np.fromiter((zlib.crc32(w) % buckets for w in listed), np.int32, len(listed))
+            order = np.argsort(of, kind="stable")
+            cuts = list(pairwise(np.flatnonzero(np.r_[True, np.diff(of[order]) != 0, True]))) if len(order) else []
+            for k in range(0, len(cuts), 256):
+                rows = [(block[0], int(of[order[a]]), _packed_words([listed[i] for i in order[a:b]], order[a:b])) for a, b in cuts[k : k + 256]]
+                yield pd.DataFrame(rows, columns=["block", "bucket", "words"]).assign(ids=None, ends=None, places=None).astype({"bucket": "Int32"})
+            place.clear()
+            block[0] = random.SystemRandom().getrandbits(62)
 
         for batch in batches:
-            for key, text in zip(batch[id_col], batch[text_col], strict=True):
-                ids.append(None if pd.isna(key) else key)
-                index.append([place.setdefault(w, len(place)) for w in find(text)])
-                state["chars"] += len(text)
-                if state["chars"] >= BLOCK_CHARS:
-                    yield block()
-        if ids:
-            yield block()
+            for key, text in zip(batch["id"], batch["text"], strict=True):
+                found = find(text)
+                if max(map(len, found), default=0) > LONG:
+                    found = [p for w in found for p in (cut(w) if len(w) > LONG else (w,))]
+                held["ids"].append(None if pd.isna(key) else key)
+                held["index"].append([place.setdefault(w, len(place)) for w in found])
+                chars, total = chars + len(text), total + len(text)
+                if chars >= ROW_CHARS:
+                    yield from documents()
+                    chars = 0
+                if total >= BLOCK_CHARS:
+                    yield from documents()
+                    yield from words()
+                    chars = total = 0
+        yield from documents()
+        yield from words()
 
     return run
 
 
-def documents_of_blocks(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow: the digests of each document from its words' ids and bytes."""
-    listed: list[bytes] = []
-    raw: list[bytes] = []
-    sizes = np.zeros(0, np.int64)
+def unpacked_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over (bucket, block, words): rows (bucket, block, at, word)."""
+    for batch in batches:
+        for bucket, block, packed in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            raw = zstandard.decompress(packed)
+            n = int(np.frombuffer(raw, np.int32, 1)[0])
+            at, sizes = np.frombuffer(raw, np.int32, n, 4), np.frombuffer(raw, np.int32, n, 4 + 4 * n)
+            offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
+            word = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(raw[4 + 8 * n :])])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, bucket, np.int32)), pa.array(np.full(n, block, np.int64)), pa.array(at), word], names=["bucket", "block", "at", "word"])
+
+
+def packed_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over (block, at, ids): a row (block, tokens) per block and batch, packed."""
     for batch in batches:
-        for r in range(batch.num_rows):
-            col = lambda name: batch.column(name).slice(r, 1)  # noqa: B023, E731
-            if col("first")[0].as_py() == 0:
-                listed, raw, sizes = [], [], np.zeros(0, np.int64)
-            tokens = col("tokens").flatten()
-            values, offsets = tokens.flatten().to_numpy(), tokens.offsets.to_numpy()
-            offsets = offsets - offsets[0]
-            names = [str(i).encode() for i in values.tolist()]
-            fresh = [b",".join(names[a:b]) for a, b in zip(offsets, offsets[1:], strict=False)]
-            count = np.diff(offsets).astype(np.int64)
-            decoded = col("decoded").flatten().to_pylist()
-            for i, own, piece in zip(col("heap_at")[0].as_py(), col("heap_ids")[0].as_py(), col("heap_bytes")[0].as_py(), strict=True):
-                fresh[i], count[i], decoded[i] = ",".join(map(str, own)).encode(), len(own), piece
-            listed += fresh
-            raw += decoded
-            sizes = np.concatenate([sizes, count])
-            places, ends = np.frombuffer(col("places")[0].as_py(), np.int32), np.frombuffer(col("ends")[0].as_py(), np.int64)
-            out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-            for a, b in zip([0, *ends[:-1]], ends, strict=True):
-                own = places[a:b]
-                at = own.tolist()
-                out["n_tokens"].append(int(sizes[own].sum()))
-                out["ids_sha256"].append(sha256(b",".join([listed[i] for i in at])).hexdigest())
-                out["decoded_sha256"].append(sha256(b"".join([raw[i] for i in at])).hexdigest())
-            yield pa.RecordBatch.from_arrays([col("ids").flatten().cast(schema.field(0).type), *(pa.array(v, schema.field(n).type) for n, v in out.items())], schema=schema)
-
-
-def encode_documents(docs: DataFrame, vocabulary: Vocabulary, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per block of documents: ids, places and ends (numpy bytes), first, words, and for each new word `tokens`
-    and its `decoded` bytes. Words over FOLD_BYTES have theirs in heap_at, heap_ids and heap_bytes.
-
-    Null texts count as empty, without tokens. Each match of `pattern` is encoded by itself.
+        block, at, ids = (batch.column(i) for i in range(3))
+        offsets, flat = ids.offsets.to_numpy(), ids.flatten().to_numpy().astype(np.int32)
+        block, at, sizes = block.to_numpy(), at.to_numpy(), np.diff(offsets).astype(np.int32)
+        starts = offsets[:-1] - offsets[0]
+        order = np.lexsort((at, block))
+        cuts = np.flatnonzero(np.r_[True, np.diff(block[order]) != 0, True]) if len(order) else []
+        rows = []
+        for a, b in pairwise(cuts):
+            own = order[a:b]
+            n = sizes[own]
+            where = np.repeat(starts[own] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(int(n.sum()))
+            rows.append((int(block[own[0]]), zstandard.compress(np.array([len(own)], np.int32).tobytes() + at[own].tobytes() + n.tobytes() + flat[where].tobytes(), 3)))
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "tokens"])
+
+
+def documents_of_blocks(shared, schema: pa.Schema, digests: bool):  # noqa: ANN001, ANN201
+    """For mapInArrow over rows sorted by block, those with tokens first: the documents' ids and bytes, or digests of both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = shared.value.pieces
+        names = [str(i).encode() for i in range(len(pieces))]
+        current, listed, raw, sizes = None, [], [], np.zeros(0, np.int64)
+        parts: list[bytes] = []
+
+        def open_block() -> None:
+            nonlocal listed, raw, sizes
+            found = [zstandard.decompress(p) for p in parts]
+            heads = [int(np.frombuffer(f, np.int32, 1)[0]) for f in found]
+            total = sum(heads)
+            listed, raw, sizes = [None] * total, [b""] * total, np.zeros(total, np.int64)
+            for f, n in zip(found, heads, strict=True):
+                at, count = np.frombuffer(f, np.int32, n, 4), np.frombuffer(f, np.int32, n, 4 + 4 * n)
+                flat = np.frombuffer(f, np.int32, -1, 4 + 8 * n)
+                sizes[at] = count
+                own = flat.tolist()
+                ends = np.cumsum(count).tolist()
+                for i, a, b in zip(at.tolist(), [0, *ends[:-1]], ends, strict=True):
+                    ids = own[a:b]
+                    listed[i] = b",".join([names[k] for k in ids]) if digests else ids
+                    raw[i] = b"".join([pieces[k] for k in ids])
+            parts.clear()
+
+        for batch in batches:
+            for r in range(batch.num_rows):
+                col = lambda name: batch.column(name).slice(r, 1)  # noqa: B023, E731
+                if (block := col("block")[0].as_py()) != current:
+                    current = block
+                    parts.clear()
+                if (tokens := col("tokens")[0].as_py()) is not None:
+                    parts.append(tokens)
+                    continue
+                if parts:
+                    open_block()
+                planes = np.frombuffer(zstandard.decompress(col("places")[0].as_py()), np.uint8)
+                places = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.int32).ravel()
+                ends = np.frombuffer(col("ends")[0].as_py(), np.int64).tolist()
+                out: list[tuple] = []
+                for a, b in pairwise([0, *ends]):
+                    own = places[a:b]
+                    at = own.tolist()
+                    decoded = b"".join(map(raw.__getitem__, at))
+                    if digests:
+                        joined = b",".join(map(listed.__getitem__, at))
+                        out.append((int(sizes[own].sum()), sha256(joined).hexdigest(), sha256(decoded).hexdigest()))
+                    else:
+                        out.append(([k for i in at for k in listed[i]], decoded))
+                ids = col("ids").flatten().cast(schema.field(0).type)
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array([x[k] for x in out], schema.field(k + 1).type) for k in range(len(schema) - 1))], schema=schema)
+
+    return run
+
+
+def encoded(docs: DataFrame, own: Vocabulary, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
+    """(id_col, ids, decoded) for every row of `docs`: the token ids of the text, each match of `pattern` encoded by itself,
+    and the bytes that the ids decode to. With `digests` (id_col, n_tokens, ids_sha256, decoded_sha256) instead.
+
+    A null text counts as empty: no tokens. Repeated rows give each, null ids stay null, an empty table gives no rows.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(f"`{text_col}`").alias("text"))
-    ranks = docs.sparkSession.sparkContext.broadcast(vocabulary.ranks)  # of the vocabulary's size
-    kind = rows.schema["id"].dataType.simpleString()
-    schema = f"ids array<{kind}>, ends binary, places binary, first long, words array<string>, heap_at array<int>, heap_ids array<array<int>>"
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    rows = rows.coalesce(max(2 * cores, rows.rdd.getNumPartitions() // 8))  # the more text a task has, the fewer words are folded twice
-    blocks = rows.mapInPandas(word_blocks(pattern, ranks, id_col="id", text_col="text"), schema)
-    blocks = vocabulary.beside(blocks, "words")
-    blocks = blocks.withColumn("tokens", F.transform("words", vocabulary.encode))
-    blocks = blocks.withColumn("decoded", F.transform("tokens", vocabulary.decode)).withColumn("heap_bytes", F.transform("heap_ids", vocabulary.decode))
-    return blocks.drop("_ranks", "_pieces", "words")
+    kind = rows.schema["id"].dataType
+    shared = spark.sparkContext.broadcast(own)  # of the vocabulary's size
+    parts = rows.rdd.getNumPartitions()
+    rows = rows.coalesce(max(2 * spark.sparkContext.defaultParallelism, parts // 4))  # the more text a block has, the fewer words are sent twice
+    buckets = max(64, parts)
+    schema = f"block long, bucket int, ids array<{kind.simpleString()}>, ends binary, places binary, words binary"
+    blocks = written(rows.mapInPandas(word_blocks(pattern, shared, buckets), schema), "blocks")
+    words = blocks.where("bucket IS NOT NULL").select("bucket", "block", "words").repartition("bucket")
+    words = words.mapInArrow(unpacked_words, "bucket int, block long, at int, word binary")
+    same = Window.partitionBy("bucket", "word").orderBy("block")
+    words = words.withColumn("_n", F.row_number().over(same))
+    words = words.withColumn("ids", F.when(F.col("_n") == 1, own.encode(F.col("word"))))
+    words = words.withColumn("ids", F.first("ids", ignorenulls=True).over(same.rowsBetween(Window.unboundedPreceding, 0)))
+    tokens = words.select("block", "at", "ids").mapInArrow(packed_tokens, "block long, tokens binary")
+    both = blocks.where("bucket IS NULL").select("block", "ids", "ends", "places").unionByName(tokens, allowMissingColumns=True)
+    both = both.repartition("block").sortWithinPartitions("block", F.col("tokens").isNull())
+    fields = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())] if digests else [("ids", T.ArrayType(T.IntegerType())), ("decoded", T.BinaryType())]
+    out = T.StructType([T.StructField(id_col, kind), *(T.StructField(n, t) for n, t in fields)])
+    return both.mapInArrow(documents_of_blocks(shared, to_arrow_schema(out), digests), out)
 
 
 def token_digests(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) for every row of `docs`."""
-    blocks = encode_documents(docs, Vocabulary(read_ranks(ranks_path)), pattern, id_col=id_col, text_col=text_col)
-    kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField(id_col, kind), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    return blocks.mapInArrow(partial(documents_of_blocks, schema=to_arrow_schema(schema)), schema)
+    """(id_col, n_tokens, ids_sha256, decoded_sha256) for every row of `docs`; nulls, repeats and empty tables as encoded()."""
+    return encoded(docs, vocabulary(ranks_path), pattern, id_col=id_col, text_col=text_col, digests=True)
 
 
 def bpe_query(docs: DataFrame) -> DataFrame:

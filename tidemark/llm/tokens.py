@@ -7,6 +7,7 @@ merged, by the vocabulary's own merge list, once per worker and word.
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -16,13 +17,35 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import merged_by_heap
 from .common import text_of
 
 #: Counts kept in a worker besides the proven ones.
 KEPT = 500_000
 
 
+def merged_by_heap(parts: list, rank_of) -> list:  # noqa: ANN001
+    """`parts` after all merges, lowest rank first and leftmost among equals; rank_of gives a pair's rank or None."""
+    n = len(parts)
+    left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+    heap = [(r, i) for i in range(n - 1) if (r := rank_of(parts[i], parts[i + 1])) is not None]
+    heapq.heapify(heap)
+    alive = [True] * n
+    while heap:
+        r, i = heapq.heappop(heap)
+        j = right[i]
+        if not alive[i] or j >= n or rank_of(parts[i], parts[j]) != r:
+            continue
+        parts[i] = parts[i] + parts[j]
+        alive[j] = False
+        right[i] = right[j]
+        if right[i] < n:
+            left[right[i]] = i
+        for a in (left[i], i):
+            if a >= 0 and right[a] < n and (r := rank_of(parts[a], parts[right[a]])) is not None:
+                heapq.heappush(heap, (r, a))
+    return [p for p, live in zip(parts, alive, strict=True) if live]
+
+
 def byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in vocabulary files: printable Latin-1 for itself, the others from 256 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -107,7 +130,8 @@ def count_batches(shared, limit: int):  # noqa: ANN001, ANN201
 
 def count_tokens(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 512) -> DataFrame:
     """(id_col, n_bytes, n_tokens, over_limit) for every row; special strings inside a text are one token each, as the
-    library has it by default. A null text counts as empty: no bytes, no tokens."""
+    library has it by default. A null text counts as empty: no bytes, no tokens. Repeated rows give each, null ids stay
+    null, an empty table gives no rows."""
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(f"`{text_col}`").alias("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
     shared = docs.sparkSession.sparkContext.broadcast(prove(path, pattern))  # of the vocabulary's size
     schema = rows.select("id", "n_bytes", F.lit(0).cast("long").alias("n_tokens"), F.lit(True).alias("over_limit")).schema
