@@ -5,8 +5,9 @@ list. The words of all blocks are shuffled so that each distinct word of the tab
 byte array merges the pieces of lowest rank, turn by turn, looking ranks up in a literal map. The ids go back to the
 blocks, where the ids of a document are put together from its words, and its bytes from the binary pieces of the ids.
 
-Only distinct words of blocks, packed, and the places are shuffled; a word has one row per block at most, so no key is
-hot. Blocks have a bounded number of characters and are written once, so a lost executor never renumbers them.
+Only the distinct words of blocks, packed, and their ids are shuffled; a word has one place per block at most, so no key
+is hot. Blocks have a bounded number of characters. They are written once, in buckets, so that a lost executor never
+renumbers them and the documents' places need no shuffle.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pandas as pd
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -33,7 +34,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import text_of, written
 
 #: Characters of a block and of one row of its documents; a longer text is a row of its own.
-BLOCK_CHARS, ROW_CHARS = 48 << 20, 1 << 20
+BLOCK_CHARS, ROW_CHARS = 80 << 20, 1 << 20
 #: Longer words are cut where no token reaches across, and their folds merge all places of a rank in one turn.
 LONG = 64
 #: Bits of an id in the rank map.
@@ -41,6 +42,11 @@ ID_BITS = 20
 #: Lists in the rank map, a prime.
 LISTS = 65521
 MANY = 1 << 30
+#: Tasks that the words are dealt to at most, so a block's words are not cut too small.
+MOST_DEALT = 1024
+REF = np.dtype([("block", "<i8"), ("at", "<i4")])
+#: Bytes of a word's references in one row; a word with more is folded again.
+MOST_REFS = 12 << 16
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -154,11 +160,11 @@ def _packed_words(words: list[bytes], at: np.ndarray) -> bytes:
     return zstandard.compress(np.array([len(words)], np.int32).tobytes() + at.astype(np.int32).tobytes() + sizes.tobytes() + b"".join(words), 3)
 
 
-def word_blocks(pattern: str, shared, buckets: int):  # noqa: ANN001, ANN201
-    """For mapInPandas over (id, text): rows of documents (block, ids, ends, places) and of words (block, bucket, words).
+def word_blocks(pattern: str, shared, parts: int):  # noqa: ANN001, ANN201
+    """For mapInPandas over (id, text): rows of documents (block, ids, ends, places) and of words (block, part, words).
 
     shared: a broadcast of the vocabulary. places: of the documents' words in the block's list; ends: where a document's
-    places end. words: those of one bucket, packed with their places."""
+    places end. words: those of one part of all words, packed with their places."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         find, cut = regex.compile(pattern).findall, shared.value.cut
@@ -172,18 +178,18 @@ def word_blocks(pattern: str, shared, buckets: int):  # noqa: ANN001, ANN201
                 ends = np.cumsum([len(x) for x in held["index"]], dtype=np.int64)
                 places = np.fromiter((i for x in held["index"] for i in x), np.int32, int(ends[-1]))
                 planes = places.view(np.uint8).reshape(-1, 4).T  # the bytes of equal weight together pack better
-                yield pd.DataFrame([{"block": block[0], "bucket": None, "ids": held["ids"][:], "ends": ends.tobytes(), "places": zstandard.compress(planes.tobytes(), 3), "words": None}]).astype({"bucket": "Int32"})
+                yield pd.DataFrame([{"block": block[0], "part": None, "ids": held["ids"][:], "ends": ends.tobytes(), "places": zstandard.compress(planes.tobytes(), 3), "words": None}]).astype({"part": "Int32"})
                 held["ids"].clear()
                 held["index"].clear()
 
         def words() -> Iterator[pd.DataFrame]:
             listed = [w if isinstance(w, bytes) else w.encode("utf-8", "surrogatepass") for w in place]
-            of = np.fromiter((zlib.crc32(w) % buckets for w in listed), np.int32, len(listed))
+            of = np.fromiter((zlib.crc32(w) % parts for w in listed), np.int32, len(listed))
             order = np.argsort(of, kind="stable")
             cuts = list(pairwise(np.flatnonzero(np.r_[True, np.diff(of[order]) != 0, True]))) if len(order) else []
             for k in range(0, len(cuts), 256):
                 rows = [(block[0], int(of[order[a]]), _packed_words([listed[i] for i in order[a:b]], order[a:b])) for a, b in cuts[k : k + 256]]
-                yield pd.DataFrame(rows, columns=["block", "bucket", "words"]).assign(ids=None, ends=None, places=None).astype({"bucket": "Int32"})
+                yield pd.DataFrame(rows, columns=["block", "part", "words"]).assign(ids=None, ends=None, places=None).astype({"part": "Int32"})
             place.clear()
             block[0] = random.SystemRandom().getrandbits(62)
 
@@ -209,88 +215,92 @@ def word_blocks(pattern: str, shared, buckets: int):  # noqa: ANN001, ANN201
 
 
 def unpacked_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow over (bucket, block, words): rows (bucket, block, at, word)."""
+    """For mapInArrow over (block, words): rows (block, at, word)."""
     for batch in batches:
-        for bucket, block, packed in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        for block, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             raw = zstandard.decompress(packed)
             n = int(np.frombuffer(raw, np.int32, 1)[0])
             at, sizes = np.frombuffer(raw, np.int32, n, 4), np.frombuffer(raw, np.int32, n, 4 + 4 * n)
             offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
             word = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(raw[4 + 8 * n :])])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, bucket, np.int32)), pa.array(np.full(n, block, np.int64)), pa.array(at), word], names=["bucket", "block", "at", "word"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block, np.int64)), pa.array(at), word], names=["block", "at", "word"])
+
+
+def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over (word, block, at) sorted by word: rows (word, refs), the places where a word stands as REF records."""
+    last, refs = None, b""
+    for batch in batches:
+        words = batch.column(0).to_pylist()
+        rows = np.empty(len(words), REF)
+        rows["block"], rows["at"] = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+        starts = [i for i, (a, b) in enumerate(zip([last, *words], words, strict=False)) if a != b or (i == 0 and len(refs) > MOST_REFS)]
+        out: list[tuple[bytes, bytes]] = []
+        refs += rows[: starts[0] if starts else len(words)].tobytes()
+        for i, j in pairwise([*starts, len(words)]):
+            if refs:
+                out.append((last, refs))
+            last, refs = words[i], rows[i:j].tobytes()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in out], pa.binary()), pa.array([r for _, r in out], pa.binary())], names=["word", "refs"])
+    if refs:
+        yield pa.RecordBatch.from_arrays([pa.array([last], pa.binary()), pa.array([refs], pa.binary())], names=["word", "refs"])
 
 
 def packed_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow over (block, at, ids): a row (block, tokens) per block and batch, packed."""
+    """For mapInArrow over (refs, ids): a row (block, tokens) per block and batch, packed."""
     for batch in batches:
-        block, at, ids = (batch.column(i) for i in range(3))
+        refs, ids = batch.column(0).to_pylist(), batch.column(1)
         offsets, flat = ids.offsets.to_numpy(), ids.flatten().to_numpy().astype(np.int32)
-        block, at, sizes = block.to_numpy(), at.to_numpy(), np.diff(offsets).astype(np.int32)
-        starts = offsets[:-1] - offsets[0]
-        order = np.lexsort((at, block))
-        cuts = np.flatnonzero(np.r_[True, np.diff(block[order]) != 0, True]) if len(order) else []
-        rows = []
-        for a, b in pairwise(cuts):
-            own = order[a:b]
-            n = sizes[own]
-            where = np.repeat(starts[own] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(int(n.sum()))
-            rows.append((int(block[own[0]]), zstandard.compress(np.array([len(own)], np.int32).tobytes() + at[own].tobytes() + n.tobytes() + flat[where].tobytes(), 3)))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "tokens"])
-
-
-def documents_of_blocks(shared, schema: pa.Schema, digests: bool):  # noqa: ANN001, ANN201
-    """For mapInArrow over rows sorted by block, those with tokens first: the documents' ids and bytes, or digests of both."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = np.repeat(np.arange(len(refs)), [len(r) // REF.itemsize for r in refs])
+        rows = np.frombuffer(b"".join(refs), REF)
+        order = np.lexsort((rows["at"], rows["block"]))
+        rows, starts, sizes = rows[order], (offsets[:-1] - offsets[0])[row[order]], np.diff(offsets).astype(np.int32)[row[order]]
+        out = []
+        for a, b in pairwise(np.flatnonzero(np.r_[True, np.diff(rows["block"]) != 0, True])) if len(rows) else ():
+            n = sizes[a:b]
+            where = np.repeat(starts[a:b] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(int(n.sum()))
+            out.append((int(rows["block"][a]), zstandard.compress(np.array([b - a], np.int32).tobytes() + rows["at"][a:b].tobytes() + n.tobytes() + flat[where].tobytes(), 3)))
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary())], names=["block", "tokens"])
+
+
+def documents_of_block(shared, schema: pa.Schema, digests: bool):  # noqa: ANN001, ANN201
+    """For a cogroup by block of documents (ids, ends, places) and tokens: the documents' ids and bytes, or digests of both."""
+
+    def run(documents: pa.Table, tokens: pa.Table) -> pa.Table:
         pieces = shared.value.pieces
         names = [str(i).encode() for i in range(len(pieces))]
-        current, listed, raw, sizes = None, [], [], np.zeros(0, np.int64)
-        parts: list[bytes] = []
-
-        def open_block() -> None:
-            nonlocal listed, raw, sizes
-            found = [zstandard.decompress(p) for p in parts]
-            heads = [int(np.frombuffer(f, np.int32, 1)[0]) for f in found]
-            total = sum(heads)
-            listed, raw, sizes = [None] * total, [b""] * total, np.zeros(total, np.int64)
-            for f, n in zip(found, heads, strict=True):
-                at, count = np.frombuffer(f, np.int32, n, 4), np.frombuffer(f, np.int32, n, 4 + 4 * n)
-                flat = np.frombuffer(f, np.int32, -1, 4 + 8 * n)
-                sizes[at] = count
-                own = flat.tolist()
-                ends = np.cumsum(count).tolist()
-                for i, a, b in zip(at.tolist(), [0, *ends[:-1]], ends, strict=True):
-                    ids = own[a:b]
-                    listed[i] = b",".join([names[k] for k in ids]) if digests else ids
-                    raw[i] = b"".join([pieces[k] for k in ids])
-            parts.clear()
-
-        for batch in batches:
-            for r in range(batch.num_rows):
-                col = lambda name: batch.column(name).slice(r, 1)  # noqa: B023, E731
-                if (block := col("block")[0].as_py()) != current:
-                    current = block
-                    parts.clear()
-                if (tokens := col("tokens")[0].as_py()) is not None:
-                    parts.append(tokens)
-                    continue
-                if parts:
-                    open_block()
-                planes = np.frombuffer(zstandard.decompress(col("places")[0].as_py()), np.uint8)
-                places = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.int32).ravel()
-                ends = np.frombuffer(col("ends")[0].as_py(), np.int64).tolist()
-                out: list[tuple] = []
-                for a, b in pairwise([0, *ends]):
-                    own = places[a:b]
-                    at = own.tolist()
-                    decoded = b"".join(map(raw.__getitem__, at))
-                    if digests:
-                        joined = b",".join(map(listed.__getitem__, at))
-                        out.append((int(sizes[own].sum()), sha256(joined).hexdigest(), sha256(decoded).hexdigest()))
-                    else:
-                        out.append(([k for i in at for k in listed[i]], decoded))
-                ids = col("ids").flatten().cast(schema.field(0).type)
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array([x[k] for x in out], schema.field(k + 1).type) for k in range(len(schema) - 1))], schema=schema)
+        found = [zstandard.decompress(p) for p in tokens.column("tokens").to_pylist()]
+        heads = [int(np.frombuffer(f, np.int32, 1)[0]) for f in found]
+        total = sum(heads)
+        listed: list = [None] * total
+        raw, sizes = [b""] * total, np.zeros(total, np.int64)
+        for f, n in zip(found, heads, strict=True):
+            at, count = np.frombuffer(f, np.int32, n, 4), np.frombuffer(f, np.int32, n, 4 + 4 * n)
+            sizes[at] = count
+            own = np.frombuffer(f, np.int32, -1, 4 + 8 * n).tolist()
+            ends = np.cumsum(count).tolist()
+            for i, a, b in zip(at.tolist(), [0, *ends[:-1]], ends, strict=True):
+                ids = own[a:b]
+                listed[i] = b",".join([names[k] for k in ids]) if digests else ids
+                raw[i] = b"".join([pieces[k] for k in ids])
+        tables = []
+        for r in range(documents.num_rows):
+            col = lambda name: documents.column(name)[r].as_py()  # noqa: B023, E731
+            planes = np.frombuffer(zstandard.decompress(col("places")), np.uint8)
+            places = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.int32).ravel()
+            out: list[tuple] = []
+            for a, b in pairwise([0, *np.frombuffer(col("ends"), np.int64).tolist()]):
+                own = places[a:b]
+                at = own.tolist()
+                decoded = b"".join(map(raw.__getitem__, at))
+                if digests:
+                    joined = b",".join(map(listed.__getitem__, at))
+                    out.append((int(sizes[own].sum()), sha256(joined).hexdigest(), sha256(decoded).hexdigest()))
+                else:
+                    out.append(([k for i in at for k in listed[i]], decoded))
+            ids = pa.array(col("ids"), schema.field(0).type)
+            tables.append(pa.Table.from_arrays([ids, *(pa.array([x[k] for x in out], schema.field(k + 1).type) for k in range(len(schema) - 1))], schema=schema))
+        return pa.concat_tables(tables) if tables else schema.empty_table()
 
     return run
 
@@ -306,22 +316,19 @@ def encoded(docs: DataFrame, own: Vocabulary, pattern: str, *, id_col: str = "do
     kind = rows.schema["id"].dataType
     shared = spark.sparkContext.broadcast(own)  # of the vocabulary's size
     parts = rows.rdd.getNumPartitions()
-    rows = rows.coalesce(max(2 * spark.sparkContext.defaultParallelism, parts // 4))  # the more text a block has, the fewer words are sent twice
-    buckets = max(64, parts)
-    schema = f"block long, bucket int, ids array<{kind.simpleString()}>, ends binary, places binary, words binary"
-    blocks = written(rows.mapInPandas(word_blocks(pattern, shared, buckets), schema), "blocks")
-    words = blocks.where("bucket IS NOT NULL").select("bucket", "block", "words").repartition("bucket")
-    words = words.mapInArrow(unpacked_words, "bucket int, block long, at int, word binary")
-    same = Window.partitionBy("bucket", "word").orderBy("block")
-    words = words.withColumn("_n", F.row_number().over(same))
-    words = words.withColumn("ids", F.when(F.col("_n") == 1, own.encode(F.col("word"))))
-    words = words.withColumn("ids", F.first("ids", ignorenulls=True).over(same.rowsBetween(Window.unboundedPreceding, 0)))
-    tokens = words.select("block", "at", "ids").mapInArrow(packed_tokens, "block long, tokens binary")
-    both = blocks.where("bucket IS NULL").select("block", "ids", "ends", "places").unionByName(tokens, allowMissingColumns=True)
-    both = both.repartition("block").sortWithinPartitions("block", F.col("tokens").isNull())
+    tasks = max(2 * spark.sparkContext.defaultParallelism, parts // 4)
+    rows = rows.coalesce(tasks)  # the more text a block has, the fewer words are sent twice
+    dealt = min(max(tasks, parts), MOST_DEALT)  # a given number, as few bytes of packed words are much work
+    schema = f"block long, part int, ids array<{kind.simpleString()}>, ends binary, places binary, words binary"
+    blocks = written(rows.mapInPandas(word_blocks(pattern, shared, 4 * dealt), schema), "blocks", bucket_by="block", buckets=2 * tasks)
+    words = blocks.where("part IS NOT NULL").select("part", "block", "words").repartition(dealt, "part").select("block", "words")
+    words = words.mapInArrow(unpacked_words, "block long, at int, word binary").sortWithinPartitions("word").select("word", "block", "at")
+    words = words.mapInArrow(distinct_words, "word binary, refs binary")
+    tokens = words.select("refs", own.encode(F.col("word")).alias("ids")).mapInArrow(packed_tokens, "block long, tokens binary")
+    documents = blocks.where("part IS NULL").select("block", "ids", "ends", "places")
     fields = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())] if digests else [("ids", T.ArrayType(T.IntegerType())), ("decoded", T.BinaryType())]
     out = T.StructType([T.StructField(id_col, kind), *(T.StructField(n, t) for n, t in fields)])
-    return both.mapInArrow(documents_of_blocks(shared, to_arrow_schema(out), digests), out)
+    return documents.groupBy("block").cogroup(tokens.groupBy("block")).applyInArrow(documents_of_block(shared, to_arrow_schema(out), digests), out)
 
 
 def token_digests(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
