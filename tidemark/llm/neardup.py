@@ -29,6 +29,8 @@ from .simhash import fingerprinter, majority, runs, shingle_hashes, whole_groups
 POSITIONS = 8
 #: Fingerprints compared with the rest of a list at once.
 FRONTIER = 64
+#: Parts of a component when its id goes to its members.
+SALTS = 32
 
 
 def covering_triples() -> list[tuple[int, int, int]]:
@@ -42,18 +44,20 @@ def covering_triples() -> list[tuple[int, int, int]]:
 
 def shared_bytes(differing: np.ndarray) -> np.ndarray:
     """How many of the 8 positional bytes are equal, from the exclusive-or of two fingerprints."""
-    return (np.ascontiguousarray(differing).view(np.uint8).reshape(*differing.shape, POSITIONS) == 0).sum(axis=-1)
+    some = differing | (differing >> np.uint64(4))
+    some |= some >> np.uint64(2)
+    some |= some >> np.uint64(1)
+    return POSITIONS - np.bitwise_count(some & np.uint64(0x0101010101010101))
 
 
 def linked(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-    """For every b, whether any a is within the radius. The tally of shared bytes comes before the count of bits."""
+    """For every b, whether any a is within the radius. Shared bytes are tallied for all pairs; only those that reach the
+    minimum which the radius guarantees, one byte less per differing bit, are verified bit by bit."""
     differing = a[:, None] ^ b[None, :]
-    least = POSITIONS - radius
-    near = np.bitwise_count(differing) <= radius
-    if least > 0 and near.any():
-        rows, cols = np.nonzero(near)
-        near[rows, cols] = shared_bytes(differing[rows, cols]) >= least
-    return near.any(axis=0)
+    rows, cols = np.nonzero(shared_bytes(differing) >= POSITIONS - radius)
+    near = np.zeros(len(b), bool)
+    near[cols[np.bitwise_count(differing[rows, cols]) <= radius]] = True
+    return near
 
 
 def list_groups(fps: np.ndarray, radius: int) -> np.ndarray:
@@ -69,8 +73,8 @@ def list_groups(fps: np.ndarray, radius: int) -> np.ndarray:
                 open_ = np.flatnonzero(~reached)
                 if not len(open_):
                     break
-                for j in range(0, len(open_), 1 << 16):
-                    part = open_[j : j + (1 << 16)]
+                for j in range(0, len(open_), 1 << 15):
+                    part = open_[j : j + (1 << 15)]
                     reached[part] |= linked(fps[frontier[i : i + FRONTIER]], fps[rest[part]], radius)
             frontier, rest = rest[reached], rest[~reached]
             label[frontier] = root
@@ -85,17 +89,17 @@ def _edges(radius: int):  # noqa: ANN202
             starts, stops = runs(keys)
             sizes = stops - starts
             us, vs = [], []
-            for i in starts[sizes == 2]:  # most lists with any pair at all
-                if np.bitwise_count(bits[i] ^ bits[i + 1]) <= radius:
-                    us.append(fps[i + 1 : i + 2])
-                    vs.append(fps[i : i + 1])
+            twos = starts[sizes == 2]  # most lists with any pair at all
+            differing = bits[twos] ^ bits[twos + 1]
+            twos = twos[(shared_bytes(differing) >= POSITIONS - radius) & (np.bitwise_count(differing) <= radius)]
+            us.append(fps[twos + 1])
+            vs.append(fps[twos])
             for a, b in zip(starts[sizes > 2], stops[sizes > 2], strict=True):
                 first = list_groups(bits[a:b], radius)
                 moved = np.flatnonzero(first != np.arange(b - a))
                 us.append(fps[a:b][moved])
                 vs.append(fps[a:b][first[moved]])
-            if us:
-                yield pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
+            yield pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
 
     return run
 
@@ -128,10 +132,14 @@ def simhash_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     schema = rows.select("id", F.lit(0).cast("long").alias("fp")).schema
     rows = written(rows.mapInPandas(fingerprinter(lambda t: majority(shingle_hashes(words_of(t), k)), ["id"], "text", "fp"), schema), "simhash")
     different = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = components(near_edges(different.select("fp"), radius=radius))
-    named = different.join(roots, different["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(smallest, "root").select("fp", "component_id")
+    roots = written(components(near_edges(different.select("fp"), radius=radius)), "roots")
+    # only fingerprints of larger components have edges; the others are their own
+    members = roots.select(F.col("node").alias("fp"), "root").unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
+    members = different.join(members, "fp").withColumn("salt", F.pmod("fp", F.lit(SALTS)))
+    smallest = members.groupBy("root").agg(F.min("least").alias("component_id"))
+    dealt = smallest.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long").alias("salt"))  # a large component is joined in SALTS parts
+    named = members.join(dealt, ["root", "salt"]).select("fp", "component_id")
+    named = different.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return rows.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
