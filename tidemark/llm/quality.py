@@ -2,7 +2,8 @@
 
 Every document gets a vector of transformed text statistics. For each (language, source) a minimum covariance
 determinant estimate of location and scatter is found by concentration steps: keep the fraction of rows with the
-smallest Mahalanobis distances, estimate again from those, repeat. Rows far from the estimate are rejected.
+smallest Mahalanobis distances, estimate again from those, repeat until the determinant stays; then reweight. Rows far
+from the estimate are rejected.
 
 Only DataFrame functions are used. One pass over the texts makes the statistics; the concentration steps run over
 that narrow table, each as two grouped aggregations whose partial results are combined before any shuffle, so a
@@ -23,6 +24,8 @@ FEATURES = ("log_word_length", "symbol_share", "duplicate_line_share", "repeated
 #: goes for one feature alone: words 1.7 times as long, 8 % symbols, 35 % duplicate lines, 24 % repeated words. One line
 #: in three repeated is chance in short texts; with floors of 0.02 that alone would reject them.
 TOLERANCE = (0.10, 0.05, 0.11, 0.09)
+#: Groups whose figures, some hundred bytes each, are sent to all tasks; and parts of a group beyond.
+MOST_FIGURES, SALTS = 50_000, 16
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -116,14 +119,15 @@ def feature_columns() -> list[Column]:
     ]
 
 
-def _distance(p: int) -> Column:
-    """Squared Mahalanobis distance of x0.. from m0.. by the Cholesky factor l00, l10, .."""
+def _distance(p: int, of: str = "") -> Column:
+    """Squared Mahalanobis distance of x0.. from m0.. by the Cholesky factor l00, l10, .., fields of the struct `of` if named."""
+    figure = lambda c: F.col(f"{of}.{c}" if of else c)
     ys: list[Column] = []
     for i in range(p):
-        y = F.col(f"x{i}") - F.col(f"m{i}")
+        y = F.col(f"x{i}") - figure(f"m{i}")
         for j in range(i):
-            y = y - F.col(f"l{i}{j}") * ys[j]
-        ys.append(y / F.col(f"l{i}{i}"))
+            y = y - figure(f"l{i}{j}") * ys[j]
+        ys.append(y / figure(f"l{i}{i}"))
     return sum((y * y for y in ys[1:]), ys[0] * ys[0])
 
 
@@ -147,40 +151,66 @@ def _moments(df: DataFrame, keys: list[str], p: int) -> DataFrame:
     )
 
 
-def mcd_estimates(points: DataFrame, keys: list[str], p: int, *, fraction: float = 0.75, steps: int = 4, floors: tuple[float, ...], accuracy: int = 10_000) -> DataFrame:
+def beside(rows: DataFrame, figures: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """`rows` with the figures of their group, one row each. Figures of up to MOST_FIGURES groups are sent to all tasks, so no
+    group is dealt to one; of more, groups are many and each dealt in SALTS parts."""
+    if figures.count() <= MOST_FIGURES:
+        return rows.join(F.broadcast(figures), keys, how)
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    salted = rows.withColumn("_salt", F.floor(F.rand(7) * SALTS).cast("int"))
+    return salted.join(figures.select("*", salts), [*keys, "_salt"], how).drop("_salt")
+
+
+def mcd_estimates(points: DataFrame, keys: list[str], p: int, *, fraction: float = 0.75, steps: int = 10, floors: tuple[float, ...], accuracy: int = 10_000, reweight: float = 0.975) -> DataFrame:
     """Minimum covariance determinant estimates of x0.. by `keys` (never null), as means and Cholesky factors.
 
-    Two deterministic starts from medians and median absolute deviations, one by Euclidean and one by maximum
-    distance of the standardised values; `steps` concentration steps each; the smaller determinant wins, ties by
-    the first start. The kept fraction is cut by an approximate percentile of bounded size. `floors` are added to
-    the scatter, so constant features and tiny groups have a defined distance.
+    Two deterministic starts from medians and median absolute deviations, by Euclidean and by maximum distance of the
+    standardised values, of which the half of smaller distances is used. Concentration steps follow until no determinant
+    falls by more than a thousandth, `steps` at most; the start of smaller determinant wins, ties by the first. At last the
+    estimate is taken again from all rows within the chi-square quantile `reweight` of it. Kept fractions are cut by an
+    approximate percentile of bounded size. `floors` keep the scatter regular where a feature is constant.
     """
-    cut = lambda c: F.percentile_approx(c, fraction, accuracy)
-    med = points.groupBy(*keys).agg(*(F.percentile_approx(f"x{i}", 0.5, accuracy).alias(f"m{i}") for i in range(p)))
-    dev = points.join(med, keys)
-    mad = dev.groupBy(*keys).agg(
-        *(F.first(f"m{i}").alias(f"m{i}") for i in range(p)),
-        *(F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, accuracy).alias(f"a{i}") for i in range(p)),
-    )
-    mad = written(mad, "mcd-start")
-    z = [F.abs(F.col(f"x{i}") - F.col(f"m{i}")) / F.sqrt(F.pow(F.col(f"a{i}") * 1.4826, 2) + floors[i] ** 2) for i in range(p)]
-    starts = [F.struct(F.lit(0).alias("start"), sum((v * v for v in z[1:]), z[0] * z[0]).alias("d")), F.struct(F.lit(1).alias("start"), F.greatest(*z).alias("d"))]
+    cut = lambda c, share: F.percentile_approx(c, share, accuracy)
     xs = [f"x{i}" for i in range(p)]
-    by = [*keys, "start"]
-    scored = points.join(mad, keys).select(*keys, *xs, F.explode(F.array(*starts)).alias("_s")).select(*keys, *xs, "_s.*")
-    consistency = fraction / chi2_cdf(chi2_quantile(fraction, p), p + 2)
+    med = written(points.groupBy(*keys).agg(*(cut(x, 0.5).alias(f"m{i}") for i, x in enumerate(xs))), "mcd-start")
+    dev = beside(points, med, keys)
+    mad = written(dev.groupBy(*keys).agg(*(F.first(f"m{i}").alias(f"m{i}") for i in range(p)), *(cut(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5).alias(f"a{i}") for i in range(p))), "mcd-start")
+    z = [F.abs(F.col(f"x{i}") - F.col(f"m{i}")) / F.sqrt(F.pow(F.col(f"a{i}") * 1.4826, 2) + floors[i] ** 2) for i in range(p)]
+    starts = ("s", "t")
+    distances = {"s": sum((v * v for v in z[1:]), z[0] * z[0]), "t": F.greatest(*z)}
+    scored = beside(points, mad, keys).select(*keys, *xs, *(distances[t].alias(f"d_{t}") for t in starts))
+    consistency = lambda share: share / chi2_cdf(chi2_quantile(share, p), p + 2)
+
+    def moments(rows: DataFrame, share: float) -> DataFrame:
+        """Both starts' factors from the rows within the share of smallest distances, in one row a group."""
+        limits = written(rows.groupBy(*keys).agg(*(cut(f"d_{t}", share).alias(f"cut_{t}") for t in starts)), "mcd-cut")
+        near = beside(rows, limits, keys)
+        own = lambda t, c: F.when(F.col(f"d_{t}") <= F.col(f"cut_{t}"), F.col(c))
+        sums = near.groupBy(*keys).agg(*(c for t in starts for c in (*(F.avg(own(t, x)).alias(f"{t}m{i}") for i, x in enumerate(xs)), *(F.covar_pop(own(t, xs[i]), own(t, xs[j])).alias(f"{t}c{i}{j}") for i in range(p) for j in range(i + 1)))))
+        one = lambda t: _factored(sums.select(*keys, *(F.col(f"{t}m{i}").alias(f"m{i}") for i in range(p)), *(F.col(f"{t}c{i}{j}").alias(f"c{i}{j}") for i in range(p) for j in range(i + 1))), keys, p, consistency(share), floors)
+        s, t = (one(t).select(*keys, F.struct(*(c for c in one(t).columns if c not in keys)).alias(t)) for t in starts)
+        return written(s.join(t, keys), "mcd-step")
+
+    def placed(estimate: DataFrame) -> DataFrame:
+        rows = beside(points, estimate, keys)
+        return rows.select(*keys, *xs, *(_distance(p, t).alias(f"d_{t}") for t in starts))
+
+    estimate = moments(scored, 0.5)
     for _ in range(steps):
-        limits = scored.groupBy(*by).agg(cut("d").alias("_cut"))
-        kept = scored.join(limits, by).where(F.col("d") <= F.col("_cut"))
-        estimate = written(_factored(_moments(kept, by, p), by, p, consistency, floors), "mcd-step")
-        scored = points.join(estimate, keys).select(*by, *xs, _distance(p).alias("d"))
-    best = estimate.groupBy(*keys).agg(F.min_by(F.struct(*(c for c in estimate.columns if c not in keys)), F.struct("logdet", "start")).alias("_b"))
-    return best.select(*keys, "_b.*").drop("start", "logdet")
+        better = moments(placed(estimate), fraction)
+        falls = better.select(*keys, *(F.col(f"{t}.logdet").alias(f"new_{t}") for t in starts)).join(estimate, keys)
+        done = falls.agg(F.max(F.greatest(*(F.col(f"{t}.logdet") - F.col(f"new_{t}") for t in starts))).alias("fall")).first()["fall"]
+        estimate = better
+        if done is None or 0 <= done <= 1e-3:
+            break
+    best = estimate.select(*keys, F.when(F.col("t.logdet") < F.col("s.logdet"), F.col("t")).otherwise(F.col("s")).alias("s"))
+    near = beside(points, written(best, "mcd-best"), keys).where(_distance(p, "s") <= chi2_quantile(reweight, p))
+    return _factored(_moments(near, keys, p), keys, p, consistency(reweight), floors).drop("logdet")
 
 
 def robust_outliers(
     docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
-    fraction: float = 0.75, steps: int = 4, level: float = 1 - 1e-5, min_group: int = 50, min_words: int = 50, max_repeat_percent: int = 50,
+    fraction: float = 0.75, steps: int = 10, level: float = 1 - 1e-5, min_group: int = 50, min_words: int = 50, max_repeat_percent: int = 50,
 ) -> DataFrame:
     """Statistics, `base_failed`, squared `distance` and `kept` for every row of `docs` (its text column left out).
 
@@ -202,9 +232,9 @@ def robust_outliers(
     pooled = sizes.select("_g", "_h", F.when(F.col("_n") >= min_group, F.col("_h")).otherwise(F.lit("pooled")).alias("_k"))
     pooled = written(pooled, "quality-groups")
     xs = [f"x{i}" for i in range(p)]
-    points = passed.join(pooled, ["_g", "_h"]).select("_g", "_k", *xs)
-    estimate = mcd_estimates(points, ["_g", "_k"], p, fraction=fraction, steps=steps, floors=TOLERANCE)
-    scored = stats.join(pooled, ["_g", "_h"], "left").join(estimate, ["_g", "_k"], "left")
+    points = beside(passed, pooled, ["_g", "_h"]).select("_g", "_k", *xs)
+    estimate = written(mcd_estimates(points, ["_g", "_k"], p, fraction=fraction, steps=steps, floors=TOLERANCE), "mcd")
+    scored = beside(beside(stats, pooled, ["_g", "_h"], "left"), estimate, ["_g", "_k"], "left")
     scored = scored.withColumn("distance", F.when(~F.col("base_failed"), _distance(p)))
     verdict = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= F.lit(chi2_quantile(level, p)))
     return scored.select("_row", *STATISTICS, "n_lines", "base_failed", "distance", verdict.alias("kept"))
