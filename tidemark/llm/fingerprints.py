@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import text_of, written
 from .simhash import runs, shingle_hashes, signed, weighted, whole_groups, words_of
 
-#: Documents of one window when each looks for its successor.
-NEIGHBOURS = 4096
+#: Documents of one window when each looks for its successor, and the most windows; beyond, windows grow.
+NEIGHBOURS, MOST_WINDOWS = 4096, 10_000
 
 
 def text_fingerprint(text: str) -> int:
@@ -101,18 +101,31 @@ def count_within(fingerprints: DataFrame, *, radius: int = 3) -> DataFrame:
     return found.groupBy("query").agg(F.sum("n").alias("n"))
 
 
-def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, packed) per row, the text packed with zstd for the shuffle that follows; null texts count as empty,
-    fingerprint 0. Equal texts have equal fingerprints."""
+def id_bounds(docs: DataFrame, id_col: str = "doc_id") -> list[int]:
+    """Least ids of windows of some NEIGHBOURS rows each, at most MOST_WINDOWS, by an approximate percentile of bounded size.
+    All are ids of rows, so no window is empty; empty where no row has an id."""
+    ids = docs.select(F.col(f"`{id_col}`").cast("long").alias("id")).where("id IS NOT NULL")
+    n = max(1, min(MOST_WINDOWS, ids.count() // NEIGHBOURS))
+    row = ids.agg(F.min("id").alias("least"), F.percentile_approx("id", [i / n for i in range(n)], 10 * n).alias("at")).first()
+    return sorted({row["least"], *row["at"]}) if row["least"] is not None else []
+
+
+def fingerprint_documents(docs: DataFrame, bounds: list[int] | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp, packed, window) per row, the text packed with zstd for the shuffle that follows, and the number of the
+    window by `bounds` (the last number for a null id). Null texts count as empty, fingerprint 0. Equal texts have equal
+    fingerprints; repeated rows give each."""
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(f"`{text_col}`").alias("text"))
+    bounds = bounds or []
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         packer = zstandard.ZstdCompressor(level=3)
+        edges = np.array(bounds, np.int64)
         for batch in batches:
             fps = signed([text_fingerprint(t) for t in batch["text"]])
-            yield pd.DataFrame({"id": batch["id"], "fp": fps, "packed": [packer.compress(t.encode("utf-8", "surrogatepass")) for t in batch["text"]]})
+            windows = [len(edges) if pd.isna(i) else int(np.searchsorted(edges, int(i), "right")) - 1 for i in batch["id"]]
+            yield pd.DataFrame({"id": batch["id"], "fp": fps, "packed": [packer.compress(t.encode("utf-8", "surrogatepass")) for t in batch["text"]], "window": windows})
 
-    return rows.mapInPandas(run, rows.select("id", F.lit(0).cast("long").alias("fp"), F.lit(b"").alias("packed")).schema)
+    return rows.mapInPandas(run, rows.select("id", F.lit(0).cast("long").alias("fp"), F.lit(b"").alias("packed"), F.lit(0).cast("long").alias("window")).schema)
 
 
 def edit_documents(rows: DataFrame) -> DataFrame:
@@ -137,37 +150,36 @@ def edit_documents(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, kept.schema)
 
 
-def with_successor(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """`rows` (id, fp, packed) with next_packed and next_fp of the following row by id; after the last, of the first.
-    ids: the same rows' id, at the source.
+def with_successor(rows: DataFrame, windows: int) -> DataFrame:
+    """`rows` (id, fp, packed, window) with next_packed and next_fp of the following row by id; after the last, of the first.
+    windows: the number of windows with ids, none of them empty; rows without an id are in the one after.
 
-    Equal ids follow each other by their packed texts; null ids come last. Rows are dealt into windows of NEIGHBOURS consecutive
-    ids; the last row of a window takes the first of the next window that has any, found in the short table of windows.
+    Equal ids follow each other by their packed texts; null ids come last. Only the first and last rows of windows meet
+    again, a last one under the window that follows its own.
     """
-    window = F.floor(F.col("id") / NEIGHBOURS)
     order = Window.partitionBy("window").orderBy(F.asc("id"), F.asc("packed"))
-    rows = rows.withColumn("window", window)
     rows = rows.withColumn("next", F.lead(F.struct("packed", "fp")).over(order)).withColumn("_before", F.lag(F.lit(1)).over(order))
-    # the short table of windows comes from the ids alone, so no text is read for it
-    heads = ids.select(window.alias("window")).distinct()
-    follow = Window.orderBy(F.asc_nulls_last("window"))  # one row per window of ids
-    everything = follow.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    # the last window with an id is followed by the rows without one, if any; after the last of all comes the first
-    heads = heads.select("window", F.when(F.lead(F.lit(1)).over(follow).isNull(), F.first("window").over(everything)).otherwise(F.lead("window").over(follow)).alias("to"))
-    heads = heads.withColumnRenamed("window", "_window")
-    # only the first and last rows of windows meet again, a last one under the window that follows its own
     edges = rows.where("next IS NULL OR _before IS NULL")
-    edges = edges.join(heads, edges["window"].eqNullSafe(heads["_window"]), "left")
-    role = lambda when, key, n: F.when(when, F.array(F.struct(F.col(key).alias("key"), F.lit(n).alias("last"))))
-    met = edges.select("id", "fp", "packed", F.explode(F.flatten(F.array_compact(F.array(role(F.col("_before").isNull(), "window", 0), role(F.col("next").isNull(), "to", 1))))).alias("e"))
-    met = met.withColumn("next", F.lag(F.struct("packed", "fp")).over(Window.partitionBy("e.key").orderBy("e.last")))
-    joined = rows.where("next IS NOT NULL").select("id", "fp", "packed", "next").union(met.where("e.last = 1").select("id", "fp", "packed", "next"))
+    # both the rows without an id, if any, and the first window follow the last one with ids: the nearest that exists counts
+    follows = F.when(F.col("window") < windows - 1, F.array(F.col("window") + 1)).when(F.col("window") == windows - 1, F.array(F.lit(windows).cast("long"), F.lit(0).cast("long"))).otherwise(F.array(F.lit(0).cast("long"), F.lit(windows).cast("long")))
+    first = F.when(F.col("_before").isNull(), F.array(F.struct(F.col("window").alias("key"), F.lit(0).alias("last"), F.lit(0).alias("turn"))))
+    last = F.when(F.col("next").isNull(), F.transform(follows, lambda k, i: F.struct(k.alias("key"), F.lit(1).alias("last"), i.alias("turn"))))
+    met = edges.select("id", "fp", "packed", "window", F.explode(F.flatten(F.array_compact(F.array(first, last)))).alias("e"))
+    at_key = Window.partitionBy("e.key").orderBy("e.last").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    met = met.withColumn("next", F.first(F.when(F.col("e.last") == 0, F.struct("packed", "fp")), ignorenulls=True).over(at_key)).where("e.last = 1 AND next IS NOT NULL")
+    met = met.groupBy("window").agg(F.min_by(F.struct("id", "fp", "packed", "next"), F.col("e.turn")).alias("r")).select("r.*")
+    joined = rows.where("next IS NOT NULL").select("id", "fp", "packed", "next").union(met)
     return joined.select("id", "fp", "packed", F.col("next.packed").alias("next_packed"), F.col("next.fp").alias("next_fp"))
 
 
 def fingerprint_query(docs: DataFrame, *, radius: int = 3) -> DataFrame:
-    """op10, with n_within: for ids divisible by 50, how many documents (itself included) lie within `radius` bits."""
-    rows = edit_documents(with_successor(fingerprint_documents(docs.select("doc_id", "text")), docs.select(F.col("doc_id").alias("id"))))
+    """op10, with n_within: for ids divisible by 50, how many documents (itself included) lie within `radius` bits.
+
+    A null text is empty, fingerprint 0; a null id comes last and is not searched for; repeated rows give each; an empty
+    table gives no rows.
+    """
+    bounds = id_bounds(docs.select("doc_id"))
+    rows = edit_documents(with_successor(fingerprint_documents(docs.select("doc_id", "text"), bounds), len(bounds)))
     rows = written(rows.withColumnRenamed("id", "doc_id"), "fingerprints")
     different = rows.groupBy("fp").agg(F.count("*").alias("n"), F.max(F.coalesce(F.col("doc_id") % 50 == 0, F.lit(False))).alias("asked"))
     within = count_within(different, radius=radius).select(F.col("query").alias("fp"), F.col("n").alias("_within"))
