@@ -137,7 +137,7 @@ def simhash_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     members = roots.select(F.col("node").alias("fp"), "root").unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
     members = different.join(members, "fp").withColumn("salt", F.pmod("fp", F.lit(SALTS)))
     smallest = members.groupBy("root").agg(F.min("least").alias("component_id"))
-    dealt = smallest.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long").alias("salt"))  # a large component is joined in SALTS parts
+    dealt = smallest.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))  # a large component is joined in SALTS parts
     named = members.join(dealt, ["root", "salt"]).select("fp", "component_id")
     named = different.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return rows.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
