@@ -101,28 +101,33 @@ def count_within(fingerprints: DataFrame, *, radius: int = 3) -> DataFrame:
     return found.groupBy("query").agg(F.sum("n").alias("n"))
 
 
-def id_bounds(docs: DataFrame, id_col: str = "doc_id") -> list[int]:
-    """Least ids of windows of some NEIGHBOURS rows each, at most MOST_WINDOWS, by an approximate percentile of bounded size.
-    All are ids of rows, so no window is empty; empty where no row has an id."""
+def id_bounds(docs: DataFrame, id_col: str = "doc_id") -> tuple[int, list[int]]:
+    """(shift, bounds): least values of id >> shift of windows of some NEIGHBOURS rows each, at most MOST_WINDOWS, by an
+    approximate percentile of bounded size. All are values of rows, so no window is empty; no bounds where no row has an
+    id. Percentiles are doubles, so wide ids are shifted to fit."""
     ids = docs.select(F.col(f"`{id_col}`").cast("long").alias("id")).where("id IS NOT NULL")
-    n = max(1, min(MOST_WINDOWS, ids.count() // NEIGHBOURS))
-    row = ids.agg(F.min("id").alias("least"), F.percentile_approx("id", [i / n for i in range(n)], 10 * n).alias("at")).first()
-    return sorted({row["least"], *row["at"]}) if row["least"] is not None else []
+    row = ids.agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).first()
+    if not row["n"]:
+        return 0, []
+    shift = 11 if max(abs(row["low"]), abs(row["high"])) >> 53 else 0
+    n = max(1, min(MOST_WINDOWS, row["n"] // NEIGHBOURS))
+    at = ids.agg(F.percentile_approx(F.shiftright("id", shift), [i / n for i in range(n)], 10 * n).alias("at")).first()["at"]
+    return shift, sorted({row["low"] >> shift, *at})
 
 
-def fingerprint_documents(docs: DataFrame, bounds: list[int] | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint_documents(docs: DataFrame, bounds: tuple[int, list[int]] = (0, []), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, packed, window) per row, the text packed with zstd for the shuffle that follows, and the number of the
     window by `bounds` (the last number for a null id). Null texts count as empty, fingerprint 0. Equal texts have equal
     fingerprints; repeated rows give each."""
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(f"`{text_col}`").alias("text"))
-    bounds = bounds or []
+    shift, least = bounds
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         packer = zstandard.ZstdCompressor(level=3)
-        edges = np.array(bounds, np.int64)
+        edges = np.array(least, np.int64)
         for batch in batches:
             fps = signed([text_fingerprint(t) for t in batch["text"]])
-            windows = [len(edges) if pd.isna(i) else int(np.searchsorted(edges, int(i), "right")) - 1 for i in batch["id"]]
+            windows = [len(edges) if pd.isna(i) else int(np.searchsorted(edges, int(i) >> shift, "right")) - 1 for i in batch["id"]]
             yield pd.DataFrame({"id": batch["id"], "fp": fps, "packed": [packer.compress(t.encode("utf-8", "surrogatepass")) for t in batch["text"]], "window": windows})
 
     return rows.mapInPandas(run, rows.select("id", F.lit(0).cast("long").alias("fp"), F.lit(b"").alias("packed"), F.lit(0).cast("long").alias("window")).schema)
@@ -179,7 +184,7 @@ def fingerprint_query(docs: DataFrame, *, radius: int = 3) -> DataFrame:
     table gives no rows.
     """
     bounds = id_bounds(docs.select("doc_id"))
-    rows = edit_documents(with_successor(fingerprint_documents(docs.select("doc_id", "text"), bounds), len(bounds)))
+    rows = edit_documents(with_successor(fingerprint_documents(docs.select("doc_id", "text"), bounds), len(bounds[1])))
     rows = written(rows.withColumnRenamed("id", "doc_id"), "fingerprints")
     different = rows.groupBy("fp").agg(F.count("*").alias("n"), F.max(F.coalesce(F.col("doc_id") % 50 == 0, F.lit(False))).alias("asked"))
     within = count_within(different, radius=radius).select(F.col("query").alias("fp"), F.col("n").alias("_within"))
