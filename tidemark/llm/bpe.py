@@ -34,7 +34,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import text_of, written
 
 #: Characters of a block and of one row of its documents; a longer text is a row of its own.
-BLOCK_CHARS, ROW_CHARS = 64 << 20, 1 << 20
+BLOCK_CHARS, ROW_CHARS = 24 << 20, 1 << 20
 #: Longer words are cut where no token reaches across, and their folds merge all places of a rank in one turn.
 LONG = 64
 #: Bits of an id in the rank map.
@@ -45,8 +45,8 @@ MANY = 1 << 30
 #: Tasks that the words are dealt to at most, so a block's words are not cut too small.
 MOST_DEALT = 1024
 REF = np.dtype([("block", "<i8"), ("at", "<i4")])
-#: Bytes of a word's references in one row; a word with more is folded again.
-MOST_REFS = 12 << 16
+#: Words of blocks that are gathered by word at once.
+MOST_REFS = 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -214,43 +214,57 @@ def word_blocks(pattern: str, shared, parts: int):  # noqa: ANN001, ANN201
     return run
 
 
-def unpacked_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow over (block, words): rows (block, at, word)."""
+def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over (part, block, words) sorted by part: rows (word, refs), the places where a word stands as REF
+    records. A part with more than MOST_REFS places is handed on in portions; its words are then folded in each."""
+    held: list[bytes] = []
+    refs: list[np.ndarray] = []
+
+    def handed() -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        group = np.array([known.setdefault(w, len(known)) for w in held], np.int64)
+        places = np.concatenate(refs)[np.argsort(group, kind="stable")].tobytes()
+        ends = np.r_[0, np.cumsum(np.bincount(group))] * REF.itemsize
+        words = list(known)
+        for i in range(0, len(words), 10_000):
+            offsets = ends[i : i + 10_001]
+            own = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets - offsets[0]).astype(np.int32)), pa.py_buffer(places[offsets[0] : offsets[-1]])])
+            yield pa.RecordBatch.from_arrays([pa.array(words[i : i + 10_000], pa.binary()), own], names=["word", "refs"])
+        held.clear()
+        refs.clear()
+
+    current = None
     for batch in batches:
-        for block, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for part, block, packed in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if held and (part != current or len(held) > MOST_REFS):
+                yield from handed()
+            current = part
             raw = zstandard.decompress(packed)
             n = int(np.frombuffer(raw, np.int32, 1)[0])
-            at, sizes = np.frombuffer(raw, np.int32, n, 4), np.frombuffer(raw, np.int32, n, 4 + 4 * n)
-            offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
-            word = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(raw[4 + 8 * n :])])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block, np.int64)), pa.array(at), word], names=["block", "at", "word"])
-
-
-def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow over (word, block, at) sorted by word: rows (word, refs), the places where a word stands."""
-    last, refs = None, b""
+            own = np.empty(n, REF)
+            own["block"], own["at"] = block, np.frombuffer(raw, np.int32, n, 4)
+            ends = np.cumsum(np.frombuffer(raw, np.int32, n, 4 + 4 * n)) + 4 + 8 * n
+            refs.append(own)
+            held += [raw[i:j] for i, j in pairwise([4 + 8 * n, *ends.tolist()])]
+    if held:
+        yield from handed()
 
-    def rows_of(out: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-        places = np.frombuffer(b"".join([r for _, r in out]), REF)
-        offsets = np.r_[0, np.cumsum([len(r) // REF.itemsize for _, r in out])].astype(np.int32)
-        structs = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(places["block"])), pa.array(np.ascontiguousarray(places["at"]))], names=["block", "at"])
-        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in out], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), structs)], names=["word", "refs"])
 
+def packed_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over (refs, ids): a row (block, tokens) per block and batch, packed."""
     for batch in batches:
-        words = batch.column(0).to_pylist()
-        rows = np.empty(len(words), REF)
-        rows["block"], rows["at"] = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-        starts = [i for i, (a, b) in enumerate(zip([last, *words], words, strict=False)) if a != b or (i == 0 and len(refs) > MOST_REFS)]
-        out: list[tuple[bytes, bytes]] = []
-        refs += rows[: starts[0] if starts else len(words)].tobytes()
-        for i, j in pairwise([*starts, len(words)]):
-            if refs:
-                out.append((last, refs))
-            last, refs = words[i], rows[i:j].tobytes()
-        if out:
-            yield rows_of(out)
-    if refs:
-        yield rows_of([(last, refs)])
+        refs, ids = batch.column(0).to_pylist(), batch.column(1)
+        offsets, flat = ids.offsets.to_numpy(), ids.flatten().to_numpy().astype(np.int32)
+        row = np.repeat(np.arange(len(refs)), [len(r) // REF.itemsize for r in refs])
+        rows = np.frombuffer(b"".join(refs), REF)
+        order = np.lexsort((rows["at"], rows["block"]))
+        rows, starts, sizes = rows[order], (offsets[:-1] - offsets[0])[row[order]], np.diff(offsets).astype(np.int32)[row[order]]
+        out = []
+        for a, b in pairwise(np.flatnonzero(np.r_[True, np.diff(rows["block"]) != 0, True])) if len(rows) else ():
+            n = sizes[a:b]
+            where = np.repeat(starts[a:b] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(int(n.sum()))
+            out.append((int(rows["block"][a]), zstandard.compress(np.array([b - a], np.int32).tobytes() + rows["at"][a:b].tobytes() + n.tobytes() + flat[where].tobytes(), 3)))
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary())], names=["block", "tokens"])
 
 
 def documents_of_block(shared, schema: pa.Schema, digests: bool):  # noqa: ANN001, ANN201
@@ -258,20 +272,21 @@ def documents_of_block(shared, schema: pa.Schema, digests: bool):  # noqa: ANN00
 
     def run(documents: pa.Table, tokens: pa.Table) -> pa.Table:
         pieces = shared.value.pieces
-        listed: list = []
-        raw: list[bytes] = []
-        for text in tokens.column("tokens").to_pylist():
-            rows = text.split(";")
-            for row in rows:
-                at, _, ids = row.partition(":")
-                i = int(at)
-                if i >= len(listed):
-                    grow = i + 1 - len(listed)
-                    listed += [b""] * grow
-                    raw += [b""] * grow
-                listed[i] = ids.encode()
-                raw[i] = b"".join([pieces[int(k)] for k in ids.split(",")])
-        sizes = np.fromiter((x.count(b",") + 1 for x in listed), np.int64, len(listed))
+        names = [str(i).encode() for i in range(len(pieces))]
+        found = [zstandard.decompress(p) for p in tokens.column("tokens").to_pylist()]
+        heads = [int(np.frombuffer(f, np.int32, 1)[0]) for f in found]
+        total = sum(heads)
+        listed: list = [None] * total
+        raw, sizes = [b""] * total, np.zeros(total, np.int64)
+        for f, n in zip(found, heads, strict=True):
+            at, count = np.frombuffer(f, np.int32, n, 4), np.frombuffer(f, np.int32, n, 4 + 4 * n)
+            sizes[at] = count
+            own = np.frombuffer(f, np.int32, -1, 4 + 8 * n).tolist()
+            ends = np.cumsum(count).tolist()
+            for i, a, b in zip(at.tolist(), [0, *ends[:-1]], ends, strict=True):
+                ids = own[a:b]
+                listed[i] = b",".join([names[k] for k in ids]) if digests else ids
+                raw[i] = b"".join([pieces[k] for k in ids])
         tables = []
         for r in range(documents.num_rows):
             col = lambda name: documents.column(name)[r].as_py()  # noqa: B023, E731
@@ -286,7 +301,7 @@ def documents_of_block(shared, schema: pa.Schema, digests: bool):  # noqa: ANN00
                     joined = b",".join(map(listed.__getitem__, at))
                     out.append((int(sizes[own].sum()), sha256(joined).hexdigest(), sha256(decoded).hexdigest()))
                 else:
-                    out.append((list(map(int, b",".join(map(listed.__getitem__, at)).split(b","))) if at else [], decoded))
+                    out.append(([k for i in at for k in listed[i]], decoded))
             ids = pa.array(col("ids"), schema.field(0).type)
             tables.append(pa.Table.from_arrays([ids, *(pa.array([x[k] for x in out], schema.field(k + 1).type) for k in range(len(schema) - 1))], schema=schema))
         return pa.concat_tables(tables) if tables else schema.empty_table()
@@ -310,12 +325,9 @@ def encoded(docs: DataFrame, own: Vocabulary, pattern: str, *, id_col: str = "do
     dealt = min(max(tasks, parts), MOST_DEALT)  # a given number, as few bytes of packed words are much work
     schema = f"block long, part int, ids array<{kind.simpleString()}>, ends binary, places binary, words binary"
     blocks = written(rows.mapInPandas(word_blocks(pattern, shared, 4 * dealt), schema), "blocks", bucket_by="block", buckets=2 * tasks)
-    words = blocks.where("part IS NOT NULL").select("part", "block", "words").repartition(dealt, "part").select("block", "words")
-    words = words.mapInArrow(unpacked_words, "block long, at int, word binary").sortWithinPartitions("word").select("word", "block", "at")
-    words = words.mapInArrow(distinct_words, "word binary, refs array<struct<block:long,at:int>>")
-    words = words.select("refs", F.array_join(own.encode(F.col("word")).cast("array<string>"), ",").alias("ids"))
-    words = words.select(F.inline("refs"), "ids").withColumn("row", F.concat_ws(":", F.col("at").cast("string"), "ids"))
-    tokens = words.groupBy("block").agg(F.listagg("row", F.lit(";")).alias("tokens"))  # one text of at:ids;at:ids per block, of bounded size
+    words = blocks.where("part IS NOT NULL").select("part", "block", "words").repartition(dealt, "part").sortWithinPartitions("part")
+    words = words.mapInArrow(distinct_words, "word binary, refs binary")
+    tokens = words.select("refs", own.encode(F.col("word")).alias("ids")).mapInArrow(packed_tokens, "block long, tokens binary")
     documents = blocks.where("part IS NULL").select("block", "ids", "ends", "places")
     fields = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())] if digests else [("ids", T.ArrayType(T.IntegerType())), ("decoded", T.BinaryType())]
     out = T.StructType([T.StructField(id_col, kind), *(T.StructField(n, t) for n, t in fields)])
