@@ -19,12 +19,14 @@ from tidemark.llm.secrets import redacted
 
 
 def _key() -> Column:
-    """Tells rows apart that share an id."""
-    return F.xxhash64("doc_id", "text", "lang", "source")
+    """Tells rows apart that share an id: 128 bits of the row."""
+    row = ("doc_id", "text", "lang", "source")
+    return F.concat(*(F.lpad(F.hex(F.xxhash64(F.lit(seed), *row)), 16, "0") for seed in (1, 2)))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or lie outside their language and source's estimate go."""
+    """Documents that fail the base rules or lie outside their language and source's estimate go. Equal rows go or stay
+    together; an empty table gives none."""
     del spark, sf_dir
     judged = robust_outliers(docs.select(_key().alias("_key"), "text", "lang", "source"))
     kept = judged.where("kept").select(F.col("_row._key").alias("_key"))
@@ -52,13 +54,14 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix to the sources' targets takes them."""
+    """Documents as often as the mix to the sources' targets takes them, those that share an id alike. Empty and null texts
+    have no words and are never taken."""
     del spark, sf_dir
     return mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token count and digests of each taken document."""
+    """Token count and digests of each taken row, repeated rows each; a null text is empty."""
     del spark, sf_dir
     return token_digests(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
