@@ -18,8 +18,8 @@ def exposure_months(snaps: DataFrame, links: DataFrame, returns: DataFrame, mont
 
 def with_latest_report(rows: DataFrame, funda: DataFrame) -> DataFrame:
     """`rows` with the columns of the firm's last report, suffixed _funda."""
-    last = keep_one(funda, ["gvkey"], [F.desc_nulls_last("datadate")])
-    return rows.join(last.select("gvkey", *(F.col(c).alias(f"{c}_funda") for c in funda.columns if c != "gvkey")), "gvkey", "left")
+    last = keep_one(funda, ["gvkey"], [F.desc_nulls_last("datadate"), *([F.desc_nulls_last("year")] if "year" in funda.columns else [])]).drop("year")
+    return rows.join(last.select("gvkey", *(F.col(c).alias(f"{c}_funda") for c in last.columns if c != "gvkey")), "gvkey", "left")
 
 
 def largest(df: DataFrame, key: str, amount: str, n: int) -> DataFrame:

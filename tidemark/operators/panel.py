@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import geo_label, is_domestic, macro_area, stepped
@@ -32,42 +32,94 @@ def snapshots(segments: DataFrame) -> DataFrame:
     ).withColumnRenamed("srcdate", "segment_srcdate")
 
 
-def activation_dates(snaps: DataFrame, filings: DataFrame, lag_days: int = 1) -> DataFrame:
+def _present(df: DataFrame, column: str, kind: str = "date") -> Column:
+    """The column as `kind` where the table has it, else null; what does not parse is null."""
+    return F.col(column).try_cast(kind) if column in df.columns else F.lit(None).cast(kind)
+
+
+def _last_shard(df: DataFrame, *keys: str) -> list[Column]:
+    """An order in which the row of the latest yearly shard comes first; other columns, largest first, break ties."""
+    rest = [c for c in df.columns if c not in (*keys, "year")]
+    return [*([F.desc_nulls_last("year")] if "year" in df.columns else []), *(F.desc_nulls_last(c) for c in sorted(rest))]
+
+
+def prepared_filings(filings: DataFrame) -> DataFrame:
+    """The earliest filing of each firm and fiscal date, with the column that its date is from: pdate, else fdate; unless the
+    table names filing_date and filing_date_source itself. Filings without a date come last."""
+    pdate, fdate = _present(filings, "pdate"), _present(filings, "fdate")
+    own_date, own_source = "filing_date" in filings.columns, "filing_date_source" in filings.columns
+    rows = filings.select(
+        F.col("gvkey").cast("string").alias("gvkey"), F.col("datadate").try_cast("date").alias("datadate"),
+        (F.col("filing_date").try_cast("date") if own_date else F.coalesce(pdate, fdate)).alias("filing_date"),
+        (F.col("filing_date_source") if own_source else F.when(pdate.isNotNull(), "pdate").when(fdate.isNotNull(), "fdate").otherwise("missing")).alias("filing_date_source"),
+    )
+    return keep_one(rows.where("datadate IS NOT NULL"), ["gvkey", "datadate"], [F.asc_nulls_last("filing_date"), F.asc_nulls_last("filing_date_source")])
+
+
+def activation_dates(snaps: DataFrame, filings: DataFrame | None, lag_days: int = 1) -> DataFrame:
     """The day from which a snapshot may be used: filing date, else source date, plus the lag; and which it was."""
-    found = snaps.join(filings.select("gvkey", F.col("datadate").alias("segment_datadate"), "filing_date"), ["gvkey", "segment_datadate"], "left")
+    if filings is None:
+        found = snaps.withColumns({"filing_date": F.lit(None).cast("date"), "filing_date_source": F.lit("missing")})
+    else:
+        found = snaps.join(prepared_filings(filings).withColumnRenamed("datadate", "segment_datadate"), ["gvkey", "segment_datadate"], "left")
     return found.select(
         *snaps.columns, F.date_add(F.coalesce("filing_date", "segment_srcdate"), lag_days).alias("segment_activation_date"),
-        F.when(F.col("filing_date").isNotNull(), "filing_date").otherwise("srcdate_fallback").alias("activation_source"),
+        F.when(F.col("filing_date").isNotNull(), F.col("filing_date_source")).otherwise("srcdate_fallback").alias("activation_source"),
     )
 
 
+def prepared_returns(returns: DataFrame) -> DataFrame:
+    """Numbers as numbers, and of the rows of one permno and date that of the latest shard."""
+    numbers = {c: F.col(c).try_cast("double") for c in ("ret", "retx", "prc", "mktcap", "vol") if c in returns.columns}
+    rows = returns.withColumns({"date": F.col("date").try_cast("date"), "permno": F.col("permno").try_cast("long"), **numbers}).where("date IS NOT NULL AND permno IS NOT NULL")
+    return keep_one(rows, ["permno", "date"], _last_shard(rows, "permno", "date")).drop("year")
+
+
+def prepared_links(links: DataFrame) -> DataFrame:
+    """Each link once; an open end is far in the future."""
+    rows = links.withColumns({"gvkey": F.col("gvkey").cast("string"), "permno": F.col("permno").try_cast("long"), "linkdt": F.col("linkdt").try_cast("date")})
+    rows = rows.withColumn("linkenddt", F.coalesce(F.col("linkenddt").try_cast("date"), F.lit("2100-01-01").cast("date")))
+    return rows.where("permno IS NOT NULL AND linkdt IS NOT NULL").dropDuplicates(["gvkey", "permno", "linkdt", "linkenddt", "linktype", "linkprim"])
+
+
 def linked_returns(returns: DataFrame, links: DataFrame) -> DataFrame:
     """Returns with the firm of the best link valid on their date: largest linkprim, then linktype, then linkdt."""
-    found = interval_join(returns, links, ["permno"], "date", "linkdt", "linkenddt")
+    returns, links = prepared_returns(returns), prepared_links(links)
+    found = interval_join(returns, links.select("gvkey", "permno", "linkdt", "linkenddt", "linktype", "linkprim"), ["permno"], "date", "linkdt", "linkenddt")
     best = keep_one(found, ["permno", "date"], [F.desc_nulls_last(c) for c in ("linkprim", "linktype", "linkdt", "gvkey")])
     return best.select("gvkey", *returns.columns)
 
 
 def available_fundamentals(funda: DataFrame) -> DataFrame:
-    """Public date of each report: pdate, else fdate, else six months after the fiscal date; and which it was."""
-    return funda.select(
-        "*", F.coalesce("pdate", "fdate", F.add_months("datadate", 6)).alias("funda_avail_date"),
-        F.when(F.col("pdate").isNotNull(), "pdate").when(F.col("fdate").isNotNull(), "fdate").otherwise("datadate_plus_6m").alias("funda_avail_source"),
-    )
+    """Public date of each report: pdate, else fdate, else six months after the fiscal date; and which it was. Of a firm's
+    reports that became public on one day, that of the latest fiscal date and then of the latest shard stays."""
+    pdate, fdate = _present(funda, "pdate"), _present(funda, "fdate")
+    numbers = {c: F.col(c).try_cast("double") for c in ("at", "sale", "revt", "ceq", "ni", "capx", "xrd", "dltt", "dlc", "prcc_f", "csho") if c in funda.columns}
+    rows = funda.withColumns({"gvkey": F.col("gvkey").cast("string"), "datadate": F.col("datadate").try_cast("date"), **numbers}).where("datadate IS NOT NULL")
+    rows = rows.withColumns({
+        "funda_avail_date": F.coalesce(pdate, fdate, F.add_months("datadate", 6)),
+        "funda_avail_source": F.when(pdate.isNotNull(), "pdate").when(fdate.isNotNull(), "fdate").otherwise("fallback_6m"),
+    })
+    return keep_one(rows, ["gvkey", "funda_avail_date"], [F.desc("datadate"), *_last_shard(rows, "gvkey", "funda_avail_date", "datadate")]).drop("year")
 
 
 def scaled_factors(factors: DataFrame, columns: tuple[str, ...] = ("mktrf", "smb", "hml", "umd", "rf")) -> DataFrame:
-    """Columns with any value beyond 1 are in percent and divided by 100 as a whole. The decision is one row, joined to all."""
-    top = factors.agg(*(F.max(F.abs(c)).alias(f"_{c}") for c in columns))
+    """One row a month, of the latest shard. Columns with any value beyond 1 are in percent and divided by 100 as a whole;
+    the decision is one row, joined to all. The month is dateff, or the month end of date where there is none."""
+    columns = tuple(c for c in columns if c in factors.columns)
+    number = lambda c: F.col(c).try_cast("double")
+    top = factors.agg(*(F.max(F.abs(number(c))).alias(f"_{c}") for c in columns))
+    day = F.col("dateff").try_cast("date") if "dateff" in factors.columns else F.last_day(F.col("date").try_cast("date"))
     rows = factors.join(F.broadcast(top))  # one row
-    return rows.select(F.last_day("dateff").alias("factor_date"), *(F.when(F.col(f"_{c}") > 1, F.col(c) / 100).otherwise(F.col(c)).alias(c) for c in columns))
+    rows = rows.select(day.alias("factor_date"), *(F.when(F.col(f"_{c}") > 1, number(c) / 100).otherwise(number(c)).alias(c) for c in columns), *(["year"] if "year" in factors.columns else []))
+    return keep_one(rows, ["factor_date"], _last_shard(rows, "factor_date")).drop("year")
 
 
 def monthly_panel(returns: DataFrame, links: DataFrame, active: DataFrame, funda: DataFrame, factors: DataFrame) -> DataFrame:
     """Firm-months with the exposure and fundamentals known strictly before, factors, and the next row's return."""
     rows = asof_join(linked_returns(returns, links), active, ["gvkey"], "date", "segment_activation_date", ties=["segment_srcdate"])
     rows = rows.where(F.col("segment_srcdate").isNotNull())
-    reports = available_fundamentals(funda).drop("pdate", "fdate").withColumnRenamed("datadate", "funda_datadate")
+    reports = available_fundamentals(funda).drop("pdate", "fdate", "year").withColumnRenamed("datadate", "funda_datadate")
     rows = asof_join(rows, reports, ["gvkey"], "date", "funda_avail_date", ties=["funda_datadate"])
     rows = rows.join(scaled_factors(factors), F.col("date") == F.col("factor_date"), "left").drop("factor_date")
     rows = rows.withColumn("excess_ret", F.col("ret") - F.col("rf"))

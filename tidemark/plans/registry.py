@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
 from ..operators import exposure_panel, features, gates, macro, models, panel, xsec
-from ..operators.asof import keep_one
 from .fixtures import duckdb_views, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,9 +56,16 @@ def _states(spark: SparkSession, d: str) -> DataFrame:
     return macro.macro_states(view(spark, d, "fx_macro"))
 
 
+def _firm_months(spark: SparkSession, d: str) -> DataFrame:
+    return _panel(spark, d).select("gvkey", "permno", "date", "segment_srcdate").distinct()
+
+
+def _tensor(spark: SparkSession, d: str) -> DataFrame:
+    return macro.macro_tensor(_panel(spark, d).select("gvkey", "permno", "date", "segment_srcdate", "foreign_share"), _tokens(spark, d), _states(spark, d), ["rev_america", "fedfunds"])
+
+
 def _on_tokens(spark: SparkSession, d: str) -> DataFrame:
-    months = _panel(spark, d).select("gvkey", "permno", "date", "segment_srcdate").distinct()
-    return macro.macro_on_tokens(months.join(_tokens(spark, d), ["gvkey", "segment_srcdate"]), _states(spark, d))
+    return macro.macro_on_tokens(_firm_months(spark, d).join(_tokens(spark, d), ["gvkey", "segment_srcdate"]), _states(spark, d))
 
 
 def _stacked(df: DataFrame, metrics: dict[str, Column]) -> DataFrame:
@@ -113,16 +119,19 @@ CHAIN = {
     "snap": """select gvkey, srcdate as segment_srcdate, max(datadate) as segment_datadate, sum(s) as segment_sales_sum, count(distinct geo_label) as geo_count,
   floor(coalesce(sum(share) filter (where not home), 0) * 1e9 + 0.50001) / 1e9 as foreign_share, floor(coalesce(sum(share) filter (where home), 0) * 1e9 + 0.50001) / 1e9 as domestic_share,
   floor(sum(s * s) / (sum(s) * sum(s)) * 1e9 + 0.50001) / 1e9 as geo_hhi, floor(max(share) * 1e9 + 0.50001) / 1e9 as top_geo_share, cast(sum(n) as bigint) as segment_rows from share group by gvkey, srcdate""",
-    "act": "select snap.*, coalesce(filing_date, segment_srcdate) + 1 as segment_activation_date, case when filing_date is not null then 'filing_date' else 'srcdate_fallback' end as activation_source from snap left join fx_filings f on f.gvkey = snap.gvkey and f.datadate = segment_datadate",
-    "lnk": "select l.gvkey, r.*, l.linkprim, l.linktype, l.linkdt from fx_returns r join fx_links l on r.permno = l.permno and r.date >= linkdt and (linkenddt is null or r.date <= linkenddt)",
+    "fil": "select *, coalesce(pdate, fdate) as filing_date, case when pdate is not null then 'pdate' when fdate is not null then 'fdate' else 'missing' end as filing_date_source from fx_filings qualify row_number() over (partition by gvkey, datadate order by coalesce(pdate, fdate) nulls last) = 1",
+    "act": "select snap.*, coalesce(filing_date, segment_srcdate) + 1 as segment_activation_date, case when filing_date is not null then filing_date_source else 'srcdate_fallback' end as activation_source from snap left join fil f on f.gvkey = snap.gvkey and f.datadate = segment_datadate",
+    "lks": "select distinct gvkey, permno, linkdt, linkenddt, linktype, linkprim from fx_links",
+    "rets": "select * exclude (year) from fx_returns qualify row_number() over (partition by permno, date order by year desc) = 1",
+    "lnk": "select l.gvkey, r.*, l.linkprim, l.linktype, l.linkdt from rets r join lks l on r.permno = l.permno and r.date >= linkdt and (linkenddt is null or r.date <= linkenddt)",
     "best": "select * exclude (linkprim, linktype, linkdt) from lnk qualify row_number() over (partition by permno, date order by linkprim desc, linktype desc, linkdt desc, gvkey desc) = 1",
     "act1": "select * from act qualify row_number() over (partition by gvkey, segment_activation_date order by segment_srcdate desc) = 1",
     "p1": "select b.*, a.* exclude (gvkey) from best b asof join act1 a on b.gvkey = a.gvkey and b.date > a.segment_activation_date",
-    "fund": "select * exclude (pdate, fdate, datadate), datadate as funda_datadate, coalesce(pdate, fdate, cast(datadate + interval 6 month as date)) as funda_avail_date, case when pdate is not null then 'pdate' when fdate is not null then 'fdate' else 'datadate_plus_6m' end as funda_avail_source from fx_funda",
-    "fund1": "select * from fund qualify row_number() over (partition by gvkey, funda_avail_date order by funda_datadate desc) = 1",
+    "fund": "select * exclude (pdate, fdate, datadate), datadate as funda_datadate, coalesce(pdate, fdate, cast(datadate + interval 6 month as date)) as funda_avail_date, case when pdate is not null then 'pdate' when fdate is not null then 'fdate' else 'fallback_6m' end as funda_avail_source from fx_funda",
+    "fund1": "select * exclude (year) from fund qualify row_number() over (partition by gvkey, funda_avail_date order by funda_datadate desc, year desc) = 1",
     "p2": "select p1.*, f.* exclude (gvkey) from p1 asof left join fund1 f on p1.gvkey = f.gvkey and p1.date > f.funda_avail_date",
     "top": "select " + ", ".join(f"max(abs({c})) > 1 as x_{c}" for c in ("mktrf", "smb", "hml", "umd", "rf")) + " from fx_factors",
-    "fac": "select dateff as factor_date, " + ", ".join(f"case when x_{c} then {c} / 100 else {c} end as {c}" for c in ("mktrf", "smb", "hml", "umd", "rf")) + " from fx_factors, top",
+    "fac": "select dateff as factor_date, " + ", ".join(f"case when x_{c} then {c} / 100 else {c} end as {c}" for c in ("mktrf", "smb", "hml", "umd", "rf")) + " from fx_factors, top qualify row_number() over (partition by dateff order by year desc) = 1",
     "p3": "select p2.*, f.* exclude (factor_date), ret - f.rf as e from p2 left join fac f on p2.date = f.factor_date",
     "pan": "select * exclude (e), floor(e * 1e9 + 0.50001) / 1e9 as excess_ret, lead(ret) over (partition by permno order by date) as next_month_ret, floor(lead(e) over (partition by permno order by date) * 1e9 + 0.50001) / 1e9 as next_month_excess_ret from p3",
     "use_": "select * from pan where foreign_share is not null and next_month_excess_ret is not null and date <= date '2025-12-31'",
@@ -147,6 +156,10 @@ CHAIN = {
     "mt0": "select p.gvkey, p.permno, p.date, p.segment_srcdate, geo_label, macro_area, revenue_share from (select distinct gvkey, permno, date, segment_srcdate from pan) p join tok t on p.gvkey = t.gvkey and p.segment_srcdate = t.segment_srcdate",
     "mt1": "select m.*, s.series_name, case when exists (select 1 from st x where x.series_name = s.series_name and x.macro_area = m.macro_area) then m.macro_area else 'GLOBAL' end as area from mt0 m, (select distinct series_name from st) s",
     "mt2": "select m.*, s.value, s.value_delta_1m, s.value_delta_12m from mt1 m asof left join st s on m.series_name = s.series_name and m.area = s.macro_area and m.date >= s.available_date",
+    "mwide0": "select gvkey, permno, date, count(distinct geo_label) as token_rows, count(distinct geo_label) as geos, count(distinct macro_area) as areas, {sums} from mt2 group by all".format(
+        sums=", ".join(f"sum(revenue_share * {c}) filter (where series_name = '{n}') as {n}_{c}" for n in ("rev_america", "fedfunds") for c in ("value", "value_delta_1m", "value_delta_12m"))
+    ),
+    "mcov": "select gvkey, permno, date, sum(case when known then revenue_share else 0 end) as covered from (select gvkey, permno, date, geo_label, any_value(revenue_share) as revenue_share, bool_or(value is not null or value_delta_1m is not null or value_delta_12m is not null) as known from mt2 group by 1, 2, 3, 4) group by 1, 2, 3",
 }
 
 
@@ -162,7 +175,7 @@ def _gates(spark: SparkSession, d: str) -> DataFrame:
     rows, lines = _panel(spark, d), view(spark, d, "lineitem")
     return gates.all_of(
         gates.not_empty(rows, "panel_rows"), gates.unique_keys(rows, "panel_keys", ["permno", "date"]), gates.unique_keys(lines, "line_keys", ["l_orderkey", "l_linenumber"]),
-        gates.gate(rows, "filing_match", F.avg((F.col("activation_source") == "filing_date").cast("double")) >= 0.5, F.count(F.when(F.col("activation_source") == "filing_date", 1))),
+        gates.gate(rows, "filing_match", F.avg((F.col("activation_source") != "srcdate_fallback").cast("double")) >= 0.5, F.count(F.when(F.col("activation_source") != "srcdate_fallback", 1))),
     )
 
 
@@ -238,9 +251,15 @@ REGISTERED: dict[str, tuple[Query, str | None]] = {
     ),
     "activation_dates": (lambda s, d: _active(s, d).select("gvkey", "segment_srcdate", "segment_activation_date", "activation_source"), "select gvkey, segment_srcdate, segment_activation_date, activation_source from act"),
     "activation_sources": (lambda s, d: _active(s, d).groupBy("activation_source").agg(F.count("*").alias("n")), "select activation_source, count(*) as n from act group by 1"),
-    "filing_dedupe": (
-        lambda s, d: keep_one(panel.available_fundamentals(view(s, d, "fx_funda")), ["gvkey"], [F.asc_nulls_last("funda_avail_date"), F.asc("datadate")]).select("gvkey", "datadate", "funda_avail_date", "funda_avail_source"),
-        "select gvkey, funda_datadate as datadate, funda_avail_date, funda_avail_source from fund qualify row_number() over (partition by gvkey order by funda_avail_date, funda_datadate) = 1",
+    "filing_dedupe": (lambda s, d: panel.prepared_filings(view(s, d, "fx_filings")), "select gvkey, datadate, filing_date, filing_date_source from fil"),
+    "funda_available": (
+        lambda s, d: panel.available_fundamentals(view(s, d, "fx_funda")).select("gvkey", "datadate", "funda_avail_date", "funda_avail_source", q6("at").alias("at")),
+        f"select gvkey, funda_datadate as datadate, funda_avail_date, funda_avail_source, {_d6('f.at', 'at')} from fund1 f",
+    ),
+    "returns_dedupe": (lambda s, d: panel.prepared_returns(view(s, d, "fx_returns")).select("permno", "date", q6("ret").alias("ret")), f"select permno, date, {_d6('ret')} from rets"),
+    "links_distinct": (
+        lambda s, d: panel.prepared_links(view(s, d, "fx_links")),
+        "select distinct gvkey, permno, linkdt, coalesce(linkenddt, date '2100-01-01') as linkenddt, linktype, linkprim from fx_links",
     ),
     "link_interval_join": (lambda s, d: panel.linked_returns(view(s, d, "fx_returns"), view(s, d, "fx_links")).select("gvkey", "permno", "date", q6("ret").alias("ret")), f"select gvkey, permno, date, {_d6('ret')} from best"),
     "factor_scale": (lambda s, d: _q(panel.scaled_factors(view(s, d, "fx_factors")), "mktrf", "smb", "hml", "umd", "rf"), "select factor_date, " + ", ".join(_d6(c) for c in ("mktrf", "smb", "hml", "umd", "rf")) + " from fac"),
@@ -282,7 +301,7 @@ REGISTERED: dict[str, tuple[Query, str | None]] = {
     ),
     "net_spread": (_net, f"select date, {_d6('q5_ret - q1_ret', 'gross')}, {_d6('q5_ret - q1_ret - 0.001::double * coalesce((lt + st) / 2, 0)', 'net')} from spr left join trn using (date)"),
     "factor_alpha_nw": (_alpha, None),
-    "macro_states_delta": (lambda s, d: _q(_states(s, d), "value", "value_delta_1m", "value_delta_12m"), "select * replace (" + ", ".join(_d6(c) for c in ("value", "value_delta_1m", "value_delta_12m")) + ") from st"),
+    "macro_states_delta": (lambda s, d: _q(_states(s, d), "value", "value_delta_1m", "value_delta_12m").drop("availability_source", "vintage_safe"), "select * replace (" + ", ".join(_d6(c) for c in ("value", "value_delta_1m", "value_delta_12m")) + ") from st"),
     "macro_fallback": (
         lambda s, d: _q(_on_tokens(s, d).groupBy("series_name", "macro_area").agg(F.count("*").alias("n"), F.count("value").alias("known"), F.max("available_date").alias("last")), ),
         "select m.series_name, m.macro_area, count(*) as n, count(m.value) as known, max(s.available_date) as last from mt1 x join mt2 m on x.gvkey = m.gvkey and x.permno = m.permno and x.date = m.date and x.geo_label = m.geo_label and x.series_name = m.series_name asof left join st s on x.series_name = s.series_name and x.area = s.macro_area and x.date >= s.available_date group by 1, 2",
@@ -291,6 +310,24 @@ REGISTERED: dict[str, tuple[Query, str | None]] = {
         lambda s, d: _q(macro.macro_interactions(_on_tokens(s, d), ["gvkey", "permno", "date"]), "segment_macro_value", "segment_macro_value_delta_1m", "segment_macro_value_delta_12m", "revenue_share_covered"),
         "select gvkey, permno, date, series_name, " + ", ".join(_d6(f"coalesce(sum(revenue_share * {c}), 0)", f"segment_macro_{c}") for c in ("value", "value_delta_1m", "value_delta_12m")) + f", count(*) as macro_token_rows, {_d6('coalesce(sum(revenue_share) filter (where value is not null), 0)', 'revenue_share_covered')} from mt2 group by 1, 2, 3, 4",
     ),
+    "macro_tensor_panel": (
+        lambda s, d: (lambda t: t.drop("segment_srcdate", "foreign_share").withColumns({c: q6(c) for c in t.columns if c.startswith("segment_macro_")} | {"macro_revenue_share_covered": q6("macro_revenue_share_covered")}))(_tensor(s, d)),
+        "select p.gvkey, p.permno, p.date, token_rows as macro_token_rows, geos as macro_geo_count, areas as macro_area_count, "
+        + ", ".join(_d6(f"case when token_rows is not null then coalesce({n}_{c}, 0) end", f"segment_macro_{n}{c[5:]}") for n in ("rev_america", "fedfunds") for c in ("value", "value_delta_1m", "value_delta_12m"))
+        + f", {_d6('covered', 'macro_revenue_share_covered')} from pan p left join mwide0 w on p.gvkey = w.gvkey and p.permno = w.permno and p.date = w.date left join mcov v on p.gvkey = v.gvkey and p.permno = v.permno and p.date = v.date",
+    ),
+    "macro_coverage": (
+        lambda s, d: _q(macro.coverage(_tensor(s, d)), "macro_coverage_rate", "mean_macro_revenue_share_covered", "joined_token_match_rate"),
+        f"select count(*) as panel_rows, count(token_rows) as firm_month_rows, cast(sum(token_rows) as bigint) as token_rows, {_d6('avg(case when token_rows is not null then case when covered > 0 then 1.0 else 0.0 end end)', 'macro_coverage_rate')}, {_d6('avg(covered)', 'mean_macro_revenue_share_covered')}, {_d6('count(token_rows) / count(*)', 'joined_token_match_rate')} from pan p left join mwide0 w on p.gvkey = w.gvkey and p.permno = w.permno and p.date = w.date left join mcov v on p.gvkey = v.gvkey and p.permno = v.permno and p.date = v.date",
+    ),
+    "macro_availability": (
+        lambda s, d: macro.macro_states(view(s, d, "fx_macro").withColumn("realtime_start", F.col("available_date")).withColumn("available_date", F.lit(None).cast("date")), release_lag_days=5).groupBy("availability_source", "vintage_safe").agg(F.count("*").alias("n"), F.min("available_date").alias("first")),
+        "select 'realtime_start' as availability_source, true as vintage_safe, count(*) as n, min(available_date) as first from st",
+    ),
+    "macro_profile": (
+        lambda s, d: macro.profile(_states(s, d)).select("rows", F.array_join("series", ",").alias("series"), F.array_join("macro_areas", ",").alias("macro_areas"), "availability_source", "vintage_safe"),
+        "select count(*) as rows, string_agg(distinct series_name, ',' order by series_name) as series, string_agg(distinct macro_area, ',' order by macro_area) as macro_areas, 'available_date' as availability_source, true as vintage_safe from st",
+    ),
     "feature_frame": (
         lambda s, d: _q(features.feature_frame(_panel(s, d), holdout="2001-01-01"), *features.DERIVED),
         "select gvkey, permno, date, " + ", ".join(_d6(e, n) for n, e in features.DERIVED_SQL.items()) + " from pan where date < date '2001-01-01'",
@@ -312,12 +349,12 @@ REGISTERED: dict[str, tuple[Query, str | None]] = {
         "select least(cast(floor(foreign_share * 40) as bigint) + 1, 40) as bin, count(*) as n from pan where foreign_share is not null group by 1",
     ),
     "exposure_months": (
-        lambda s, d: _q(exposure_panel.exposure_months(_snaps(s, d).select("gvkey", "segment_srcdate", "foreign_share"), view(s, d, "fx_links"), view(s, d, "fx_returns").select("permno", "date", "ret")), "foreign_share", "ret"),
-        f"select s.gvkey, l.permno, s.segment_srcdate, r.date, {_d6('foreign_share')}, {_d6('ret')} from snap s join fx_links l on s.gvkey = l.gvkey and s.segment_srcdate >= linkdt and (linkenddt is null or s.segment_srcdate <= linkenddt) join fx_returns r on r.permno = l.permno and r.date > s.segment_srcdate and r.date <= cast(s.segment_srcdate + interval 12 month as date)",
+        lambda s, d: _q(exposure_panel.exposure_months(_snaps(s, d).select("gvkey", "segment_srcdate", "foreign_share"), panel.prepared_links(view(s, d, "fx_links")), panel.prepared_returns(view(s, d, "fx_returns")).select("permno", "date", "ret")), "foreign_share", "ret"),
+        f"select s.gvkey, l.permno, s.segment_srcdate, r.date, {_d6('foreign_share')}, {_d6('ret')} from snap s join lks l on s.gvkey = l.gvkey and s.segment_srcdate >= linkdt and (linkenddt is null or s.segment_srcdate <= linkenddt) join rets r on r.permno = l.permno and r.date > s.segment_srcdate and r.date <= cast(s.segment_srcdate + interval 12 month as date)",
     ),
     "latest_report": (
-        lambda s, d: _q(exposure_panel.with_latest_report(view(s, d, "fx_links").select("gvkey", "permno"), view(s, d, "fx_funda").select("gvkey", "datadate", "ni")), "ni_funda"),
-        f"select l.gvkey, l.permno, f.datadate as datadate_funda, {_d6('f.ni', 'ni_funda')} from fx_links l left join (select * from fx_funda qualify row_number() over (partition by gvkey order by datadate desc) = 1) f on f.gvkey = l.gvkey",
+        lambda s, d: _q(exposure_panel.with_latest_report(panel.prepared_links(view(s, d, "fx_links")).select("gvkey", "permno"), view(s, d, "fx_funda").select("gvkey", "datadate", "ni", "year")), "ni_funda"),
+        f"select l.gvkey, l.permno, f.datadate as datadate_funda, {_d6('f.ni', 'ni_funda')} from lks l left join (select * from fx_funda qualify row_number() over (partition by gvkey order by datadate desc, year desc) = 1) f on f.gvkey = l.gvkey",
     ),
     "largest_firms": (lambda s, d: _q(exposure_panel.largest(_snaps(s, d), "gvkey", "segment_sales_sum", 25), "total"), f"select gvkey, {_d6('sum(segment_sales_sum)', 'total')} from snap group by gvkey order by sum(segment_sales_sum) desc, gvkey limit 25"),
     "sector_matrix": (
@@ -329,7 +366,7 @@ REGISTERED: dict[str, tuple[Query, str | None]] = {
         "select 'panel_rows' as check, case when count(*) > 0 then 'ok' else 'fail' end as status, cast(count(*) as varchar) as detail from pan"
         " union all select 'panel_keys', case when count(*) = count(distinct (permno, date)) then 'ok' else 'fail' end, cast(count(*) - count(distinct (permno, date)) as varchar) from pan"
         " union all select 'line_keys', case when count(*) = count(distinct (l_orderkey, l_linenumber)) then 'ok' else 'fail' end, cast(count(*) - count(distinct (l_orderkey, l_linenumber)) as varchar) from lineitem"
-        " union all select 'filing_match', case when avg(case when activation_source = 'filing_date' then 1.0 else 0.0 end) >= 0.5 then 'ok' else 'needs_review' end, cast(count(*) filter (where activation_source = 'filing_date') as varchar) from pan",
+        " union all select 'filing_match', case when avg(case when activation_source <> 'srcdate_fallback' then 1.0 else 0.0 end) >= 0.5 then 'ok' else 'needs_review' end, cast(count(*) filter (where activation_source <> 'srcdate_fallback') as varchar) from pan",
     ),
     "claim_gate": (
         _claims,
