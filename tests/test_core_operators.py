@@ -3,11 +3,12 @@ from __future__ import annotations
 import math
 from datetime import date
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as fn
-from tidemark.operators import macro, panel, xsec
+from tidemark.operators import macro, panel, robustness, xsec
 from tidemark.operators.asof import asof_join, interval_join, keep_one
 
 
@@ -96,8 +97,41 @@ def test_t_stat_turnover_and_alpha(spark):
     turned = xsec.turnover(spark.createDataFrame([("m", *r) for r in names], "variant string, date date, permno int, quintile int"), ["variant"]).orderBy("date").collect()
     assert [r["long_short_turnover"] for r in turned] == [None, 0.5]
     months = [("m", date(2020 + i // 12, i % 12 + 1, 1), 0.01 + 2.0 * f + 0.001 * (-1) ** i, f) for i in range(24) for f in [math.sin(i)]]
-    fit = xsec.factor_alphas(spark.createDataFrame(months, "variant string, date date, y double, f double"), ["variant"], "y", ["f"]).first()
-    assert abs(fit["alpha"] - 0.01) < 1e-3 and fit["alpha_t"] > 10 and fit["r2"] > 0.99 and fit["n_months"] == 24
+    fit = robustness.factor_alphas(spark.createDataFrame(months, "variant string, date date, y double, f double"), ["variant"], "y", ["f"], lags=3).first()
+    x, y = np.array([[1.0, m[3]] for m in months]), np.array([m[2] for m in months])
+    beta = np.linalg.lstsq(x, y, rcond=None)[0]
+    u = x * (y - x @ beta)[:, None]
+    middle = u.T @ u
+    for k in (1, 2, 3):
+        middle += (1 - k / 4) * (u[k:].T @ u[:-k] + u[:-k].T @ u[k:])
+    bread = np.linalg.inv(x.T @ x)
+    assert math.isclose(fit["alpha"], beta[0], rel_tol=1e-9) and math.isclose(fit["beta_f"], beta[1], rel_tol=1e-9)
+    assert math.isclose(fit["alpha_t"], beta[0] / math.sqrt((bread @ middle @ bread)[0, 0]), rel_tol=1e-6) and fit["r2"] > 0.99 and fit["n_months"] == 24
+
+
+def test_filings_keep_the_earliest_and_name_their_source(spark):
+    snaps = spark.createDataFrame([("f", date(2020, 2, 29), date(2020, 3, 31)), ("g", date(2020, 2, 29), date(2020, 3, 31))], "gvkey string, segment_datadate date, segment_srcdate date")
+    filings = spark.createDataFrame([("f", date(2020, 2, 29), None, date(2020, 4, 20)), ("f", date(2020, 2, 29), date(2020, 4, 10), None), ("g", None, date(2020, 1, 1), None)], "gvkey string, datadate date, pdate date, fdate date")
+    rows = {r["gvkey"]: (r["segment_activation_date"], r["activation_source"]) for r in panel.activation_dates(snaps, filings).collect()}
+    assert rows == {"f": (date(2020, 4, 11), "pdate"), "g": (date(2020, 4, 1), "srcdate_fallback")}
+    assert {r["activation_source"] for r in panel.activation_dates(snaps, None).collect()} == {"srcdate_fallback"}
+
+
+def test_repeated_inputs_keep_one_row(spark):
+    returns = spark.createDataFrame([(1, date(2020, 1, 31), "0.1", 2019), (1, date(2020, 1, 31), "0.2", 2020), (1, None, "1", 2020), (2, date(2020, 1, 31), "x", 2020)], "permno int, date date, ret string, year int")
+    assert {r["permno"]: r["ret"] for r in panel.prepared_returns(returns).collect()} == {1: 0.2, 2: None}
+    factors = spark.createDataFrame([(date(2020, 1, 31), 0.5, 2019), (date(2020, 1, 31), 0.25, 2020)], "dateff date, mktrf double, year int")
+    assert [r["mktrf"] for r in panel.scaled_factors(factors).collect()] == [0.25]
+
+
+def test_macro_tensor_is_wide_and_covers_any_value(spark):
+    states = macro.macro_states(spark.createDataFrame([("s", "GLOBAL", date(2020, 1, 1), date(2020, 1, 20), 1.5)], "series_id string, macro_area string, date date, available_date date, value double"))
+    tokens = spark.createDataFrame([("f", date(2019, 12, 31), "USA", "USA", 0.6), ("f", date(2019, 12, 31), "Germany", "EUROPE", 0.4)], "gvkey string, segment_srcdate date, geo_label string, macro_area string, revenue_share double")
+    rows = spark.createDataFrame([("f", 1, d, date(2019, 12, 31)) for d in (date(2020, 1, 10), date(2020, 1, 31), date(2024, 6, 30))] + [("g", 2, date(2020, 1, 31), date(2019, 12, 31))], "gvkey string, permno int, date date, segment_srcdate date")
+    out = {(r["gvkey"], r["date"]): r for r in macro.macro_tensor(rows, tokens, states).collect()}
+    assert [(round(out["f", d]["segment_macro_s"], 9), out["f", d]["macro_revenue_share_covered"], out["f", d]["macro_area_count"]) for d in (date(2020, 1, 10), date(2020, 1, 31), date(2024, 6, 30))] == [(0.0, 0.0, 2), (1.5, 1.0, 2), (1.5, 1.0, 2)]
+    assert out["g", date(2020, 1, 31)]["segment_macro_s"] is None
+    assert macro.coverage(macro.macro_tensor(rows, tokens, states)).first()["macro_coverage_rate"] == 2 / 3
 
 
 def test_boosted_queries_take_all_yearly_folds_and_default_rounds(spark, monkeypatch):

@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEAST, DISTINCT = 25, 5
 
 
-def quintiles(df: DataFrame, x: str, *, date: str = "date", tie: str = "permno", out: str = "quintile") -> DataFrame:
-    """Quintile of x within each date, first-come ranks by x then `tie`, edges interpolated between ranks; null where the
+def quintiles(df: DataFrame, x: str, *, by: list[str] | None = None, date: str = "date", tie: str = "permno", out: str = "quintile") -> DataFrame:
+    """Quintile of x within each date (and `by`), first-come ranks by x then `tie`, edges interpolated between ranks; null where the
     date has fewer than 25 values or 5 different ones, or x is null."""
     has = F.col(x).isNotNull()
-    sizes = df.where(has).groupBy(date).agg(F.count(x).alias("_n"), F.count_distinct(x).alias("_d"))
-    ranked = df.join(sizes, date, "left").withColumn("_r", F.row_number().over(Window.partitionBy(date).orderBy(F.asc_nulls_last(x), tie)))
+    groups = [*(by or []), date]
+    sizes = df.where(has).groupBy(*groups).agg(F.count(x).alias("_n"), F.count_distinct(x).alias("_d"))
+    ranked = df.join(sizes, groups, "left").withColumn("_r", F.row_number().over(Window.partitionBy(*groups).orderBy(F.asc_nulls_last(x), tie)))
     n, r = F.col("_n"), F.col("_r")
     q = F.greatest(F.lit(1), F.floor((5 * (r - 1) + n - 2) / (n - 1)).cast("int"))
     return ranked.withColumn(out, F.when(has & (n >= LEAST) & (F.col("_d") >= DISTINCT), q)).drop("_n", "_d", "_r")
@@ -41,13 +40,14 @@ def average_rank(x: str, by: list[str]) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(x)) + (F.count("*").over(Window.partitionBy(*by, x)) - 1) / 2
 
 
-def rank_ic(df: DataFrame, x: str, y: str, *, date: str = "date", least: int = LEAST, distinct: int = 3) -> DataFrame:
-    """Spearman correlation of x and y per date with enough rows and different values."""
+def rank_ic(df: DataFrame, x: str, y: str, *, by: list[str] | None = None, date: str = "date", least: int = LEAST, distinct: int = 3) -> DataFrame:
+    """Spearman correlation of x and y per date (and `by`) with enough rows and different values."""
+    groups = [*(by or []), date]
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    rows = rows.withColumn("_x", average_rank(x, [date])).withColumn("_y", average_rank(y, [date]))
-    out = rows.groupBy(date).agg(F.count("*").alias("n"), F.count_distinct(x).alias("_dx"), F.count_distinct(y).alias("_dy"), F.covar_pop("_x", "_y").alias("_c"), F.var_pop("_x").alias("_vx"), F.var_pop("_y").alias("_vy"))
+    rows = rows.withColumn("_x", average_rank(x, groups)).withColumn("_y", average_rank(y, groups))
+    out = rows.groupBy(*groups).agg(F.count("*").alias("n"), F.count_distinct(x).alias("_dx"), F.count_distinct(y).alias("_dy"), F.covar_pop("_x", "_y").alias("_c"), F.var_pop("_x").alias("_vx"), F.var_pop("_y").alias("_vy"))
     out = out.where((F.col("n") >= least) & (F.col("_dx") >= distinct) & (F.col("_dy") >= distinct))
-    return out.select(date, F.try_divide(F.col("_c"), F.sqrt("_vx") * F.sqrt("_vy")).alias("rank_ic"), "n")
+    return out.select(*groups, F.try_divide(F.col("_c"), F.sqrt("_vx") * F.sqrt("_vy")).alias("rank_ic"), "n")
 
 
 def slopes(df: DataFrame, x: str, y: str, *, date: str = "date", least: int = LEAST, distinct: int = 3) -> DataFrame:
@@ -77,33 +77,6 @@ def net_of_cost(gross: Column, turned: Column, basis_points: float) -> Column:
     return gross - F.lit(basis_points / 1e4) * F.coalesce(turned, F.lit(0.0))
 
 
-def factor_alphas(df: DataFrame, by: list[str], y: str, factors: list[str], *, lags: int = 6) -> DataFrame:
-    """Intercept of y on the factors per group, with Newey-West t value (Bartlett weights), months and R squared; nulls
-    for groups of too few complete months. A group is one portfolio's months."""
-    schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by) + ", alpha double, alpha_t double, n_months long, r2 double"
-    data = df.select(*by, "date", *(F.col(c).cast("double") for c in [y, *factors]))
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        own = group.sort_values("date").dropna(subset=[y, *factors])
-        row = [group[c].iloc[0] for c in by]
-        n, k = len(own), len(factors) + 1
-        if n < max(12, k + 2):
-            return pd.DataFrame([[*row, None, None, n, None]], columns=[*by, "alpha", "alpha_t", "n_months", "r2"])
-        x = np.column_stack([np.ones(n), own[factors].to_numpy(float)])
-        target = own[y].to_numpy(float)
-        beta = np.linalg.lstsq(x, target, rcond=None)[0]
-        error = target - x @ beta
-        u = x * error[:, None]
-        lagged = [(1 - j / (lags + 1)) * (g + g.T) for j in range(1, min(lags, n - 1) + 1) for g in [u[j:].T @ u[:-j]]]
-        inverse = np.linalg.pinv(x.T @ x)
-        variance = (inverse @ (u.T @ u + sum(lagged)) @ inverse)[0, 0]
-        spread = ((target - target.mean()) ** 2).sum()
-        t = beta[0] / np.sqrt(variance) if variance > 0 else None
-        return pd.DataFrame([[*row, beta[0], t, n, 1 - (error**2).sum() / spread if spread > 0 else None]], columns=[*by, "alpha", "alpha_t", "n_months", "r2"])
-
-    return data.groupBy(*by).applyInPandas(fit, schema)
-
-
 def yearly_folds(dates: DataFrame, *, date: str = "date", least: int = 36, holdout: str = "2026-01-01") -> DataFrame:
     """Expanding folds: each year before the holdout with enough earlier dates, its dates and the earlier ones."""
     days = dates.select(F.col(date).alias("d")).where(F.col("d") < F.lit(holdout).cast("date")).distinct()

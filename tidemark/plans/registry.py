@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
-from ..operators import exposure_panel, features, gates, macro, models, panel, xsec
+from ..operators import exposure_panel, features, gates, macro, models, panel, reports, robustness, xsec
 from .fixtures import duckdb_views, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,10 +95,65 @@ def _net(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("date", q6("q5_minus_q1").alias("gross"), q6(xsec.net_of_cost(F.col("q5_minus_q1"), F.col("long_short_turnover"), 10.0)).alias("net"))
 
 
+FACTORS = ["mktrf", "smb", "hml", "umd"]
+#: family, run, variant and score of the models whose predictions the evaluation queries take.
+MODELS = (
+    ("lgbm", "run_a", "segment_only", "foreign_share"), ("lgbm", "run_a", "all", "geo_hhi * 0.5 + foreign_share"),
+    ("lgbm", "run_a", "macro_only", "foreign_share * 0"), ("deepsets", "run_b", "set_only", "top_geo_share - domestic_share"),
+)
+
+
 def _alpha(spark: SparkSession, d: str) -> DataFrame:
     factors = panel.scaled_factors(view(spark, d, "fx_factors"))
     rows = _spread(spark, d).withColumn("factor_date", fn.next_month_end(F.col("date"))).withColumn("variant", F.lit("foreign_share")).join(factors, "factor_date", "left")
-    return xsec.factor_alphas(rows, ["variant"], "q5_minus_q1", ["mktrf", "smb", "hml", "umd"])
+    return _q(robustness.factor_alphas(rows, ["variant"], "q5_minus_q1", FACTORS), "alpha", "alpha_t", "r2", *(f"beta_{c}" for c in FACTORS))
+
+
+def _predictions(spark: SparkSession, d: str) -> DataFrame:
+    rows = _usable(spark, d).withColumn("_m", F.explode(F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(robustness.MODEL, m, strict=False)), fn.stepped(F.expr(m[3]), 9).alias("prediction")) for m in MODELS))))
+    return rows.select("_m.*", "gvkey", "permno", "date", F.col("next_month_excess_ret").alias("target"), F.year("date").alias("fold_year"), (F.year("date") + 1000).cast("long").alias("train_rows"))
+
+
+def _robust(spark: SparkSession, d: str) -> DataFrame:
+    return robustness.robustness_summary(_predictions(spark, d), panel.scaled_factors(view(spark, d, "fx_factors")), FACTORS)
+
+
+def _summary(spark: SparkSession, d: str) -> DataFrame:
+    return robustness.model_summary(_predictions(spark, d))
+
+
+def solution_terms(k: int) -> list[tuple[str, str]]:
+    """(name, SQL) of the least-squares coefficients beta0.. and the first column a0.. of the inverse of X'X, by Cholesky, from
+    s<i>_<j> and b<i>, sums of products of the k + 1 regressors and with y. A regressor that depends on earlier ones gets
+    0. Each term uses earlier names only; for DuckDB."""
+    n = range(k + 1)
+    out: list[tuple[str, str]] = []
+    for i in n:
+        for j in range(i):
+            out.append((f"l{i}_{j}", f"(s{i}_{j}" + "".join(f" - l{i}_{m} * l{j}_{m}" for m in range(j)) + f") * g{j}"))
+        rest = f"s{i}_{i}" + "".join(f" - l{i}_{m} * l{i}_{m}" for m in range(i))
+        out.append((f"g{i}", f"case when {rest} > 1e-10 * s{i}_{i} then 1 / sqrt({rest}) else 0e0 end"))
+    for name, right in (("beta", [f"b{i}" for i in n]), ("a", ["1e0", *["0e0"] * k])):
+        out += [(f"{name}z{i}", f"({right[i]}" + "".join(f" - l{i}_{m} * {name}z{m}" for m in range(i)) + f") * g{i}") for i in n]
+        out += [(f"{name}{i}", f"({name}z{i}" + "".join(f" - l{m}_{i} * {name}{m}" for m in range(i + 1, k + 1)) + f") * g{i}") for i in reversed(n)]
+    return out
+
+
+def alpha_sql(source: str, by: str, y: str, out: dict[str, str]) -> str:
+    """Least squares by the operator's terms, for DuckDB; `source` has date, y, the factors and the columns of `by`."""
+    x = ["1e0", *FACTORS]
+    n = range(len(x))
+    sums = ", ".join([*(f"sum({x[i]} * {x[j]}) as s{i}_{j}" for i in n for j in range(i + 1)), *(f"sum({x[i]} * y) as b{i}" for i in n)])
+    solved = f"(select {by}, count(*) as n_months, {sums} from (select *, {y} as y from {source} where {' and '.join(f'{c} is not null' for c in [y, *FACTORS])}) group by {by})"
+    for k, t in solution_terms(len(FACTORS)):
+        solved = f"(select *, {t} as {k} from {solved})"  # one level a term, as names of one level would be spelled out in each other
+    dot = lambda c: " + ".join(f"{c}{i} * {x[i]}" for i in n)
+    lagged = " + ".join(f"{2 * (1 - j / 7)!r} * coalesce(lag(w, {j}) over (partition by {by} order by date), 0)" for j in range(1, 7))
+    shown = {"alpha": "beta0", "alpha_t": "case when v > 0 then beta0 / sqrt(v) end", "r2": "case when vy > 0 then 1 - sse / (vy * n_months) end", **{f"beta_{f}": f"beta{i + 1}" for i, f in enumerate(FACTORS)}}
+    picked = ", ".join(_d6(f"case when n_months >= {robustness.least_months(FACTORS)} then {shown[k]} end", name) for k, name in out.items())
+    return f"""(select {by}, n_months, {picked} from (select {by}, n_months, {', '.join(f'beta{i}' for i in n)}, sum(w * (w + {{lag}})) as v, sum(e * e) as sse, var_pop(y) as vy from
+ (select *, {lagged} as lag from (select *, e * ({dot('a')}) as w from (select r.*, n_months, {', '.join(f'beta{i}, a{i}' for i in n)}, y - ({dot('beta')}) as e from (select {by}, date, {y} as y, {', '.join(FACTORS)} from {source} where {' and '.join(f'{c} is not null' for c in [y, *FACTORS])}) r join
+ {solved} using ({by})))) group by {by}, n_months, {', '.join(f'beta{i}' for i in n)}))""".replace("{lag}", "lag")
 
 
 def _period(spark: SparkSession, d: str) -> DataFrame:
@@ -163,8 +219,44 @@ CHAIN = {
 }
 
 
+M = "model_family, model_run_id, variant"
+SUMMARY = ("mean_rank_ic", "t_rank_ic", "mean_q5_minus_q1", "t_q5_minus_q1")
+ROBUST = ("mean_gross_q5_minus_q1", "t_gross_q5_minus_q1", "mean_net_q5_minus_q1", "t_net_q5_minus_q1", "mean_turnover", "gross_alpha", "gross_alpha_t", "net_alpha", "net_alpha_t", "factor_r2")
+REVIEW = "case when {a} > 2 and {b} > 2 then 'positive {x} diagnostic' when {a} > 2 then 'positive {y} diagnostic' when {b} > 2 then 'positive {z} diagnostic' else 'weak diagnostic' end"
+
+
+#: Parts of the chain that many others read.
+OFTEN = ("pan", "pred", "pq", "prow", "rsum", "msum")
+
+
 def _sql(final: str) -> str:
-    return "with " + duckdb_views() + ",\n" + ",\n".join(f"{k} as ({v})" for k, v in CHAIN.items()) + "\n" + final
+    more = model_chain()
+    chain = CHAIN | (more if re.search(rf"\b({'|'.join(more)})\b", final) else {})
+    return "with " + duckdb_views() + ",\n" + ",\n".join(f"{k} as {'materialized ' if k in OFTEN else ''}({v})" for k, v in chain.items()) + "\n" + final
+
+
+def model_chain() -> dict[str, str]:
+    """Predictions of MODELS and their evaluation."""
+    t = lambda x, name: f"case when count({x}) >= 3 and stddev_samp({x}) > 0 then avg({x}) / (stddev_samp({x}) / sqrt(count({x}))) end as {name}"
+    alphas = lambda y, out: alpha_sql("prow", M, y, out)
+    return {
+        "alph": "select 'foreign_share' as variant, spr.date, q5_ret - q1_ret as gap, mktrf, smb, hml, umd from spr left join fac on factor_date = last_day(cast(spr.date + interval 1 day as date))",
+        "pred": " union all ".join(f"select '{a}' as model_family, '{b}' as model_run_id, '{v}' as variant, floor(({x}) * 1e9 + 0.50001) / 1e9 as prediction, gvkey, permno, date, next_month_excess_ret as target, year(date) as fold_year, cast(1000 + year(date) as bigint) as train_rows from use_" for a, b, v, x in MODELS),
+        "prk": f"select *, row_number() over (partition by {M}, date order by prediction, permno) as r, count(*) over (partition by {M}, date) as n from pred",
+        "pdd": f"select {M}, date, count(distinct prediction) as dd from pred group by all",
+        "pq": f"select *, cast(greatest(1, floor((5 * (r - 1) + n - 2) / (n - 1))) as int) as quintile from prk join pdd using ({M}, date) where n >= 25 and dd >= 5",
+        "psp": f"select {M}, date, avg(target) filter (where quintile = 5) - avg(target) filter (where quintile = 1) as gap from pq group by all having count(*) filter (where quintile = 5) > 0 and count(*) filter (where quintile = 1) > 0",
+        "plegs": f"select {M}, date, list(distinct permno) filter (where quintile = 5) as l, list(distinct permno) filter (where quintile = 1) as s from pq group by all",
+        "plegs2": f"select *, lag(l) over w as pl, lag(s) over w as ps from plegs window w as (partition by {M} order by date)",
+        "ptrn": f"select {M}, date, case when pl is not null then ((1 - len(list_intersect(l, pl)) / greatest(len(l), 1)) + (1 - len(list_intersect(s, ps)) / greatest(len(s), 1))) / 2 end as turned from plegs2",
+        "prow": f"select p.*, turned, gap - 0.001::double * coalesce(turned, 0) as net, mktrf, smb, hml, umd from psp p left join ptrn using ({M}, date) left join fac on factor_date = last_day(cast(p.date + interval 1 day as date))",
+        "pric0": f"select *, rank() over (partition by {M}, date order by prediction) + (count(*) over (partition by {M}, date, prediction) - 1) / 2 as rx, rank() over (partition by {M}, date order by target) + (count(*) over (partition by {M}, date, target) - 1) / 2 as ry from pred",
+        "pric": f"select {M}, date, covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry)) as rank_ic from pric0 group by all having count(*) >= 25 and count(distinct prediction) >= 3 and count(distinct target) >= 3",
+        "msum": f"select *, case when rank_ic_months > 0 then 'ok' when variant = 'macro_only' then 'diagnostic_only' else 'needs_review' end as status from (select {M}, a.n as prediction_rows, coalesce(b.n, 0) as rank_ic_months, coalesce(c.n, 0) as quintile_months, mean_rank_ic, t_rank_ic, mean_q5_minus_q1, t_q5_minus_q1 from (select {M}, count(*) as n from pred group by all) a"
+        f" left join (select {M}, count(*) as n, avg(rank_ic) as mean_rank_ic, {t('rank_ic', 't_rank_ic')} from pric group by all) b using ({M}) left join (select {M}, count(*) as n, avg(gap) as mean_q5_minus_q1, {t('gap', 't_q5_minus_q1')} from psp group by all) c using ({M}))",
+        "rsum": f"select * exclude (n_months, mg, tg, mn, tn, mt), n_months as alpha_months, {_d6('mg', 'mean_gross_q5_minus_q1')}, {_d6('tg', 't_gross_q5_minus_q1')}, {_d6('mn', 'mean_net_q5_minus_q1')}, {_d6('tn', 't_net_q5_minus_q1')}, {_d6('mt', 'mean_turnover')} from (select {M}, count(gap) as months, avg(gap) as mg, {t('gap', 'tg')}, avg(net) as mn, {t('net', 'tn')}, avg(turned) as mt from prow group by all)"
+        f" join {alphas('gap', {'alpha': 'gross_alpha', 'alpha_t': 'gross_alpha_t', 'r2': 'factor_r2'} | {f'beta_{c}': f'beta_{c}' for c in FACTORS})} using ({M}) join (select * exclude (n_months) from {alphas('net', {'alpha': 'net_alpha', 'alpha_t': 'net_alpha_t'})}) using ({M})",
+    }
 
 
 def _d6(c: str, name: str | None = None) -> str:
@@ -300,7 +392,64 @@ REGISTERED: dict[str, tuple[Query, str | None]] = {
         f"select date, {_d6('lt', 'long_turnover')}, {_d6('st', 'short_turnover')}, {_d6('(lt + st) / 2', 'long_short_turnover')}, ln as long_n, sn as short_n from trn",
     ),
     "net_spread": (_net, f"select date, {_d6('q5_ret - q1_ret', 'gross')}, {_d6('q5_ret - q1_ret - 0.001::double * coalesce((lt + st) / 2, 0)', 'net')} from spr left join trn using (date)"),
-    "factor_alpha_nw": (_alpha, None),
+    "factor_alpha_nw": (_alpha, "select * from " + alpha_sql("alph", "variant", "gap", {"alpha": "alpha", "alpha_t": "alpha_t", "r2": "r2"} | {f"beta_{c}": f"beta_{c}" for c in FACTORS})),
+    "fold_metrics": (
+        lambda s, d: _q(robustness.fold_metrics(_predictions(s, d)), "mean_rank_ic"),
+        f"select {M}, fold_year, p.n as prediction_rows, train_rows, rank_ic_months, {_d6('ic', 'mean_rank_ic')} from (select {M}, fold_year, count(*) as n, max(train_rows) as train_rows from pred group by all) p left join (select {M}, year(date) as fold_year, count(*) as rank_ic_months, avg(rank_ic) as ic from pric group by all) using ({M}, fold_year)",
+    ),
+    "model_summary": (
+        lambda s, d: _q(_summary(s, d), *SUMMARY),
+        f"select {M}, prediction_rows, rank_ic_months, quintile_months, {', '.join(map(_d6, SUMMARY))}, status from msum",
+    ),
+    "robustness_summary": (
+        lambda s, d: _q(_robust(s, d), *ROBUST, *(f"beta_{c}" for c in FACTORS)),
+        f"select {M}, months, alpha_months, {', '.join(ROBUST)}, " + ", ".join(f"beta_{c}" for c in FACTORS) + " from rsum",
+    ),
+    "model_comparison": (
+        lambda s, d: _q(reports.model_comparison(_summary(s, d)), *SUMMARY),
+        f"select case model_family when 'lgbm' then 'LightGBM' else 'Deep Sets' end as model_family, variant, case model_family when 'lgbm' then 'gradient_boosted_trees' else 'deep_sets' end as architecture, prediction_rows, {', '.join(map(_d6, SUMMARY))}, " + REVIEW.format(a="t_rank_ic", b="t_q5_minus_q1", x="rank and spread", y="rank", z="spread") + " as review_note from msum",
+    ),
+    "factor_alpha_table": (
+        lambda s, d: _q(reports.factor_alpha_table(_robust(s, d)), *ROBUST),
+        f"select case model_family when 'lgbm' then 'LightGBM' else 'Deep Sets' end as model_family, variant, months, alpha_months, {', '.join(ROBUST)}, " + REVIEW.format(a="gross_alpha_t", b="t_net_q5_minus_q1", x="alpha and net-spread", y="alpha", z="net-spread") + " as review_note from rsum",
+    ),
+    "display_models": (
+        lambda s, d: reports.displayed(reports.model_comparison(_summary(s, d)).select("model_family", "variant", "prediction_rows"), {"model_family": "Model", "variant": "Variant", "prediction_rows": "Rows"}),
+        "select case model_family when 'lgbm' then 'LightGBM' else 'Deep Sets' end as \"Model\", variant as \"Variant\", format('{:,}', prediction_rows) as \"Rows\" from msum",
+    ),
+    "publication_checks": (
+        lambda s, d: reports.publication_checks(reports.model_comparison(_summary(s, d).persist()), reports.factor_alpha_table(_robust(s, d).persist()), gates.claim_status(reports.claim_ledger(_summary(s, d).persist(), _robust(s, d).persist()), "allowed_wording", "evidence_strength"), reports.table_notes("fx", 10.0, 6)),
+        "select 'model_table_nonempty' as check, 'pass' as status, 'rows=' || count(*) as detail from msum union all select 'factor_table_nonempty', 'pass', 'rows=' || count(*) from rsum union all select 'unique_model_rows', 'pass', 'duplicates=' || (count(*) - count(distinct (model_family, variant))) from msum union all select 'unique_factor_rows', 'pass', 'duplicates=' || (count(*) - count(distinct (model_family, variant))) from rsum union all select 'claim_validation_no_failures', 'pass', 'failures=0' union all select 'notes_include_' || unnest(['diagnostic', '2026', 'macro', 'turnover']), 'pass', unnest(['diagnostic', '2026', 'macro', 'turnover'])",
+    ),
+    "claim_ledger": (
+        lambda s, d: gates.claim_status(reports.claim_ledger(_summary(s, d).persist(), _robust(s, d).persist()), "allowed_wording", "evidence_strength").select("claim_id", "module", "subject", "evidence_strength", "status"),
+        """select 'best_spread' as claim_id, 'LightGBM ablations' as module, (select variant from msum where model_family = 'lgbm' order by mean_q5_minus_q1 desc nulls last, variant limit 1) as subject, 'passed diagnostic' as evidence_strength, 'pass' as status
+union all select 'segment_signal', 'LightGBM ablations', 'segment_only', (select case when t_rank_ic > 2 then 'passed' else 'weak' end from msum where variant = 'segment_only') || ' diagnostic', 'pass'
+union all select 'set_encoder', 'Segment-set models', 'set_only', (select case when t_rank_ic > 2 then 'passed' else 'weak' end from msum where variant = 'set_only') || ' diagnostic', 'pass'
+union all select 'best_alpha', 'Factor robustness', model_family || ':' || variant, case when gross_alpha_t > 2 then 'passed' else 'weak' end || ' diagnostic', 'pass' from (select * from rsum order by gross_alpha_t desc nulls last, model_family, variant limit 1)
+union all select 'best_net', 'Turnover robustness', model_family || ':' || variant, case when t_net_q5_minus_q1 > 2 then 'passed' else 'weak' end || ' diagnostic', 'pass' from (select * from rsum order by mean_net_q5_minus_q1 desc nulls last, model_family, variant limit 1)
+union all select 'macro_execution', 'Macro execution', 'run_a', 'blocked by missing private secrets', 'blocked'""",
+    ),
+    "waterfall": (
+        lambda s, d: reports.waterfall({"segment_snapshots": _active(s, d), "filing_date_matched": _active(s, d).where("activation_source <> 'srcdate_fallback'"), "panel_rows": _panel(s, d), "predictions": _predictions(s, d)}),
+        "select 1 as step, 'segment_snapshots' as label, count(*) as n from act union all select 2, 'filing_date_matched', count(*) from act where activation_source <> 'srcdate_fallback' union all select 3, 'panel_rows', count(*) from pan union all select 4, 'predictions', count(*) from pred",
+    ),
+    "exposure_trend": (
+        lambda s, d: _q(reports.trend(_panel(s, d), ["foreign_share", "geo_hhi"]), "foreign_share", "geo_hhi"),
+        f"select date, {_d6('avg(foreign_share)', 'foreign_share')}, {_d6('avg(geo_hhi)', 'geo_hhi')}, count(*) as n from pan group by date",
+    ),
+    "firm_explorer": (
+        lambda s, d: _q(reports.firm_explorer(_panel(s, d), 30).select("permno", "date", "sector", "foreign_share"), "foreign_share"),
+        f"select permno, date, {SECTOR_SQL} as sector, {_d6('foreign_share')} from (select * from pan where year(date) = (select max(year(date)) from pan) qualify row_number() over (partition by permno order by foreign_share desc, date desc) = 1) order by foreign_share desc, date desc, permno limit 30",
+    ),
+    "variant_features": (
+        lambda s, d: s.createDataFrame([(v, i, f) for v in features.VARIANTS for i, f in enumerate(features.variant_features(["foreign_share", "log_at", "ret", "mktrf", "segment_macro_x", "leverage"], v))], "variant string, place int, feature string"),
+        "select * from (values ('all', 0, 'foreign_share'), ('all', 1, 'log_at'), ('all', 2, 'leverage'), ('all', 3, 'ret'), ('all', 4, 'mktrf'), ('no_market_factors', 0, 'foreign_share'), ('no_market_factors', 1, 'log_at'), ('no_market_factors', 2, 'leverage'), ('no_market_factors', 3, 'ret'), ('no_return_or_market', 0, 'foreign_share'), ('no_return_or_market', 1, 'log_at'), ('no_return_or_market', 2, 'leverage'), ('segment_only', 0, 'foreign_share'), ('non_segment_controls', 0, 'log_at'), ('non_segment_controls', 1, 'leverage'), ('non_segment_controls', 2, 'ret'), ('non_segment_controls', 3, 'mktrf'), ('macro_only', 0, 'segment_macro_x'), ('segment_plus_macro', 0, 'foreign_share'), ('segment_plus_macro', 1, 'segment_macro_x'), ('all_plus_macro', 0, 'foreign_share'), ('all_plus_macro', 1, 'log_at'), ('all_plus_macro', 2, 'leverage'), ('all_plus_macro', 3, 'ret'), ('all_plus_macro', 4, 'mktrf'), ('all_plus_macro', 5, 'segment_macro_x')) t(variant, place, feature)",
+    ),
+    "importance_summary": (
+        lambda s, d: _q(robustness.importance_summary(_predictions(s, d).select("fold_year", F.col("variant").alias("feature"), F.col("prediction").alias("importance"))), "mean_importance"),
+        f"select variant as feature, {_d6('avg(prediction)', 'mean_importance')}, count(distinct fold_year) as folds from pred group by variant",
+    ),
     "macro_states_delta": (lambda s, d: _q(_states(s, d), "value", "value_delta_1m", "value_delta_12m").drop("availability_source", "vintage_safe"), "select * replace (" + ", ".join(_d6(c) for c in ("value", "value_delta_1m", "value_delta_12m")) + ") from st"),
     "macro_fallback": (
         lambda s, d: _q(_on_tokens(s, d).groupBy("series_name", "macro_area").agg(F.count("*").alias("n"), F.count("value").alias("known"), F.max("available_date").alias("last")), ),
