@@ -22,7 +22,6 @@ from hashlib import sha256
 from itertools import pairwise
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 import zstandard
@@ -34,7 +33,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import text_of, written
 
 #: Characters of a block and of one row of its documents; a longer text is a row of its own.
-BLOCK_CHARS, ROW_CHARS = 24 << 20, 1 << 20
+BLOCK_CHARS, ROW_CHARS = 24 << 20, 1 << 18
 #: Longer words are cut where no token reaches across, and their folds merge all places of a rank in one turn.
 LONG = 64
 #: Bits of an id in the rank map.
@@ -160,46 +159,48 @@ def _packed_words(words: list[bytes], at: np.ndarray) -> bytes:
     return zstandard.compress(np.array([len(words)], np.int32).tobytes() + at.astype(np.int32).tobytes() + sizes.tobytes() + b"".join(words), 3)
 
 
-def word_blocks(pattern: str, shared, parts: int):  # noqa: ANN001, ANN201
-    """For mapInPandas over (id, text): rows of documents (block, ids, ends, places) and of words (block, part, words).
+def word_blocks(pattern: str, shared, parts: int, schema: pa.Schema):  # noqa: ANN001, ANN201
+    """For mapInArrow over (id, text): rows of documents (block, ids, ends, places) and of words (block, part, words).
 
     shared: a broadcast of the vocabulary. places: of the documents' words in the block's list; ends: where a document's
     places end. words: those of one part of all words, packed with their places."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, cut = regex.compile(pattern).findall, shared.value.cut
         place: dict[str | bytes, int] = {}
         held: dict[str, list] = {"ids": [], "index": []}
         block = [random.SystemRandom().getrandbits(62)]
         chars, total = 0, 0
 
-        def documents() -> Iterator[pd.DataFrame]:
+        def documents() -> Iterator[pa.RecordBatch]:
             if held["ids"]:
                 ends = np.cumsum([len(x) for x in held["index"]], dtype=np.int64)
-                places = np.fromiter((i for x in held["index"] for i in x), np.int32, int(ends[-1]))
+                places = np.concatenate(held["index"])
                 planes = places.view(np.uint8).reshape(-1, 4).T  # the bytes of equal weight together pack better
-                yield pd.DataFrame([{"block": block[0], "part": None, "ids": held["ids"][:], "ends": ends.tobytes(), "places": zstandard.compress(planes.tobytes(), 3), "words": None}]).astype({"part": "Int32"})
+                yield rows_of([(block[0], None, held["ids"][:], ends.tobytes(), zstandard.compress(planes.tobytes(), 3), None)])
                 held["ids"].clear()
                 held["index"].clear()
 
-        def words() -> Iterator[pd.DataFrame]:
+        def words() -> Iterator[pa.RecordBatch]:
             listed = [w if isinstance(w, bytes) else w.encode("utf-8", "surrogatepass") for w in place]
             of = np.fromiter((zlib.crc32(w) % parts for w in listed), np.int32, len(listed))
             order = np.argsort(of, kind="stable")
             cuts = list(pairwise(np.flatnonzero(np.r_[True, np.diff(of[order]) != 0, True]))) if len(order) else []
             for k in range(0, len(cuts), 256):
-                rows = [(block[0], int(of[order[a]]), _packed_words([listed[i] for i in order[a:b]], order[a:b])) for a, b in cuts[k : k + 256]]
-                yield pd.DataFrame(rows, columns=["block", "part", "words"]).assign(ids=None, ends=None, places=None).astype({"part": "Int32"})
+                yield rows_of([(block[0], int(of[order[a]]), None, None, None, _packed_words([listed[i] for i in order[a:b]], order[a:b])) for a, b in cuts[k : k + 256]])
             place.clear()
             block[0] = random.SystemRandom().getrandbits(62)
 
         for batch in batches:
-            for key, text in zip(batch["id"], batch["text"], strict=True):
+            for key, text in (pair for i in range(0, batch.num_rows, 256) for pair in zip(*(batch.column(k).slice(i, 256).to_pylist() for k in (0, 1)), strict=True)):
                 found = find(text)
                 if max(map(len, found), default=0) > LONG:
                     found = [p for w in found for p in (cut(w) if len(w) > LONG else (w,))]
-                held["ids"].append(None if pd.isna(key) else key)
-                held["index"].append([place.setdefault(w, len(place)) for w in found])
+                held["ids"].append(key)
+                held["index"].append(np.array([place.setdefault(w, len(place)) for w in found], np.int32))
                 chars, total = chars + len(text), total + len(text)
                 if chars >= ROW_CHARS:
                     yield from documents()
@@ -323,8 +324,9 @@ def encoded(docs: DataFrame, own: Vocabulary, pattern: str, *, id_col: str = "do
     tasks = max(2 * spark.sparkContext.defaultParallelism, parts // 4)
     rows = rows.coalesce(tasks)  # the more text a block has, the fewer words are sent twice
     dealt = min(max(tasks, parts), MOST_DEALT)  # a given number, as few bytes of packed words are much work
-    schema = f"block long, part int, ids array<{kind.simpleString()}>, ends binary, places binary, words binary"
-    blocks = written(rows.mapInPandas(word_blocks(pattern, shared, 4 * dealt), schema), "blocks", bucket_by="block", buckets=2 * tasks)
+    listed = [("block", T.LongType()), ("part", T.IntegerType()), ("ids", T.ArrayType(kind)), ("ends", T.BinaryType()), ("places", T.BinaryType()), ("words", T.BinaryType())]
+    schema = T.StructType([T.StructField(n, t) for n, t in listed])
+    blocks = written(rows.mapInArrow(word_blocks(pattern, shared, 4 * dealt, to_arrow_schema(schema)), schema), "blocks", bucket_by="block", buckets=2 * tasks)
     words = blocks.where("part IS NOT NULL").select("part", "block", "words").repartition(dealt, "part").sortWithinPartitions("part")
     words = words.mapInArrow(distinct_words, "word binary, refs binary")
     tokens = words.select("refs", own.encode(F.col("word")).alias("ids")).mapInArrow(packed_tokens, "block long, tokens binary")
