@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import gates, models
-from tidemark.sources import macro_api, tables
+from tidemark.sources import catalog, macro_api, sinks, tables
 
 
 def test_years_and_shards(spark, tmp_path):
@@ -42,8 +42,10 @@ def test_predictions_take_the_variant_from_the_name(spark, tmp_path):
 
 
 def test_extract_links_by_overlap(spark):
-    links = spark.createDataFrame([("a", date(2000, 1, 1), None, "LU", "P"), ("b", date(2000, 1, 1), date(2001, 1, 1), "LU", "P"), ("c", date(2030, 1, 1), None, "LU", "P"), ("d", date(2000, 1, 1), None, "XX", "P")], "gvkey string, linkdt date, linkenddt date, linktype string, linkprim string")
-    assert [r["gvkey"] for r in tables.extract(spark, "links", date(2005, 1, 1), date(2005, 12, 31), links=links).collect()] == ["a"]
+    rows = [("a", date(2000, 1, 1), None, "LU"), ("b", date(2000, 1, 1), date(2001, 1, 1), "LU"), ("c", date(2030, 1, 1), None, "LU"), ("d", date(2000, 1, 1), None, "XX"), ("e", date(2006, 3, 31), None, "LC")]
+    links = spark.createDataFrame([(g, 1, 1, a, b, k, "P", 1) for g, a, b, k in rows], "gvkey string, lpermno long, lpermco long, linkdt date, linkenddt date, linktype string, linkprim string, usedflag int")
+    assert [r["gvkey"] for r in tables.extract(spark, "links", date(2005, 1, 1), date(2005, 12, 31), links=links).collect()] == ["a", "e"]
+    assert tables.extract(spark, "links", date(2005, 1, 1), date(2005, 12, 31), links=links).columns[:3] == ["gvkey", "permno", "permco"]
 
 
 @pytest.mark.parametrize(
@@ -81,3 +83,31 @@ def test_scaling_uses_the_train_rows_only(spark):
     assert out[0]["x"] == 0 and out[1]["x"] == 0 and out[2]["x"] > 100
     flat = models.standardised(spark.createDataFrame([(1.0,)], "x double"), spark.createDataFrame([(3.0,)], "x double"), ["x"]).first()
     assert flat["x"] == 2.0
+
+
+def test_roles_take_the_best_table(spark):
+    rows = [("crsp", "ccmxpf_linktable", c) for c in ("gvkey", "lpermno", "linkdt", "linkenddt")] + [("comp", "link_other", "gvkey"), ("x", "unrelated", "gvkey")]
+    columns = spark.createDataFrame(rows, "library string, table string, column string")
+    role = catalog.Role("links", ("crsp", "comp"), ("ccm", "link"), ("ccmxpf_linktable",), (("gvkey",), ("lpermno", "permno"), ("linkdt",)), ("linkdt",))
+    assert [tuple(r) for r in catalog.resolve_roles(columns, [role]).collect()] == [("links", "crsp", "ccmxpf_linktable", 218, "linkdt")]
+
+
+def test_series_catalog_and_standard_frame(spark):
+    series = catalog.series_catalog(spark, [{"series_id": "gdp", "release_lag_days": 7}, {"series_id": "cpi", "timing": "FRED_initial_release", "macro_area": "usa"}])
+    with pytest.raises(ValueError):
+        catalog.series_catalog(spark, [{"source": "nowhere", "series_id": "x"}])
+    seen = spark.createDataFrame([("GDP", "2020-01-01", "1", None, None), ("CPI", "2020-01-01", "x", "2020-02-13", None)], "series_id string, date string, value string, realtime_start string, realtime_end string")
+    out = {r["series_id"]: (r["available_date"], r["revision_safe"], r["value"]) for r in catalog.standard_frame(seen, series).collect()}
+    assert out == {"GDP": (date(2020, 2, 7), False, 1.0), "CPI": (date(2020, 2, 13), True, None)}
+
+
+def test_sinks_keep_what_came_before_an_error(spark, tmp_path):
+    load = lambda n: spark.createDataFrame([(n, 1.0)], "series_id string, value double") if n != "b" else 1 / 0
+    done = sinks.load_series(["a", "b", "c"], load, str(tmp_path / "m"))
+    assert (done["status"], done["rows"], done["series_attempted"], done["partial"]) == ("api_error", 1, 2, True)
+    assert spark.read.parquet(str(tmp_path / "m.partial")).count() == 1
+    assert sinks.load_series(["a"], load, str(tmp_path / "n"))["status"] == "ok"
+    sinks.write_csv(spark.createDataFrame([(1, "x")], "a int, b string"), str(tmp_path / "t"))
+    sinks.write_json(spark, {"a": 1}, str(tmp_path / "j"))
+    assert [tuple(r)[::2] for r in sinks.table_inventory(spark, {"f": str(tmp_path / "t")}).collect()] == [("f", "a,b")]
+    assert spark.read.text(str(tmp_path / "j")).first()[0] == '{"a": 1}'

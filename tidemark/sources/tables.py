@@ -42,13 +42,20 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str, *, option
         return spark.createDataFrame([], schema)
 
 
-def read_predictions(spark: SparkSession, paths: list[str], family: str) -> DataFrame:
-    """Model predictions, with the variant from names such as lgbm_all_predictions.parquet (file or folder). Rows that
-    lack a date, permno, prediction or target go."""
+#: Model families whose predictions are read, and what their file names begin with.
+FAMILIES = ("lgbm", "deepsets")
+
+
+def read_predictions(spark: SparkSession, paths: list[str], family: str, run_id: str | None = None, target: str = "target") -> DataFrame:
+    """Model predictions, with the variant from names such as lgbm_all_predictions.parquet (file or folder) and the run.
+    Numbers are read leniently; rows that lack a date, permno, prediction or target go."""
+    if family not in FAMILIES:
+        raise ValueError(f"unknown model family {family!r}")
     rows = spark.read.parquet(*paths).withColumn("variant", F.regexp_extract(F.input_file_name(), rf"{family}_([^/]+)_predictions\.parquet", 1))
-    if missing := {"date", "permno", "prediction", "target"} - set(rows.columns):
+    if missing := {"date", "permno", "prediction", target} - set(rows.columns):
         raise ValueError(f"predictions lack {sorted(missing)}")
-    return rows.dropna(subset=["date", "permno", "prediction", "target"]).withColumn("model_family", F.lit(family))
+    rows = rows.withColumns({"date": F.col("date").try_cast("date"), "permno": F.col("permno").try_cast("long"), "prediction": F.col("prediction").try_cast("double"), target: F.col(target).try_cast("double")})
+    return rows.dropna(subset=["date", "permno", "prediction", target]).withColumn("model_family", F.lit(family)).withColumn("model_run_id", F.lit(run_id).cast("string"))
 
 
 def union_tagged(tables: dict[str, DataFrame], tag: str = "model_run_id") -> DataFrame:
@@ -86,17 +93,33 @@ def query_hash(sql: str) -> str:
     return sha256(sql.encode()).hexdigest()[:16]
 
 
-#: What is read of each source table from `first` to `last` (dates).
+#: The annual reports of industrial firms, standard format, domestic, consolidated.
+REPORTS = "datadate BETWEEN add_months(trunc(:first, 'YEAR'), -24) AND :last AND indfmt = 'INDL' AND datafmt = 'STD' AND popsrc = 'D' AND consol = 'C'"
+#: What is read of each source table from `first` to `last` (dates of one year), by the columns' names there.
+#: Monthly returns, links and factors reach into the next quarter, so the last months have a return ahead.
 EXTRACTS = {
-    "segments": """SELECT g.gvkey, g.stype, g.sid, g.gareag, g.gareat, g.srcdate, g.datadate, v.sales, v.revts, v.ias
-FROM {geo} g JOIN {amounts} v USING (gvkey, stype, sid, srcdate) WHERE g.srcdate BETWEEN :first AND :last AND coalesce(v.sales, v.revts, v.ias) IS NOT NULL""",
-    "returns": "SELECT * FROM {returns} WHERE date BETWEEN :first AND add_months(:last, 3)",
-    "daily": "SELECT permno, date, ret, retx, prc, mktcap, vol FROM {daily} WHERE date BETWEEN :first AND :last",
-    "funda": "SELECT * FROM {funda} WHERE datadate BETWEEN add_months(:first, -24) AND :last AND indfmt = 'INDL' AND datafmt = 'STD' AND popsrc = 'D' AND consol = 'C'",
-    "links": "SELECT * FROM {links} WHERE linkdt <= :last AND (linkenddt IS NULL OR linkenddt >= :first) AND linktype IN ('LU', 'LC') AND linkprim IN ('P', 'C')",
-    "factors": "SELECT * FROM {factors} WHERE date BETWEEN :first AND :last",
+    "segments": """SELECT g.gvkey, g.stype, g.sid, g.gareag, g.gareat, g.srcdate, v.datadate, v.sales, v.revts, v.ias
+FROM {geo} g JOIN {amounts} v ON g.gvkey = v.gvkey AND g.stype = v.stype AND g.sid = v.sid AND g.srcdate = v.srcdate
+WHERE g.srcdate BETWEEN :first AND :last AND coalesce(v.sales, v.revts, v.ias) IS NOT NULL""",
+    "returns": """SELECT permno, permco, siccd, yyyymm, mthcaldt AS date, mthret AS ret, mthretx AS retx, mthprc AS prc, mthcap AS mktcap, mthvol AS vol,
+cusip, ticker, sharetype, securitytype, securitysubtype, usincflg FROM {returns} WHERE mthcaldt BETWEEN :first AND last_day(add_months(:last, 3))""",
+    "daily": "SELECT permno, dlycaldt AS date, dlyret AS ret, dlyretx AS retx, dlyprc AS prc, dlycap AS mktcap, dlyvol AS vol FROM {daily} WHERE dlycaldt BETWEEN :first AND :last",
+    "funda": f"SELECT gvkey, datadate, fyear, fyr, tic, conm, fdate, pdate, at, sale, revt, ceq, ni, capx, xrd, dltt, dlc, prcc_f, csho FROM {{funda}} WHERE {REPORTS}",
+    "filings": f"SELECT gvkey, datadate, fyear, fyr, fdate, pdate FROM {{funda}} WHERE {REPORTS}",
+    "links": """SELECT gvkey, lpermno AS permno, lpermco AS permco, linkdt, linkenddt, linktype, linkprim, usedflag FROM {links}
+WHERE linkdt <= last_day(add_months(:last, 3)) AND (linkenddt IS NULL OR linkenddt >= :first) AND linktype IN ('LU', 'LC') AND linkprim IN ('P', 'C')""",
+    "factors": "SELECT * FROM {factors} WHERE date BETWEEN :first AND last_day(add_months(:last, 3))",
 }
 
 
 def extract(spark: SparkSession, name: str, first, last, **tables: DataFrame) -> DataFrame:  # noqa: ANN001
     return spark.sql(EXTRACTS[name], args={"first": first, "last": last}, **tables)
+
+
+def smoke_extract(spark: SparkSession, first, last, rows: int, **tables: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:  # noqa: ANN001
+    """(segments with an area, links, returns) of a short trial: at most `rows` segment rows, and of the other tables only
+    their firms and permnos. The limit is the feature; without a segment the others are empty."""
+    segments = extract(spark, "segments", first, last, geo=tables["geo"], amounts=tables["amounts"]).where("gareat IS NOT NULL").limit(rows)
+    links = extract(spark, "links", first, last, links=tables["links"]).join(segments.select("gvkey").distinct(), "gvkey", "left_semi")
+    returns = extract(spark, "returns", first, last, returns=tables["returns"]).join(links.select("permno").distinct(), "permno", "left_semi")
+    return segments, links, returns
