@@ -354,7 +354,8 @@ def test_kept_equals_an_estimate_in_numpy(spark):
     for i in range(300):
         lines = [" ".join(word() for _ in range(rng.randrange(4, 9))) for _ in range(rng.randrange(12, 20))]
         odd = "#" * (i % 17) if i % 5 == 0 else ""
-        rows.append((i, "\n".join(lines + lines[: i % 7]) + " " + odd + (" same old words" * (i % 40) if i % 9 == 0 else ""), "en", "s", 1))
+        marks = " ".join(f"##{i}##{k}##" for k in range(60)) if i % 50 == 49 else ""
+        rows.append((i, "\n".join(lines + lines[: i % 7]) + f" {odd} {marks}" + (" same old words" * (i % 40) if i % 9 == 0 else ""), "en", "s", 1))
     out = {r["doc_id"]: r for r in quality.robust_outliers(spark.createDataFrame(rows, SCHEMA)).select("_row.doc_id", "base_failed", "kept", "distance").collect()}
     points = {}
     for i, t, *_ in rows:
