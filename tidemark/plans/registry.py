@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
 from ..operators import exposure_panel, features, gates, macro, models, panel, reports, robustness, xsec
+from ..sources import catalog, tables
 from .fixtures import duckdb_views, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -219,6 +221,38 @@ CHAIN = {
 }
 
 
+def _reports_source(spark: SparkSession, d: str) -> DataFrame:
+    """Reports under the source's names, some of them of other firms."""
+    kind = F.when(F.col("gvkey").cast("int") % 9 == 0, "FS").otherwise("INDL")
+    return view(spark, d, "fx_funda_once").select("gvkey", "datadate", F.year("datadate").alias("fyear"), F.month("datadate").alias("fyr"), "fdate", "pdate", kind.alias("indfmt"), F.lit("STD").alias("datafmt"), F.lit("D").alias("popsrc"), F.lit("C").alias("consol"))
+
+
+def _returns_source(spark: SparkSession, d: str) -> DataFrame:
+    text = {c: F.lit(None).cast("string") for c in ("cusip", "ticker", "sharetype", "securitytype", "securitysubtype", "usincflg")}
+    rows = view(spark, d, "fx_returns_once").select("permno", F.col("permno").alias("permco"), "siccd", F.date_format("date", "yyyyMM").alias("yyyymm"), F.col("date").alias("mthcaldt"), F.col("ret").alias("mthret"), F.col("ret").alias("mthretx"), F.col("prc").alias("mthprc"), F.col("mktcap").alias("mthcap"), F.col("vol").alias("mthvol"))
+    return rows.withColumns(text)
+
+
+def _year(n: int) -> tuple:
+    return date(n, 1, 1), date(n, 12, 31)
+
+
+def _standard(spark: SparkSession, d: str) -> DataFrame:
+    series = catalog.series_catalog(spark, [{"source": "bls", "series_id": "rev_america", "release_lag_days": 7}, {"series_id": "fedfunds", "timing": "fred_initial_release"}])
+    seen = view(spark, d, "fx_macro").select("series_id", "date", "value", F.col("available_date").alias("realtime_start"), F.lit(None).cast("date").alias("realtime_end"))
+    return _q(catalog.standard_frame(seen, series).drop("realtime_end"), "value")
+
+
+ROLE = catalog.Role("links", ("crsp", "comp"), ("ccm", "link"), ("ccmxpf_linktable", "ccmxpf_lnkhist"), (("gvkey",), ("lpermno", "permno"), ("linkdt",)), ("linkdt",))
+
+
+def _roles(spark: SparkSession, d: str) -> DataFrame:
+    """Of three tables with link in their names, the one that has the columns."""
+    names = view(spark, d, "nation").limit(1).select(F.explode(F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(("library", "table", "column"), r, strict=True))) for r in (
+        ("crsp", "ccmxpf_lnkhist", "gvkey"), ("crsp", "ccmxpf_lnkhist", "lpermno"), ("crsp", "ccmxpf_lnkhist", "linkdt"), ("crsp", "ccmxpf_linktable", "gvkey"), ("comp", "link_notes", "gvkey"), ("x", "other", "linkdt"))))).alias("c"))
+    return catalog.resolve_roles(names.select("c.*"), [ROLE])
+
+
 M = "model_family, model_run_id, variant"
 SUMMARY = ("mean_rank_ic", "t_rank_ic", "mean_q5_minus_q1", "t_q5_minus_q1")
 ROBUST = ("mean_gross_q5_minus_q1", "t_gross_q5_minus_q1", "mean_net_q5_minus_q1", "t_net_q5_minus_q1", "mean_turnover", "gross_alpha", "gross_alpha_t", "net_alpha", "net_alpha_t", "factor_r2")
@@ -393,6 +427,19 @@ REGISTERED: dict[str, tuple[Query, str | None]] = {
     ),
     "net_spread": (_net, f"select date, {_d6('q5_ret - q1_ret', 'gross')}, {_d6('q5_ret - q1_ret - 0.001::double * coalesce((lt + st) / 2, 0)', 'net')} from spr left join trn using (date)"),
     "factor_alpha_nw": (_alpha, "select * from " + alpha_sql("alph", "variant", "gap", {"alpha": "alpha", "alpha_t": "alpha_t", "r2": "r2"} | {f"beta_{c}": f"beta_{c}" for c in FACTORS})),
+    "filing_extract": (
+        lambda s, d: tables.extract(s, "filings", *_year(1996), funda=_reports_source(s, d)),
+        "select gvkey, datadate, year(datadate) as fyear, month(datadate) as fyr, fdate, pdate from fx_funda_once where datadate between date '1994-01-01' and date '1996-12-31' and cast(gvkey as int) % 9 <> 0",
+    ),
+    "returns_extract": (
+        lambda s, d: tables.extract(s, "returns", *_year(1996), returns=_returns_source(s, d)).select("permno", "permco", "siccd", "yyyymm", "date", q6("ret").alias("ret"), q6("mktcap").alias("mktcap")),
+        f"select permno, permno as permco, siccd, strftime(date, '%Y%m') as yyyymm, date, {_d6('ret')}, {_d6('mktcap')} from fx_returns_once where date between date '1996-01-01' and date '1997-03-31'",
+    ),
+    "standard_macro_frame": (
+        _standard,
+        f"select case series_id when 'FEDFUNDS' then 'fred' else 'bls' end as source, series_id, lower(series_id) as series_name, 'GLOBAL' as macro_area, date, case series_id when 'FEDFUNDS' then available_date else last_day(date) + 7 end as available_date, {_d6('value')}, available_date as realtime_start, case series_id when 'FEDFUNDS' then 'fred_initial_release' else 'configured_release_lag' end as timing_source, true as lookahead_safe, series_id = 'FEDFUNDS' as revision_safe from fx_macro where series_id in ('FEDFUNDS', 'REV_AMERICA')",
+    ),
+    "role_resolution": (_roles, "select 'links' as role, 'crsp' as library, 'ccmxpf_lnkhist' as \"table\", 207 as score, 'linkdt' as date_column"),
     "fold_metrics": (
         lambda s, d: _q(robustness.fold_metrics(_predictions(s, d)), "mean_rank_ic"),
         f"select {M}, fold_year, p.n as prediction_rows, train_rows, rank_ic_months, {_d6('ic', 'mean_rank_ic')} from (select {M}, fold_year, count(*) as n, max(train_rows) as train_rows from pred group by all) p left join (select {M}, year(date) as fold_year, count(*) as rank_ic_months, avg(rank_ic) as ic from pric group by all) using ({M}, fold_year)",
