@@ -14,8 +14,11 @@ from .fingerprints import fingerprint_query
 from .html import html_query
 from .licenses import licenses_query, licenses_sql
 from .mixing import mixing_query
+from .mtree import search_query, search_sql
 from .neardup import near_dedup_query
+from .phrases import phrases_query, phrases_sql
 from .quality import quality_query
+from .repair import repair_query
 from .secrets import secrets_query, secrets_sql
 from .suffix import suffix_query
 from .tokens import tokens_query
@@ -31,7 +34,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": lambda spark, sf_dir: html_query(spark.read.parquet(f"{sf_dir}/pages.parquet")),
     "op9_simhash_near_dedup": lambda spark, sf_dir: near_dedup_query(documents(spark, sf_dir)),
     "op10_fingerprints": lambda spark, sf_dir: fingerprint_query(documents(spark, sf_dir)),
+    "op11_exact_search": lambda spark, sf_dir: search_query(spark.read.parquet(f"{sf_dir}/embeddings.parquet")),
+    "op12_conversation_repair": lambda spark, sf_dir: repair_query(spark.read.parquet(f"{sf_dir}/conversations.parquet")),
+    "op13_collocations": lambda spark, sf_dir: phrases_query(documents(spark, sf_dir)),
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_secret_scan": secrets_sql(), "op7_license_scan": licenses_sql()}
+ORACLE_SQL: dict[str, str] = {"op3_secret_scan": secrets_sql(), "op7_license_scan": licenses_sql(), "op11_exact_search": search_sql(), "op13_collocations": phrases_sql()}
