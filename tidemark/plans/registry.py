@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as fn
 from ..operators import exposure_panel, features, gates, macro, models, panel, reports, robustness, xsec
 from ..sources import catalog, tables
+from ..sources.stored import kept
 from .fixtures import duckdb_views, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,7 +28,7 @@ def _q(df: DataFrame, *doubles: str) -> DataFrame:
 
 
 def _snaps(spark: SparkSession, d: str) -> DataFrame:
-    return panel.stepped_shares(panel.snapshots(view(spark, d, "fx_segments")))
+    return kept(spark, d, "snapshots", lambda: panel.stepped_shares(panel.snapshots(view(spark, d, "fx_segments"))))
 
 
 def _active(spark: SparkSession, d: str) -> DataFrame:
@@ -35,6 +36,11 @@ def _active(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _panel(spark: SparkSession, d: str) -> DataFrame:
+    """The monthly panel, built once a session and input folder."""
+    return kept(spark, d, "panel", lambda: _built_panel(spark, d))
+
+
+def _built_panel(spark: SparkSession, d: str) -> DataFrame:
     rows = panel.monthly_panel(view(spark, d, "fx_returns"), view(spark, d, "fx_links"), _active(spark, d), view(spark, d, "fx_funda"), view(spark, d, "fx_factors"))
     return rows.withColumns({c: fn.stepped(F.col(c), 9) for c in ("excess_ret", "next_month_excess_ret")})
 
@@ -52,7 +58,7 @@ def _spread(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _tokens(spark: SparkSession, d: str) -> DataFrame:
-    return panel.geo_tokens(view(spark, d, "fx_segments"))
+    return kept(spark, d, "tokens", lambda: panel.geo_tokens(view(spark, d, "fx_segments")))
 
 
 def _states(spark: SparkSession, d: str) -> DataFrame:
@@ -117,11 +123,11 @@ def _predictions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _robust(spark: SparkSession, d: str) -> DataFrame:
-    return robustness.robustness_summary(_predictions(spark, d), panel.scaled_factors(view(spark, d, "fx_factors")), FACTORS)
+    return kept(spark, d, "robustness", lambda: robustness.robustness_summary(_predictions(spark, d), panel.scaled_factors(view(spark, d, "fx_factors")), FACTORS))
 
 
 def _summary(spark: SparkSession, d: str) -> DataFrame:
-    return robustness.model_summary(_predictions(spark, d))
+    return kept(spark, d, "summary", lambda: robustness.model_summary(_predictions(spark, d)))
 
 
 def solution_terms(k: int) -> list[tuple[str, str]]:
@@ -465,11 +471,11 @@ REGISTERED: dict[str, tuple[Query, str | None]] = {
         "select case model_family when 'lgbm' then 'LightGBM' else 'Deep Sets' end as \"Model\", variant as \"Variant\", format('{:,}', prediction_rows) as \"Rows\" from msum",
     ),
     "publication_checks": (
-        lambda s, d: reports.publication_checks(reports.model_comparison(_summary(s, d).persist()), reports.factor_alpha_table(_robust(s, d).persist()), gates.claim_status(reports.claim_ledger(_summary(s, d).persist(), _robust(s, d).persist()), "allowed_wording", "evidence_strength"), reports.table_notes("fx", 10.0, 6)),
+        lambda s, d: reports.publication_checks(reports.model_comparison(_summary(s, d)), reports.factor_alpha_table(_robust(s, d)), gates.claim_status(reports.claim_ledger(_summary(s, d), _robust(s, d)), "allowed_wording", "evidence_strength"), reports.table_notes("fx", 10.0, 6)),
         "select 'model_table_nonempty' as check, 'pass' as status, 'rows=' || count(*) as detail from msum union all select 'factor_table_nonempty', 'pass', 'rows=' || count(*) from rsum union all select 'unique_model_rows', 'pass', 'duplicates=' || (count(*) - count(distinct (model_family, variant))) from msum union all select 'unique_factor_rows', 'pass', 'duplicates=' || (count(*) - count(distinct (model_family, variant))) from rsum union all select 'claim_validation_no_failures', 'pass', 'failures=0' union all select 'notes_include_' || unnest(['diagnostic', '2026', 'macro', 'turnover']), 'pass', unnest(['diagnostic', '2026', 'macro', 'turnover'])",
     ),
     "claim_ledger": (
-        lambda s, d: gates.claim_status(reports.claim_ledger(_summary(s, d).persist(), _robust(s, d).persist()), "allowed_wording", "evidence_strength").select("claim_id", "module", "subject", "evidence_strength", "status"),
+        lambda s, d: gates.claim_status(reports.claim_ledger(_summary(s, d), _robust(s, d)), "allowed_wording", "evidence_strength").select("claim_id", "module", "subject", "evidence_strength", "status"),
         """select 'best_spread' as claim_id, 'LightGBM ablations' as module, (select variant from msum where model_family = 'lgbm' order by mean_q5_minus_q1 desc nulls last, variant limit 1) as subject, 'passed diagnostic' as evidence_strength, 'pass' as status
 union all select 'segment_signal', 'LightGBM ablations', 'segment_only', (select case when t_rank_ic > 2 then 'passed' else 'weak' end from msum where variant = 'segment_only') || ' diagnostic', 'pass'
 union all select 'set_encoder', 'Segment-set models', 'set_only', (select case when t_rank_ic > 2 then 'passed' else 'weak' end from msum where variant = 'set_only') || ' diagnostic', 'pass'
