@@ -134,19 +134,6 @@ def test_macro_tensor_is_wide_and_covers_any_value(spark):
     assert macro.coverage(macro.macro_tensor(rows, tokens, states)).first()["macro_coverage_rate"] == 2 / 3
 
 
-def test_boosted_queries_take_all_yearly_folds_and_default_rounds(spark, monkeypatch):
-    from tidemark.operators import models
-    from tidemark.plans import registry
-
-    calls = []
-    monkeypatch.setattr(models, "boosted_folds", lambda frame, folds, *a, **k: calls.append((folds, k)) or (frame, [(1998, "x", 0.5)]))
-    registry.queries()["boosted_folds"](spark, "/root/testdata/sf0.001")
-    assert registry.queries()["boosted_importances"](spark, "/root/testdata/sf0.001").collect() == [(1998, "x", 0.5)]
-    want = sorted((r["fold_year"], str(r["validation_start"]), str(r["validation_end"])) for r in registry.queries()["yearly_folds"](spark, "/root/testdata/sf0.001").collect())
-    for folds, options in calls:
-        assert len(want) > 1 and folds == want and "rounds" not in options
-
-
 def test_full_set_encoding_keeps_every_share(spark):
     from tidemark.plans import registry
 

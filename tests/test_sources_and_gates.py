@@ -38,7 +38,9 @@ def test_optional_csv_and_tagged_union(spark, tmp_path):
 def test_predictions_take_the_variant_from_the_name(spark, tmp_path):
     path = str(tmp_path / "lgbm_all_predictions.parquet")
     spark.createDataFrame([(date(2020, 1, 31), 1, 0.5, 0.1), (None, 2, 0.5, 0.1)], "date date, permno long, prediction double, target double").write.parquet(path)
-    assert [(r["variant"], r["permno"]) for r in tables.read_predictions(spark, [path], "lgbm").collect()] == [("all", 1)]
+    assert [(r["variant"], r["permno"]) for r in tables.read_predictions(spark, [path], "lgbm", "r").collect()] == [("all", 1)]
+    with pytest.raises(ValueError, match="id of their run"):
+        tables.read_predictions(spark, [path], "lgbm", None)
 
 
 def test_extract_links_by_overlap(spark):

@@ -33,3 +33,10 @@ def interval_join(left: DataFrame, right: DataFrame, by: list[str], at: str, sta
 def keep_one(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in `order`."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, null like any other value; the keys are the left side's, once."""
+    named = right.withColumnsRenamed({k: f"_{k}" for k in keys})
+    on = [left[k].eqNullSafe(named[f"_{k}"]) for k in keys]
+    return left.join(named, on, how).drop(*(f"_{k}" for k in keys))

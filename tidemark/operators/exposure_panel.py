@@ -32,3 +32,15 @@ def sector_matrix(panel: DataFrame, tokens: DataFrame, labels: list[str]) -> Dat
     last = panel.agg(F.max(F.year("date")).alias("_y"))  # one row
     rows = panel.join(F.broadcast(last), F.year("date") == F.col("_y")).select("gvkey", "segment_srcdate", sic_sector(F.col("siccd").cast("string")).alias("sector"))
     return rows.join(tokens, ["gvkey", "segment_srcdate"]).groupBy("sector").pivot("geo_label", labels).agg(F.avg("revenue_share")).na.fill(0.0)
+
+
+def exposure_by_sector(panel: DataFrame, tokens: DataFrame, returns: DataFrame, n: int = 10) -> DataFrame:
+    """(sector, geo_label, mean_share, firm_months): mean revenue share in the panel's last year of the n labels of largest
+    total share there. The sector is that of the returns' industry code on the firm's date; a firm-month without one is
+    Unknown."""
+    last = panel.agg(F.max(F.year("date")).alias("_y"))  # one row
+    recent = panel.join(F.broadcast(last), F.year("date") == F.col("_y")).select("gvkey", "permno", "date", "segment_srcdate")
+    codes = returns.select("permno", "date", sic_sector(F.col("siccd").cast("string")).alias("sector")).dropDuplicates(["permno", "date"])
+    rows = recent.join(codes, ["permno", "date"], "left").withColumn("sector", F.coalesce("sector", F.lit("Unknown"))).join(tokens, ["gvkey", "segment_srcdate"])
+    rows = rows.join(largest(rows, "geo_label", "revenue_share", n), "geo_label", "left_semi")
+    return rows.groupBy("sector", "geo_label").agg(F.avg("revenue_share").alias("mean_share"), F.count("*").alias("firm_months"))

@@ -31,11 +31,26 @@ def with_availability(macro: DataFrame, release_lag_days: int = 0) -> DataFrame:
     return rows.withColumnRenamed("_day", "available_date")
 
 
+#: The area of a series that names none.
+SERIES_AREA = {"FEDFUNDS": "USA", "CPIAUCSL": "USA", "UNRATE": "USA", "INDPRO": "USA", "DTWEXBGS": "USD"}
+
+
+def state_area(macro: DataFrame) -> Column:
+    """The area of each row: of its macro_area, or of the series where that is null; of its label, where the table has no
+    macro_area; of the series, else GLOBAL, where it has neither."""
+    own = F.create_map(*(F.lit(x) for item in SERIES_AREA.items() for x in item))[F.upper("series_id")]
+    if "macro_area" in macro.columns:
+        return macro_area(F.coalesce(F.col("macro_area"), own))
+    return macro_area(F.col("geo_label")) if "geo_label" in macro.columns else F.coalesce(own, F.lit("GLOBAL"))
+
+
 def macro_states(macro: DataFrame, release_lag_days: int = 0) -> DataFrame:
-    """Values by area, series and availability, the last observation of each, with changes by 1 and 12 rows."""
-    label = F.col("macro_area") if "macro_area" in macro.columns else F.col("geo_label") if "geo_label" in macro.columns else F.lit("GLOBAL")
+    """Values by area, series and availability, the last observation of each, with changes by 1 and 12 rows. What the table
+    says of its timing (timing_source, lookahead_safe, revision_safe) stays, null where it says nothing."""
+    more = {"timing_source": "string", "lookahead_safe": "boolean", "revision_safe": "boolean"}
     rows = with_availability(macro, release_lag_days).select(
-        macro_area(label).alias("macro_area"), slug(F.col("series_id")).alias("series_name"), month_end(F.col("date").try_cast("date")).alias("observation_date"), "available_date", F.col("value").try_cast("double").alias("value"), "availability_source", "vintage_safe"
+        state_area(macro).alias("macro_area"), slug(F.col("series_id")).alias("series_name"), month_end(F.col("date").try_cast("date")).alias("observation_date"), "available_date", F.col("value").try_cast("double").alias("value"), "availability_source", "vintage_safe",
+        *((F.col(c) if c in macro.columns else F.lit(None)).cast(kind).alias(c) for c, kind in more.items()),
     ).where("observation_date IS NOT NULL AND available_date IS NOT NULL AND value IS NOT NULL")
     rows = keep_one(rows, ["macro_area", "series_name", "available_date"], [F.desc("observation_date"), F.desc("value")])
     order = Window.partitionBy("macro_area", "series_name").orderBy("available_date")
@@ -43,9 +58,13 @@ def macro_states(macro: DataFrame, release_lag_days: int = 0) -> DataFrame:
 
 
 def profile(states: DataFrame) -> DataFrame:
-    """One row: rows, sorted names of series and areas, and where availability is from."""
+    """One row: rows, sorted names of series, areas and timings, where availability is from, and whether every row is safe from
+    later knowledge: as the rows say, else by their vintages; of revisions nothing is known where no row says so."""
     names = lambda c: F.sort_array(F.collect_set(c))  # noqa: E731  of the catalog's size
-    return states.agg(F.count("*").alias("rows"), names("series_name").alias("series"), names("macro_area").alias("macro_areas"), F.first("availability_source").alias("availability_source"), F.every("vintage_safe").alias("vintage_safe"))
+    return states.agg(
+        F.count("*").alias("rows"), names("series_name").alias("series"), names("macro_area").alias("macro_areas"), F.first("availability_source").alias("availability_source"), F.every("vintage_safe").alias("vintage_safe"),
+        F.coalesce(F.every("lookahead_safe"), F.every("vintage_safe")).alias("lookahead_safe"), F.every("revision_safe").alias("revision_safe"), names(F.coalesce("timing_source", "availability_source")).alias("timing_sources"),
+    )
 
 
 def _month(day: Column) -> Column:

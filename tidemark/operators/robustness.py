@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import next_month_end
+from .asof import join_same
 from .xsec import net_of_cost, quintile_returns, quintiles, rank_ic, spreads, t_stat, turnover
 
 MODEL = ["model_family", "model_run_id", "variant"]
@@ -23,9 +24,9 @@ def fold_metrics(predictions: DataFrame) -> DataFrame:
     """Rows and train rows of each model's folds, with the months and mean of its rank correlations."""
     counts = predictions.groupBy(*MODEL, "fold_year").agg(F.count("*").alias("prediction_rows"), F.max("train_rows").alias("train_rows"))
     years = predictions.select(*MODEL, "date", "fold_year").distinct()
-    ics = rank_ic(predictions, "prediction", "target", by=MODEL).join(years, [*MODEL, "date"], "left")
+    ics = join_same(rank_ic(predictions, "prediction", "target", by=MODEL), years, [*MODEL, "date"], "left")
     ics = ics.groupBy(*MODEL, "fold_year").agg(F.count("*").alias("rank_ic_months"), F.avg("rank_ic").alias("mean_rank_ic"))
-    return counts.join(ics, [*MODEL, "fold_year"], "left")
+    return join_same(counts, ics, [*MODEL, "fold_year"], "left")
 
 
 def importance_summary(importances: DataFrame) -> DataFrame:
@@ -47,7 +48,7 @@ def model_summary(predictions: DataFrame) -> DataFrame:
     rows = predictions.groupBy(*MODEL).agg(F.count("*").alias("prediction_rows"))
     ics = rank_ic(predictions, "prediction", "target", by=MODEL).groupBy(*MODEL).agg(F.count("*").alias("rank_ic_months"), F.avg("rank_ic").alias("mean_rank_ic"), t_stat("rank_ic").alias("t_rank_ic"))
     gaps = model_spreads(scored_quintiles(predictions)).groupBy(*MODEL).agg(F.count_distinct("date").alias("quintile_months"), F.avg("q5_minus_q1").alias("mean_q5_minus_q1"), t_stat("q5_minus_q1").alias("t_q5_minus_q1"))
-    out = rows.join(ics, MODEL, "left").join(gaps, MODEL, "left").na.fill(0, ["rank_ic_months", "quintile_months"])
+    out = join_same(join_same(rows, ics, MODEL, "left"), gaps, MODEL, "left").na.fill(0, ["rank_ic_months", "quintile_months"])
     odd = (F.col("variant") == "macro_only") & (F.col("prediction_rows") > 0)
     return out.withColumn("status", F.when(F.col("rank_ic_months") > 0, "ok").when(odd, "diagnostic_only").otherwise("needs_review"))
 
@@ -66,7 +67,7 @@ def factor_alphas(df: DataFrame, by: list[str], y: str, factors: list[str], *, l
     """
     x = ["1e0", *(f"_x{i + 1}" for i in range(len(factors)))]
     n = range(len(x))
-    rows = df.select(*by, date, F.col(y).cast("double").alias("_y"), *(F.col(f).cast("double").alias(f"_x{i + 1}") for i, f in enumerate(factors))).dropna()
+    rows = df.select(*by, date, F.col(y).cast("double").alias("_y"), *(F.col(f).cast("double").alias(f"_x{i + 1}") for i, f in enumerate(factors))).dropna(subset=[date, "_y", *(f"_x{i + 1}" for i in range(len(factors)))])
     sums = rows.groupBy(*by).agg(F.count("*").alias("n_months"), *(F.expr(f"sum({x[i]} * {x[j]})").alias(f"s{i}_{j}") for i in n for j in range(i + 1)), *(F.expr(f"sum({x[i]} * _y)").alias(f"b{i}") for i in n))
     schema = ", ".join([*(f"{c} {df.schema[c].dataType.simpleString()}" for c in by), "n_months long", *(f"beta{i} double" for i in n), *(f"a{i} double" for i in n)])
 
@@ -83,7 +84,7 @@ def factor_alphas(df: DataFrame, by: list[str], y: str, factors: list[str], *, l
 
     solved = sums.mapInPandas(solve, schema)  # one row a group
     dot = lambda c: F.expr(" + ".join(f"{c}{i} * {x[i]}" for i in n))
-    rows = rows.join(solved, by).withColumn("_e", F.col("_y") - dot("beta")).withColumn("_w", F.col("_e") * dot("a"))
+    rows = join_same(rows, solved, by).withColumn("_e", F.col("_y") - dot("beta")).withColumn("_w", F.col("_e") * dot("a"))
     order = Window.partitionBy(*by).orderBy(date)
     lagged = sum((2 * (1 - j / (lags + 1)) * F.coalesce(F.lag("_w", j).over(order), F.lit(0.0)) for j in range(1, lags + 1)), F.col("_w"))
     rows = rows.withColumn("_v", F.col("_w") * lagged)
@@ -91,7 +92,7 @@ def factor_alphas(df: DataFrame, by: list[str], y: str, factors: list[str], *, l
     enough = F.col("n_months") >= least_months(factors)
     alpha_t = F.when(F.col("_v") > 0, F.col("beta0") / F.sqrt("_v"))
     r2 = F.when(F.col("_var") > 0, 1 - F.col("_sse") / (F.col("_var") * F.col("n_months")))
-    out = df.select(*by).distinct().join(solved.join(figures, by), by, "left")
+    out = join_same(df.select(*by).distinct(), join_same(solved, figures, by), by, "left")
     shown = {"alpha": F.col("beta0"), "alpha_t": alpha_t, "r2": r2, **{f"beta_{f}": F.col(f"beta{i + 1}") for i, f in enumerate(factors)}}
     return out.select(*by, F.coalesce("n_months", F.lit(0).cast("long")).alias("n_months"), *(F.when(enough, c).alias(k) for k, c in shown.items()))
 
@@ -99,7 +100,7 @@ def factor_alphas(df: DataFrame, by: list[str], y: str, factors: list[str], *, l
 def with_costs(predictions: DataFrame, basis_points: float = 10.0) -> DataFrame:
     """Monthly spreads of each model, gross, turnover, and net of its cost."""
     scored = scored_quintiles(predictions)
-    rows = model_spreads(scored).join(turnover(scored, MODEL).select(*MODEL, "date", "long_short_turnover"), [*MODEL, "date"], "left")
+    rows = join_same(model_spreads(scored), turnover(scored, MODEL).select(*MODEL, "date", "long_short_turnover"), [*MODEL, "date"], "left")
     return rows.withColumn("net_q5_minus_q1", net_of_cost(F.col("q5_minus_q1"), F.col("long_short_turnover"), basis_points))
 
 
@@ -114,4 +115,4 @@ def robustness_summary(predictions: DataFrame, factors: DataFrame, columns: list
     gross = factor_alphas(rows, MODEL, "q5_minus_q1", columns, lags=lags)
     gross = gross.select(*MODEL, F.col("alpha").alias("gross_alpha"), F.col("alpha_t").alias("gross_alpha_t"), F.col("n_months").alias("alpha_months"), F.col("r2").alias("factor_r2"), *(f"beta_{c}" for c in columns))
     net = factor_alphas(rows, MODEL, "net_q5_minus_q1", columns, lags=lags).select(*MODEL, F.col("alpha").alias("net_alpha"), F.col("alpha_t").alias("net_alpha_t"))
-    return means.join(gross, MODEL).join(net, MODEL)
+    return join_same(join_same(means, gross, MODEL), net, MODEL)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .asof import join_same
+
 LEAST, DISTINCT = 25, 5
 
 
@@ -14,7 +16,7 @@ def quintiles(df: DataFrame, x: str, *, by: list[str] | None = None, date: str =
     has = F.col(x).isNotNull()
     groups = [*(by or []), date]
     sizes = df.where(has).groupBy(*groups).agg(F.count(x).alias("_n"), F.count_distinct(x).alias("_d"))
-    ranked = df.join(sizes, groups, "left").withColumn("_r", F.row_number().over(Window.partitionBy(*groups).orderBy(F.asc_nulls_last(x), tie)))
+    ranked = join_same(df, sizes, groups, "left").withColumn("_r", F.row_number().over(Window.partitionBy(*groups).orderBy(F.asc_nulls_last(x), tie)))
     n, r = F.col("_n"), F.col("_r")
     q = F.greatest(F.lit(1), F.floor((5 * (r - 1) + n - 2) / (n - 1)).cast("int"))
     return ranked.withColumn(out, F.when(has & (n >= LEAST) & (F.col("_d") >= DISTINCT), q)).drop("_n", "_d", "_r")

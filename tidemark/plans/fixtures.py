@@ -44,6 +44,10 @@ from {lineitem} group by last_day(cast(l_shipdate as date))""",
 from {orders} join {customer} on o_custkey = c_custkey join {nation} on c_nationkey = n_nationkey join {region} on n_regionkey = r_regionkey where r_name <> 'AFRICA' group by r_name, year(o_orderdate), month(o_orderdate)
 union all select 'FEDFUNDS', 'GLOBAL', make_date(year(o_orderdate), month(o_orderdate), 1), last_day(make_date(year(o_orderdate), month(o_orderdate), 1)) + 7, floor((avg(o_totalprice) / 100000) * 1e6 + 0.50001) / 1e6
 from {orders} group by year(o_orderdate), month(o_orderdate)""",
+    # series without an area: one the fixed map knows, one it does not, and a table that has areas for some rows only
+    "fx_macro_bare": """select case series_id when 'REV_ASIA' then 'unrate' when 'REV_EUROPE' then 'DTWEXBGS' else series_id end as series_id, date, available_date, value from {fx_macro}""",
+    "fx_macro_partly": """select series_id, case when series_id = 'FEDFUNDS' or month(date) % 2 = 0 then null else macro_area end as macro_area, date, available_date, value,
+  case when series_id = 'FEDFUNDS' then 'fred_initial_release' else 'configured_release_lag' end as timing_source, true as lookahead_safe, series_id = 'FEDFUNDS' as revision_safe from {fx_macro}""",
     "fx_filings_once": """select distinct gvkey, datadate from {fx_segments} where cast(gvkey as int) % 3 <> 0""",
     # two thirds of the firms file, half of them with a preliminary date; every fourth files again later
     "fx_filings": """select gvkey, datadate, case when cast(gvkey as int) % 2 = 0 then datadate + 45 end as pdate, datadate + 60 as fdate from {fx_filings_once}

@@ -61,6 +61,11 @@ def _tokens(spark: SparkSession, d: str) -> DataFrame:
     return kept(spark, d, "tokens", lambda: panel.geo_tokens(view(spark, d, "fx_segments")))
 
 
+def _set_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of sets with shares as decimals, so sums and ranks are exact."""
+    return features.set_tokens(_tokens(spark, d)).withColumn("revenue_share", fn.stepped(F.col("revenue_share"), 9).cast("decimal(12,9)"))
+
+
 def _states(spark: SparkSession, d: str) -> DataFrame:
     return macro.macro_states(view(spark, d, "fx_macro"))
 
@@ -213,6 +218,7 @@ CHAIN = {
     "tok": "select *, segment_sales / sum(segment_sales) over (partition by gvkey, segment_srcdate) as revenue_share, {area} as macro_area from tok0".format(
         area="case " + " ".join("when " + " or ".join(f"contains(upper(trim(geo_label)), '{t}')" for t in terms) + f" then '{a}'" for a, terms in fn.AREA_TERMS.items()) + " else 'OTHER_FOREIGN' end"
     ),
+    "tokx": "select gvkey, segment_srcdate, coalesce(nullif(upper(trim(geo_label)), ''), 'UNKNOWN') as geo_label, cast(floor(sum(revenue_share) * 1e9 + 0.50001) / 1e9 as decimal(12, 9)) as revenue_share from tok group by 1, 2, 3",
     "st0": "select {area} as macro_area, regexp_replace(lower(series_id), '[^a-z0-9]+', '_', 'g') as series_name, last_day(date) as observation_date, available_date, value from fx_macro".format(
         area="case " + " ".join("when " + " or ".join(f"contains(upper(trim(macro_area)), '{t}')" for t in terms) + f" then '{a}'" for a, terms in fn.AREA_TERMS.items()) + " else 'OTHER_FOREIGN' end"
     ),
@@ -249,22 +255,14 @@ def _standard(spark: SparkSession, d: str) -> DataFrame:
     return _q(catalog.standard_frame(seen, series).drop("realtime_end"), "value")
 
 
-ROLE = catalog.Role("links", ("crsp", "comp"), ("ccm", "link"), ("ccmxpf_linktable", "ccmxpf_lnkhist"), (("gvkey",), ("lpermno", "permno"), ("linkdt",)), ("linkdt",))
-
-
-def _roles(spark: SparkSession, d: str) -> DataFrame:
-    """Of three tables with link in their names, the one that has the columns."""
-    names = view(spark, d, "nation").limit(1).select(F.explode(F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(("library", "table", "column"), r, strict=True))) for r in (
-        ("crsp", "ccmxpf_lnkhist", "gvkey"), ("crsp", "ccmxpf_lnkhist", "lpermno"), ("crsp", "ccmxpf_lnkhist", "linkdt"), ("crsp", "ccmxpf_linktable", "gvkey"), ("comp", "link_notes", "gvkey"), ("x", "other", "linkdt"))))).alias("c"))
-    return catalog.resolve_roles(names.select("c.*"), [ROLE])
-
-
 M = "model_family, model_run_id, variant"
 SUMMARY = ("mean_rank_ic", "t_rank_ic", "mean_q5_minus_q1", "t_q5_minus_q1")
 ROBUST = ("mean_gross_q5_minus_q1", "t_gross_q5_minus_q1", "mean_net_q5_minus_q1", "t_net_q5_minus_q1", "mean_turnover", "gross_alpha", "gross_alpha_t", "net_alpha", "net_alpha_t", "factor_r2")
 REVIEW = "case when {a} > 2 and {b} > 2 then 'positive {x} diagnostic' when {a} > 2 then 'positive {y} diagnostic' when {b} > 2 then 'positive {z} diagnostic' else 'weak diagnostic' end"
 
 
+#: Queries whose SQL reads the given tables only.
+PLAIN = ("period_parse", "table_estimates", "role_resolution", "daily_extract")
 #: Parts of the chain that many others read.
 OFTEN = ("pan", "pred", "pq", "prow", "rsum", "msum")
 
@@ -327,19 +325,25 @@ def _scaled(spark: SparkSession, d: str) -> DataFrame:
     return _q(out, "xrd", "dlc")
 
 
-def _boosted(spark: SparkSession, d: str) -> tuple[DataFrame, list[tuple[int, str, float]]]:
-    """All yearly folds, with the operator's own number of rounds."""
-    rows = _panel(spark, d)
-    frame = features.feature_frame(rows, holdout="2001-01-01").join(rows.select("permno", "date", F.col("next_month_excess_ret").alias("target")), ["permno", "date"])
-    folds = xsec.yearly_folds(rows, holdout="2001-01-01").orderBy("fold_year").collect()  # one row a year
-    return models.boosted_folds(frame, [(f["fold_year"], str(f["validation_start"]), str(f["validation_end"])) for f in folds], list(features.DERIVED), "target")
-
-
 def _set_encoding(spark: SparkSession, d: str, size: int, longest: int) -> DataFrame:
-    sets = features.encoded_sets(_tokens(spark, d), features.geo_vocabulary(_tokens(spark, d), size), longest)
+    sets = features.encoded_sets(_set_tokens(spark, d), features.geo_vocabulary(_set_tokens(spark, d), size), longest)
     return sets.select("gvkey", "segment_srcdate", F.array_join(F.transform("geo_ids", lambda x: x.cast("string")), ",").alias("ids"), q6(F.aggregate("shares", F.lit(0.0), lambda a, x: a + x)).alias("kept_share"))
 
 
+def vocabulary_sql(size: int) -> str:
+    return f"select geo_label, row_number() over (order by sum(revenue_share) desc, geo_label) + 1 as geo_id from tokx group by geo_label qualify geo_id < {size}"
+
+
+def sets_sql(size: int, longest: int) -> str:
+    """Ids and shares of each snapshot's set, without padding."""
+    listed = lambda c: f"list({c} order by revenue_share desc, geo_label)[1:{longest}]"
+    return f"select gvkey, segment_srcdate, {listed('coalesce(geo_id, 1)')} as ids, {listed('revenue_share')} as shares from tokx left join ({vocabulary_sql(size)}) v using (geo_label) group by gvkey, segment_srcdate"
+
+
+def sets_text_sql(size: int, longest: int) -> str:
+    return f"select gvkey, segment_srcdate, array_to_string(list_resize(ids, {longest}, 0), ',') as ids, {_d6('list_sum(shares)', 'kept_share')} from ({sets_sql(size, longest)})"
+
+
 LABELS = ("United States", "ASIA", "EUROPE", "AFRICA", "MIDDLE EAST")
 SECTOR_SQL = "case " + " ".join(f"when siccd between {a} and {b} then '{k}'" for k, (a, b) in fn.SECTORS.items()) + " else 'Unknown' end"
 FORBIDDEN_SQL = "array_to_string(list_filter([" + ", ".join(f"'{w}'" for w in gates.FORBIDDEN) + "], lambda w: contains(lower(claim), w)), ',')"
@@ -445,7 +449,6 @@ REGISTERED: dict[str, tuple[Query, str | None]] = {
         _standard,
         f"select case series_id when 'FEDFUNDS' then 'fred' else 'bls' end as source, series_id, lower(series_id) as series_name, 'GLOBAL' as macro_area, date, case series_id when 'FEDFUNDS' then available_date else last_day(date) + 7 end as available_date, {_d6('value')}, available_date as realtime_start, case series_id when 'FEDFUNDS' then 'fred_initial_release' else 'configured_release_lag' end as timing_source, true as lookahead_safe, series_id = 'FEDFUNDS' as revision_safe from fx_macro where series_id in ('FEDFUNDS', 'REV_AMERICA')",
     ),
-    "role_resolution": (_roles, "select 'links' as role, 'crsp' as library, 'ccmxpf_lnkhist' as \"table\", 207 as score, 'linkdt' as date_column"),
     "fold_metrics": (
         lambda s, d: _q(robustness.fold_metrics(_predictions(s, d)), "mean_rank_ic"),
         f"select {M}, fold_year, p.n as prediction_rows, train_rows, rank_ic_months, {_d6('ic', 'mean_rank_ic')} from (select {M}, fold_year, count(*) as n, max(train_rows) as train_rows from pred group by all) p left join (select {M}, year(date) as fold_year, count(*) as rank_ic_months, avg(rank_ic) as ic from pric group by all) using ({M}, fold_year)",
@@ -495,15 +498,7 @@ union all select 'macro_execution', 'Macro execution', 'run_a', 'blocked by miss
         lambda s, d: _q(reports.firm_explorer(_panel(s, d), 30).select("permno", "date", "sector", "foreign_share"), "foreign_share"),
         f"select permno, date, {SECTOR_SQL} as sector, {_d6('foreign_share')} from (select * from pan where year(date) = (select max(year(date)) from pan) qualify row_number() over (partition by permno order by foreign_share desc, date desc) = 1) order by foreign_share desc, date desc, permno limit 30",
     ),
-    "variant_features": (
-        lambda s, d: s.createDataFrame([(v, i, f) for v in features.VARIANTS for i, f in enumerate(features.variant_features(["foreign_share", "log_at", "ret", "mktrf", "segment_macro_x", "leverage"], v))], "variant string, place int, feature string"),
-        "select * from (values ('all', 0, 'foreign_share'), ('all', 1, 'log_at'), ('all', 2, 'leverage'), ('all', 3, 'ret'), ('all', 4, 'mktrf'), ('no_market_factors', 0, 'foreign_share'), ('no_market_factors', 1, 'log_at'), ('no_market_factors', 2, 'leverage'), ('no_market_factors', 3, 'ret'), ('no_return_or_market', 0, 'foreign_share'), ('no_return_or_market', 1, 'log_at'), ('no_return_or_market', 2, 'leverage'), ('segment_only', 0, 'foreign_share'), ('non_segment_controls', 0, 'log_at'), ('non_segment_controls', 1, 'leverage'), ('non_segment_controls', 2, 'ret'), ('non_segment_controls', 3, 'mktrf'), ('macro_only', 0, 'segment_macro_x'), ('segment_plus_macro', 0, 'foreign_share'), ('segment_plus_macro', 1, 'segment_macro_x'), ('all_plus_macro', 0, 'foreign_share'), ('all_plus_macro', 1, 'log_at'), ('all_plus_macro', 2, 'leverage'), ('all_plus_macro', 3, 'ret'), ('all_plus_macro', 4, 'mktrf'), ('all_plus_macro', 5, 'segment_macro_x')) t(variant, place, feature)",
-    ),
-    "importance_summary": (
-        lambda s, d: _q(robustness.importance_summary(_predictions(s, d).select("fold_year", F.col("variant").alias("feature"), F.col("prediction").alias("importance"))), "mean_importance"),
-        f"select variant as feature, {_d6('avg(prediction)', 'mean_importance')}, count(distinct fold_year) as folds from pred group by variant",
-    ),
-    "macro_states_delta": (lambda s, d: _q(_states(s, d), "value", "value_delta_1m", "value_delta_12m").drop("availability_source", "vintage_safe"), "select * replace (" + ", ".join(_d6(c) for c in ("value", "value_delta_1m", "value_delta_12m")) + ") from st"),
+    "macro_states_delta": (lambda s, d: _q(_states(s, d), "value", "value_delta_1m", "value_delta_12m").select("macro_area", "series_name", "observation_date", "available_date", "value", "value_delta_1m", "value_delta_12m"), "select * replace (" + ", ".join(_d6(c) for c in ("value", "value_delta_1m", "value_delta_12m")) + ") from st"),
     "macro_fallback": (
         lambda s, d: _q(_on_tokens(s, d).groupBy("series_name", "macro_area").agg(F.count("*").alias("n"), F.count("value").alias("known"), F.max("available_date").alias("last")), ),
         "select m.series_name, m.macro_area, count(*) as n, count(m.value) as known, max(s.available_date) as last from mt1 x join mt2 m on x.gvkey = m.gvkey and x.permno = m.permno and x.date = m.date and x.geo_label = m.geo_label and x.series_name = m.series_name asof left join st s on x.series_name = s.series_name and x.area = s.macro_area and x.date >= s.available_date group by 1, 2",
@@ -526,10 +521,6 @@ union all select 'macro_execution', 'Macro execution', 'run_a', 'blocked by miss
         lambda s, d: macro.macro_states(view(s, d, "fx_macro").withColumn("realtime_start", F.col("available_date")).withColumn("available_date", F.lit(None).cast("date")), release_lag_days=5).groupBy("availability_source", "vintage_safe").agg(F.count("*").alias("n"), F.min("available_date").alias("first")),
         "select 'realtime_start' as availability_source, true as vintage_safe, count(*) as n, min(available_date) as first from st",
     ),
-    "macro_profile": (
-        lambda s, d: macro.profile(_states(s, d)).select("rows", F.array_join("series", ",").alias("series"), F.array_join("macro_areas", ",").alias("macro_areas"), "availability_source", "vintage_safe"),
-        "select count(*) as rows, string_agg(distinct series_name, ',' order by series_name) as series, string_agg(distinct macro_area, ',' order by macro_area) as macro_areas, 'available_date' as availability_source, true as vintage_safe from st",
-    ),
     "feature_frame": (
         lambda s, d: _q(features.feature_frame(_panel(s, d), holdout="2001-01-01"), *features.DERIVED),
         "select gvkey, permno, date, " + ", ".join(_d6(e, n) for n, e in features.DERIVED_SQL.items()) + " from pan where date < date '2001-01-01'",
@@ -539,12 +530,12 @@ union all select 'macro_execution', 'Macro execution', 'run_a', 'blocked by miss
         "select * from (select fold_year, validation_start, validation_end, validation_months, min(validation_start) over w as train_start, max(validation_end) over w as train_end, cast(sum(validation_months) over w as bigint) as train_months from (select year(date) as fold_year, min(date) as validation_start, max(date) as validation_end, count(*) as validation_months from (select distinct date from pan where date < date '2001-01-01') group by 1) window w as (order by fold_year rows between unbounded preceding and 1 preceding)) where train_months >= 36",
     ),
     "geo_vocab": (
-        lambda s, d: features.geo_vocabulary(_tokens(s, d), 8).select("geo_label", "geo_id"),
-        "select geo_label, row_number() over (order by floor(sum(revenue_share) * 1e6 + 0.50001) / 1e6 desc, geo_label) + 1 as geo_id from tok group by geo_label qualify geo_id <= 7",
+        lambda s, d: features.geo_vocabulary(_set_tokens(s, d), 8).select("geo_label", "geo_id"),
+        f"select geo_label, geo_id from ({vocabulary_sql(8)})",
     ),
     "set_encoding": (
         lambda s, d: _set_encoding(s, d, 8, 3),
-        "with_placeholder",
+        sets_text_sql(8, 3),
     ),
     "histogram": (
         lambda s, d: features.histogram(_panel(s, d), "foreign_share", 0.0, 1.0, 40),
@@ -584,19 +575,17 @@ union all select 'macro_execution', 'Macro execution', 'run_a', 'blocked by miss
         f"select r.permno, r.date, {_standard_sql('xrd')}, {_standard_sql('dlc')} from pan r, (select xrd_m, dlc_m, " + ", ".join(f"avg(coalesce({c}, {c}_m)) as {c}_a, stddev_pop(coalesce({c}, {c}_m)) as {c}_s" for c in ("xrd", "dlc")) + " from (select *, median(xrd) over () as xrd_m, median(dlc) over () as dlc_m from pan where date < date '2000-01-01') group by 1, 2) where r.date >= date '2000-01-01'",
     ),
     "train_sample": (lambda s, d: models.train_sample(_panel(s, d).select("permno", "date"), ["permno", "date"], 500), None),
-    "boosted_folds": (lambda s, d: _boosted(s, d)[0], None),
-    "boosted_importances": (lambda s, d: s.createDataFrame(_boosted(s, d)[1], "fold_year int, feature string, importance double"), None),
-    "set_encoding_full": (lambda s, d: _set_encoding(s, d, 512, 12), None),  # the reference's vocabulary and labels a set
+    "set_encoding_full": (lambda s, d: _set_encoding(s, d, 512, 12), sets_text_sql(512, 12)),  # the reference's vocabulary and labels a set
 }
-REGISTERED["set_encoding"] = (
-    REGISTERED["set_encoding"][0],
-    "select gvkey, segment_srcdate, array_to_string(list_resize(list(id order by q desc, geo_label)[1:3], 3, 0), ',') as ids, floor(list_sum(list(q order by q desc, geo_label)[1:3]) * 1e6 + 0.50001) / 1e6 as kept_share from (select t.*, floor(revenue_share * 1e9 + 0.50001) / 1e9 as q, coalesce(v.geo_id, 1) as id from tok t left join (select geo_label, row_number() over (order by floor(sum(revenue_share) * 1e6 + 0.50001) / 1e6 desc, geo_label) + 1 as geo_id from tok group by geo_label qualify geo_id <= 7) v using (geo_label)) group by gvkey, segment_srcdate",
-)
+def registered() -> dict[str, tuple[Query, str | None]]:
+    from . import studies  # it builds on this module
+
+    return REGISTERED | studies.REGISTERED
 
 
 def queries() -> dict[str, Query]:
-    return {k: q for k, (q, _) in REGISTERED.items()}
+    return {k: q for k, (q, _) in registered().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: sql if k == "period_parse" else _sql(sql) for k, (_, sql) in REGISTERED.items() if sql}
+    return {k: sql if k in PLAIN else _sql(sql) for k, (_, sql) in registered().items() if sql}

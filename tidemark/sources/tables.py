@@ -46,16 +46,18 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str, *, option
 FAMILIES = ("lgbm", "deepsets")
 
 
-def read_predictions(spark: SparkSession, paths: list[str], family: str, run_id: str | None = None, target: str = "target") -> DataFrame:
+def read_predictions(spark: SparkSession, paths: list[str], family: str, run_id: str, target: str = "target") -> DataFrame:
     """Model predictions, with the variant from names such as lgbm_all_predictions.parquet (file or folder) and the run.
     Numbers are read leniently; rows that lack a date, permno, prediction or target go."""
     if family not in FAMILIES:
         raise ValueError(f"unknown model family {family!r}")
+    if not run_id:
+        raise ValueError("predictions need the id of their run")
     rows = spark.read.parquet(*paths).withColumn("variant", F.regexp_extract(F.input_file_name(), rf"{family}_([^/]+)_predictions\.parquet", 1))
     if missing := {"date", "permno", "prediction", target} - set(rows.columns):
         raise ValueError(f"predictions lack {sorted(missing)}")
     rows = rows.withColumns({"date": F.col("date").try_cast("date"), "permno": F.col("permno").try_cast("long"), "prediction": F.col("prediction").try_cast("double"), target: F.col(target).try_cast("double")})
-    return rows.dropna(subset=["date", "permno", "prediction", target]).withColumn("model_family", F.lit(family)).withColumn("model_run_id", F.lit(run_id).cast("string"))
+    return rows.dropna(subset=["date", "permno", "prediction", target]).withColumn("model_family", F.lit(family)).withColumn("model_run_id", F.lit(run_id))
 
 
 def union_tagged(tables: dict[str, DataFrame], tag: str = "model_run_id") -> DataFrame:
