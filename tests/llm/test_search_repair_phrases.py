@@ -50,6 +50,7 @@ def test_search_equals_all_products(spark, monkeypatch, kind):
     monkeypatch.setattr(mtree, "ROWS", 300)
     monkeypatch.setattr(mtree, "PIVOTS", 4)
     monkeypatch.setattr(mtree, "QUERIES", 10)
+    monkeypatch.setattr(mtree, "BATCH", 4)
     rows = vectors(1500, kind)
     rows += [(3000, None), (3050, [1.0, None]), (3100, [float("nan"), 1.0]), (3150, [float("inf")]), (None, [1.0, 2.0]), (3200, []), (3250, [4.0]), (50, rows[50][1]), (100, [9.0] * 3)]
     rows += [(4000 + i, rows[0][1]) for i in range(100)]  # copies, two of them queries
@@ -91,20 +92,14 @@ def test_tree_bounds_hold_and_save_products():
                 own = lifted[below((at[0], int(child)))]
                 assert np.sqrt(((own - p) ** 2).sum(1)).max() <= radius + 1e-6
                 assert np.allclose(np.sqrt(((mtree._lifted(forest.pages[0, int(child)][1].astype(int), most) - p) ** 2).sum(1)), forest.pages[0, int(child)][2])
-    touched = 0
-    for at, (leaf, v, parent, rest) in list(forest.pages.items()):
-
-        class Counted(np.ndarray):
-            def __matmul__(self, other):
-                nonlocal touched
-                touched += len(self)
-                return np.asarray(self) @ other
-
-        forest.pages[at] = (leaf, v.view(Counted), parent, rest)
-    for q in m[:20]:
-        found = forest.best(q, float(q @ q) + most, 6, -1e300)
-        assert found == sorted((-int(s), i) for i, s in enumerate(m @ q))[:6]
-    assert touched < 20 * 3000 / 2  # the rest was left out by bounds
+    asked = m[:20]
+    found = forest.best(asked, (asked * asked).sum(1) + most, 6, np.full(20, -1e300))
+    for q, own in zip(asked, found, strict=True):
+        assert own == sorted((-int(s), i) for i, s in enumerate(m @ q))[:6]
+    one = mtree.Forest(pages, 16)
+    for q in asked:
+        one.best(q[None], np.array([q @ q + most]), 6, np.array([-1e300]))
+    assert one.products < 20 * 3000 / 2  # the rest was left out by bounds
 
 
 LEGAL = re.compile(r"(s?(ua)+)?\Z")

@@ -5,7 +5,7 @@ Vectors get one more coordinate, sqrt(M² - |x|²) for rows (M: the largest leng
 the nearest of a bounded number of pivots and by hash within them; each part becomes an M-tree of pages, whose entries hold
 a routing vector, a covering radius and the distance to the parent's routing vector. A search takes the pages of a group of
 trees by their lower bounds, best first, and leaves out entries by |d(q, parent) - d(parent, entry)| - radius before any
-product is taken. Bounds are compared as distances with a margin, scores as exact integers.
+product is taken; a batch of queries shares the reading of a page. Bounds are compared as distances with a margin, scores as exact integers.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ SAMPLE, PIVOTS, TREE = 1024, 128, 8192
 LEAF, FANOUT = 64, 16
 #: Queries and rows that meet in one task.
 QUERIES, ROWS = 16_384, 65_536
+#: Queries that are searched for together in a task.
+BATCH = 1024
 #: Scaled components from here on are refused, as their products could leave a long.
 LIMIT = 1 << 26
 SALTS = 16
@@ -111,7 +113,7 @@ class Forest:
     """The pages of some trees, for searches."""
 
     def __init__(self, pages: pd.DataFrame, size: int) -> None:
-        self.pages, self.roots = {}, []
+        self.pages, self.roots, self.products = {}, [], 0
         for r in pages.itertuples():
             load = lambda b, kind: np.frombuffer(b, kind)
             v = load(r.vectors, np.int32).reshape(r.n, size)
@@ -123,44 +125,56 @@ class Forest:
             if r.page == 0:
                 self.roots.append((r.tree, 0))
 
-    def best(self, q: np.ndarray, base: float, k: int, least: float) -> list[tuple[int, int]]:
-        """The k pairs (-score, id) first in order, of rows whose score is `least` or more. base: |q|² + M²."""
-        exact = q.astype(float)
+    def best(self, queries: np.ndarray, base: np.ndarray, k: int, least: np.ndarray) -> list[list[tuple[int, int]]]:
+        """For each query the k pairs (-score, id) first in order, of rows whose score is `least` or more. base: |q|² + M².
+
+        The queries of a batch take a page together, the one with the lowest bound of any of them first, so one product of
+        matrices serves them all; which entries each of them needs is its own bounds' matter.
+        """
+        exact, least = queries.astype(float), least.astype(float)
         margin = 1e-9 * (base + 1)
-        found: list[tuple[int, int]] = []
-        reach = lambda: sqrt(max(base - 2 * least, 0.0) + margin)
-        far, heap = reach(), [(0.0, i, root, None) for i, root in enumerate(self.roots)]
+        found: list[list[tuple[int, int]]] = [[] for _ in queries]
+        reach = lambda i: np.sqrt(np.maximum(base[i] - 2 * least[i], 0.0) + margin[i])
+        everyone = np.arange(len(queries))
+        far = reach(everyone)
+        heap = [(0.0, i, root, everyone, np.zeros(len(queries)), None) for i, root in enumerate(self.roots)]
         made = len(heap)
         while heap:
-            bound, _, at, above = heapq.heappop(heap)
-            if bound > far:
-                break
+            _, _, at, who, bounds, above = heapq.heappop(heap)
+            near = bounds <= far[who]  # bounds may have fallen since the page was put in line
+            if not near.any():
+                continue
+            who, above = who[near], None if above is None else above[near]
             leaf, vectors, parent, rest = self.pages[at]
             radius = 0.0 if leaf else rest[0]
-            where = np.arange(len(vectors)) if above is None else np.flatnonzero(np.abs(above - parent) - radius <= far)
-            if not len(where):
+            needed = np.ones((len(who), len(vectors)), bool) if above is None else np.abs(above[:, None] - parent) - radius <= far[who, None]
+            rows, columns = np.flatnonzero(needed.any(1)), np.flatnonzero(needed.any(0))
+            if not len(rows):
                 continue
-            scores = vectors[where] @ exact  # whole numbers below 2^53 are exact; larger ones are taken again below
+            who, needed = who[rows], needed[np.ix_(rows, columns)]
+            scores = exact[who] @ vectors[columns].T  # whole numbers below 2^53 are exact; larger ones are taken again below
+            self.products += scores.size
             if leaf:
-                for i in np.flatnonzero(scores >= least - margin):
-                    score = int(vectors[where[i]].astype(np.int64) @ q)
-                    found += [(-score, int(x)) for x in rest[where[i]]]
-                if len(found) > k:
-                    found = sorted(found)[:k]
-                if len(found) == k:
-                    least = max(least, -max(found)[0])
-                    far = reach()
+                hit = needed & (scores >= (least[who] - margin[who])[:, None])
+                for i in np.flatnonzero(hit.any(1)):
+                    own = found[who[i]]
+                    for j in columns[hit[i]]:
+                        score = int(vectors[j].astype(np.int64) @ queries[who[i]])
+                        own += [(-score, int(x)) for x in rest[j]]
+                    own.sort()
+                    del own[k:]
+                    if len(own) == k:
+                        least[who[i]] = max(least[who[i]], -own[-1][0])
+                far[who] = reach(who)
                 continue
-            away = np.sqrt(np.maximum(base - 2 * scores, 0.0))
-            low = away - rest[0][where]
-            for i in np.flatnonzero(low <= far):
-                heapq.heappush(heap, (max(low[i], bound), made, (at[0], int(rest[1][where[i]])), away[i]))
+            away = np.sqrt(np.maximum(base[who, None] - 2 * scores, 0.0))
+            low = np.maximum(away - rest[0][columns], 0.0)
+            needed &= low <= far[who, None]
+            for j in np.flatnonzero(needed.any(0)):
+                own = needed[:, j]
+                heapq.heappush(heap, (low[own, j].min(), made, (at[0], int(rest[1][columns[j]])), who[own], low[own, j], away[own, j]))
                 made += 1
-        return sorted(found)
-
-
-def _least(scores: np.ndarray, k: int) -> float:
-    return float(np.partition(scores, -k)[-k]) if len(scores) >= k else -np.inf
+        return found
 
 
 def searched(size: int, most: float, k: int, sample: np.ndarray):  # noqa: ANN201
@@ -170,10 +184,14 @@ def searched(size: int, most: float, k: int, sample: np.ndarray):  # noqa: ANN20
     def run(pages: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(pages) and len(queries):
-            forest, vectors = Forest(pages, size), _matrix(queries["v"].tolist(), size)
-            for q, v in zip(queries["q"], vectors, strict=True):
-                first = _least((sample @ v).astype(float), k)
-                out += [(int(q), -s, i) for s, i in forest.best(v, float(v.astype(float) @ v) + most, k, max(first, -1e300))]
+            forest, seen = Forest(pages, size), sample.T.astype(float)
+            for start in range(0, len(queries), BATCH):
+                part = queries.iloc[start : start + BATCH]
+                v = _matrix(part["v"].tolist(), size)
+                lengths = (v.astype(float) ** 2).sum(1)
+                first = np.partition(v.astype(float) @ seen, -k, axis=1)[:, -k] if len(sample) >= k else np.full(len(v), -1e300)
+                found = forest.best(v, lengths + most, k, first)
+                out += [(int(q), -s, i) for q, own in zip(part["q"], found, strict=True) for s, i in own]
         return pd.DataFrame(out, columns=["q", "score", "vec_id"]).astype("int64")
 
     return run
