@@ -30,7 +30,7 @@ from .common import written
 ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 TABLE = bytes.maketrans(bytes(range(65, 91)) + b"\t" + ENDS, bytes(range(97, 123)) + b" " + b"\n" * len(ENDS))
 #: Words of a block, and rows that leave it at once.
-BLOCK, ROWS = 2_000_000, 200_000
+BLOCK, ROWS = 1_000_000, 100_000
 #: Bits of the filter: for each frequent pair, and at most (32 MB); beyond, more pairs pass by mistake.
 BITS_EACH, MOST_BITS = 16, 1 << 28
 SALTS = 32
