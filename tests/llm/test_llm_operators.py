@@ -454,3 +454,38 @@ def test_clashing_columns_and_empty_tables(spark, docs):
     assert [r["text"] for r in html.html_query(same).collect()] == ["x"] * 3
     for run in (bpe.bpe_query, secrets.secrets_query, mixing.mixing_query, tokens.tokens_query, suffix.suffix_query, licenses.licenses_query, neardup.near_dedup_query, fingerprints.fingerprint_query):
         assert run(none).count() == 0
+
+
+@pytest.mark.parametrize("tag", ["h1", "form", "nav", "p", "td", "article"])
+def test_very_many_unclosed_elements_take_linear_time(tag):
+    import time
+
+    began = time.process_time()
+    html.main_text(f"<{tag}>x " * 40_000, None, set())
+    assert time.process_time() - began < 15  # a quadratic walk takes minutes
+
+
+def test_long_pages_align_in_linear_time_and_short_ones_exactly():
+    import time
+
+    rng = random.Random(1)
+    tree = lambda text: html.folded(r := html.Tree(text).root, html.masses(html.blocks(r)))
+    page = lambda n: "<body>" + "".join(f"<div class=c{rng.randrange(6)}><span class=s{rng.randrange(5)}><p class=q{rng.randrange(9)}>word {i}</p></span></div>" for i in range(n)) + "</body>"
+    one, two = tree(page(6000)), tree(page(6000))
+    began = time.process_time()
+    both = html.combined(one, two)
+    assert time.process_time() - began < 15 and both["m"] + html.whole(both) > 0
+
+    def best(a: dict, b: dict) -> int:
+        """Simple tree matching without any shortcut."""
+        if a["l"] != b["l"]:
+            return 0
+        m = [[0] * (len(b["c"]) + 1) for _ in range(len(a["c"]) + 1)]
+        for i, x in enumerate(a["c"]):
+            for j, y in enumerate(b["c"]):
+                m[i + 1][j + 1] = max(m[i][j + 1], m[i + 1][j], m[i][j] + best(x, y))
+        return 1 + m[-1][-1]
+
+    for _ in range(30):
+        a, b = tree(page(rng.randrange(1, 9))), tree(page(rng.randrange(1, 9)))
+        assert html.weight(a, b, {}) == best(a, b)
