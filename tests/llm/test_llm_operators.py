@@ -489,3 +489,70 @@ def test_long_pages_align_in_linear_time_and_short_ones_exactly():
     for _ in range(30):
         a, b = tree(page(rng.randrange(1, 9))), tree(page(rng.randrange(1, 9)))
         assert html.weight(a, b, {}) == best(a, b)
+
+
+def test_contexts_are_copies_by_their_bytes_not_their_hashes(monkeypatch):
+    monkeypatch.setattr(suffix, "_mix", lambda x: x * np.uint64(0))  # every hash is equal
+    monkeypatch.setattr(suffix, "COMPARED", 7)
+    s = np.frombuffer(b"abcde" b"abcde" b"abcdx" b"abc" b"abcde", np.uint8)
+    start, length, doc = np.array([0, 5, 10, 15, 18]), np.array([5, 5, 5, 3, 5]), np.array([4, 7, 8, 9, 4])
+    assert suffix.copies(s, start, length, doc).tolist() == [False, True, False, False, False]
+
+
+def test_common_prefixes_equal_plain_ones():
+    rng = np.random.default_rng(3)
+    c = rng.integers(1, 3, 400).astype(np.int16)
+    words = suffix.ordered_words(c, 50)
+    a, b = rng.integers(0, 340, 500), rng.integers(0, 340, 500)
+    plain = [next((k for k in range(50) if c[i + k] != c[j + k]), 50) for i, j in zip(a, b, strict=True)]
+    assert suffix.common_prefix(words, a, b, 50).tolist() == plain
+
+
+def cheapest_flow(supply, members, quotas):
+    """(words, cost) of a flow of most words and least cost, by Bellman-Ford on the whole network."""
+    p, q = len(supply), len(quotas)
+    edges = []  # from, to, capacity, cost
+
+    def add(a, b, cap, cost):
+        edges.extend([[a, b, cap, cost], [b, a, 0, -cost]])
+
+    for i in range(p):
+        for words, cost in supply[i]:
+            add("s", i, words, cost)
+        for s in members[i]:
+            add(i, p + s, 10**9, 0)
+    for s in range(q):
+        add(p + s, "t", quotas[s], 0)
+    words = total = 0
+    while True:
+        dist, by = {"s": 0}, {}
+        for _ in range(p + q + 2):
+            for k, (a, b, cap, cost) in enumerate(edges):
+                if cap and a in dist and dist[a] + cost < dist.get(b, math.inf):
+                    dist[b], by[b] = dist[a] + cost, k
+        if "t" not in dist:
+            return words, total
+        path, at = [], "t"
+        while at != "s":
+            path.append(by[at])
+            at = edges[by[at]][0]
+        amount = min(edges[k][2] for k in path)
+        for k in path:
+            edges[k][2] -= amount
+            edges[k ^ 1][2] += amount
+        words, total = words + amount, total + amount * dist["t"]
+
+
+def test_flow_costs_as_little_as_any(spark):
+    rng = random.Random(9)
+    for _ in range(60):
+        p, q, most = rng.randrange(1, 7), rng.randrange(1, 5), rng.randrange(1, 4)
+        sizes = [rng.randrange(0, 40) for _ in range(p)]
+        members = [sorted(rng.sample(range(q), rng.randrange(1, q + 1))) for _ in range(p)]
+        quotas = [rng.randrange(0, 60) for _ in range(q)]
+        supply = [[(n, k) for k in range(most)] for n in sizes]
+        flow = mixing.min_cost_flow(supply, members, quotas)
+        given = [sum(f.values()) for f in flow]
+        assert all(g <= most * n for g, n in zip(given, sizes, strict=True)) and all(sum(f.get(s, 0) for f in flow) <= quotas[s] for s in range(q))
+        cost = sum(sum(k * min(n, max(0, g - k * n)) for k in range(most)) for g, n in zip(given, sizes, strict=True))
+        assert (sum(given), cost) == cheapest_flow(supply, members, quotas)

@@ -8,8 +8,9 @@ beside the anchor with another document are joined to one string, its suffix arr
 adjacent suffixes with 50 common bytes show which windows repeat.
 
 Equal contexts are combined before the shuffle and again in the bucket: only the one of the smallest document travels
-on, the others are known to repeat it, so a passage of very many documents is one context per block of input. Equality
-of whole contexts is decided on two 64-bit polynomial hashes. Rows between the steps are packed blocks.
+on, the others are known to repeat it, so a passage of very many documents is one context per block of input. Hashes only
+bring equal contexts and candidates together, and equal bytes have equal hashes; bytes decide. Rows between the steps
+are packed blocks.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ SPAN = WINDOW - ANCHOR + 1
 SIDE = (WINDOW - ANCHOR) // 2
 #: Bytes of input for one block, one bucket and one part of the results; they set the number of each.
 BLOCK_BYTES, BUCKET_BYTES, PART_BYTES = 1 << 21, 2 << 20, 12 << 20
+#: Bytes of contexts that are compared at once.
+COMPARED = 1 << 20
 NO_ID = np.iinfo(np.int64).max
 ENTRY = np.dtype([("doc", "<i8"), ("pos", "<i4"), ("n", "u1"), ("off", "u1")])
 CUT = np.dtype([("doc", "<i8"), ("a", "<i4"), ("b", "<i4")])
@@ -109,16 +112,43 @@ def stretches(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 def copies(s: np.ndarray, start: np.ndarray, length: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Which contexts equal one of a smaller document."""
+    """Which contexts equal one of a smaller document. Hashes bring equal ones together; their bytes decide."""
     one, two = Rolling(s, 1).of(start, start + length), Rolling(s, 2).of(start, start + length)
     order = np.lexsort((doc, two, one))
-    group = np.cumsum(np.r_[True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])]) - 1
-    least = doc[order][np.flatnonzero(np.r_[True, group[1:] != group[:-1]])] if len(order) else doc
+    new = np.r_[True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])] if len(order) else np.zeros(0, bool)
+    least = order[np.flatnonzero(new)][np.cumsum(new) - 1]  # of each one's group the context of the smallest document
     out = np.zeros(len(doc), bool)
-    out[order] = doc[order] > least[group]
+    maybe = np.flatnonzero((doc[order] > doc[least]) & (length[order] == length[least]))
+    ends = np.cumsum(length[order[maybe]])
+    at = 0
+    while at < len(maybe):  # so many bytes at once
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + COMPARED, "right")))
+        mine, other = order[maybe[at:to]], least[maybe[at:to]]
+        size = length[mine]
+        same = s[stretches(start[mine], size)] == s[stretches(start[other], size)]
+        out[mine] = np.logical_and.reduceat(same, np.cumsum(size) - size)
+        at = to
     return out
 
 
+def common_prefix(words: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Number of equal values from the positions a and b on, `most` at most, by words of eight."""
+    out, going = np.zeros(len(a), np.int64), np.arange(len(a))
+    for k in range(0, most, 8):
+        differ = words[a[going] + k] ^ words[b[going] + k]
+        equal = differ == 0
+        rest = differ[~equal]
+        lead = np.zeros(len(rest), np.int64)  # equal leading values of the first word that differs
+        for shift in range(56, -1, -8):
+            lead += (rest >> np.uint64(shift)) == 0
+        out[going[~equal]] += lead
+        going = going[equal]
+        out[going] += 8
+        if not len(going):
+            break
+    return np.minimum(out, most)
+
+
 def ordered_words(c: np.ndarray, depth: int) -> np.ndarray:
     """The 8 values from each position as one number that sorts as they do; zeros follow the end."""
     padded = np.r_[c, np.zeros(depth + 16, c.dtype)].astype(np.uint8)  # UTF-8 has no byte over 0xF4
@@ -192,10 +222,7 @@ def repeated_starts(s: np.ndarray, start: np.ndarray, n: np.ndarray, doc: np.nda
     fresh = np.ones(len(where), bool)  # fewer than WINDOW bytes in common with the suffix before
     for a in range(1, len(where), 1 << 18):
         b = min(len(where), a + (1 << 18))
-        same = np.ones(b - a, bool)
-        for k in (*range(0, WINDOW - 8, 8), WINDOW - 8):
-            same &= words[where[a:b] + k] == words[where[a - 1 : b - 1] + k]
-        fresh[a:b] = ~same
+        fresh[a:b] = common_prefix(words, where[a - 1 : b - 1], where[a:b], WINDOW) < WINDOW
     docs = np.repeat(doc, n)[order]
     heads = np.flatnonzero(fresh)
     least = np.minimum.reduceat(docs, heads) if len(heads) else docs
