@@ -90,9 +90,15 @@ def macro_on_tokens(tokens: DataFrame, states: DataFrame) -> DataFrame:
     """Tokens (with a date) times series, with the state known at that date. An area without any state of a series takes
     the GLOBAL ones; an area with states that are all still unknown gets nulls.
 
-    States are few: as intervals by month they are sent to all tasks, and no token is shuffled. Where they are more than
-    MOST_INTERVALS, the as-of join sorts both sides by series, area and time instead.
+    States are looked up once for each date and area, of which there are as many as the calendar and the map of areas give,
+    and joined to the tokens by these.
     """
+    return tokens.join(states_at(tokens.select("date", "macro_area").distinct(), states), ["date", "macro_area"]).select(*tokens.columns, "series_name", "available_date", *VALUES)
+
+
+def states_at(tokens: DataFrame, states: DataFrame) -> DataFrame:
+    """macro_on_tokens() row by row. States are few: as intervals by month they are sent to all tasks, and no row is shuffled.
+    Where they are more than MOST_INTERVALS, the as-of join sorts both sides by series, area and time instead."""
     series = states.select("series_name").distinct()  # one row a series
     intervals = state_intervals(states)
     if intervals.limit(MOST_INTERVALS + 1).count() > MOST_INTERVALS:
@@ -128,14 +134,15 @@ def macro_tensor(panel: DataFrame, tokens: DataFrame, states: DataFrame, series:
     keys = ["gvkey", "permno", "date"]
     names = series if series is not None else sorted(r["series_name"] for r in states.select("series_name").distinct().collect())
     months = panel.select(*keys, "segment_srcdate").distinct()
-    rows = macro_on_tokens(months.join(tokens.select("gvkey", "segment_srcdate", "geo_label", "macro_area", "revenue_share"), ["gvkey", "segment_srcdate"]), states)
-    picked = lambda n, c: F.sum(F.when(F.col("series_name") == n, F.col("revenue_share") * F.col(c)))
+    rows = months.join(tokens.select("gvkey", "segment_srcdate", "geo_label", "macro_area", "revenue_share"), ["gvkey", "segment_srcdate"])
     columns = [(n, c, f"segment_macro_{n}{c.removeprefix('value')}") for n in names for c in VALUES]
     some = F.greatest(*(F.col(c).isNotNull() for c in VALUES))
-    own = rows.groupBy(*keys, "geo_label").agg(F.first("macro_area").alias("macro_area"), F.first("revenue_share").alias("revenue_share"), F.max(some).alias("_some"), *(picked(n, c).alias(a) for n, c, a in columns))
-    wide = own.groupBy(*keys).agg(
-        F.count("*").alias("macro_token_rows"), F.count_distinct("geo_label").alias("macro_geo_count"), F.count_distinct("macro_area").alias("macro_area_count"),
-        *(F.coalesce(F.sum(a), F.lit(0.0)).alias(a) for _, _, a in columns), F.coalesce(F.sum(F.when(F.col("_some"), F.col("revenue_share"))), F.lit(0.0)).alias("macro_revenue_share_covered"),
+    # one row a date and area, the series side by side; each token meets it once
+    grid = rows.select("date", "macro_area").distinct()
+    known = states_at(grid, states).groupBy("date", "macro_area").agg(F.max(some).alias("_some"), *(F.max(F.when(F.col("series_name") == n, F.col(c))).alias(a) for n, c, a in columns))
+    wide = rows.join(known, ["date", "macro_area"]).groupBy(*keys).agg(
+        F.count("*").alias("macro_token_rows"), F.size(F.collect_set("geo_label")).cast("long").alias("macro_geo_count"), F.size(F.collect_set("macro_area")).cast("long").alias("macro_area_count"),
+        *(F.coalesce(F.sum(F.col("revenue_share") * F.col(a)), F.lit(0.0)).alias(a) for _, _, a in columns), F.coalesce(F.sum(F.when(F.col("_some"), F.col("revenue_share"))), F.lit(0.0)).alias("macro_revenue_share_covered"),
     )
     return panel.join(wide, keys, "left")
 
