@@ -16,7 +16,7 @@ import base64
 import json
 import random
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
 from itertools import pairwise
@@ -41,8 +41,9 @@ ID_BITS = 20
 #: Lists in the rank map, a prime.
 LISTS = 65521
 MANY = 1 << 30
-#: Tasks that the words are dealt to at most, so a block's words are not cut too small.
-MOST_DEALT = 1024
+#: Tasks that the words are dealt to: for few partitions of input as many, for many a share of them, so a block's words are
+#: not cut too small.
+FEW_DEALT, DEALT_SHARE = 1024, 16
 REF = np.dtype([("block", "<i8"), ("at", "<i4")])
 #: Words of blocks that are gathered by word at once.
 MOST_REFS = 300_000
@@ -84,8 +85,8 @@ class Vocabulary:
             raise ValueError(f"ids need {ID_BITS} bits at most, and every byte one of its own")
         lists: list[list[int] | None] = [None] * LISTS
         for (a, b), rank in merges_of(ranks).items():
-            key = a << ID_BITS | b
-            lists[key % LISTS] = [*(lists[key % LISTS] or []), key << ID_BITS | rank]
+            above, at = divmod(a << ID_BITS | b, LISTS)
+            lists[at] = [*(lists[at] or []), above << ID_BITS | rank]
         self.literal = json.dumps(lists)
         self.byte_ids = [ranks[bytes([b])] for b in range(256)]
         self.pieces = [b""] * (max(ranks.values()) + 1)
@@ -97,9 +98,11 @@ class Vocabulary:
                 self.joined[a, b] = True
 
     def rank(self, a: Column, b: Column) -> Column:
-        """The id that two pieces make together, null if none. The map is a literal, lists of key and id as one number."""
+        """The id that two pieces make together, null if none. The map is a literal: a list for each remainder of the pieces'
+        key, of the rest of the key and the id as one number."""
         key = F.shiftleft(a, ID_BITS).bitwiseOR(b)
-        found = F.filter(F.get(F.from_json(F.lit(self.literal), "array<array<bigint>>"), (key % LISTS).cast("int")), lambda x: F.shiftright(x, ID_BITS) == key)
+        above = F.floor(key / LISTS)
+        found = F.filter(F.get(F.from_json(F.lit(self.literal), "array<array<bigint>>"), (key % LISTS).cast("int")), lambda x: F.shiftright(x, ID_BITS) == above)
         return F.get(found, F.lit(0)).bitwiseAND(F.lit((1 << ID_BITS) - 1))
 
     def encode(self, word: Column) -> Column:
@@ -121,20 +124,20 @@ class Vocabulary:
             merged = lambda marks: F.transform(p, lambda x, i: F.when(F.get(marks, i) == "1", least).when(F.get(marks, i - 1) == "1", -1).otherwise(x))
             return F.filter(let(marks, merged), lambda x: x >= 0)
 
-        def fold(merge: Callable[[Column, Column, Column], Column]) -> Column:
-            """A word of n bytes has n - 1 merges at most; turns after the last one change nothing."""
-
-            def turn(s: Column) -> Column:
-                p = s["p"]
-                ranks = F.zip_with(p, F.slice(p, 2, MANY), self.rank)
-                after = lambda r: let(F.array_min(r), lambda least: F.struct(F.when(least.isNull(), p).otherwise(merge(p, r, least)).alias("p"), least.isNull().alias("done")))
-                return F.when(s["done"], s).otherwise(let(ranks, after))
+        size = F.octet_length(word)
 
-            begin = F.struct(start.alias("p"), F.lit(False).alias("done"))
-            return F.aggregate(F.sequence(F.lit(2), F.octet_length(word)), begin, lambda s, _: turn(s))["p"]
+        def turn(s: Column) -> Column:
+            """The ranks are looked up in one place for short and long words, so a plan holds the map once."""
+            p = s["p"]
+            ranks = F.zip_with(p, F.slice(p, 2, MANY), self.rank)
+            merge = lambda r, least: F.when(size <= LONG, one_place(p, r, least)).otherwise(all_places(p, r, least))
+            after = lambda r: let(F.array_min(r), lambda least: F.struct(F.when(least.isNull(), p).otherwise(merge(r, least)).alias("p"), least.isNull().alias("done")))
+            return F.when(s["done"], s).otherwise(let(ranks, after))
 
-        size = F.octet_length(word)
-        return F.when(size == 0, F.array().cast("array<bigint>")).when(size == 1, start).when(size <= LONG, fold(one_place)).otherwise(fold(all_places))
+        # a word of n bytes has n - 1 merges at most; turns after the last one change nothing
+        begin = F.struct(start.alias("p"), F.lit(False).alias("done"))
+        folded = F.aggregate(F.sequence(F.lit(2), size), begin, lambda s, _: turn(s))["p"]
+        return F.when(size == 0, F.array().cast("array<bigint>")).when(size == 1, start).otherwise(folded)
 
     def decode(self, ids: Column) -> Column:
         """The bytes of token ids: their binary pieces, concatenated."""
@@ -323,7 +326,7 @@ def encoded(docs: DataFrame, own: Vocabulary, pattern: str, *, id_col: str = "do
     parts = rows.rdd.getNumPartitions()
     tasks = max(2 * spark.sparkContext.defaultParallelism, parts // 4)
     rows = rows.coalesce(tasks)  # the more text a block has, the fewer words are sent twice
-    dealt = min(max(tasks, parts), MOST_DEALT)  # a given number, as few bytes of packed words are much work
+    dealt = min(max(tasks, parts), max(FEW_DEALT, parts // DEALT_SHARE))  # a given number, as few bytes of packed words are much work
     listed = [("block", T.LongType()), ("part", T.IntegerType()), ("ids", T.ArrayType(kind)), ("ends", T.BinaryType()), ("places", T.BinaryType()), ("words", T.BinaryType())]
     schema = T.StructType([T.StructField(n, t) for n, t in listed])
     blocks = written(rows.mapInArrow(word_blocks(pattern, shared, 4 * dealt, to_arrow_schema(schema)), schema), "blocks", bucket_by="block", buckets=2 * tasks)

@@ -39,23 +39,26 @@ ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))  # any two
 
 def suffix_states(words: np.ndarray, depth: int, passes: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """(end, shortest, longest, count, link) of the states of the bounded generalised suffix automaton of `words`, ids from
-    1 with a 0 after each piece. `end` is the place of a state's first last word, `count` that of its end places, `link` the
+    1 with a 0 after each piece. `end` is the place of the last word of one of a state's strings, `count` that of its end places, `link` the
     state of its longest suffix that ends at more places, -1 for the empty one.
 
-    passes: whether the pair that ends at a place may be part of longer substrings; others are left out beyond depth 2.
+    passes: whether the pair that ends at a place is of interest; others, and what is longer and holds one, are left out.
     """
     width = np.int64(words.max(initial=0) + 1)
-    ends, node, levels = np.flatnonzero(words), None, []
-    for d in range(1, depth + 1):
-        if d > 1:
-            before = np.where(ends >= d - 1, words[ends - (d - 1)], 0)
-            alive = before > 0
-            if d > 2 and passes is not None:
-                alive &= passes[ends] & passes[ends - 1]
-            ends, under, before = ends[alive], node[alive], before[alive]
-        key = under * width + before if d > 1 else words[ends]
-        _, first, node, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-        levels.append((ends[first], n, under[first] if d > 1 else np.full(len(first), -1)))
+    ends = np.flatnonzero(words)
+    n = np.bincount(words[ends], minlength=width)[1:]
+    some, last = np.flatnonzero(n), np.empty(width, np.int64)
+    last[words[ends]] = ends
+    node = (np.cumsum(n > 0) - 1)[words[ends] - 1]  # a word's place among those that occur
+    levels = [(last[some + 1], n[some], np.full(len(some), -1))]
+    for d in range(2, depth + 1):
+        before = np.where(ends >= d - 1, words[ends - (d - 1)], 0)
+        alive = before > 0
+        if passes is not None:
+            alive &= passes[ends - (d - 2)]
+        ends, under, before = ends[alive], node[alive], before[alive]
+        _, first, node, n = np.unique(under * width + before, return_index=True, return_inverse=True, return_counts=True)
+        levels.append((ends[first], n, under[first]))
     made, owner, total = [], np.empty(0, np.int64), 0
     shortest: list[np.ndarray] = []
     owners: list[np.ndarray] = []
