@@ -29,7 +29,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     together; an empty table gives none."""
     del spark, sf_dir
     judged = robust_outliers(docs.select(_key().alias("_key"), "text", "lang", "source"))
-    kept = judged.where("kept").select(F.col("_row._key").alias("_key"))
+    kept = judged.where("kept").select(F.col("_row._key").alias("_key")).distinct()
     return docs.withColumn("_key", _key()).join(kept, "_key", "left_semi").select(*docs.columns)
 
 
