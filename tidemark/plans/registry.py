@@ -319,10 +319,14 @@ def _best(spark: SparkSession, d: str) -> DataFrame:
     return gates.best_row(rows, ["quintile"], "score")
 
 
+#: Columns of the panel that models scale.
+SCALED = ("sale", "ceq", "ni", "capx", "xrd", "dltt", "dlc", "prc", "mktcap")
+
+
 def _scaled(spark: SparkSession, d: str) -> DataFrame:
-    rows = _panel(spark, d).select("permno", "date", "xrd", "dlc")
-    out = models.standardised(rows.where("date < date '2000-01-01'"), rows.where("date >= date '2000-01-01'"), ["xrd", "dlc"])
-    return _q(out, "xrd", "dlc")
+    rows = _panel(spark, d).select("permno", "date", *SCALED)
+    out = models.standardised(rows.where("date < date '1998-01-01'"), rows.where("date >= date '1998-01-01'"), list(SCALED))
+    return _q(out, *SCALED)
 
 
 def _set_encoding(spark: SparkSession, d: str, size: int, longest: int) -> DataFrame:
@@ -572,7 +576,7 @@ union all select 'macro_execution', 'Macro execution', 'run_a', 'blocked by miss
     "best_row": (_best, "select quintile, date, n as score from qr qualify row_number() over (partition by quintile order by n desc, date) = 1"),
     "standardised": (
         _scaled,
-        f"select r.permno, r.date, {_standard_sql('xrd')}, {_standard_sql('dlc')} from pan r, (select xrd_m, dlc_m, " + ", ".join(f"avg(coalesce({c}, {c}_m)) as {c}_a, stddev_pop(coalesce({c}, {c}_m)) as {c}_s" for c in ("xrd", "dlc")) + " from (select *, median(xrd) over () as xrd_m, median(dlc) over () as dlc_m from pan where date < date '2000-01-01') group by 1, 2) where r.date >= date '2000-01-01'",
+        f"select r.permno, r.date, {', '.join(map(_standard_sql, SCALED))} from pan r, (select {', '.join(f'{c}_m' for c in SCALED)}, " + ", ".join(f"avg(coalesce({c}, {c}_m)) as {c}_a, stddev_pop(coalesce({c}, {c}_m)) as {c}_s" for c in SCALED) + f" from (select *, {', '.join(f'median({c}) over () as {c}_m' for c in SCALED)} from pan where date < date '1998-01-01') group by {', '.join(f'{c}_m' for c in SCALED)}) where r.date >= date '1998-01-01'",
     ),
     "train_sample": (lambda s, d: models.train_sample(_panel(s, d).select("permno", "date"), ["permno", "date"], 500), None),
     "set_encoding_full": (lambda s, d: _set_encoding(s, d, 512, 12), sets_text_sql(512, 12)),  # the reference's vocabulary and labels a set
