@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import shutil
 from datetime import date, timedelta
 from pathlib import Path
 
@@ -90,6 +91,8 @@ def test_kept_tables_are_built_once_and_forgotten(spark, tmp_path):
     folder = one.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
     stored.forget(spark)
     assert not Path(folder).exists() and stored.kept(spark, str(tmp_path), "t", build).count() == 3 and len(built) == 2
+    shutil.rmtree(stored.kept(spark, str(tmp_path), "t", build).inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0])
+    assert stored.kept(spark, str(tmp_path), "t", build).count() == 3 and len(built) == 3
 
 
 def test_the_panel_is_scanned_by_its_users_not_built_again(spark):

@@ -118,10 +118,10 @@ def _roles(s: SparkSession, d: str) -> DataFrame:
 def _roles_sql() -> str:
     parts = []
     for r in ROLES:
-        liked = [f"case when t = '{p}' then {100 - i} when contains(t, '{p}') then {45 - i} else 0 end" for i, p in enumerate(r.preferred)]
-        terms = [f"case when contains(t, '{x}') then 10 else 0 end" for x in r.table_terms]
-        has = [f"case when list_has_any(names, {list(g)!r}) then 30 else 0 end" for g in r.needs]
-        day = "coalesce(" + ", ".join([*(f"case when list_contains(names, '{c}') then '{c}' end" for c in (*r.dates, "date", "datadate", "caldt", "fyear", "yyyymm")), "null"]) + ")"
+        liked = [f"case when t = '{p}' then {catalog.EQUAL - i} when contains(t, '{p}') then {catalog.CONTAINED - i} else 0 end" for i, p in enumerate(r.preferred)]
+        terms = [f"case when contains(t, '{x}') then {catalog.TABLE_TERM} else 0 end" for x in r.table_terms]
+        has = [f"case when list_has_any(names, {list(g)!r}) then {catalog.GROUP} else 0 end" for g in r.needs]
+        day = "coalesce(" + ", ".join([*(f"case when list_contains(names, '{c}') then '{c}' end" for c in (*r.dates, *catalog.DATES)), "null"]) + ")"
         parts.append(f"select '{r.name}' as role, t, {' + '.join(liked + terms)} as by_name, {' + '.join(has)} as by_columns, {day} as date_column from c")
     given = ", ".join(f"'{t}'" for t in TABLES)
     return f"with c as (select table_name as t, list(distinct lower(column_name)) as names from duckdb_columns() where table_name in ({given}) group by 1), r as ({' union all '.join(parts)}) select role, 'given' as library, t as \"table\", cast(by_name + by_columns as int) as score, date_column from r where by_name > 0 qualify row_number() over (partition by role order by by_name + by_columns desc, t) = 1"

@@ -35,6 +35,12 @@ class Role:
     dates: tuple[str, ...] = ()
 
 
+#: Scores of an equal preferred name, of one contained, of a table term, a library term and a group of columns;
+#: and the date columns that any table may have, in order of choice.
+EQUAL, CONTAINED, TABLE_TERM, LIBRARY_TERM, GROUP = 100, 45, 10, 8, 30
+DATES = ("date", "datadate", "caldt", "fyear", "yyyymm")
+
+
 def _sum(values: list[Column]) -> Column:
     return sum(values[1:], values[0]) if values else F.lit(0)
 
@@ -50,10 +56,10 @@ def resolve_roles(columns: DataFrame, roles: list[Role], inspected: int = 8) ->
     name, library = F.lower("table"), F.lower("library")
     parts = []
     for r in roles:
-        liked = [F.when(name == p, 100 - i).when(F.contains(name, F.lit(p)), 45 - i).otherwise(0) for i, p in enumerate(r.preferred)]
-        terms = [F.when(F.contains(name, F.lit(t)), 10).otherwise(0) for t in r.table_terms] + [F.when(F.contains(library, F.lit(t)), 8).otherwise(0) for t in r.library_terms]
-        has = [F.when(F.arrays_overlap("names", F.array(*map(F.lit, g))), 30).otherwise(0) for g in r.needs]
-        day = F.coalesce(*(F.when(F.array_contains("names", c), F.lit(c)) for c in (*r.dates, "date", "datadate", "caldt", "fyear", "yyyymm")))
+        liked = [F.when(name == p, EQUAL - i).when(F.contains(name, F.lit(p)), CONTAINED - i).otherwise(0) for i, p in enumerate(r.preferred)]
+        terms = [F.when(F.contains(name, F.lit(t)), TABLE_TERM).otherwise(0) for t in r.table_terms] + [F.when(F.contains(library, F.lit(t)), LIBRARY_TERM).otherwise(0) for t in r.library_terms]
+        has = [F.when(F.arrays_overlap("names", F.array(*map(F.lit, g))), GROUP).otherwise(0) for g in r.needs]
+        day = F.coalesce(*(F.when(F.array_contains("names", c), F.lit(c)) for c in (*r.dates, *DATES)))
         parts.append(tables.select(F.lit(r.name).alias("role"), "library", "table", _sum(liked + terms).alias("by_name"), _sum(has).alias("by_columns"), day.alias("date_column")))
     rows = parts[0]
     for p in parts[1:]:

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 _KEPT: dict[tuple[str, str, str], str] = {}
@@ -45,11 +46,16 @@ def kept(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFr
     """The table `name` of an input folder, built and written by the first plan of this session that asks for it and read by
     all others. The folder's tables must not change meanwhile; forget() drops what was kept."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _KEPT:
-        path = f"{shared_dir(spark)}/tidemark_kept_{name}_{uuid.uuid4().hex}"
-        build().write.parquet(path)
-        _KEPT[key] = path
-    return spark.read.parquet(_KEPT[key])
+    if key in _KEPT:
+        try:
+            return spark.read.parquet(_KEPT[key])
+        except AnalysisException as error:  # someone cleared the folder
+            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+    path = f"{shared_dir(spark)}/tidemark_kept_{name}_{uuid.uuid4().hex}"
+    build().write.parquet(path)
+    _KEPT[key] = path
+    return spark.read.parquet(path)
 
 
 def forget(spark: SparkSession) -> None:
