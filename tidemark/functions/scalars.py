@@ -73,6 +73,16 @@ def normal_label(label: Column) -> Column:
     return F.coalesce(F.nullif(F.upper(F.trim(label)), F.lit("")), F.lit("UNKNOWN"))
 
 
+def quoted(text: Column, mark: str = "'") -> Column:
+    """A text as a literal of a query, or as a name with a double quote as the mark; marks inside are doubled."""
+    return F.concat(F.lit(mark), F.replace(text, F.lit(mark), F.lit(2 * mark)), F.lit(mark))
+
+
+def text_hash(text: Column) -> Column:
+    """The first 16 hex digits of a query's SHA-256."""
+    return F.substring(F.sha2(text, 256), 1, 16)
+
+
 def slug(text: Column) -> Column:
     """Runs of anything but letters and digits as one underscore, none at the ends."""
     body = F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), r"[^\p{L}\p{N}]+", "_"), r"^_|_$", "")

@@ -582,9 +582,9 @@ union all select 'macro_execution', 'Macro execution', 'run_a', 'blocked by miss
     "set_encoding_full": (lambda s, d: _set_encoding(s, d, 512, 12), sets_text_sql(512, 12)),  # the reference's vocabulary and labels a set
 }
 def registered() -> dict[str, tuple[Query, str | None]]:
-    from . import studies  # it builds on this module
+    from . import connectors, studies  # they build on this module
 
-    return REGISTERED | studies.REGISTERED
+    return REGISTERED | studies.REGISTERED | connectors.REGISTERED
 
 
 def queries() -> dict[str, Query]:

@@ -32,6 +32,22 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def matches(spark: SparkSession, pattern: str) -> list[str]:
+    """The files and folders that a path with * stands for, sorted."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+    return sorted(f.getPath().toString() for f in found or [])
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a folder of any file system that Spark reaches, after making the folders above `target`."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(source).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path(target).getParent())
+    if not files.rename(path(source), path(target)):
+        raise OSError(f"{source} could not be moved to {target}")
+
+
 def stored(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """Cut the lineage: write `df` as Parquet and read it again; with `by`, in one folder a value, so a filter on it reads
     its files only. The caller may remove() its inputFiles' folder when no plan reads it any more."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 from functools import reduce
 
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .stored import matches, move, remove
+
 
 def year_list(text: str) -> list[int]:
     """"2006,2008-2010" as sorted years, each once."""
@@ -32,6 +35,24 @@ def read_optional_shards(spark: SparkSession, root: str, dataset: str) -> DataFr
         return None
 
 
+def write_shards(df: DataFrame, root: str, dataset: str) -> list[str]:
+    """Write the years of `df` that `root` lacks as year=*/<dataset>.parquet and return their folders' names.
+
+    One job writes all of them to a hidden folder, from which each is moved when all are whole; a second call writes only
+    what is still missing. Rows without a year have a shard of their own. An empty table writes nothing.
+    """
+    spark, name = df.sparkSession, lambda path: path.rstrip("/").rsplit("/", 1)[-1]
+    done = [name(p[: p.rindex("/")]).removeprefix("year=") for p in matches(spark, f"{root}/year=*/{dataset}.parquet")]
+    tag = F.coalesce(F.col("year").cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    hidden = f"{root}/_{dataset}_{uuid.uuid4().hex}"
+    df.where(~tag.isin(done)).repartition("year").write.partitionBy("year").parquet(hidden)
+    new = [name(p) for p in matches(spark, f"{hidden}/year=*")]
+    for folder in new:
+        move(spark, f"{hidden}/{folder}", f"{root}/{folder}/{dataset}.parquet")
+    remove(spark, hidden)
+    return new
+
+
 def read_csv(spark: SparkSession, path: str, schema: StructType | str, *, optional: bool = False) -> DataFrame:
     """A CSV table with a header. Where `optional`, a missing file is an empty table."""
     try:
