@@ -556,3 +556,37 @@ def test_flow_costs_as_little_as_any(spark):
         assert all(g <= most * n for g, n in zip(given, sizes, strict=True)) and all(sum(f.get(s, 0) for f in flow) <= quotas[s] for s in range(q))
         cost = sum(sum(k * min(n, max(0, g - k * n)) for k in range(most)) for g, n in zip(given, sizes, strict=True))
         assert (sum(given), cost) == cheapest_flow(supply, members, quotas)
+
+
+def counted(df) -> Counter:
+    return Counter(tuple(repr(r[c]) for c in sorted(df.columns)) for r in df.collect())
+
+
+#: Names that the operators use inside, and some that results have.
+ODD = ("id", "_id", "_row", "_own", "_key", "_cuts", "_text", "_blob", "blob", "uid", "t", "w", "word", "part", "fp", "host", "wrapper", "template", "size", "sources", "copies", "_copies", "_copy", "col", "kept", "start", "n_words", "salt")
+
+
+@pytest.mark.parametrize("name", ["bpe", "fingerprints", "licenses", "mixing", "neardup", "quality", "secrets", "suffix", "tokens"])
+def test_clashing_columns_and_null_rows_change_nothing(spark, name):
+    run = {"bpe": bpe.bpe_query, "fingerprints": fingerprints.fingerprint_query, "licenses": licenses.licenses_query, "mixing": mixing.mixing_query, "neardup": neardup.near_dedup_query, "quality": quality.quality_query, "secrets": secrets.secrets_query, "suffix": suffix.suffix_query, "tokens": tokens.tokens_query}[name]
+    rows = corpus(12) + [(None,) * 5, (None,) * 5, (3, None, None, None, None)]
+    plain = spark.createDataFrame(rows, SCHEMA)
+    odd = plain.select("*", *(F.lit(i).alias(c) for i, c in enumerate(ODD)))
+    first = counted(run(plain))
+    assert first == counted(run(odd)) and sum(first.values()) == len(rows)
+
+
+def test_operators_that_keep_columns_keep_clashing_ones(spark):
+    rows = corpus(12) + [(50, "password=abcdefgh123 and token=abcdefgh456", "en", "s1", 1), (None,) * 5]
+    plain = spark.createDataFrame(rows, SCHEMA)
+    odd = plain.select("*", *(F.lit(i).alias(c) for i, c in enumerate(ODD)))
+    for run in (secrets.redacted, mixing.mixed):
+        got = run(odd)
+        assert got.columns == odd.columns and counted(got.select(plain.columns)) == counted(run(plain))
+        assert got.select([f"`{c}`" for c in ODD]).distinct().collect() in ([tuple(range(len(ODD)))], [])
+    scanned = licenses.scan_licenses(odd)
+    assert scanned.count() == len(rows) and scanned.select("_row._row").distinct().first()[0] == ODD.index("_row")
+    page = "<html><body><nav>menu</nav><article><p>one</p><p>two</p></article></body></html>"
+    pages = spark.createDataFrame([(1, "http://a.b/1", page, "old", 9, "x"), (None, None, None, None, None, None)], "page_id long, url string, html string, text string, n_chars int, host string")
+    got = html.extract_text(pages)
+    assert got.columns == ["page_id", "url", "host", "text", "n_chars"] and sorted(r["text"] for r in got.collect()) == ["", "one\ntwo"]

@@ -130,7 +130,8 @@ def scan_licenses(docs: DataFrame, *, text_col: str = "text", templates: tuple[T
     """A row per row of `docs`: its other columns (_row), n_words, the base phrases' places and labels, all labels, score.
 
     A base phrase stands exactly where all its k-grams vote for one diagonal, which is the place of its first word.
-    Null or empty texts have no words and no labels, score 0. Repeated rows are scanned each.
+    Null or empty texts have no words and no labels, score 0. Repeated rows are scanned each; an empty table gives no rows.
+    Texts of any length are scanned whole; of equal scores there is nothing to choose, as all labels are given.
     """
     votes = license_votes(docs, text_col=text_col, templates=templates)
     places = votes.withColumn("_full", F.col("base") & (F.col("votes") == F.col("grams")))

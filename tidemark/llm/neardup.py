@@ -109,7 +109,8 @@ def _byte(fp: Column, position: int) -> Column:
 
 
 def near_edges(fingerprints: DataFrame, *, radius: int = 4) -> DataFrame:
-    """Edges (u, v) whose components are those of all pairs within `radius` bits. `fingerprints`: different values fp."""
+    """Edges (u, v) whose components are those of all pairs within `radius` bits. `fingerprints`: different values fp, none
+    null. A fingerprint without neighbours has no edge; an empty table gives none."""
     if not 0 <= radius <= 4:
         raise ValueError("the covering guarantees radii up to 4")
     fp = F.col("fp")
@@ -125,7 +126,8 @@ def simhash_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """(id_col, fp, component_id) for every row of `docs`.
 
     A null or empty text, or one of white space, has fingerprint 0 and is linked like any other. The component's id is
-    the smallest id of its documents, null ids left out. Repeated rows return each; an empty table gives no rows.
+    the smallest id of its documents, null ids left out. Repeated rows return each; an empty table gives no rows; texts of
+    any length count whole. A bit that exactly half of the hashes set is 0.
     """
     k = shingle
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(f"`{text_col}`").alias("text"))

@@ -132,8 +132,10 @@ def secrets_query(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """`docs` with every span found in its text replaced by `mark`; overlapping spans make one. Other rows and columns stay."""
-    versions, ledger = scan_versions(docs.select(id_col, text_col), path_col=id_col, text_col=text_col, rules=rules)
+    """`docs` with every span found in its text replaced by `mark`; overlapping spans make one. Other rows and columns stay,
+    whatever their names. A null text stays null and an empty one empty; texts of any length are read whole; repeated rows
+    change alike; an empty table gives no rows."""
+    versions, ledger = scan_versions(docs.select(f"`{id_col}`", f"`{text_col}`"), path_col=id_col, text_col=text_col, rules=rules)
     del versions
     rows = findings_by_blob(ledger, rules).select("blob", F.explode("spans").alias("s")).select("blob", "s.start", "s.end")
     before = Window.partitionBy("blob").orderBy("start", "end")
@@ -141,13 +143,14 @@ def redacted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.withColumn("_island", F.sum("_new").over(before.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.groupBy("blob", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     cuts = rows.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cuts")).select(F.col("blob").alias("_blob"), "_cuts")
-    columns, text = docs.columns, text_of(f"`{text_col}`")
-    joined = docs.join(cuts, F.sha2(text, 256) == F.col("_blob"), "left")
+    columns, text = docs.columns, F.col("_text")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_row"), text_of(f"`{text_col}`").alias("_text"))
+    joined = whole.join(cuts, F.sha2(text, 256) == F.col("_blob"), "left")
     last = lambda i: F.when(i > 0, F.get("_cuts", i - 1)["end"]).otherwise(F.lit(0).cast("long"))
     pieces = F.transform("_cuts", lambda s, i: F.concat(F.substring(text, (last(i) + 1).cast("int"), (s["start"] - last(i)).cast("int")), F.lit(mark)))
     tail = F.substring(text, (F.element_at("_cuts", -1)["end"] + 1).cast("int"), F.char_length(text))
-    clean = F.when(F.col("_cuts").isNull(), F.col(f"`{text_col}`")).otherwise(F.concat(F.array_join(pieces, ""), tail))
-    return joined.select(*((clean.alias(c) if c == text_col else F.col(f"`{c}`")) for c in columns))
+    clean = F.when(F.col("_cuts").isNull(), F.col(f"_row.`{text_col}`")).otherwise(F.concat(F.array_join(pieces, ""), tail))
+    return joined.select(*((clean.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c)) for c in columns))
 
 
 def secrets_sql() -> str:

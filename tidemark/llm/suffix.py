@@ -397,7 +397,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """(id_col, n_bytes, n_removed, n_spans, kept_sha256, kept) for every row; `kept` are the bytes that stay.
 
     A null or empty text has nothing to remove. Ids are whole numbers; a null id is greater than all and no id's
-    smaller. Rows that share an id are taken for copies of one document, so none of them repeats another.
+    smaller. Rows that share an id are taken for copies of one document, so none of them repeats another. Texts of any
+    length are whole; an empty table gives no rows.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_of(f"`{text_col}`").alias("text"))
     total = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
