@@ -217,8 +217,8 @@ def _source(s: SparkSession, d: str, name: str) -> DataFrame:
         return view(s, d, "lineitem").select(*(F.expr(e).alias(k) for k, e in c.items()))
     if name == "funda":
         none = {c: F.lit(None).cast("string") for c in ("tic", "conm")}
-        more = view(s, d, "fx_funda_once").select("gvkey", "datadate", "at", "sale", F.col("sale").alias("revt"), "ceq", "ni", "capx", "xrd", "dltt", "dlc", F.lit(1.5).alias("prcc_f"), F.lit(2.0).alias("csho"))
-        return base._reports_source(s, d).join(more, ["gvkey", "datadate"]).withColumns(none)
+        # in one select, as firms of one gvkey may report on one date
+        return base._reports_source(s, d, "at", "sale", F.col("sale").alias("revt"), "ceq", "ni", "capx", "xrd", "dltt", "dlc", F.lit(1.5).alias("prcc_f"), F.lit(2.0).alias("csho")).withColumns(none)
     if name == "links":
         return view(s, d, "fx_links").select("gvkey", F.col("permno").alias("lpermno"), F.col("permno").alias("lpermco"), "linkdt", "linkenddt", F.expr("case when permno % 6 = 0 then 'LX' else linktype end").alias("linktype"), "linkprim", F.lit(1).alias("usedflag"))
     if name == "factors":
