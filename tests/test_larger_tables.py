@@ -5,8 +5,10 @@ from __future__ import annotations
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 
+from tidemark.operators import boosting as bt
 from tidemark.plans import registry
 
 DATA = Path("/root/testdata/sf0.001")
@@ -30,3 +32,18 @@ def test_reports_of_firms_that_share_a_gvkey_are_each_extracted_once(spark, shif
     got = registry.queries()["funda_extract"](spark, str(shifted))
     want = con.execute(f"select {', '.join(chr(34) + c + chr(34) for c in got.columns)} from ({registry.oracle_sql()['funda_extract']})").fetchall()
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want)) and len(want) > len({r[:2] for r in want})
+
+
+def test_features_that_vary_together_are_counted_together_with_the_same_sums():
+    rng = np.random.default_rng(3)
+    month = rng.integers(0, 60, 5000)
+    codes = np.stack([rng.integers(0, 255, 5000), month, 7 * month % 60, month // 12, rng.integers(0, 255, 5000)], 1).astype(np.uint8)
+    codes[rng.random(5000) < 0.1, 4] = bt.MISSING
+    g, used = rng.normal(size=5000), np.array([0, 1, 3, 4])
+    bundled = bt.bundles(codes)
+    assert sorted(sorted(b.bins) for b in bundled) == [[0], [1, 2, 3], [4]]
+    grow = bt.Growing(codes, g, used, bt.Settings(), bundled)
+    for rows in (np.arange(5000), np.arange(0, 5000, 3)):
+        got = grow.local(bt.Node(rows))
+        for k, j in enumerate(used):
+            assert np.allclose(got[0, k], np.bincount(codes[rows, j], g[rows], 256)) and (got[1, k] == np.bincount(codes[rows, j], minlength=256)).all()
