@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import date
 from pathlib import Path
 
 import duckdb
@@ -9,6 +10,8 @@ import numpy as np
 import pytest
 
 from tidemark.operators import boosting as bt
+from tidemark.operators import set_models as sm
+from tidemark.operators.set_networks import DeepSets, SetTransformer, packed
 from tidemark.plans import registry
 
 DATA = Path("/root/testdata/sf0.001")
@@ -47,3 +50,30 @@ def test_features_that_vary_together_are_counted_together_with_the_same_sums():
         got = grow.local(bt.Node(rows))
         for k, j in enumerate(used):
             assert np.allclose(got[0, k], np.bincount(codes[rows, j], g[rows], 256)) and (got[1, k] == np.bincount(codes[rows, j], minlength=256)).all()
+
+
+def test_sets_are_computed_at_their_own_length_with_the_same_gradients():
+    rng = np.random.default_rng(5)
+    ids = rng.integers(1, 9, (300, 12)) * (np.arange(12) < rng.choice([0, 1, 1, 1, 2, 3, 12], 300)[:, None])
+    rows = {"day": np.full(300, 730_000), "target": rng.normal(size=300), "ids": ids, "shares": rng.random((300, 12)), "controls": np.zeros((300, 0))}
+    parts = sm.by_length(ids)
+    assert sorted(np.concatenate([at for _, at in parts])) == list(range(300)) and sum(n * len(at) for n, at in parts) < 300 * 12 / 2
+    fold = sm.Fold(2003, date(2002, 12, 31), date(2003, 1, 31), date(2003, 12, 31))
+    for network in (DeepSets(9, 0), SetTransformer(9, 0)):
+        m = sm.Model("any", fold, network, (0.0, 1.0), np.zeros((3, 0)), 7)
+        n, loss, g = m.sums(rows, None)
+        out, kept, p = m.output(rows, np.arange(300))
+        off = out - rows["target"]
+        assert n == 300 and np.isclose(loss, off @ off) and np.allclose(g, packed(network.gradient(p, kept, 2 * off))) and np.allclose(m.outputs(rows, np.arange(300)), out)
+
+
+def test_a_few_steps_are_one_job(spark, tmp_path):
+    out = [(f"{i:03d}", i, date(2001, 1, 28), float(i % 3), [1 + i % 5, 0], [1.0, 0.0], [0.5]) for i in range(200)]
+    rows = spark.createDataFrame(out, "gvkey string, permno long, date date, target double, geo_ids array<int>, shares array<double>, controls array<double>")
+    models = [m for m, _ in sm.made_models(rows, [sm.Fold(2003, date(2002, 12, 31), date(2003, 1, 31), date(2003, 12, 31))], ["set_only"], 9, 1, 137)]
+    slices = sm.dealt(rows, 5, 1, 137)
+    spark.sparkContext.setJobGroup("steps", "steps")
+    sm.train(slices, models, str(tmp_path / "s"), epochs=4, every=20, tasks=2)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("steps"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 20  # one a step before
