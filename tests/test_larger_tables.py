@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from tidemark.operators import boosting as bt
+from tidemark.operators import panel
 from tidemark.operators import set_models as sm
 from tidemark.operators.set_networks import DeepSets, SetTransformer, packed
 from tidemark.plans import registry
@@ -77,3 +78,11 @@ def test_a_few_steps_are_one_job(spark, tmp_path):
     jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("steps"))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert jobs < 20  # one a step before
+
+
+@pytest.mark.parametrize("make", [panel.snapshots, panel.geo_tokens])
+def test_segments_are_dealt_once(spark, make):
+    rows = [("1", "a", date(2001, 3, 31), date(2001, 2, 28), "x", "y", 1.0, None, None)]
+    segments = spark.createDataFrame(rows, "gvkey string, sid string, srcdate date, datadate date, gareag string, gareat string, sales double, revts double, ias double")
+    plan = make(segments)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1  # two before
