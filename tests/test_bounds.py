@@ -8,6 +8,7 @@ from datetime import date
 import pandas as pd
 
 from tidemark.operators import xsec
+from tidemark.sources import sinks
 
 
 def test_ranks_are_dealt_by_a_number_in_more_parts_than_groups(spark):
@@ -24,3 +25,9 @@ def test_ranks_are_dealt_by_a_number_in_more_parts_than_groups(spark):
     assert not got
     whole = xsec.quintiles(df, "x", by=["m"])
     assert whole.columns == [*df.columns, "quintile"] and whole.where("quintile is not null").count() == 240
+
+
+def test_csv_tables_of_many_parts_are_one_table_each(spark, tmp_path):
+    sinks.write_csv(spark.range(100).repartition(4), str(tmp_path / "f_t"), parts=True)
+    assert len(list((tmp_path / "f_t").glob("part-*.csv"))) == 4
+    assert [tuple(r) for r in sinks.table_inventory(spark, {"f": str(tmp_path / "f_*")}).collect()] == [("f", "f_t", "id")]

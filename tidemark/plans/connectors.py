@@ -99,10 +99,10 @@ def _written(s: SparkSession, d: str) -> DataFrame:
 
 
 def _inventory(s: SparkSession, d: str) -> DataFrame:
-    """The header lines of the CSV files of two families, each with one file a table."""
+    """The header lines of the CSV files of two families, each with one folder a table."""
     root = _fresh(s, "inventory")
     for family, name in (("firms", "fx_links"), ("firms", "fx_funda_once"), ("market", "fx_factors_once")):
-        sinks.write_csv(view(s, d, name), f"{root}/{family}_{name}")
+        sinks.write_csv(view(s, d, name), f"{root}/{family}_{name}", parts=True)
     got = gates.all_of(*(sinks.table_inventory(s, {f: f"{root}/{f}_*"}) for f in ("firms", "market")))
     return got.select("family", "sample_columns", F.size(F.split("sample_columns", ",")).alias("columns"))
 

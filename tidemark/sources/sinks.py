@@ -16,9 +16,10 @@ def write_table(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """A small table as one CSV file with a header, in the folder `path`."""
-    df.coalesce(1).write.mode("overwrite").csv(path, header=True)
+def write_csv(df: DataFrame, path: str, *, parts: bool = False) -> None:
+    """A small table as one CSV file with a header, in the folder `path`; with parts, a table of any size as one such file a
+    task, none of which holds the whole."""
+    (df if parts else df.coalesce(1)).write.mode("overwrite").csv(path, header=True)
 
 
 def write_json(spark: SparkSession, value: dict, path: str) -> None:
@@ -42,9 +43,11 @@ def load_series(names: Iterable[str], load: Callable[[str], DataFrame], path: st
 
 
 def table_inventory(spark: SparkSession, folders: dict[str, str]) -> DataFrame:
-    """(family, table, sample_columns) of the CSV files in each family's folder, by their header lines."""
+    """(family, table, sample_columns) of the CSV files in each family's folder, by their header lines. The part files that
+    Spark writes into one folder are one table, by the folder's name."""
     def one(family: str, folder: str) -> DataFrame:
-        lines = spark.read.text(f"{folder}/*.csv").select(F.col("_metadata.file_name").alias("table"), F.col("_metadata.file_block_start").alias("at"), "value")
+        name, above = F.col("_metadata.file_name"), F.element_at(F.split("_metadata.file_path", "/"), -2)
+        lines = spark.read.text(f"{folder}/*.csv").select(F.when(name.rlike("^part-[0-9]+-"), above).otherwise(name).alias("table"), F.col("_metadata.file_block_start").alias("at"), "value")
         head = lines.where("at = 0").groupBy("table").agg(F.first("value").alias("sample_columns"))
         return head.select(F.lit(family).alias("family"), "table", "sample_columns")
 
