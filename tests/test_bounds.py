@@ -7,6 +7,7 @@ from datetime import date
 
 import pandas as pd
 
+from tidemark.llm import html
 from tidemark.operators import xsec
 from tidemark.sources import sinks
 
@@ -31,3 +32,20 @@ def test_csv_tables_of_many_parts_are_one_table_each(spark, tmp_path):
     sinks.write_csv(spark.range(100).repartition(4), str(tmp_path / "f_t"), parts=True)
     assert len(list((tmp_path / "f_t").glob("part-*.csv"))) == 4
     assert [tuple(r) for r in sinks.table_inventory(spark, {"f": str(tmp_path / "f_*")}).collect()] == [("f", "f_t", "id")]
+
+
+def tree(text):
+    return html.folded(root := html.Tree(text).root, html.masses(html.blocks(root)))
+
+
+def test_slots_beyond_the_aligned_children_and_levels_are_found():
+    w = None
+    for page in range(3):  # the article has another label than the 40 short blocks that most pages share
+        own = f"<div class='text'>{'word ' * 400}{page}</div>" if page == 1 else ""
+        part = tree("<body>" + "".join(f"<div class='a{k}'>x{page}</div>" for k in range(html.MOST_CHILDREN)) + own)
+        w = html.combined(w, part) if w else part
+    assert html.slot(html.varying(w, {})) == ["#", "body.", "div.text"]
+    deep = 3 * html.DEEPEST
+    w = tree("<body>" + "<div class='d'>" * deep + f"<p>n</p><div class='text'><p>{'word ' * 50}</p><p>{'more ' * 50}</p></div>")
+    w = html.combined(w, w)
+    assert html.slot(html.varying(w, {})) == ["#", "body.", *["div.d"] * deep, "div.text"]

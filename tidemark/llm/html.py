@@ -10,9 +10,9 @@ inside it, unless hardly any varying text would be left or the host's article li
 layout than its host's slot, its own tree serves as a wrapper of one page.
 
 Wrappers are built per task and host over all pages, and merged by the same alignment in two steps, first in salted
-groups, so a host with a third of all pages is shared by many tasks. A wrapper's size is bounded: where a node has too
-many children, or lies too deep, the weight of those that the fewest pages have goes to the node above. Texts are not
-in it, and no count is bounded.
+groups, so a host with a third of all pages is shared by many tasks. Trees are aligned up to MOST_CHILDREN children a node
+and DEEPEST levels. The rest is kept whole beside them, by the path of its labels instead of by alignment: the slot is
+such a path, so it is found there as well. Texts are not in a wrapper, and no count is bounded.
 """
 
 from __future__ import annotations
@@ -47,7 +47,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 #: Whole class names and ids of what is no article; a name that only contains one of these says nothing.
 NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert menu nav navbar navigation sidebar footer breadcrumb breadcrumbs comment comments respond reply replies related recommended share sharing social subscribe subscription newsletter popup modal overlay login signup widget pagination pager masthead".split())
 
-#: Bounds of a wrapper. What lies beyond them counts with the node above, so no text is lost to the slot's weight.
+#: Bounds of what is aligned. What lies beyond them is kept by its path, see rest_of().
 MOST_CHILDREN, DEEPEST = 40, 40
 #: Products of two lists of children beyond which they are aligned by what stands once in both.
 PRODUCT = MOST_CHILDREN * MOST_CHILDREN
@@ -160,29 +160,71 @@ def masses(found: list[tuple[Node, str]]) -> dict[int, int]:
     return total
 
 
+def put(rest: dict, above: str, label: str, mass: int, named: int) -> str:
+    """Add a node to a rest, below the entry `above` ("0": the rest's owner); its key there."""
+    key = str(checksum(label, int(above)))
+    if key in rest:
+        rest[key][2] += mass
+        rest[key][3] = min(rest[key][3], named)
+    else:
+        rest[key] = [above, label, mass, named]
+    return key
+
+
+def rest_of(rest: dict, children: list[dict], above: str = "0") -> None:
+    """Add wrappers and all below them to a rest: (entry above, label, characters, named) by the checksum of the labels
+    from the rest's owner down, parents first. Nodes of one path are one entry, so a rest grows with the different paths."""
+    stack = [(c, above) for c in reversed(children)]
+    while stack:
+        c, at = stack.pop()
+        key = put(rest, at, c["l"], c["m"], c.get("d", 0))
+        merge_rest(rest, c.get("x", {}), key)
+        stack += [(x, key) for x in reversed(c["c"])]
+
+
+def merge_rest(rest: dict, other: dict, above: str = "0") -> None:
+    """Add the entries of another rest, whose owner is the entry `above`."""
+    keys = {"0": above}
+    for key, (at, label, mass, named) in other.items():
+        keys[key] = put(rest, keys[at], label, mass, named)
+
+
+def deeper(node: Node, mass: dict[int, int], size: dict[int, int]) -> dict:
+    """The rest of a node of the last level: all elements below it that have text."""
+    rest: dict = {}
+    stack = [(c, "0") for c in reversed(node.children)]
+    while stack:
+        c, at = stack.pop()
+        if not isinstance(c, str) and not c.unseen and size[id(c)]:
+            key = put(rest, at, c.label, mass.get(id(c), 0), c.named)
+            stack += [(x, key) for x in reversed(c.children)]
+    return rest
+
+
 def folded(node: Node, mass: dict[int, int], depth: int = 0) -> dict:
-    """A page's tree as a wrapper of one page: label, n, mass (characters), named, children. Elements without blocks of
-    their own or below are left out."""
+    """A page's tree as a wrapper of one page: label, n, mass (characters), named, children, and x, the rest, where there is
+    one. Elements without blocks of their own or below are left out."""
     children: list[dict] = []
     own = mass.get(id(node), 0)
+    rest: dict = {}
     if depth == DEEPEST:
-        own = sizes(node, mass)[id(node)]
+        rest = deeper(node, mass, sizes(node, mass))
     else:
         for c in node.children:
             if not isinstance(c, str) and not c.unseen:
                 f = folded(c, mass, depth + 1)
-                if not f["m"] and not f["c"]:
+                if not f["m"] and not f["c"] and not f.get("x"):
                     continue
                 if children and children[-1]["l"] == f["l"] and children[-1]["d"] == f["d"]:
                     children[-1] = combined(children[-1], f, 1)
                 else:
                     children.append(f)
-    return {"l": node.label, "n": 1, "m": own, "d": node.named, "c": children}
+    return {"l": node.label, "n": 1, "m": own, "d": node.named, "c": children, **({"x": rest} if rest else {})}
 
 
 def whole(w: dict) -> int:
     """Characters of a wrapper's node and all below it."""
-    return w["m"] + sum(map(whole, w["c"]))
+    return w["m"] + sum(map(whole, w["c"])) + sum(x[2] for x in w.get("x", {}).values())
 
 
 def shape(w: dict) -> tuple[int, int]:
@@ -289,36 +331,71 @@ def combined(a: dict, b: dict, n: int | None = None, known: dict | None = None)
         if x < len(a["c"]) and y < len(b["c"]):
             children.append(combined(a["c"][x], b["c"][y], n, known))
         i, j = x + 1, y + 1
-    beyond = 0
+    rest: dict = {}
+    for side in (a, b):
+        merge_rest(rest, side.get("x", {}))
     if len(children) > MOST_CHILDREN:
         most = set(sorted(range(len(children)), key=lambda k: (-children[k]["n"], -children[k]["m"], k))[:MOST_CHILDREN])
-        beyond = sum(whole(c) for k, c in enumerate(children) if k not in most)
+        rest_of(rest, [c for k, c in enumerate(children) if k not in most])
         children = [c for k, c in enumerate(children) if k in most]
-    return {"l": a["l"], "n": n or a["n"] + b["n"], "m": a["m"] + b["m"] + beyond, "d": min(a.get("d", 0), b.get("d", 0)), "c": children}
+    return {"l": a["l"], "n": n or a["n"] + b["n"], "m": a["m"] + b["m"], "d": min(a.get("d", 0), b.get("d", 0)), "c": children, **({"x": rest} if rest else {})}
 
 
 def plain(w: dict) -> dict:
     """A wrapper without its shapes, which hold in one process only."""
-    return {**{k: w[k] for k in ("l", "n", "m", "d")}, "c": [plain(c) for c in w["c"]]}
+    return {**{k: w[k] for k in ("l", "n", "m", "d")}, "c": [plain(c) for c in w["c"]], **({"x": w["x"]} if w.get("x") else {})}
+
+
+def opened(w: dict) -> list[dict]:
+    """Turns the rests of a wrapper into nodes and gives all nodes, each after the one above it. A rest's node that has an
+    aligned one of its path beside it adds to the heaviest of those, as slots are paths."""
+    order, stack = [], [w]
+    while stack:
+        x = stack.pop()
+        order.append(x)
+        rest = x.pop("x", {})
+        new: dict[str, dict] = {"0": x}
+        for key, (above, label, mass, named) in rest.items():
+            over = new[above]
+            if "_by" not in over:
+                over["_by"] = {}
+                for c in sorted(over["c"], key=whole_mass):
+                    over["_by"][c["l"]] = c
+            if (c := over["_by"].get(label)) is None:
+                c = over["_by"][label] = {"l": label, "n": 1, "m": 0, "d": named, "c": []}
+                over["c"].append(c)
+            c["m"] += mass
+            c["d"] = min(c["d"], named)
+            new[key] = c
+        for c in new.values():
+            c.pop("_by", None)
+        stack += reversed(x["c"])
+    return order
+
+
+def whole_mass(w: dict) -> int:
+    """Characters of an aligned node and all below it, without a bound on the levels."""
+    total, stack = 0, [w]
+    while stack:
+        x = stack.pop()
+        total += x["m"] + sum(r[2] for r in x.get("x", {}).values())
+        stack += x["c"]
+    return total
 
 
 def varying(w: dict, template: dict[int, int]) -> dict:
-    """The wrapper with v, the varying characters of each node and all below it. `template`: characters by path that do
-    not vary."""
+    """The wrapper with its rests as nodes and with v, the varying characters of each node and all below it. `template`:
+    characters by path that do not vary."""
     total: dict[int, int] = {}
-
-    def own(x: dict, at: int) -> None:
-        total[at] = total.get(at, 0) + x["m"]
+    order = opened(w)
+    w["at"] = 0
+    for x in order:
+        total[x["at"]] = total.get(x["at"], 0) + x["m"]
         for c in x["c"]:
-            own(c, checksum(c["l"], at))
-
-    def rest(x: dict, at: int) -> float:
-        same = min(1, template.get(at, 0) / max(1, total[at]))
-        x["v"] = x["m"] * (1 - same) + sum(rest(c, checksum(c["l"], at)) for c in x["c"])
-        return x["v"]
-
-    own(w, 0)
-    rest(w, 0)
+            c["at"] = checksum(c["l"], x["at"])
+    for x in reversed(order):
+        same = min(1, template.get(x["at"], 0) / max(1, total[x["at"]]))
+        x["v"] = x["m"] * (1 - same) + sum(c["v"] for c in x["c"])
     return w
 
 
@@ -327,27 +404,30 @@ def check_names(w: dict) -> dict:
     holds the host's article with half of the varying text, or where under LEFT of the text would be left without it;
     then the heaviest such node stays."""
     total = w["v"]
-
-    def article(x: dict) -> bool:
-        return any(c["d"] == 0 and (c["l"].split(".")[0] in ("article", "main") and 2 * c["v"] >= total or article(c)) for c in x["c"])
-
-    def clear(x: dict) -> None:
-        if x["d"] == 1 and 2 * x["v"] >= total and article(x):
+    order, stack = [], [w]
+    while stack:
+        x = stack.pop()
+        order.append(x)
+        stack += reversed(x["c"])
+    w["d"] = 0
+    for x in reversed(order):  # whether an article lies below, by the names as they are before any is cleared
+        x["holds"] = any(c["d"] == 0 and (c["l"].split(".")[0] in ("article", "main") and 2 * c["v"] >= total or c["holds"]) for c in x["c"])
+    for x in order:
+        if x["d"] == 1 and 2 * x["v"] >= total and x["holds"]:
             x["d"] = 0
-        for c in x["c"]:
-            clear(c)
 
-    def left(x: dict, named: list[dict]) -> float:
-        x["u"] = 0.0
-        if x["d"]:
-            named.append(x)
-        else:
-            x["u"] = x["v"] - sum(c["v"] for c in x["c"]) + sum([left(c, named) for c in x["c"]])
-        return x["u"]
-
-    w["d"] = 0
-    clear(w)
-    while left(w, named := []) < LEFT * total and named:
+    def left() -> list[dict]:
+        named, under = [], set()
+        for x in order:
+            if id(x) in under or x["d"]:
+                if id(x) not in under:
+                    named.append(x)
+                under.update(map(id, x["c"]))
+        for x in reversed(order):
+            x["u"] = 0.0 if x["d"] else x["v"] - sum(c["v"] for c in x["c"]) + sum(c["u"] for c in x["c"])
+        return named
+
+    while (named := left()) and w["u"] < LEFT * total:
         max(named, key=lambda x: x["v"])["d"] = 0
     return w
 
@@ -476,15 +556,17 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
-def host_rules(wrapper: str | None, template: list | None) -> tuple[list[str] | None, set[int]]:
-    """The path of the host's content slot and the checksums of its template texts."""
-    chars: dict[int, int] = {}
-    keys = set()
-    for row in template if template is not None else ():
-        at = row["at"] % (1 << 64)
-        chars[at] = chars.get(at, 0) + row["chars"]
-        keys.add(row["key"] % (1 << 64))
-    return slot(varying(json.loads(wrapper), chars)) if isinstance(wrapper, str) else None, keys
+def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The path of each host's content slot, from its wrapper and the characters of its template."""
+    for batch in batches:
+        paths = []
+        for wrapper, template in zip(batch["wrapper"], batch["template"], strict=True):
+            chars: dict[int, int] = {}
+            for row in template if template is not None else ():
+                at = row["at"] % (1 << 64)
+                chars[at] = chars.get(at, 0) + row["chars"]
+            paths.append(slot(varying(json.loads(wrapper), chars)))
+        yield batch[["host", "template"]].assign(path=paths)
 
 
 SCHEMA = "host string, wrapper string, pages long, at long, key long, n long, chars long"
@@ -533,8 +615,8 @@ def _merge(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def induce_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper as JSON, template) from pages (host, html). template: (at, key, chars) of the texts that stand at
-    the same path on most of the host's pages, null where there are none. Counts are exact."""
+    """(host, template, path) from pages (host, html). template: (at, key, chars) of the texts that stand at the same path
+    on most of the host's pages, null where there are none; path: labels down to the content slot. Counts are exact."""
     schema = "host string, wrapper string"
     partial = written(pages.mapInPandas(_partial, SCHEMA), "blocks")
     trees = partial.where("wrapper IS NOT NULL")
@@ -544,7 +626,8 @@ def induce_wrappers(pages: DataFrame) -> DataFrame:
     texts = partial.where("wrapper IS NULL").groupBy("host", "at", "key").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars")).where(F.col("n") >= SHARE * LEAST_PAGES)
     often = texts.join(sizes, "host").where((F.col("_pages") >= LEAST_PAGES) & (F.col("n") >= SHARE * F.col("_pages")))
     template = often.groupBy("host").agg(F.collect_list(F.struct("at", "key", "chars")).alias("template"))
-    return written(wrappers.join(template, "host", "left"), "wrappers")
+    ruled = wrappers.join(template, "host", "left").select("host", "wrapper", "template")
+    return written(ruled.mapInPandas(slots, ruled.drop("wrapper").withColumn("path", F.array(F.lit(""))).schema), "wrappers")
 
 
 def extract_text(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -562,15 +645,15 @@ def extract_text(pages: DataFrame, *, url_col: str = "url", html_col: str = "htm
         parsed: dict[str, tuple] = {}
         for batch in batches:
             texts = []
-            for host, html, wrapper, template in zip(batch["host"], batch["html"], batch["wrapper"], batch["template"], strict=True):
+            for host, html, path, template in zip(batch["host"], batch["html"], batch["path"], batch["template"], strict=True):
                 if host not in parsed:
                     if len(parsed) > 2000:
                         parsed.clear()
-                    parsed[host] = host_rules(wrapper, template)
+                    parsed[host] = None if path is None else list(path), {r["key"] % (1 << 64) for r in (template if template is not None else ())}
                 texts.append(main_text(html, *parsed[host]))
             yield batch[["_row"]].assign(text=texts)
 
-    out = rows.select("_row", "html", "host", "wrapper", "template").mapInPandas(run, rows.select("_row", F.lit("").alias("text")).schema)
+    out = rows.select("_row", "html", "host", "path", "template").mapInPandas(run, rows.select("_row", F.lit("").alias("text")).schema)
     return out.select("_row.*", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
