@@ -7,7 +7,7 @@ from datetime import date
 
 import pandas as pd
 
-from tidemark.llm import html
+from tidemark.llm import html, mixing
 from tidemark.operators import xsec
 from tidemark.sources import sinks
 
@@ -49,3 +49,14 @@ def test_slots_beyond_the_aligned_children_and_levels_are_found():
     w = tree("<body>" + "<div class='d'>" * deep + f"<p>n</p><div class='text'><p>{'word ' * 50}</p><p>{'more ' * 50}</p></div>")
     w = html.combined(w, w)
     assert html.slot(html.varying(w, {})) == ["#", "body.", *["div.d"] * deep, "div.text"]
+
+
+def test_a_mix_does_not_depend_on_the_number_of_patterns_held(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, rng.randrange(1, 50), [f"={s}" for s in rng.sample(range(5), rng.randrange(3, 6))]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, size long, sources array<string>")
+    taken = []
+    for most in (100_000, 3):
+        monkeypatch.setattr(mixing, "MOST_PATTERNS", most)
+        taken.append(sorted((r["id"], tuple(r["sources"]), r["copies"]) for r in mixing.mix(df)[0].collect()))
+    assert taken[0] == taken[1] and {x[0]: x[1] for x in taken[1]} == {i: tuple(sorted(s)) for i, _, s in rows}

@@ -5,9 +5,8 @@ words to the sources' quotas: a pattern can give its words once at no cost, a se
 repetition is spread where it is cheapest. Whole documents are then selected, in a seeded order, until each pattern has
 given its share.
 
-Only sums by pattern and by source reach the driver. Their number is bounded by MOST_PATTERNS and checked; where there
-are more patterns, each is narrowed to two of its sources, of which there are few different pairs. Prefix sums
-over the seeded order are taken in two levels, within slices of the hash range and over the slices, so no task holds a
+Only sums by pattern and by source reach the driver, one row a pattern whatever their number, so the flow is the least cost
+at any size; beyond MOST_PATTERNS what it gives is joined by a shuffle instead of a broadcast. Prefix sums over the seeded order are taken in two levels, within slices of the hash range and over the slices, so no task holds a
 whole source.
 """
 
@@ -20,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_RUN, text_of, written
 
+#: Patterns up to which shares are broadcast; results do not depend on it.
 MOST_PATTERNS = 100_000
 #: Slices of the hash range in which prefix sums are taken.
 SLICE_BITS = 12
@@ -48,14 +48,16 @@ def min_cost_flow(supply: list[list[tuple[int, int]]], members: list[list[int]],
     """What each pattern gives to each of its sources. supply: per pattern its (words, cost) tiers, costs rising.
 
     Successive shortest paths: each augments from the cheapest open tier, possibly by moving earlier flow of another
-    pattern to another of its sources, until the quotas are full or nothing can be added.
+    pattern to another of its sources, until the quotas are full or nothing can be added. Sources from which no open quota
+    can be reached stay so, as no later path leaves them; they are not searched again.
     """
     p, q = len(supply), len(quotas)
     flow: list[dict[int, int]] = [dict.fromkeys(m, 0) for m in members]
     givers: list[set[int]] = [set() for _ in range(q)]
     left = quotas[:]
+    closed: set[int] = set()
     for cost, i, words in sorted((cost, i, words) for i in range(p) for words, cost in supply[i]):
-        while words > 0:
+        while words > 0 and not closed.issuperset(members[i]):
             # breadth-first over patterns: i -> one of its sources -> a pattern that gives to it -> ...
             came: dict[int, tuple[int, int] | None] = {i: None}
             queue, end = deque([i]), None
@@ -65,11 +67,14 @@ def min_cost_flow(supply: list[list[tuple[int, int]]], members: list[list[int]],
                     if left[s] > 0:
                         end = (a, s)
                         break
+                    if s in closed:
+                        continue
                     for b in givers[s]:
                         if b not in came:
                             came[b] = (a, s)
                             queue.append(b)
             if end is None:
+                closed.update(s for a in came for s in members[a])
                 break
             path, (a, s) = [end], end
             amount = min(words, left[s])
@@ -96,15 +101,13 @@ def tagged(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("~"))
 
 
-def narrowed(sources: Column) -> Column:
-    """Two of a pattern's sources, the same for the same pattern. A document may still give its words to either, so no words
-    are lost and the quotas are met; only the least cost is then that of the narrower choice."""
-    ranked = F.array_sort(F.transform(sources, lambda s: F.struct(F.xxhash64(sources, s).alias("h"), s.alias("s"))))
-    return F.array_sort(F.transform(F.slice(ranked, 1, 2), lambda x: x["s"]))
+def _few(df: DataFrame, patterns: int) -> DataFrame:
+    """A table of one row a pattern, broadcast where there are few."""
+    return F.broadcast(df) if patterns <= MOST_PATTERNS else df
 
 
-def _walk(rows: DataFrame) -> DataFrame:
-    """`rows` (id, size, sources, whole, rest, h, chosen; at most MOST_PATTERNS different sources) with more of them chosen: those that fit, in the order of
+def _walk(rows: DataFrame, patterns: int) -> DataFrame:
+    """`rows` (id, size, sources, whole, rest, h, chosen; so many patterns) with more of them chosen: those that fit, in the order of
     (h, id, size), as long as their running sum within their pattern is at most `rest`; and `rest` less that sum."""
     fits = ~F.col("chosen") & (F.col("size") > 0) & (F.col("size") <= F.col("rest"))
     rows = rows.withColumn("_w", F.when(fits, F.col("size")).otherwise(F.lit(0).cast("long"))).withColumn("_slice", F.shiftrightunsigned("h", 64 - SLICE_BITS))
@@ -117,7 +120,7 @@ def _walk(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("_now", (F.col("_w") > 0) & (F.col("_before") + F.col("_in") <= F.col("rest")))
     rows = written(rows.select("id", "size", "sources", "whole", "rest", "h", (F.col("chosen") | F.col("_now")).alias("chosen"), "_now"), "walk")
     taken = rows.where("_now").groupBy("sources").agg(F.sum("size").alias("_taken"))
-    return rows.join(F.broadcast(taken), "sources", "left").withColumn("rest", F.col("rest") - F.coalesce("_taken", F.lit(0).cast("long"))).drop("_taken", "_now")
+    return rows.join(_few(taken, patterns), "sources", "left").withColumn("rest", F.col("rest") - F.coalesce("_taken", F.lit(0).cast("long"))).drop("_taken", "_now")
 
 
 def mix(sized: DataFrame, *, share: float = 1.5, most: int = 2, weights: tuple[float, ...] = (3.0, 1.0, 2.0), seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -131,22 +134,20 @@ def mix(sized: DataFrame, *, share: float = 1.5, most: int = 2, weights: tuple[f
     spark = sized.sparkSession
     sized = written(sized.select("id", "size", F.array_sort(F.array_distinct("sources")).alias("sources")), "sized")
     sums = written(sized.groupBy("sources").agg(F.sum("size").alias("size")), "patterns")
-    if sums.count() > MOST_PATTERNS:
-        sized = written(sized.withColumn("sources", narrowed(F.col("sources"))), "sized")
-        sums = sized.groupBy("sources").agg(F.sum("size").alias("size"))
-    patterns = sorted(((tuple(r["sources"]), r["size"]) for r in sums.limit(MOST_PATTERNS + 1).collect()), key=lambda x: x[0])
-    if len(patterns) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} pairs of sources: their targets alone do not fit a driver")
+    patterns = sorted(((tuple(r["sources"]), r["size"]) for r in sums.collect()), key=lambda x: x[0])  # one row a pattern
     names = sorted({s for p, _ in patterns for s in p})
-    sizes = {s: sum(n for p, n in patterns if s in p) for s in names}
+    sizes = dict.fromkeys(names, 0)
+    for p, n in patterns:
+        for s in p:
+            sizes[s] += n
     targets = water_filled(sizes, {s: weights[i % len(weights)] for i, s in enumerate(names)}, share=share, most=most)
     place = {s: i for i, s in enumerate(names)}
     flow = min_cost_flow([[(n, k) for k in range(most)] for _, n in patterns], [[place[s] for s in p] for p, _ in patterns], [round(targets[s]) for s in names])
     given = [(list(p), n and sum(f.values()) // n, sum(f.values()) % n if n else 0) for (p, n), f in zip(patterns, flow, strict=True)]
-    shares = spark.createDataFrame(given, "sources array<string>, whole int, rest long")  # bounded by MOST_PATTERNS
-    rows = sized.join(F.broadcast(shares), "sources").withColumn("h", F.xxhash64(F.lit(seed), "id")).withColumn("chosen", F.lit(False))
+    shares = spark.createDataFrame(given, "sources array<string>, whole int, rest long")  # one row a pattern
+    rows = sized.join(_few(shares, len(patterns)), "sources").withColumn("h", F.xxhash64(F.lit(seed), "id")).withColumn("chosen", F.lit(False))
     for _ in range(WALKS):
-        rows = _walk(rows)
+        rows = _walk(rows, len(patterns))
     copies = F.col("whole") + F.col("chosen").cast("int")
     sources = spark.createDataFrame([(s, sizes[s], float(targets[s])) for s in names], "source string, source_size long, target double")
     return rows.select("id", "size", "sources", F.least(copies, F.lit(most)).alias("copies")), sources
