@@ -207,6 +207,17 @@ def test_bpe_equals_the_library(spark):
         assert tuple(r)[1:] == (len(ids), sha256(",".join(map(str, ids)).encode()).hexdigest(), sha256(t.encode()).hexdigest())
 
 
+def test_plans_hold_the_rank_map_outside_of_the_fold(spark):
+    """Every expression around the map copies its text when a plan is written out, so it stands before the fold, once."""
+    import public_tokenizers as P
+
+    own = bpe.vocabulary(P.path("byte_bpe_multi_50k.tiktoken"))
+    df = spark.range(1).select(own.encode(F.col("id").cast("string").cast("binary")).alias("ids"))
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    before, after = text.split("aggregate(", 1)
+    assert len(after) < 50_000 < 500_000 < len(before) < 2 * len(own.literal)
+
+
 def test_token_counts_equal_the_library(spark):
     import public_tokenizers as P
     from tokenizers import Tokenizer

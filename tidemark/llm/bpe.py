@@ -16,7 +16,7 @@ import base64
 import json
 import random
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from hashlib import sha256
 from itertools import pairwise
@@ -77,6 +77,11 @@ def merges_of(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
     return pairs
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 class Vocabulary:
     """A rank table for Spark's functions: pieces are ids, a word is the array of the ids of its bytes."""
 
@@ -97,17 +102,20 @@ class Vocabulary:
             for a, b in pairwise(token):
                 self.joined[a, b] = True
 
-    def rank(self, a: Column, b: Column) -> Column:
-        """The id that two pieces make together, null if none. The map is a literal: a list for each remainder of the pieces'
-        key, of the rest of the key and the id as one number."""
+    def rank(self, lists: Column, a: Column, b: Column) -> Column:
+        """The id that two pieces make together, null if none. The map has a list for each remainder of the pieces' key, of the
+        rest of the key and the id as one number."""
         key = F.shiftleft(a, ID_BITS).bitwiseOR(b)
         above = F.floor(key / LISTS)
-        found = F.filter(F.get(F.from_json(F.lit(self.literal), "array<array<bigint>>"), (key % LISTS).cast("int")), lambda x: F.shiftright(x, ID_BITS) == above)
+        found = F.filter(F.get(lists, (key % LISTS).cast("int")), lambda x: F.shiftright(x, ID_BITS) == above)
         return F.get(found, F.lit(0)).bitwiseAND(F.lit((1 << ID_BITS) - 1))
 
     def encode(self, word: Column) -> Column:
-        """Token ids (array of bigint) of a binary word: a fold over its byte array."""
-        let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))  # noqa: E731  evaluated once
+        """Token ids (array of bigint) of a binary word: a fold over its byte array. The rank map is a literal, named outside of
+        all else: plans are written out again and again, and each expression around a literal copies its text of 1 MB."""
+        return let(F.from_json(F.lit(self.literal), "array<array<bigint>>"), lambda lists: self._folded(word, lists))
+
+    def _folded(self, word: Column, lists: Column) -> Column:
         digits = lambda i: F.conv(F.hex(F.substring(word, i + 1, F.lit(1))), 16, 10).cast("int")
         ids = F.array(*(F.lit(i).cast("bigint") for i in self.byte_ids))
         start = F.transform(F.sequence(F.lit(0), F.octet_length(word) - 1), lambda i: F.get(ids, digits(i)))
@@ -129,7 +137,7 @@ class Vocabulary:
         def turn(s: Column) -> Column:
             """The ranks are looked up in one place for short and long words, so a plan holds the map once."""
             p = s["p"]
-            ranks = F.zip_with(p, F.slice(p, 2, MANY), self.rank)
+            ranks = F.zip_with(p, F.slice(p, 2, MANY), lambda a, b: self.rank(lists, a, b))
             merge = lambda r, least: F.when(size <= LONG, one_place(p, r, least)).otherwise(all_places(p, r, least))
             after = lambda r: let(F.array_min(r), lambda least: F.struct(F.when(least.isNull(), p).otherwise(merge(r, least)).alias("p"), least.isNull().alias("done")))
             return F.when(s["done"], s).otherwise(let(ranks, after))
