@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from tidemark.operators import boosting as bt
-from tidemark.operators import panel
+from tidemark.operators import exposure_panel, panel
 from tidemark.operators import set_models as sm
 from tidemark.operators.set_networks import DeepSets, SetTransformer, packed
 from tidemark.plans import registry
@@ -29,6 +29,15 @@ def shifted(tmp_path_factory):
     return out
 
 
+def test_the_latest_report_of_firms_that_share_a_gvkey_is_the_same_in_any_order(spark):
+    """Reports of one gvkey, date and shard: the largest stays, however the rows are dealt."""
+    rows = [("100000", date(2000, 12, 31), float(ni), 2000) for ni in range(7)]
+    firms = spark.createDataFrame([("100000", 1)], "gvkey string, permno long")
+    for given in (rows, rows[::-1], rows[3:] + rows[:3]):
+        out = exposure_panel.with_latest_report(firms, spark.createDataFrame(given, "gvkey string, datadate date, ni double, year int").coalesce(1)).collect()
+        assert [tuple(r) for r in out] == [("100000", 1, date(2000, 12, 31), 6.0)]
+
+
 def test_reports_of_firms_that_share_a_gvkey_are_each_extracted_once(spark, shifted):
     con = duckdb.connect()
     for f in shifted.glob("*.parquet"):
