@@ -11,6 +11,11 @@ Equal contexts are combined before the shuffle and again in the bucket: only the
 on, the others are known to repeat it, so a passage of very many documents is one context per block of input. Hashes only
 bring equal contexts and candidates together, and equal bytes have equal hashes; bytes decide. Rows between the steps
 are packed blocks.
+
+An anchor that would fill a bucket is dealt by more bytes: its windows are parted by the anchor's offset in them, and those of
+one part go by all bytes that they have in common, 29 of them, then 40, then the window itself. Which anchors are that common
+is counted beforehand in some of the documents, once for all tasks; it decides where windows meet, not which are found. A
+bucket that is large all the same is parted in that way where it is searched, so memory is bounded by a portion.
 """
 
 from __future__ import annotations
@@ -34,6 +39,12 @@ SIDE = (WINDOW - ANCHOR) // 2
 BLOCK_BYTES, BUCKET_BYTES, PART_BYTES = 1 << 21, 2 << 20, 12 << 20
 #: Bytes of contexts that are compared at once.
 COMPARED = 1 << 20
+#: Bytes of contexts that are hashed, and that are sorted at once.
+HASHED, PORTION = 1 << 19, 3 << 20
+#: Offsets of the anchor that a part of its windows has, by level; their windows share WINDOW + 1 less so many bytes.
+WIDTHS = (SPAN, (SPAN + 1) // 2, (SPAN + 3) // 4, 1)
+#: Bytes of documents in which common keys are counted, and bytes of a level's contexts from which one is dealt by more bytes.
+COUNTED, COMMON_BYTES = 16 << 20, (2 << 20, 16 << 20, 64 << 20)
 NO_ID = np.iinfo(np.int64).max
 ENTRY = np.dtype([("doc", "<i8"), ("pos", "<i4"), ("n", "u1"), ("off", "u1")])
 CUT = np.dtype([("doc", "<i8"), ("a", "<i4"), ("b", "<i4")])
@@ -63,22 +74,38 @@ def _fixed(s: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any stretch of a byte array from prefix sums, modulo 2**64."""
+    """Hashes of any stretches of up to `n` bytes of arrays, from prefix sums modulo 2**64."""
 
-    def __init__(self, s: np.ndarray, seed: int) -> None:
+    def __init__(self, n: int, seed: int) -> None:
         rng = np.random.default_rng(seed)
-        letters = rng.integers(1, 1 << 63, 256, dtype=np.uint64)
+        self.letters = rng.integers(1, 1 << 63, 256, dtype=np.uint64)
         base = int(rng.integers(1, 1 << 62)) * 4 + 3
-        n = len(s)
-        power, inverse = np.full(n + 1, base, np.uint64), np.full(n + 1, pow(base, -1, 1 << 64), np.uint64)
-        power[0] = inverse[0] = 1
-        power = np.multiply.accumulate(power)
-        self.inverse = np.multiply.accumulate(inverse)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(letters[s] * power[:n], out=self.sums[1:])
-
-    def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return _mix((self.sums[stop] - self.sums[start]) * self.inverse[start] + (stop - start).astype(np.uint64))
+        self.power, self.inverse = np.full(n + 1, base, np.uint64), np.full(n + 1, pow(base, -1, 1 << 64), np.uint64)
+        for x in (self.power, self.inverse):
+            x[0] = 1
+            np.multiply.accumulate(x, out=x)
+
+    def of(self, s: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        sums = np.zeros(len(s) + 1, np.uint64)
+        np.cumsum(self.letters[s] * self.power[: len(s)], out=sums[1:])
+        return _mix((sums[stop] - sums[start]) * self.inverse[start] + (stop - start).astype(np.uint64))
+
+
+def _hashes(s: np.ndarray, start: np.ndarray, length: np.ndarray, seeds: tuple[int, ...] = (1, 2)) -> list[np.ndarray]:
+    """Hashes of stretches in the order of their starts, for each seed, so many bytes of `s` at once."""
+    if not len(start):
+        return [np.zeros(0, np.uint64) for _ in seeds]
+    stop = start + length
+    longest = HASHED + int(length.max())
+    rolling = [Rolling(min(longest, int(stop.max() - start[0])), x) for x in seeds]
+    out, at = [np.empty(len(start), np.uint64) for _ in seeds], 0
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(start, start[at] + HASHED, "right")))
+        low, part = int(start[at]), slice(at, to)
+        for r, h in zip(rolling, out, strict=True):
+            h[part] = r.of(s[low : int(stop[part].max())], start[part] - low, stop[part] - low)
+        at = to
+    return out
 
 
 def contexts(s: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -112,8 +139,9 @@ def stretches(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 def copies(s: np.ndarray, start: np.ndarray, length: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Which contexts equal one of a smaller document. Hashes bring equal ones together; their bytes decide."""
-    one, two = Rolling(s, 1).of(start, start + length), Rolling(s, 2).of(start, start + length)
+    """Which contexts, in the order of their starts, equal one of a smaller document. Hashes bring equal ones together; their
+    bytes decide."""
+    one, two = _hashes(s, start, length)
     order = np.lexsort((doc, two, one))
     new = np.r_[True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])] if len(order) else np.zeros(0, bool)
     least = order[np.flatnonzero(new)][np.cumsum(new) - 1]  # of each one's group the context of the smallest document
@@ -242,29 +270,82 @@ def _several(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def bucket_cuts(entries: np.ndarray, s: np.ndarray) -> np.ndarray:
-    """Stretches (doc, a, b) of removed bytes found in one bucket."""
+def _key(s: np.ndarray, anchor: np.ndarray, level: int, offset: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes that all windows of a level's part have in common. offset: the anchor's in any of the windows."""
+    width = WIDTHS[level]
+    return _fixed(s, anchor - offset // width * width, WINDOW + 1 - width)
+
+
+def _parted(first: np.ndarray, n: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """(context, first start, number of starts, anchor's offset) of the parts of contexts in order; a part's windows have the
+    anchor at offsets of one multiple of `width`."""
+    high, low = off // width, (off - n + 1) // width  # the first start has the largest offset
+    count = high - low + 1
+    owner = np.repeat(np.arange(len(n)), count)
+    part = high[owner] - stretches(np.zeros(len(n), np.int64), count)
+    top, least = np.minimum(off[owner], part * width + width - 1), np.maximum(off[owner] - n[owner] + 1, part * width)
+    return owner, first[owner] + off[owner] - top, top - least + 1, top
+
+
+def bucket_cuts(entries: np.ndarray, s: np.ndarray, portion: int = PORTION) -> np.ndarray:
+    """Stretches (doc, a, b) of removed bytes found in one bucket. Contexts of over `portion` bytes are sorted by anchor, as
+    many at once as make a portion; those of one anchor that are more are parted, level by level."""
     doc, n, off = entries["doc"].astype(np.int64), entries["n"].astype(np.int64), entries["off"].astype(np.int64)
     length = n + WINDOW - 1
-    start = np.cumsum(length) - length
+    return np.concatenate(_searched(s, np.cumsum(length) - length, n, off, doc, entries["pos"].astype(np.int64), 0, portion))
+
+
+def _searched(s: np.ndarray, start: np.ndarray, n: np.ndarray, off: np.ndarray, doc: np.ndarray, pos: np.ndarray, level: int, portion: int) -> list[np.ndarray]:
+    """For bucket_cuts: the stretches of contexts in the order of their starts."""
+    length = n + WINDOW - 1
     known = copies(s, start, length, doc)
-    cuts = [_cut(doc[known], entries["pos"][known], entries["pos"][known] + length[known])]
+    cuts = [_cut(doc[known], pos[known], pos[known] + length[known])]
     anchor = start + off
     chosen = np.zeros(len(doc), bool)
-    right = np.flatnonzero(~known & (off + ANCHOR + SIDE <= length))
-    chosen[right] |= _several(_fixed(s, anchor[right], ANCHOR + SIDE), doc[right])
-    left = np.flatnonzero(~known & (off >= SIDE))
-    chosen[left] |= _several(_fixed(s, anchor[left] - SIDE, ANCHOR + SIDE), doc[left])
+    if level:
+        rest = np.flatnonzero(~known)
+        chosen[rest] = _several(_key(s, anchor[rest], level, off[rest]), doc[rest])
+    else:
+        right = np.flatnonzero(~known & (off + ANCHOR + SIDE <= length))
+        chosen[right] |= _several(_fixed(s, anchor[right], ANCHOR + SIDE), doc[right])
+        left = np.flatnonzero(~known & (off >= SIDE))
+        chosen[left] |= _several(_fixed(s, anchor[left] - SIDE, ANCHOR + SIDE), doc[left])
     chosen = np.flatnonzero(chosen)
-    if len(chosen):
-        hit = repeated_starts(s, start[chosen], n[chosen], doc[chosen])
-        owner, place = np.repeat(chosen, n[chosen]), stretches(np.zeros(len(chosen), np.int64), n[chosen])
-        owner, place = owner[hit], place[hit]
-        new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (place[1:] != place[:-1] + 1)]) if len(owner) else np.zeros(0, np.int64)
-        last = np.r_[new[1:], len(owner)] - 1
-        pos = entries["pos"][owner[new]] if len(new) else np.zeros(0, np.int64)
-        cuts.append(_cut(doc[owner[new]], pos + place[new], pos + place[last] + WINDOW))
-    return np.concatenate(cuts)
+    if length[chosen].sum() <= portion:
+        return cuts + _repeats(s, start, n, doc, pos, chosen)
+    key = _key(s, anchor[chosen], level, off[chosen])
+    order = np.argsort(key, kind="stable")
+    key, chosen = key[order], chosen[order]
+    heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    ends = np.r_[heads[1:], len(key)]
+    size = np.add.reduceat(length[chosen], heads)
+    large = (size > portion) & (level + 1 < len(WIDTHS))
+    so_far, i = np.cumsum(np.where(large, 0, size)), 0
+    while i < len(heads):
+        j = max(i + 1, int(np.searchsorted(so_far, (so_far[i - 1] if i else 0) + portion, "right")))
+        own = np.repeat(~large[i:j], (ends - heads)[i:j])
+        cuts += _repeats(s, start, n, doc, pos, np.sort(chosen[heads[i] : ends[j - 1]][own]))
+        i = j
+    if large.any():
+        more = np.sort(chosen[np.repeat(large, ends - heads)])
+        owner, at, count, offset = _parted(start[more], n[more], off[more], WIDTHS[level + 1])
+        cuts += _searched(s, at, count, offset, doc[more][owner], pos[more][owner] + at - start[more][owner], level + 1, portion)
+    return cuts
+
+
+def _repeats(s: np.ndarray, start: np.ndarray, n: np.ndarray, doc: np.ndarray, pos: np.ndarray, chosen: np.ndarray) -> list[np.ndarray]:
+    """For _searched: the stretches that a suffix array of the chosen contexts shows."""
+    if len(chosen) < 2:
+        return []
+    hit = repeated_starts(s, start[chosen], n[chosen], doc[chosen])
+    owner, place = np.repeat(chosen, n[chosen]), stretches(np.zeros(len(chosen), np.int64), n[chosen])
+    owner, place = owner[hit], place[hit]
+    if not len(owner):
+        return []
+    new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (place[1:] != place[:-1] + 1)])
+    last = np.r_[new[1:], len(owner)] - 1
+    at = pos[owner[new]]
+    return [_cut(doc[owner[new]], at + place[new], at + place[last] + WINDOW)]
 
 
 def _cut(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -277,7 +358,7 @@ def _groups(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(key, kind="stable")
     k = key[order]
     heads = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
-    for a, b in zip(heads, np.r_[heads[1:], len(k)], strict=True):
+    for a, b in zip(heads, [*heads[1:], len(k)] if len(k) else [], strict=True):
         yield int(k[a]), order[a:b]
 
 
@@ -285,26 +366,77 @@ def _part(doc: np.ndarray, parts: int) -> np.ndarray:
     return (_mix(doc.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
 
 
-def _deal(buckets: int, parts: int):  # noqa: ANN202
-    """For mapInPandas over (id, text): rows (bucket, entries, bytes, cuts), all packed."""
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """Ids and texts of so many bytes of input."""
+    ids: list[int] = []
+    texts: list[bytes] = []
+    size = 0
+    for batch in batches:
+        for key, text in zip(batch["id"], batch["text"], strict=True):
+            ids.append(NO_ID if pd.isna(key) else int(key))
+            texts.append(text.encode("utf-8", "surrogatepass"))
+            size += len(texts[-1])
+            if size >= BLOCK_BYTES:
+                yield np.array(ids, np.int64), texts
+                ids, texts, size = [], [], 0
+    if ids:
+        yield np.array(ids, np.int64), texts
+
+
+def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For mapInPandas over (id, text): rows (level, key, size), the bytes of each key's contexts in a block."""
+    for own, texts in _blocks(batches):
+        s = np.frombuffer(b"".join(texts), np.uint8)
+        d, first, n, off = contexts(s, np.cumsum([len(t) for t in texts]))
+        known = copies(s, first, n + WINDOW - 1, own[d])
+        first, n, off = first[~known], n[~known], off[~known]
+        for level in range(len(COMMON_BYTES)):
+            if level:
+                _, first, n, off = _parted(first, n, off, WIDTHS[level])
+            key, at = np.unique(_key(s, first + off, level, off), return_inverse=True)
+            size = np.bincount(at, n + WINDOW - 1, len(key)).astype(np.int64)
+            several = size > 2 * WINDOW + SPAN  # of one context alone nothing is known
+            yield pd.DataFrame({"level": np.full(int(several.sum()), level, np.int32), "key": key[several].view(np.int64), "size": size[several]})
+
+
+def common_keys(rows: DataFrame, total: int, counted: int = COUNTED, least: tuple[int, ...] = COMMON_BYTES) -> list[np.ndarray]:
+    """For each level but the last the keys whose contexts, carried on from `counted` bytes of documents to all, have over
+    `least` bytes. Every task deals by the same keys, so any choice of them finds the same windows."""
+    if total <= least[0]:
+        return [np.zeros(0, np.uint64) for _ in least]
+    times = max(1, total // counted)
+    some = rows.where(F.pmod(F.xxhash64(F.col("id"), F.lit(6)), F.lit(times)) == 0)
+    limit = F.element_at(F.array(*(F.lit(x / times) for x in least)), F.col("level") + 1)
+    found = some.mapInPandas(_count, "level int, key long, size long").groupBy("level", "key").agg(F.sum("size").alias("size")).where(F.col("size") > limit).collect()  # one row for so many bytes
+    return [np.sort(np.array([r["key"] for r in found if r["level"] == k], np.int64).view(np.uint64)) for k in range(len(least))]
+
+
+def _deal(buckets: int, common: list[np.ndarray]):  # noqa: ANN202
+    """For mapInPandas over (id, text): rows (bucket, entries, bytes, cuts), all packed. common: from common_keys()."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pack = zstandard.ZstdCompressor(level=3).compress
-        ids: list[int] = []
-        texts: list[bytes] = []
-        size = 0
 
-        def block() -> pd.DataFrame:
+        def block(own: np.ndarray, texts: list[bytes]) -> pd.DataFrame:
             s = np.frombuffer(b"".join(texts), np.uint8)
-            own = np.array(ids, np.int64)
             d, first, n, off = contexts(s, np.cumsum([len(t) for t in texts]))
             begin = np.cumsum([0, *map(len, texts)])
             doc, pos, length = own[d], first - begin[d], n + WINDOW - 1
             known = copies(s, first, length, doc)
             cuts = _cut(doc[known], pos[known], pos[known] + length[known])
-            d, doc, pos, first, n, off, length = (x[~known] for x in (d, doc, pos, first, n, off, length))
+            d, first, n, off = (x[~known] for x in (d, first, n, off))
+            key = _key(s, first + off, 0, off)
+            for level, keys in enumerate(common):
+                again = np.isin(key, keys)
+                if not again.any():
+                    break
+                owner, *parts = _parted(first[again], n[again], off[again], WIDTHS[level + 1])
+                kept = [(x[~again], y) for x, y in ((d, d[again][owner]), (first, parts[0]), (n, parts[1]), (off, parts[2]))]
+                more = _key(s, parts[0] + parts[2], level + 1, parts[2])
+                d, first, n, off = (np.concatenate(x) for x in kept)
+                key = np.concatenate([key[~again], more])
+            doc, pos, length = own[d], first - begin[d], n + WINDOW - 1
             rows = []
-            key = _fixed(s, first + off, ANCHOR)
             for bucket, at in _groups((key % np.uint64(buckets)).astype(np.int64)):
                 e = np.empty(len(at), ENTRY)
                 e["doc"], e["pos"], e["n"], e["off"] = doc[at], pos[at], n[at], off[at]
@@ -314,16 +446,8 @@ def _deal(buckets: int, parts: int):  # noqa: ANN202
                 rows.append((int(_mix(np.array([own.min()], np.uint64))[0] % np.uint64(buckets)), 0, b"", b"", pack(cuts.tobytes())))
             return pd.DataFrame(rows, columns=["bucket", "n", "entries", "bytes", "cuts"])
 
-        for batch in batches:
-            for key, text in zip(batch["id"], batch["text"], strict=True):
-                ids.append(NO_ID if pd.isna(key) else int(key))
-                texts.append(text.encode("utf-8", "surrogatepass"))
-                size += len(texts[-1])
-                if size >= BLOCK_BYTES:
-                    yield from (f for f in [block()] if len(f))
-                    ids, texts, size = [], [], 0
-        if ids:
-            yield from (f for f in [block()] if len(f))
+        for own, texts in _blocks(batches):
+            yield from (f for f in [block(own, texts)] if len(f))
 
     return run
 
@@ -403,7 +527,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_of(f"`{text_col}`").alias("text"))
     total = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
     buckets, parts = max(1, -(-total // BUCKET_BYTES)), max(1, -(-total // PART_BYTES))
-    dealt = rows.mapInPandas(_deal(buckets, parts), "bucket long, n int, entries binary, bytes binary, cuts binary")
+    dealt = rows.mapInPandas(_deal(buckets, common_keys(rows, total)), "bucket long, n int, entries binary, bytes binary, cuts binary")
     cuts = dealt.groupBy("bucket").applyInPandas(_find(parts), "part long, cuts binary")
     texts = rows.mapInPandas(_pack_texts(parts), "part long, ids binary, lengths binary, texts binary")
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
