@@ -6,7 +6,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import features, macro, panel
+from tidemark.operators import features, macro, panel, robustness
 from tidemark.sources.stored import kept, matches, shared_dir, stored
 
 
@@ -58,3 +58,15 @@ def test_the_tensor_deals_rows_and_tokens_by_snapshot_only(spark):
     assert not [x for x in exchanges(out) if "permno" in x]
     got = {r["gvkey"]: (r["macro_token_rows"], r["macro_geo_count"], r["macro_area_count"], r["segment_macro_s"], r["macro_revenue_share_covered"]) for r in out.collect()}
     assert got == {"a": (3, 3, 2, 2.0, 0.5), "b": (None,) * 5}
+
+
+def test_quintiles_of_predictions_are_made_once_for_spread_and_turnover(spark):
+    rows = [("f", "r", "v", date(2001, m, 28), i, float(i * m % 31), float(i), 2001, 9) for m in (1, 2, 3) for i in range(30)]
+    predictions = spark.createDataFrame(rows, "model_family string, model_run_id string, variant string, date date, permno long, prediction double, target double, fold_year int, train_rows long")
+    out = robustness.with_costs(predictions)
+    assert "Window" in (plan := out._jdf.queryExecution().executedPlan().toString()) and "row_number" not in plan  # twice before
+    got = {r["date"].month: (r["q5_minus_q1"], r["long_short_turnover"]) for r in out.collect()}
+    order = {m: sorted(range(30), key=lambda i, m=m: (i * m % 31, i)) for m in (1, 2, 3)}
+    assert {m: x[0] for m, x in got.items()} == {m: sum(o[-6:]) / 6 - sum(o[:6]) / 6 for m, o in order.items()}
+    fresh = lambda m, cut: 1 - len(set(order[m][cut]) & set(order[m - 1][cut])) / 6
+    assert got[1][1] is None and all(abs(got[m][1] - (fresh(m, slice(-6, None)) + fresh(m, slice(0, 6))) / 2) < 1e-12 for m in (2, 3))
